@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat_format, language_id, mixing, mtree, multi_index, ngram_join, pii
+from strandlake.llm import bpe, chat_format, language_id, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
 from strandlake.llm.common import table
 
 
@@ -13,12 +13,20 @@ def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.mtree_top_k(table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.documents_with_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
     model = language_id.train(docs.where(~F.col("held_out")))
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), length=400)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
@@ -58,5 +66,42 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op3_language_id, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index)}
+
+#: M-trees, sampled codebooks, learned models, merge lists, suffix arrays and bootstrapped patterns are beyond SQL; tests/llm compares
+#: those with brute force. Digests of the chats need the planted conversation beside the table.
+ORACLE: dict[str, str] = {
+    "op5_chat_format": """
+        WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+          before AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM rows),
+          judged AS (SELECT *, coalesce(CASE role WHEN 'system' THEN prev IS NULL WHEN 'user' THEN prev IS NULL OR prev IN ('system', 'assistant') WHEN 'assistant' THEN prev = 'user' ELSE false END, false) AS ok FROM before),
+          said AS (SELECT conv_id, turn, role, text, ok, back, length(text) + length(replace(text, '\\', '')) * 0 + (length(text) - length(replace(text, '\\', ''))) + (length(text) - length(replace(text, '#', ''))) + (length(text) - length(replace(text, '<', ''))) + (length(text) - length(replace(text, ':', ''))) AS width FROM judged)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(6 + length(role) + 9 + width) AS BIGINT) AS formatted_chars, bool_and(ok) AND bool_and(back <> 1 OR role IN ('assistant', 'user')) AS valid
+        FROM said GROUP BY conv_id""",
+    "op6_mixing": """
+        WITH d AS (SELECT doc_id, source, CAST(coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS size FROM documents),
+          s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+          w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5.0e0 WHEN 1 THEN 2.0e0 ELSE 1.0e0 END AS weight, 2.0e0 * source_size AS cap FROM s),
+          l AS (SELECT *, (1.5e0 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0))
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0)) AS level FROM w),
+          v AS (SELECT min(level) FILTER (WHERE cap > level * weight) AS level FROM (SELECT * FROM l WHERE cap > level * weight ORDER BY cap / weight, i LIMIT 1)),
+          g AS (SELECT l.source, l.source_size, CASE WHEN v.level IS NULL OR l.cap / l.weight <= v.level THEN l.cap ELSE v.level * l.weight END AS target FROM l CROSS JOIN v),
+          q AS (SELECT d.*, e, CAST('0x' || substr(md5('mix' || CAST(e AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM d CROSS JOIN (SELECT unnest([0, 1]) AS e) WHERE size > 0),
+          c AS (SELECT q.*, g.target, sum(size) OVER (PARTITION BY q.source ORDER BY e, h, doc_id ROWS UNBOUNDED PRECEDING) / g.target AS finish FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source),
+          t AS (SELECT *, sum(size) OVER (ORDER BY finish, coalesce('=' || source, '~'), h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+          k AS (SELECT doc_id, source, count(*) AS copies FROM t WHERE upto <= (SELECT sum(target) FROM g) GROUP BY doc_id, source)
+        SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CAST(d.size * coalesce(k.copies, 0) AS BIGINT) AS taken
+        FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN k ON d.doc_id = k.doc_id AND d.source IS NOT DISTINCT FROM k.source""",
+    "op7_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS t FROM documents),
+          s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS g FROM w),
+          n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+          common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+          e AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+          both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+          reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a)
+        SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id""",
+}

@@ -11,10 +11,10 @@ from strandlake.llm.common import stage
 def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     """Links (a, b) that connect all that the links among members of common groups would connect.
 
-    entries (s, key, o): key is in group s; viable(o1, o2) gives a condition on the names of two o columns; verified(pairs) keeps
+    entries (s, key, o): key is in group s, repeats allowed; viable(o1, o2) gives a condition on the names of two o columns; verified(pairs) keeps
     the pairs that are links. First each group's members are compared with its member of smallest o; then only members that are still in
     different components, so a large group of alike members gives as many pairs as it has members, not its square."""
-    pivots = entries.groupBy("s").agg(F.count("*").alias("members"), F.min_by("key", "o").alias("pivot"), F.min("o").alias("po")).where("members > 1").drop("members")
+    pivots = entries.groupBy("s").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min_by("key", "o").alias("pivot"), F.min("o").alias("po")).where("k1 <> k2").drop("k1", "k2")
     shared = stage(entries.join(pivots, "s"), "shared")
     star = shared.where("key <> pivot").where(viable("o", "po")).selectExpr("least(key, pivot) a", "greatest(key, pivot) b").distinct()
     star = stage(star, "star")
@@ -22,13 +22,20 @@ def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     comp = stage(connected_components(links), "comp")
     part = shared.join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("s", "key", "o", F.coalesce("component", "key").alias("c"))
     mixed = part.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("s")
-    part = part.join(mixed, "s")
+    part = part.join(mixed, "s").distinct()
     other = part.select("s", F.col("key").alias("key_2"), F.col("o").alias("o_2"), F.col("c").alias("c_2"))
     cross = part.join(other, "s").where("c < c_2").where(viable("o", "o_2")).selectExpr("least(key, key_2) a", "greatest(key, key_2) b").distinct()
     more = stage(verified(stage(cross.join(star, ["a", "b"], "left_anti"), "cross")), "links")
     return links.unionByName(more)
 
 
+def kept_by_bits(rows: DataFrame, hash_column: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose hash isn't among wanted's: a bitmap of 2**23 bits, so the broadcast has at most 2**17 rows."""
+    word, bit = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit((1 << 17) - 1)), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    bits = wanted.select(word(F.col(hash_column)).alias("_w"), bit(F.col(hash_column)).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    return rows.withColumn("_w", word(F.col(hash_column))).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(bit(F.col(hash_column))) != 0).drop("_w", "_bits")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component): for each node of an edge, the smallest node that it reaches.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Words, chunks, mix, stage
-from strandlake.llm.components import connected_components, group_links
+from strandlake.llm.components import connected_components, group_links, kept_by_bits
 
 SHINGLE, PASSAGE = 5, 50
 STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -142,7 +142,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     wanted = entries.select(F.col("key").alias("pid")).distinct()
     reps = found.where("size(bands) > 0").join(wanted, "pid").groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y")))
     lists = reps.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("pid", "x", "y")).alias("wanted"))
-    texts = as_bytes.join(lists, (as_bytes["t"] == lists["t_"]) & as_bytes["doc_id"].eqNullSafe(lists["d"])).select("text", "wanted")
+    lists = stage(lists.withColumnRenamed("t_", "t"), "lists").withColumnRenamed("t", "t_")
+    near = kept_by_bits(as_bytes, "t", lists.select(F.col("t_").alias("t")))
+    texts = near.join(lists, (near["t"] == lists["t_"]) & near["doc_id"].eqNullSafe(lists["d"])).select("text", "wanted")
     sets = stage(texts.mapInArrow(_sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:

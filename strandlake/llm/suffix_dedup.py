@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Rolling, chunks, mix, stage
+from strandlake.llm.components import kept_by_bits
 
 GRAM = 128
 PACK = 2 << 20
@@ -293,7 +294,8 @@ def repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> tuple[DataF
     one = base.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.sum(F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("nulls"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
     one = one.join(slim.select("t1", "t2").distinct(), ["t1", "t2"])
     is_it = F.expr("coalesce(doc_id, -1) - coalesce(low, -1) = 0")
-    texts = named.where(F.octet_length("text") >= length).join(one, ["t1", "t2"]).where(is_it)
+    one = stage(one, "kept")
+    texts = kept_by_bits(named.where(F.octet_length("text") >= length), "t1", one.select("t1")).join(one, ["t1", "t2"]).where(is_it)
     texts = stage(texts.select("t1", "t2", F.col("text").cast("binary").alias("text"), (F.col("ids") + F.col("nulls") < F.col("rows")).alias("again")), "texts")
     if texts.where("again").limit(1).count():  # rows that are equal in doc_id and text
         texts = texts.dropDuplicates(["t1", "t2"])

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from strandlake.plans import association, cohort, rows
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+for _part in (rows.plans, cohort.plans, association.plans):
+    QUERIES |= _part.queries
+    ORACLE |= _part.sql

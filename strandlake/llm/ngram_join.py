@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Words, chunks, mix, stage
-from strandlake.llm.components import connected_components
+from strandlake.llm.components import connected_components, group_links, kept_by_bits
 
 #: log2 of the counting table's cells, and cells in a slab of it that is summed as one row.
 CELLS, SLAB = 22, 1 << 16
@@ -77,21 +77,22 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
-DOC = "doc_id long, tid long, n long, key long, key2 long, prefix array<long>"
+DOC = "doc_id long, tid long, n long, key long, key2 long, ranges array<short>, prefix array<long>"
 
 
 def _prefixes(n: int, percent: int, table):
     def run(batches):
-        freq = table.value
+        freq, cuts = table.value, np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
         for batch in batches:
             ids, tids = batch.column("doc_id"), batch.column("tid")
             for first, part in chunks(batch.column("text").to_pylist()):
-                w, size, keys, prefix = Words(part), [], [], []
+                w, size, keys, ranges, prefix = Words(part), [], [], [], []
                 for a, b in zip(w.first[:-1], w.first[1:]):
                     s = _distinct(w, n, a, b)
                     m = len(s)
                     size.append(m)
                     keys.append(_key(s))
+                    ranges.append(np.minimum(np.diff(np.searchsorted(s, cuts), prepend=0, append=m), 32767).astype(np.int16))
                     p = m - (percent * m + 99) // 100 + 1 if m else 0
                     f = freq[s & np.uint64((1 << CELLS) - 1)]
                     if p < m // 2:  # only what may be in the prefix is sorted
@@ -100,7 +101,7 @@ def _prefixes(n: int, percent: int, table):
                     prefix.append(s[np.lexsort((s, f))[:p]].view(np.int64))
                 k = np.array(keys, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.slice(first, len(part)), "tid": tids.slice(first, len(part)), "n": pa.array(size, pa.int64()), "key": pa.array(k[:, 0]), "key2": pa.array(k[:, 1]),
+                    "doc_id": ids.slice(first, len(part)), "tid": tids.slice(first, len(part)), "n": pa.array(size, pa.int64()), "key": pa.array(k[:, 0]), "key2": pa.array(k[:, 1]), "ranges": pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges))),
                     "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix))),
                 })
 
@@ -121,17 +122,12 @@ def _sets(n: int):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            keep, cuts = [], np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
-            last, x, cx = None, None, None
+            keep, last, x = [], None, None
             for i, (sa, sb) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
                 y = np.frombuffer(sb.as_buffer(), np.uint64)
                 if last is None or not sa.equals(last):
                     last, x = sa, np.frombuffer(sa.as_buffer(), np.uint64)
-                    cx = np.diff(np.searchsorted(x, cuts), prepend=0, append=len(x))
                 need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                cy = np.diff(np.searchsorted(y, cuts), prepend=0, append=len(y))
-                if np.minimum(cx, cy).sum() < need:  # suffix filter: what the ranges can have in common at most
-                    continue
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 if int((x[at] == y).sum()) >= need:
@@ -151,41 +147,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min("key2").alias("k2"), F.max("key2").alias("k3"), F.min_by("tid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tid")), "classes")
     if classes.where("k2 <> k3").limit(1).count():
         raise RuntimeError("two different sets have one 64-bit key")
-    # one member's prefix stands for its class; equal prefixes of copies meet before the shuffle
-    member = rows.where("n > 0").groupBy("key").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
-    entries = member.select("key", "n", F.posexplode("prefix").alias("pos", "s"))
-    entries = stage(entries.select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o")), "entries")
-    # the pivot of a shingle's group is the class with fewest rarer shingles
-    pivots = entries.groupBy("s").agg(F.count("*").alias("members"), F.min_by("key", "o").alias("pivot"), F.min("o").alias("po")).where("members > 1").drop("members")
-    shared = stage(entries.join(pivots, "s"), "shared")
+    entries = rows.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "s"))
+    entries = entries.select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o"))
+    ranges = stage(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ranges")
 
     def viable(o1: str, o2: str):
         p1, p2, n1, n2 = (f"shiftright({o1}, 32)", f"shiftright({o2}, 32)", f"({o1} & 4294967295L)", f"({o2} & 4294967295L)")
         need = f"(({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent})"
         return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND least({n1} - {p1}, {n2} - {p2}) >= {need}")
 
-    wanted = shared.select("key").distinct().join(classes, "key").select("tid", F.col("low").alias("doc_id"))
     texts = texts.where("text IS NOT NULL").withColumn("tid", F.xxhash64("text"))
-    full = texts.join(wanted, (texts["tid"] == wanted["tid"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = full.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(n), "key long, shingles binary")
-    sets = stage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        of = lambda c: ranges.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}"))
+        common = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
+        # suffix filter: what the ranges can have in common at most (a range that is full counts in full)
+        full = F.array_max("ra") == 32767
+        close = pairs.join(of("a"), "a").join(of("b"), "b").where(full | ((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))))
+        close = stage(close.select("a", "b"), "close")
+        wanted = close.selectExpr("explode(array(a, b)) key").distinct().join(classes, "key").select("tid", F.col("low").alias("doc_id"))
+        wanted = stage(wanted, "wanted")
+        few = kept_by_bits(texts, "tid", wanted)
+        few = few.join(wanted, (few["tid"] == wanted["tid"]) & few["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+        sets = few.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(n), "key long, shingles binary")
+        sets = stage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+        with_a = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         return with_b.mapInArrow(_verify(percent), "a long, b long")
 
-    star = shared.where("key <> pivot").where(viable("o", "po")).selectExpr("least(key, pivot) a", "greatest(key, pivot) b").distinct()
-    star = stage(star, "star")
-    links = stage(verified(star), "links")
-    comp = stage(connected_components(links), "comp")
-    part = shared.join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("s", "key", "o", F.coalesce("component", "key").alias("c"))
-    mixed = part.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("s")
-    part = part.join(mixed, "s")
-    other = part.select("s", F.col("key").alias("key_2"), F.col("o").alias("o_2"), F.col("c").alias("c_2"))
-    cross = part.join(other, "s").where("c < c_2").where(viable("o", "o_2")).selectExpr("least(key, key_2) a", "greatest(key, key_2) b").distinct()
-    more = stage(verified(stage(cross.join(star, ["a", "b"], "left_anti"), "cross")), "links")
-    links = links.unionByName(more)
+    links = group_links(entries, viable, verified)
     comp = connected_components(links)
     degree = links.selectExpr("explode(array(a, b)) key").groupBy("key").agg(F.count("*").alias("n_links"))
     lows = classes.select("key", "low").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))

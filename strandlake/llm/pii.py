@@ -32,33 +32,43 @@ BASE = {
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
 BLOCK, NEAR = 512, 60
+PLACE = ("_d", "_t", "start", "end", "kind")
 SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: inside lambdas an expression would be computed anew for every item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(lengths: Column) -> Column:
-    """Sums of all earlier items, by blocks so that long arrays stay near linear."""
+    """Sums of all earlier items, by blocks so that long arrays stay near linear. lengths is a bound value (see let)."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    n = F.size(lengths)
-    starts = F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / BLOCK, F.lit(0)).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    ahead = F.transform(starts, lambda _, b: total(F.slice(starts, F.lit(1), b)))
-    return F.transform(lengths, lambda _, i: F.get(ahead, (i / BLOCK).cast("int")) + total(F.slice(lengths, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
+    blocks = F.sequence(F.lit(0), F.greatest((F.size(lengths) - 1) / BLOCK, F.lit(0)).cast("int"))
+    starts = F.transform(blocks, lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    ahead = let(starts, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))))
+    return let(ahead, lambda sums: F.transform(lengths, lambda _, i: F.get(sums, (i / BLOCK).cast("int")) + total(F.slice(lengths, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))))
 
 
 def found(text: Column, pattern: str, holds: str) -> Column:
     """Leftmost matches that don't overlap, with their places and the words beside them."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
-    ahead = running(lengths)
 
-    def span(h: Column, i: Column) -> Column:
-        start = F.get(ahead, i) + F.length(F.get(gaps, i))
-        near = lambda side: F.lower(side)
-        left = near(F.regexp_extract(F.substring(F.get(gaps, i), F.lit(-NEAR), F.lit(NEAR)), r"(\S+)\s*$", 1))
-        right = near(F.regexp_extract(F.substring(F.get(gaps, i + 1), F.lit(1), F.lit(NEAR)), r"^\s+(\S+)", 1))
-        return F.struct(start.cast("int").alias("start"), (start + F.length(h)).cast("int").alias("end"), h.alias("value"), left.alias("left"), right.alias("right"))
+    def spans(gaps: Column, hits: Column, ahead: Column) -> Column:
+        def span(h: Column, i: Column) -> Column:
+            start = F.get(ahead, i) + F.length(F.get(gaps, i))
+            left = F.lower(F.regexp_extract(F.substring(F.get(gaps, i), F.lit(-NEAR), F.lit(NEAR)), r"(\S+)\s*$", 1))
+            right = F.lower(F.regexp_extract(F.substring(F.get(gaps, i + 1), F.lit(1), F.lit(NEAR)), r"^\s+(\S+)", 1))
+            return F.struct(start.cast("int").alias("start"), (start + F.length(h)).cast("int").alias("end"), h.alias("value"), left.alias("left"), right.alias("right"))
+
+        return F.transform(hits, span)
+
+    def placed(v: Column) -> Column:
+        lengths = F.transform(v["hits"], lambda h, i: F.length(F.get(v["gaps"], i)) + F.length(h))
+        return let(let(lengths, running), lambda ahead: spans(v["gaps"], v["hits"], ahead))
 
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     some = text.contains(holds) & text.rlike(pattern) if holds else text.rlike(pattern)
-    return F.when(some, F.transform(hits, span)).otherwise(F.lit(None).cast(SPAN))
+    return F.when(some, let(parts, placed)).otherwise(F.lit(None).cast(SPAN))
 
 
 def luhn(digits: Column) -> Column:
@@ -121,8 +131,9 @@ def find_pii(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, least_confi
     # each round: instances by their patterns (noisy or), then patterns by their instances
     for _ in range(rounds):
         score = edges.join(scored.select("kind", "side", "word", "confidence"), ["kind", "side", "word"]).groupBy("_d", "_t", "start", "end", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
-        of = [edges["_d"].eqNullSafe(score["_d"]), *(edges[c] == score[c] for c in ("_t", "start", "end", "kind"))]
-        gained = edges.join(score, reduce(lambda a, b: a & b, of)).groupBy(edges["kind"], "side", "word").agg(F.sum("score").alias("gained"))
+        score = score.select(*(F.col(c).alias(f"{c}2") for c in PLACE), "score")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}2")) for c in PLACE))
+        gained = edges.join(score, same).groupBy("kind", "side", "word").agg(F.sum("score").alias("gained"))
         scored = scored.drop("confidence").join(gained, ["kind", "side", "word"], "left").withColumn("confidence", F.least((F.col("n_seeds") + F.coalesce("gained", F.lit(0.0))) / F.greatest("uses", "n_seeds"), F.lit(1.0)))
         scored = stage(scored.drop("gained"), "patterns")
     sure = edges.join(scored.where(F.col("confidence") >= least_confidence).select("kind", "side", "word", "confidence"), ["kind", "side", "word"])

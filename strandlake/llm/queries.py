@@ -96,8 +96,8 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, d.source, d.size, g.source_size, g.target, CAST(d.size * coalesce(k.copies, 0) AS BIGINT) AS taken
         FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN k ON d.doc_id = k.doc_id AND d.source IS NOT DISTINCT FROM k.source""",
     "op7_ngram_jaccard_join": """
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS t FROM documents),
-          s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS g FROM w),
+        WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS t FROM documents),
+          s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)] END) AS g FROM w),
           n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
           common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
           e AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),

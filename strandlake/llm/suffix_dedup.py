@@ -329,6 +329,6 @@ def deduplicated(docs: DataFrame, length: int = 400) -> DataFrame:
     _, cut = repeats(docs, length)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("second"), text)})
-    cut = cut.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.decode(F.col("kept"), F.lit("UTF-8")).alias("_kept"))
+    cut = cut.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"))
     out = keyed.join(cut, ["_t1", "_t2"], "left")
     return out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("_kept", "text"))).select(*docs.columns)

@@ -153,7 +153,7 @@ def mtree_top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, step: int =
     own = best(own, k, True).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("got")).where(F.col("got") == k)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     far = F.sqrt(F.greatest(norm + m - 2.0 * F.col("least"), F.lit(0.0))) * (1 + SLACK) + SLACK * (1 + m) ** 0.5 + 1e-6
-    bounded = queries.join(own, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce(far, F.lit(float("inf"))).alias("bound"))
+    bounded = queries.join(own, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.when(F.col("least").isNotNull(), far).otherwise(F.lit(float("inf"))).alias("bound"))
     blocks = stage(query_blocks(bounded, [], "bound"), "blocks")
     found = meet(nodes, blocks, nodes.count()).mapInArrow(find, "query_id long, vec_id long, score long")
     return best(found, k, True)

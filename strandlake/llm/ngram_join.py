@@ -137,6 +137,17 @@ def _verify(percent: int):
     return run
 
 
+def viable_for(percent: int):
+    """The length and the positional filter on two packed (place of the common shingle, set size) values."""
+
+    def viable(o1: str, o2: str):
+        p1, p2, n1, n2 = (f"shiftright({o1}, 32)", f"shiftright({o2}, 32)", f"({o1} & 4294967295L)", f"({o2} & 4294967295L)")
+        need = f"(({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent})"
+        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND least({n1} - {p1}, {n2} - {p2}) >= {need}")
+
+    return viable
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links of its class.
 
@@ -151,11 +162,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     entries = entries.select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o"))
     ranges = stage(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ranges")
 
-    def viable(o1: str, o2: str):
-        p1, p2, n1, n2 = (f"shiftright({o1}, 32)", f"shiftright({o2}, 32)", f"({o1} & 4294967295L)", f"({o2} & 4294967295L)")
-        need = f"(({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent})"
-        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND least({n1} - {p1}, {n2} - {p2}) >= {need}")
-
     texts = texts.where("text IS NOT NULL").withColumn("tid", F.xxhash64("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         return with_b.mapInArrow(_verify(percent), "a long, b long")
 
-    links = group_links(entries, viable, verified)
+    links = group_links(entries, viable_for(percent), verified)
     comp = connected_components(links)
     degree = links.selectExpr("explode(array(a, b)) key").groupBy("key").agg(F.count("*").alias("n_links"))
     lows = classes.select("key", "low").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))

@@ -16,10 +16,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Words, chunks, mix, stage
 from strandlake.llm.components import connected_components, group_links, kept_by_bits
+from strandlake.llm.ngram_join import viable_for
 
 SHINGLE, PASSAGE = 5, 50
 STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -115,6 +117,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
 
+def _shingles(batches):
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+        keys = np.repeat(batch.column("key").to_numpy(), [len(s) for s in sets])
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(sets))], names=["key", "s"])
+
+
 def _verify(similarity: float):
     def run(batches):
         for batch in batches:
@@ -138,8 +148,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     classes = found.groupBy("pid").agg(F.count("*").alias("times"))
     keyed = found.where("size(bands) > 0").select("pid", F.explode("bands").alias("s"))
     shared = keyed.groupBy("s").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 <> p2").select("s")
-    entries = stage(keyed.join(shared, "s").groupBy("s", "pid").agg(F.lit(0).cast("long").alias("o")).select("s", F.col("pid").alias("key"), "o"), "entries")
-    wanted = entries.select(F.col("key").alias("pid")).distinct()
+    wanted = stage(keyed.join(shared, "s").select("pid").distinct(), "colliding")
     reps = found.where("size(bands) > 0").join(wanted, "pid").groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y")))
     lists = reps.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("pid", "x", "y")).alias("wanted"))
     lists = stage(lists.withColumnRenamed("t_", "t"), "lists").withColumnRenamed("t", "t_")
@@ -151,7 +160,17 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         return both.mapInArrow(_verify(similarity), "a long, b long")
 
-    links = group_links(entries, lambda o1, o2: F.lit(True), verified)
+    # Colliding classes meet by the rarest shingles of their sets (as many as a similar pair must share one of), so a band with many
+    # unlike classes doesn't give all their pairs.
+    each = stage(sets.mapInArrow(_shingles, "key long, s long"), "shingles")
+    often = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    size = F.count("*").over(W.partitionBy("key"))
+    place = F.row_number().over(W.partitionBy("key").orderBy(F.coalesce("f", F.lit(1)), "s")) - 1
+    placed = each.join(often, "s", "left").withColumns({"n": size, "pos": place})
+    percent = round(100 * similarity)
+    first = placed.where(F.col("pos") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
+    entries = stage(first.where("f IS NOT NULL").select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o")), "entries")
+    links = group_links(entries, viable_for(percent), verified)
     comp = connected_components(links).select(F.col("node").alias("pid"), "component")
     cluster = classes.join(comp, "pid", "left").where("times > 1 OR component IS NOT NULL").select("pid", F.coalesce("component", "pid").alias("cluster"))
     members = stage(found.drop("bands").join(cluster, "pid"), "members")

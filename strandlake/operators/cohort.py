@@ -344,7 +344,7 @@ def novelty_curve(carriers: DataFrame, order: DataFrame) -> DataFrame:
     """rank, cumulative new sites and of them those still seen in one sample only."""
     by = W.partitionBy("site").orderBy("rank")
     seen = carriers.join(order, "sample").select("site", "rank", F.row_number().over(by).alias("i")).where("i <= 2")
-    steps = seen.groupBy("rank").agg(F.count_if("i = 1").alias("new") if False else F.count_if(F.col("i") == 1).alias("new"), F.count_if(F.col("i") == 2).alias("again"))
+    steps = seen.groupBy("rank").agg(F.count_if(F.col("i") == 1).alias("new"), F.count_if(F.col("i") == 2).alias("again"))
     both = order.select("rank").join(steps, "rank", "left").na.fill(0, ["new", "again"])
     w = W.orderBy("rank")
     return both.select("rank", F.sum("new").over(w).alias("new"), F.sum(F.col("new") - F.col("again")).over(w).alias("singletons"))

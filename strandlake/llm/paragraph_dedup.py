@@ -24,6 +24,8 @@ from strandlake.llm.components import connected_components, group_links, kept_by
 from strandlake.llm.ngram_join import viable_for
 
 SHINGLE, PASSAGE = 5, 50
+CELLS = 256
+CELL_COLUMNS = tuple(f"b{i}" for i in range(CELLS // 64))
 STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -106,15 +108,25 @@ def _units(least_words: int, bands: int, rows: int):
     return run
 
 
+def cells_of(s: np.ndarray) -> np.ndarray:
+    """Which of CELLS cells the shingles fall in, as bits of CELLS / 64 longs."""
+    bits = np.zeros(CELLS, np.uint8)
+    bits[s >> np.uint64(64 - CELLS.bit_length() + 1)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(batches):
     for batch in batches:
-        pids, sets = [], []
+        pids, sets, cells = [], [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             for u in wanted:
                 w = Words([text[u["x"] : u["y"]]])
                 pids.append(u["pid"])
-                sets.append(np.unique(w.shingles(SHINGLE, 0, len(w.start))).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+                s = np.unique(w.shingles(SHINGLE, 0, len(w.start)))
+                sets.append(s.tobytes())
+                cells.append(cells_of(s))
+        by_long = np.array(cells, np.int64).reshape(-1, CELLS // 64).T
+        yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.binary()), *map(pa.array, by_long)], names=["key", "shingles", *CELL_COLUMNS])
 
 
 def _shingles(batches):
@@ -139,6 +151,19 @@ def _verify(similarity: float):
     return run
 
 
+def alike(percent: int):
+    """viable_for, and a bound by cells: each cell that one set has and the other lacks holds a shingle that they don't share."""
+    by_place = viable_for(percent)
+
+    def viable(o1: str, o2: str):
+        n1, n2 = f"({o1}.o & 4294967295L)", f"({o2}.o & 4294967295L)"
+        need = f"(({percent} * ({n1} + {n2}) + {99 + percent}) div {100 + percent})"
+        alone = lambda a, b: " + ".join(f"bit_count({a}.{c} & ~{b}.{c})" for c in CELL_COLUMNS)
+        return by_place(f"{o1}.o", f"{o2}.o") & F.expr(f"{n1} - ({alone(o1, o2)}) >= {need} AND {n2} - ({alone(o2, o1)}) >= {need}")
+
+    return viable
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: int = 25, recall: float = 0.98) -> DataFrame:
     """One row for each unit of a cluster: doc_id, t (hash of the text), x, y (bytes), n (words), cluster, first_doc_id, removed."""
     bands, rows = bands_for(similarity, recall)
@@ -154,14 +179,14 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     lists = stage(lists.withColumnRenamed("t_", "t"), "lists").withColumnRenamed("t", "t_")
     near = kept_by_bits(as_bytes, "t", lists.select(F.col("t_").alias("t")))
     texts = near.join(lists, (near["t"] == lists["t_"]) & near["doc_id"].eqNullSafe(lists["d"])).select("text", "wanted")
-    sets = stage(texts.mapInArrow(_sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = stage(texts.mapInArrow(_sets, "key long, shingles binary, " + ", ".join(f"{c} long" for c in CELL_COLUMNS)).groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *CELL_COLUMNS))), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         return both.mapInArrow(_verify(similarity), "a long, b long")
 
     # Colliding classes meet by the rarest shingles of their sets (as many as a similar pair must share one of), so a band with many
-    # unlike classes doesn't give all their pairs.
+    # unlike classes doesn't give all their pairs; pairs whose cells differ too much are left out before they are made.
     each = stage(sets.mapInArrow(_shingles, "key long, s long"), "shingles")
     often = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     size = F.count("*").over(W.partitionBy("key"))
@@ -169,8 +194,9 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     placed = each.join(often, "s", "left").withColumns({"n": size, "pos": place})
     percent = round(100 * similarity)
     first = placed.where(F.col("pos") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
-    entries = stage(first.where("f IS NOT NULL").select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o")), "entries")
-    links = group_links(entries, viable_for(percent), verified)
+    packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o")
+    entries = first.where("f IS NOT NULL").join(sets.select("key", *CELL_COLUMNS), "key").select("s", "key", F.struct(packed, *CELL_COLUMNS).alias("o"))
+    links = group_links(stage(entries, "entries"), alike(percent), verified)
     comp = connected_components(links).select(F.col("node").alias("pid"), "component")
     cluster = classes.join(comp, "pid", "left").where("times > 1 OR component IS NOT NULL").select("pid", F.coalesce("component", "pid").alias("cluster"))
     members = stage(found.drop("bands").join(cluster, "pid"), "members")

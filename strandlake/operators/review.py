@@ -66,11 +66,6 @@ def compare_arms(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.agg(F.count_if(F.expr("pa IS NOT NULL AND pb IS NOT NULL")).alias("n_both"), F.count_if(F.expr("pb IS NULL")).alias("n_first"), F.count_if(F.expr("pa IS NULL")).alias("n_second"), F.count_if(F.expr("pb < pa")).alias("n_better"))
 
 
-def participant_sites(carriers: DataFrame, controls: DataFrame) -> DataFrame:
-    """Ids of sites that someone carries who is not a control."""
-    return carriers.join(controls.select("sample"), "sample", "left_anti").select("id").distinct()
-
-
 def merge_phases(a: DataFrame, b: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Counts of two phases side by side; a key that a phase lacks has 0 there."""
     return a.withColumnRenamed(n, "n_1").join(b.withColumnRenamed(n, "n_2"), keys, "full").select(*keys, F.coalesce("n_1", F.lit(0)).alias("n_1"), F.coalesce("n_2", F.lit(0)).alias("n_2"))
@@ -172,10 +167,6 @@ def thin(df: DataFrame, key: str, cut: float, budget: int, seed: str) -> DataFra
     return df.where(F.col("p") < cut).unionByName(rest)
 
 
-def sample_inputs(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    return df.orderBy(seeded(key, seed), key).limit(n)
-
-
 def reorder_samples(df: DataFrame, order: DataFrame) -> DataFrame:
     """Rows of df for order (sample, place); a listed sample that df lacks is an error."""
     joined = order.join(df.withColumn("_found", F.lit(True)), "sample", "left")

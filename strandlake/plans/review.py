@@ -52,7 +52,6 @@ add("c22_analysis_samples", "samples pheno carriers", lambda s, p, c: V.analysis
 add("c23_compare_arms", "assoc", lambda a: (lambda best: V.compare_arms(best("ru"), best("carrier"), ["phenotype", "chrom", "pos"]))(lambda arm: a.where(F.col("arm") == arm).groupBy("phenotype", "chrom", "pos").agg(F.min("p").alias("p"))),
     """WITH g AS (SELECT phenotype, chrom, pos, min(CASE WHEN arm = 'ru' THEN p END) AS pa, min(CASE WHEN arm = 'carrier' THEN p END) AS pb FROM {assoc} WHERE arm <> 'main' GROUP BY 1, 2, 3)
        SELECT count(*) FILTER (WHERE pa IS NOT NULL AND pb IS NOT NULL) AS n_both, count(*) FILTER (WHERE pb IS NULL) AS n_first, count(*) FILTER (WHERE pa IS NULL) AS n_second, count(*) FILTER (WHERE pb < pa) AS n_better FROM g""")
-add("c32_participant_sites", "carriers samples", lambda c, s: V.participant_sites(c, s.where("control OR sample % 3 > 0")), "SELECT DISTINCT id FROM {carriers} WHERE sample NOT IN (SELECT sample FROM {samples} WHERE control OR sample % 3 > 0)")
 add("d5_merge_phases", "alleles", lambda a: V.merge_phases(a.where("n % 2 = 0").groupBy("locus").agg(F.sum("n").alias("n")), a.where("n % 2 = 1").groupBy("locus").agg(F.sum("n").alias("n")), ["locus"]),
     "SELECT locus, CAST(sum(CASE WHEN n % 2 = 0 THEN n ELSE 0 END) AS BIGINT) AS n_1, CAST(sum(CASE WHEN n % 2 = 1 THEN n ELSE 0 END) AS BIGINT) AS n_2 FROM {alleles} GROUP BY locus")
 add("d7_merge_counts", "alleles", lambda a: V.merge_counts([a.where(f"period = {k}").groupBy("dosage").agg(F.sum("n").alias("n")) for k in range(1, 7)], ["dosage"]), "SELECT dosage, CAST(sum(n) AS BIGINT) AS n FROM {alleles} GROUP BY dosage")
@@ -106,7 +105,6 @@ add("f1_chrom_order", "cpg", lambda c: longs(c.groupBy("chrom").agg(F.count("*")
 add("f3_thin", "assoc", lambda a: V.thin(a.select("marker", "p"), "marker", CUT, 500, "thin"),
     f"SELECT marker, p FROM {{assoc}} WHERE p < {CUT} UNION ALL SELECT marker, p FROM (SELECT marker, p FROM {{assoc}} WHERE p >= {CUT} ORDER BY {MD5.format(seed='thin', key='marker')}, marker LIMIT 500)")
 add("f4_hit_stack", "assoc", lambda a: a.where(F.col("p") < CUT).select("phenotype", "arm", "marker", "p"), f"SELECT phenotype, arm, marker, p FROM {{assoc}} WHERE p < {CUT}")
-add("f6_sample_inputs", "samples", lambda s: V.sample_inputs(s, "sample", 50, "s").select("sample", "ancestry"), f"SELECT sample, ancestry FROM {{samples}} ORDER BY {MD5.format(seed='s', key='sample')}, sample LIMIT 50")
 add("f8_reorder_samples", "samples orders", lambda s, o: V.reorder_samples(s, o.groupBy(F.col("o_custkey").alias("sample")).agg(F.min("o_orderkey").alias("place"))).select("sample", "place", "ancestry"),
     "SELECT s.sample, min(o.o_orderkey) AS place, any_value(s.ancestry) AS ancestry FROM {orders} o JOIN {samples} s ON o.o_custkey = s.sample GROUP BY s.sample")
 add("g8_ac_pass", "assoc", lambda a: a.select("marker", V.ac_pass(a, "p3", ["include", "include_2"]).alias("by_mask"), V.ac_pass(a, "p3", ["include_2"]).alias("by_p")), "SELECT marker, include AS by_mask, p3 IS NOT NULL AS by_p FROM {assoc}")

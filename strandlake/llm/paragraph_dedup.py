@@ -1,13 +1,18 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, verified by exact Jaccard, removed by components.
 
-Paragraphs are lines of at least `least_words` words. So that a passage is found inside a longer line too, every sentence of a long
-line begins a further unit: it and the sentences after it up to at least PASSAGE words; such units meet by their whole signature only
-(equal shingles), lines also by bands of their MinHash signature. Bands and rows are tuned: the fewest bands whose chance of a collision at
-the wanted similarity is at least `recall`. Units with equal shingles form one class, counted before the shuffle. Colliding classes
+Units of a text are its lines of at least `least_words` words; its paragraphs of as many, which are the runs of shorter lines between blank
+or long lines; the whole text where it has neither; and passages, which run over line ends. A passage begins at an anchor, a word whose shingle
+has the smallest hash in some window, and has `least_words` words (short) or PASSAGE words (long, at the anchors of windows of PASSAGE shingles).
+The windows of short ones are so wide that texts with PASSAGE words in common have a whole short passage in common, wherever it stands.
+
+Units meet by bands of their MinHash signature. Bands and rows are tuned: the fewest bands whose chance of a collision at
+the wanted similarity is at least `recall`. In short passages that are similar few shingles differ, and where these are fewer than SHINGLE an edit
+stands at an end: then they meet
+by their inner shingles as the one band, and are similar where they have all but so many shingles in a row in common. Units with equal shingles form one class, counted before the shuffle. Colliding classes
 are compared by exact Jaccard of their five-word shingle sets (words as in ngram_join); connected components are the clusters. Of each cluster
-the first unit by doc_id, then place, stays, all others go.
+the first unit by doc_id, then place, stays; all others go but those that overlap it (units of one text that differ by a few words are no repeat).
 
-Null or empty text: no paragraphs. Null doc_id comes last. Equal texts are repeats of each other; rows that are equal in doc_id and
+Null text or text without words: no units. Fewer than SHINGLE words: one shingle of them all. Null doc_id comes last. Equal texts are repeats of each other; rows that are equal in doc_id and
 text share a result row. Ties go to the smaller place. Extra columns are ignored; empty tables give no rows.
 """
 
@@ -26,7 +31,6 @@ from strandlake.llm.ngram_join import viable_for
 SHINGLE, PASSAGE = 5, 50
 CELLS = 256
 CELL_COLUMNS = tuple(f"b{i}" for i in range(CELLS // 64))
-STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
 def bands_for(similarity: float, recall: float, most_rows: int = 8) -> tuple[int, int]:
@@ -38,72 +42,139 @@ def bands_for(similarity: float, recall: float, most_rows: int = 8) -> tuple[int
     return 1, 1
 
 
+def anchors(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """Which shingles have the smallest hash of some window of `width` shingles of one text (text: by shingle its number, -1 outside)."""
+    n = len(h) - width + 1
+    if n < 1:
+        return np.zeros(len(h), bool)
+
+    def slide(f, x, size):
+        have = 1
+        while have < size:
+            by = min(have, size - have)
+            x = f(x[: len(x) - by], x[by:])
+            have += by
+        return x
+
+    whole = (text[:n] == text[width - 1 :]) & (slide(np.minimum, text, width) >= 0)
+    low = np.where(whole, slide(np.minimum, h, width), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    return (h == slide(np.maximum, np.concatenate([edge, low, edge]), width)) & (h > 0)
+
+
 def units(w: Words, least_words: int):
-    """(first word, end word, is a line) of the lines and of the sentence units of long lines, and by word the hash of its shingle (0: none)."""
+    """(first word, end word, is a short passage) of the units, and by word the hash of its shingle (0: none)."""
     n = len(w.start)
-    breaks = np.flatnonzero(w.buf == 10)
-    line = np.searchsorted(breaks, w.start)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    end = np.append(first[1:], n)
+    text = np.searchsorted(w.base, w.start, side="right") - 1
+    after = w.first[text + 1]  # by word, the end of its text
     shingle = np.full(max(n - SHINGLE + 1, 0), SHINGLE, np.uint64)
     for i in range(SHINGLE):
         shingle = mix(shingle + w.hash[i : i + len(shingle)])
-    inside = line[: len(shingle)] == line[SHINGLE - 1 :] if len(shingle) else np.zeros(0, bool)
+    inside = text[: len(shingle)] == text[SHINGLE - 1 :] if len(shingle) else np.zeros(0, bool)
     shingle = np.where(inside, shingle, 0)
-    long = end - first >= max(least_words, SHINGLE)
-    # sentences: a word after a stop, or the first of a line, begins one
-    begins = np.zeros(n + 1, bool)
-    begins[first] = True
-    begins[1:] |= STOPS[w.buf[w.end - 1]]
-    begins[n] = True
-    at = np.flatnonzero(begins)
-    a = at[at < n]
-    of = np.searchsorted(first, a, side="right") - 1
-    stop = at[np.minimum(np.searchsorted(at, a + PASSAGE), len(at) - 1)]
-    keep = (stop - a >= PASSAGE) & (stop <= end[of]) & ~((a == first[of]) & (stop == end[of])) & (a + SHINGLE <= stop)
-    return np.concatenate([first[long], a[keep]]), np.concatenate([end[long], stop[keep]]), np.arange(long.sum() + keep.sum()) < long.sum(), shingle
+    line = np.searchsorted(np.flatnonzero(w.buf == 10), w.start)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    end = np.append(first[1:], n)
+    long = end - first >= least_words
+    # paragraphs: a line goes on with the one before where both are short, no blank line is between and the text is the same
+    goes_on = np.zeros(len(first), bool)
+    goes_on[1:] = ~long[1:] & ~long[:-1] & (np.diff(line[first]) == 1) & (np.diff(text[first]) == 0)
+    block = np.flatnonzero(~goes_on)
+    begin, stop = first[block], np.append(first[block[1:]], n)
+    keep = stop - begin >= least_words
+    begin, stop = begin[keep], stop[keep]
+    bare = np.setdiff1d(text, text[begin])
+    # passages
+    order, of = mix(shingle ^ np.uint64(0x9FB21C651E98DF25)), np.where(inside, text[: len(shingle)], -1)
+    width = max(1, PASSAGE - least_words - SHINGLE + 2)
+    short = np.flatnonzero(anchors(order, of, width))
+    short = short[short + least_words <= after[short]]
+    wide = np.flatnonzero(anchors(order, of, PASSAGE)) if least_words < PASSAGE else short[:0]
+    wide = wide[wide + PASSAGE <= after[wide]]
+    a = np.concatenate([begin, w.first[bare], wide, short])
+    e = np.concatenate([stop, w.first[bare + 1], wide + PASSAGE, short + least_words])
+    is_short = np.arange(len(a)) >= len(a) - len(short)
+    _, at = np.unique(a.astype(np.int64) * (n + 1) + e, return_index=True)
+    return a[at], e[at], is_short[at], shingle
+
+
+def _classes(w: Words, a: np.ndarray, e: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """The hash of each unit's shingles."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(shingle != 0, mix(shingle), 0), dtype=np.uint64)])
+    last = len(sums) - 1
+    pid = mix(sums[np.clip(e - SHINGLE + 1, 0, last)] - sums[np.clip(a, 0, last)] + (e - a).astype(np.uint64))
+    for i in np.flatnonzero(e - a < SHINGLE):
+        pid[i] = mix(w.shingles(SHINGLE, a[i], e[i]) + np.uint64(e[i] - a[i]))[0]
+    return pid
+
+
+UNIT = "doc_id long, t long, x int, y int, n int, pid long"
+
+
+def _units(least_words: int):
+    def run(batches):
+        for batch in batches:
+            for f, part in chunks(batch.column("text").to_pylist()):
+                w = Words(part)
+                if not len(w.start):
+                    continue
+                a, e, _, shingle = units(w, least_words)
+                pid = _classes(w, a, e, shingle)
+                text = np.searchsorted(w.base, w.start[a], side="right") - 1
+                take = pa.array(text + f)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(take), batch.column("t").take(take), pa.array((w.start[a] - w.base[text]).astype(np.int32)), pa.array((w.end[e - 1] - w.base[text]).astype(np.int32)),
+                    pa.array((e - a).astype(np.int32)), pa.array(pid.view(np.int64)),
+                ], names=["doc_id", "t", "x", "y", "n", "pid"])
+
+    return run
 
 
-UNIT = "doc_id long, t long, x int, y int, n int, pid long, bands array<long>"
+def apart_for(least_words: int, similarity: float) -> int:
+    """How many shingles a similar short passage may lack, where an edit that costs so few must stand at an end; -1 where it need not."""
+    m = least_words - SHINGLE + 1
+    k = int(m * (1 - similarity) / (1 + similarity) + 1e-9)
+    return k if k < SHINGLE and (m - 2 * k) * (1 - similarity) >= 2 * k * similarity - 1e-9 else -1
 
 
-def _units(least_words: int, bands: int, rows: int):
+def _keys(least_words: int, similarity: float, bands: int, rows: int, ends: bool = False):
+    """(s, pid, e): the bands that the units fall in, e null; for short passages the hash of their inner shingles, and with `ends` a row for each
+    run e of all shingles but so many as a similar one may lack."""
     by = np.random.default_rng(7).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    apart = apart_for(least_words, similarity)
 
     def run(batches):
         for batch in batches:
-            for f, part in chunks(batch.column("text").to_pylist()):
+            for _, part in chunks(batch.column("text").to_pylist()):
                 w = Words(part)
                 if len(w.start) < SHINGLE:
                     continue
-                a, e, is_line, shingle = units(w, least_words)
-                if not len(a):
-                    continue
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(shingle != 0, mix(shingle), 0), dtype=np.uint64)])
-                pid = mix(sums[e - SHINGLE + 1] - sums[a] + (e - a).astype(np.uint64))
-                k = int(is_line.sum())
-                text = np.searchsorted(w.base, w.start[a], side="right") - 1
-                edges = np.stack([a[:k], e[:k] - SHINGLE + 1], 1).ravel()
-                if k and edges[-1] == len(shingle):
+                a, e, is_short, shingle = units(w, least_words)
+                pid = _classes(w, a, e, shingle)
+                inner, out = is_short & (apart >= 0), []
+                if inner.any():  # a passage that repeats a shingle is banded like the other units
+                    order = np.argsort(shingle, kind="stable")
+                    before = np.full(len(shingle) + 1, -1)
+                    before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
+                    at = np.flatnonzero(inner)
+                    inner[at] = np.maximum.reduceat(before, np.stack([a[at], e[at] - SHINGLE + 1], 1).ravel())[0::2] < a[at]
+                    x, y, of = a[inner], e[inner], pid[inner]
+                    s = mix(_classes(w, x + apart, y - apart, shingle) + np.uint64(bands))
+                    for j in range(apart + 1) if ends else [None]:
+                        run_ = None if j is None else mix(_classes(w, x + j, y - apart + j, shingle) + np.uint64(j))
+                        out.append((s, of, run_))
+                banded = ~inner & (e - a >= SHINGLE)
+                if banded.any():
+                    edges = np.stack([a[banded], e[banded] - SHINGLE + 1], 1).ravel()
                     padded = np.append(shingle, np.uint64(0))
-                else:
-                    padded = shingle
-                signature = []
-                for m in by:
-                    signature.append(np.minimum.reduceat(padded * m, edges)[0::2] if k else np.zeros(0, np.uint64))
-                keys = []
-                for b in range(bands):
-                    h = np.full(k, b, np.uint64)
-                    for r in range(rows):
-                        h = mix(h + signature[b * rows + r])
-                    keys.append(h)
-                flat = np.stack(keys, 1).ravel().view(np.int64) if k else np.zeros(0, np.int64)
-                offsets = np.concatenate([np.arange(k + 1) * bands, np.full(len(a) - k, k * bands)])
-                take = pa.array(text + f)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(take), batch.column("t").take(take), pa.array((w.start[a] - w.base[text]).astype(np.int32)), pa.array((w.end[e - 1] - w.base[text]).astype(np.int32)),
-                    pa.array((e - a).astype(np.int32)), pa.array(pid.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
-                ], names=["doc_id", "t", "x", "y", "n", "pid", "bands"])
+                    for b in range(bands):
+                        h = np.full(len(edges) // 2, b, np.uint64)
+                        for r in range(rows):
+                            h = mix(h + np.minimum.reduceat(padded * by[b * rows + r], edges)[0::2])
+                        out.append((h, pid[banded], None))
+                for s, of, run_ in out:
+                    last = pa.nulls(len(s), pa.int64()) if run_ is None else pa.array(run_.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(of.view(np.int64)), last], names=["s", "pid", "e"])
 
     return run
 
@@ -116,17 +187,19 @@ def cells_of(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches):
+    seen = set()  # rows that are equal in doc_id and text give their units once
     for batch in batches:
-        pids, sets, cells = [], [], []
+        pids, pieces = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-            for u in wanted:
-                w = Words([text[u["x"] : u["y"]]])
-                pids.append(u["pid"])
-                s = np.unique(w.shingles(SHINGLE, 0, len(w.start)))
-                sets.append(s.tobytes())
-                cells.append(cells_of(s))
-        by_long = np.array(cells, np.int64).reshape(-1, CELLS // 64).T
-        yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(sets, pa.binary()), *map(pa.array, by_long)], names=["key", "shingles", *CELL_COLUMNS])
+            if wanted[0]["pid"] not in seen:
+                seen.add(wanted[0]["pid"])
+                pids += [u["pid"] for u in wanted]
+                pieces += [text[u["x"] : u["y"]] for u in wanted]
+        for first, part in chunks(pieces):
+            w = Words(part)
+            sets = [np.unique(w.shingles(SHINGLE, a, b)) for a, b in zip(w.first[:-1], w.first[1:])]
+            by_long = np.array([cells_of(s) for s in sets], np.int64).reshape(-1, CELLS // 64).T
+            yield pa.RecordBatch.from_arrays([pa.array(pids[first : first + len(part)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, by_long)], names=["key", "shingles", *CELL_COLUMNS])
 
 
 def _shingles(batches):
@@ -169,12 +242,17 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     bands, rows = bands_for(similarity, recall)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("t", F.xxhash64("text"))
     as_bytes = named.select("doc_id", "t", F.col("text").cast("binary").alias("text"))
-    found = stage(as_bytes.mapInArrow(_units(least_words, bands, rows), UNIT), "units")
+    found = stage(as_bytes.mapInArrow(_units(least_words), UNIT), "units")
     classes = found.groupBy("pid").agg(F.count("*").alias("times"))
-    keyed = found.where("size(bands) > 0").select("pid", F.explode("bands").alias("s"))
-    shared = keyed.groupBy("s").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 <> p2").select("s")
-    wanted = stage(keyed.join(shared, "s").select("pid").distinct(), "colliding")
-    reps = found.where("size(bands) > 0").join(wanted, "pid").groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y")))
+    keyed = lambda ends: as_bytes.mapInArrow(_keys(least_words, similarity, bands, rows, ends), "s long, pid long, e long")
+    shared = stage(keyed(False).groupBy("s").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 <> p2").select("s"), "shared")
+    colliding = stage(kept_by_bits(keyed(True), "s", shared).distinct().join(shared, "s"), "colliding")
+    # short passages with a run in common are similar: each is linked with the first that has the run
+    runs = colliding.where("e IS NOT NULL")
+    heads = runs.groupBy("e").agg(F.min("pid").alias("a"), F.max("pid").alias("last")).where("a <> last").drop("last")
+    ends = runs.join(heads, "e").where("a <> pid").select("a", F.col("pid").alias("b")).distinct()
+    wanted = stage(colliding.where("e IS NULL").select("pid").distinct(), "wanted")
+    reps = kept_by_bits(found, "pid", wanted).join(wanted, "pid").groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y")))
     lists = reps.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("pid", "x", "y")).alias("wanted"))
     lists = stage(lists.withColumnRenamed("t_", "t"), "lists").withColumnRenamed("t", "t_")
     near = kept_by_bits(as_bytes, "t", lists.select(F.col("t_").alias("t")))
@@ -197,12 +275,17 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o")
     entries = first.where("f IS NOT NULL").join(sets.select("key", *CELL_COLUMNS), "key").select("s", "key", F.struct(packed, *CELL_COLUMNS).alias("o"))
     links = group_links(stage(entries, "entries"), alike(percent), verified)
-    comp = connected_components(links).select(F.col("node").alias("pid"), "component")
+    comp = connected_components(links.unionByName(ends)).select(F.col("node").alias("pid"), "component")
     cluster = classes.join(comp, "pid", "left").where("times > 1 OR component IS NOT NULL").select("pid", F.coalesce("component", "pid").alias("cluster"))
-    members = stage(found.drop("bands").join(cluster, "pid"), "members")
+    cluster = stage(cluster, "cluster")
+    members = stage(kept_by_bits(found, "pid", cluster).join(cluster, "pid"), "members")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "t", "x", F.col("y"))
-    first = members.groupBy("cluster").agg(F.min(place).alias("kept"))
-    out = members.join(first, "cluster").withColumn("removed", place != F.col("kept"))
+    # a cluster whose units all overlap the first one, in one row, is no repeat
+    at = members.groupBy("cluster", place.alias("place")).agg(F.count("*").alias("rows"))
+    first = at.groupBy("cluster").agg(F.min("place").alias("kept"), F.max("place").alias("last"), F.max("rows").alias("rows"))
+    beside = lambda p: (p["d"] == F.col("kept.d")) & (p["t"] == F.col("kept.t")) & (p["x"] < F.col("kept.y"))
+    first = first.where((F.col("rows") > 1) | ~beside(F.col("last"))).drop("last", "rows")
+    out = members.join(first, "cluster").withColumn("removed", ~beside(place))
     return out.select("doc_id", "t", "x", "y", "n", "cluster", F.when(F.col("kept.d") < 2**63 - 1, F.col("kept.d")).alias("first_doc_id"), "removed")
 
 

@@ -169,6 +169,46 @@ def test_paragraph_dedup(spark):
     assert paragraph_dedup.documents_with_repeats(docs(spark, []).limit(0)).count() == 0
 
 
+def test_paragraph_dedup_whatever_the_line_breaks(spark):
+    rng = random.Random(21)
+    wrapped = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    verse, short, inner, edited = (wrapped(words(rng, 60), 6), words(rng, 12), words(rng, 50).split(), words(rng, 120).split())
+    texts = [verse, verse, short, short, "ab cd", "ab cd"]  # all lines under 25 words: exact copies
+    texts += [wrapped(words(rng, 31) + " " + " ".join(inner) + " " + words(rng, 33), k) for k in (7, 11)]  # one passage across other line breaks
+    texts += [words(rng, 40) + " " + " ".join(inner) + " " + words(rng, 40)]  # and inside a line, without stops
+    for k in (0, 1):
+        w = edited[:]
+        w[60] = f"zz{k}"
+        texts.append(words(rng, 90) + " " + " ".join(w) + " " + words(rng, 90))
+    texts += [words(rng, 300), wrapped(words(rng, 200), 9), words(rng, 4) + "\n" + words(rng, 60), words(rng, 54)]  # nothing repeats in these
+    got = {r.doc_id: r for r in paragraph_dedup.documents_with_repeats(docs(spark, texts)).collect()}
+    assert sorted(got) == list(range(11))
+    assert [got[i].n_removed > 0 for i in range(11)] == [False, True, False, True, False, True, False, True, True, False, True]
+    assert [got[i].n_removed_bytes for i in (1, 3, 5)] == [len(verse), len(short), 5]
+    for i in (7, 8):
+        x = texts[i].replace("\n", " ").index(" ".join(inner))
+        for span in got[i].spans.split(","):
+            a, b = map(int, span.split(":"))
+            assert x <= a < b <= x + len(" ".join(inner))
+
+
+def test_long_passages_are_banded():
+    rng = random.Random(4)
+    base = words(rng, 50).split()
+    units = []
+    for k in (None, 25):
+        w = base[:]
+        if k:
+            w[k] = "zz"
+        units.append(" ".join(w))
+    batch = paragraph_dedup.pa.RecordBatch.from_pydict({"text": [u.encode() for u in units]})
+    keys = [dict() for _ in units]
+    for i in range(2):
+        for got in paragraph_dedup._keys(25, 0.8, *paragraph_dedup.bands_for(0.8, 0.98))([batch.slice(i, 1)]):
+            keys[i] = set(got.column("s").to_pylist())
+    assert keys[0] & keys[1]
+
+
 def test_tuned_bands():
     for s, recall in ((0.8, 0.98), (0.9, 0.99), (0.5, 0.9)):
         bands, rows = paragraph_dedup.bands_for(s, recall)

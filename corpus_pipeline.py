@@ -24,17 +24,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingle sets reach a similarity of 0.8, the one with the smallest doc_id stays.
-
-    Documents without words and rows with null doc_id stay; of equal doc_ids of a component one row stays."""
-    joined = ngram_join.ngram_jaccard_join(docs, n=5, percent=80)
-    keep = joined.where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["doc_id"]), "left_semi").select(*COLUMNS)
-    twice = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not twice.limit(1).count():
+    """Of each component of documents whose five-word shingle sets reach a similarity of 0.8, one row stays: the one with the smallest
+    doc_id (null last), then hash of the text, then lang, source and n_chars. Documents without words stay."""
+    joined = stage(ngram_join.with_components(docs, n=5, percent=80).select("doc_id", "tid", "n_shingles", "component"), "joined")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
+    at = joined.where("n_shingles > 0").groupBy("component", place.alias("place")).agg(F.count("*").alias("times"))
+    first = at.groupBy("component").agg(F.min(F.struct("place", "times")).alias("f"))
+    keep = first.select(F.col("f.place.doc_id").alias("d"), F.col("f.place.tid").alias("tid"), F.col("f.times").alias("times"))
+    keep = stage(keep.unionByName(joined.where("n_shingles = 0").select(F.col("doc_id").alias("d"), "tid", F.lit(1).cast("long").alias("times")).distinct()), "keep")
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("tid"))
+    on = lambda k: (rows["tid"] == k["tid"]) & rows["doc_id"].cast("long").eqNullSafe(k["d"])
+    once, more = keep.where("times = 1"), keep.where("times > 1")
+    kept = rows.join(once, on(once), "left_semi").select(*COLUMNS)
+    if not more.limit(1).count():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(again.select(*COLUMNS))
+    again = rows.join(more, on(more), "left_semi").groupBy("doc_id", "tid").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r"))
+    return kept.unionByName(again.select("doc_id", "r.*").select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links of its class.
 
     docs has doc_id and text; percent: the least 100 * intersection / union."""
+    return with_components(docs, n, percent).drop("tid", "component")
+
+
+def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """The join with two more columns that name rows and components where doc_ids are null or repeat: tid (xxhash64 of the text), component
+    (the same for all rows of a component and for no others; null for an empty set)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     freq = shingle_frequencies(texts, n)
     rows = stage(texts.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")).mapInArrow(_prefixes(n, percent, freq), DOC), "prefixes")
@@ -186,7 +192,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     degree = links.selectExpr("explode(array(a, b)) key").groupBy("key").agg(F.count("*").alias("n_links"))
     lows = classes.select("key", "low").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ends = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = lows.join(ends, "component").join(degree, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
+    of = lows.join(ends, "component").join(degree, "key", "left").select("key", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.select("doc_id", "tid", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "tid", "component")

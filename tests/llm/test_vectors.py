@@ -83,3 +83,35 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             assert now == ids  # every document here has letters
         ids, docs = now, out
+
+
+def test_pipeline_keeps_one_row_a_component(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    near = a.replace("a39", "zz")  # 35 of 37 shingles in common
+    rows = [
+        (3, a, "en", "s", 1), (7, near, "en", "s", 2), (7, b, "en", "s", 3), (8, c, "en", "s", 4), (8, d, "en", "s", 5),  # one id, other components
+        (None, e, "en", "s", 6), (None, e, "en", "s", 7), (None, e + " more", "en", "s", 8), (None, a, "en", "s", 9),  # copies without ids
+        (9, b, "en", "s", 10), (5, d + " x", "en", "s", 11), (None, "", "en", "s", 12), (None, None, "en", "s", 13), (1, " ", "en", "s", 14), (1, " ", "en", "s", 14),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    tids = [r.t for r in docs.selectExpr("n_chars", "xxhash64(text) t").orderBy("n_chars").collect()]
+    best = {}
+    for i, (r, t) in enumerate(zip(rows, tids)):
+        if sets[i]:
+            best[group[i]] = min(best.get(group[i], (True, 2**63, 2**63, 2**63)), (r[0] is None, r[0] or 0, t, r[4]))
+    want = sorted([b[3] for b in best.values()] + [r[4] for r, x in zip(rows, sets) if not x])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r.n_chars for r in got.collect()) == want

@@ -136,6 +136,7 @@ add(
     """WITH d AS (SELECT site % 40 AS site, sample, max(a1) + max(a2) AS g FROM {calls} GROUP BY 1, 2), p AS (SELECT a.site, b.site AS site2, CAST(a.g AS DOUBLE) AS g, CAST(b.g AS DOUBLE) AS h FROM d a JOIN d b USING (sample) WHERE a.site < b.site AND abs(a.site - b.site) * 10 <= 100 AND a.g IS NOT NULL AND b.g IS NOT NULL)
        SELECT site, site2, count(*) AS n, round(CASE WHEN (count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h)) > 0 THEN pow(count(*) * sum(g * h) - sum(g) * sum(h), 2) / ((count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h))) END, 6) AS r2 FROM p GROUP BY 1, 2 HAVING count(*) >= 10""",
 )
+add("h2_ld_prune", "calls", lambda c: A.ld_prune(c, 0.1, 500_000, 10))
 add(
     "h6_nearest_labels", "embeddings",
     lambda e: (lambda v: A.nearest_labels(v.where("id % 20 = 0"), v, 15, 10).withColumn("share", F.round("share", 6)))(e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("v"), F.col("label").cast("bigint").alias("label"))),

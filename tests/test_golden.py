@@ -207,3 +207,30 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.table("sites_seen"), "site", "ac", "an", "n_carriers") == rows(C.site_freq(calls), "site", "ac", "an", "n_carriers")
+
+
+def test_ld_prune_is_the_pass_in_order(spark):
+    import numpy as np
+
+    from strandlake.operators import association as A
+
+    rng = np.random.default_rng(5)
+    sites = [("chr1" if i < 45 else "chr2", int(rng.integers(0, 3000)), i) for i in range(60)]
+    base = rng.integers(0, 2, (6, 40, 2))
+    g = np.array([np.where(rng.random((40, 2)) < 0.25, rng.integers(0, 2, (40, 2)), base[i % 6]) for i in range(60)])
+    known = rng.random((60, 40)) < 0.8
+    rows = [(c, p, i, k, *(map(int, g[i, k]) if known[i, k] else (None, None))) for c, p, i in sites for k in range(40)]
+    calls = spark.createDataFrame(rows, "chrom string, pos long, site long, sample long, a1 int, a2 int")
+    kept = []
+    for c, p, i in sorted(sites):
+        ok = True
+        for c2, p2, j in kept:
+            m = known[i] & known[j]
+            if c == c2 and abs(p - p2) <= 700 and m.sum() >= 10:
+                x, y = g[i, m].sum(1), g[j, m].sum(1)
+                ok &= not (x.std() > 0 and y.std() > 0 and np.corrcoef(x, y)[0, 1] ** 2 > 0.1)
+        if ok:
+            kept.append((c, p, i))
+    got = A.ld_prune(calls, 0.1, 700, 10).collect()
+    assert len(got) == 60 and {r.site for r in got if r.kept} == {i for _, _, i in kept}
+    assert len(kept) < 60

@@ -2,6 +2,7 @@
 
 import codecs
 import hashlib
+import os
 import random
 import re
 import struct
@@ -229,9 +230,58 @@ def test_language_id(spark):
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 for i, _, lang in rows[:150])
     assert [(got[i].lang_pred, got[i].score) for i in (900, 901, 902, 904)] == [("und", 0.0)] * 4 and got[903].lang_pred == "en"
     nothing = language_id.identify(df, language_id.train(df.limit(0)))
+    assert language_id.identify(df.limit(0), language_id.train(df)).count() == 0
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_backoff_equals_plain_counting(spark):
+    """Every total against a plain version with dictionaries of strings; no word or n-gram of the sample is left out."""
+    rng = random.Random(16)
+    rows = [(i, words(rng, 40) + (" \u00e9t\u00e9 na\u00efve" if i % 2 else " \u6f22\u5b57"), "xx" if i % 2 else "yy") for i in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {}
+    for _, t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for n, g in [(0, w), *((1, c) for c in w), *((n, f" {w} "[i : i + n]) for n in (2, 3, 4) for i in range(len(w) + 3 - n))]:
+                counts.setdefault((n, lang), {}).setdefault(g, 0)
+                counts[n, lang][g] += 1
+    norm = {key: np.log(sum(c.values()) + 0.1 * len(c) + 1) for key, c in counts.items()}
+    seen = lambda n, g: any(g in counts[n, lang] for lang in ("xx", "yy"))
+    row = lambda n, g: np.array([np.log(counts[n, lang].get(g, 0) + 0.1) - norm[n, lang] for lang in ("xx", "yy")])
+
+    def plain(word):
+        if seen(0, word):
+            return row(0, word)
+        padded, total = f" {word} ", 0
+        parts = [padded[i : i + 4] for i in range(len(padded) - 3)] or [padded]
+        for g in parts:
+            for n in range(min(4, len(g)), 0, -1):
+                at = [row(n, g[i : i + n]) for i in range(len(g) - n + 1) if seen(n, g[i : i + n])]
+                if at:
+                    total = total + sum(at) / len(at) - (4 - n)
+                    break
+            else:
+                total = total + np.log(1e-6) - 4
+        return total / len(parts)
+
+    texts = [words(rng, 30), "a", "zq", "\u00e9t\u00e9x a\u6f22b \u03a3", rows[3][1], "qqqqqqqqqq", "a1b2c3", "b\u00e9"]
+    got, n = model.totals(texts)
+    for t, total, k in zip(texts, got, n):
+        found = re.findall(r"[^\W\d_]+", t.lower())
+        assert k == len(found) and np.allclose(total, sum(map(plain, found)))
+    long = " ".join(texts * 300)
+    assert model.predict([long, None])[0][0] == model.langs[int(np.argmax(sum(got)))]
+    cut = list(language_id.between_words(long, 100))
+    assert "".join(cut) == long and np.allclose(model.totals(cut)[0].sum(0), model.totals([long])[0][0])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_language_id_on_rows_held_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("held_out", language_id.held_out())
+    got = language_id.identify(df, language_id.train(df.where("NOT held_out"))).where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").selectExpr("count(*) n", "count_if(lang = lang_pred) k").first()
+    assert got.n > 20 and got.k >= 0.97 * got.n
+
+
 # --- BPE
 
 HARD = ["a", "B", "é", "É", "e\u0301", "İ", "Σ", "ß", "½", "²", "٣", " ", "\t", "\x1c", "\x85", "\u200b", "\u00a0", "'s", "'LL", "<|endoftext|>", "!", "@#", "\U0001f600", "漢", "7", "_", "ﬁ", "\n", "ẞ", "\x00"]

@@ -1,14 +1,15 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame functions only.
 
 Every document is queued `epochs` times in its source, in shuffled order. Its virtual finish time is the source's cumulative
-words, it included, divided by the source's target; the queue of all sources is ordered by that time (range buckets of equal
-width, sorted in the bucket where the budget ends) and cut at the total budget. So each source is served in proportion to its target.
+words, it included, divided by the source's target; the queue of all sources is ordered by that time (two levels of range buckets
+of equal width, sorted in the bucket where the budget ends) and cut at the total budget. So each source is served in proportion to its target.
 
 Cumulative sums have two levels: sums by (source, bucket of the shuffling hash), their running totals, and a window inside one
 bucket; so a source that holds a third of all rows is spread over as many tasks as its share.
 
 Null text: size 0. Null source: a source of its own, last. Documents of size 0 are taken 0 words. Repeated rows count as
-documents of their own; equal rows are interchangeable. Ties in time: by source, hash, doc_id. An empty table gives no rows.
+documents of their own; equal rows are interchangeable. Ties in time: by source, hash, doc_id. An empty table gives no rows. Very long
+texts count whole. Other columns pass whatever their names; own ones named like the added columns are replaced.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
     """docs' rows with size, source_size, target and copies (0 to epochs: how often the mix takes the row), taken = copies * size."""
     others = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    # the given columns travel in one struct, so that no name of theirs can clash
     key = [named(F.col("source")).alias("_s"), F.col("doc_id").cast("long").alias("_d"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_t")]
     slim = docs.select(*key, words(F.col("text")).alias("size"), *(shuffle_key(e, seed).alias(f"h{e}") for e in range(epochs)), "source")
     slim = stage(slim, "sizes")
@@ -71,25 +73,30 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     inside = F.sum("size").over(W.partitionBy("_s", "bucket").orderBy("h", "_d", "_t").rowsBetween(W.unboundedPreceding, 0))
     timed = queue.withColumn("inside", inside).join(ahead, ["_s", "bucket"]).join(goals.select("_s", "target"), "_s")
     timed = timed.withColumn("finish", (F.col("ahead") + F.col("inside")) / F.col("target"))
-    timed = timed.select("_s", "_d", "_t", "size", "h", "finish", F.floor(F.least(F.col("finish"), F.lit(4.0)) * (1 << BUCKET_BITS)).cast("int").alias("slot"))
-    timed = stage(timed, "queue")
-    # the global order, by ranges of the finish time: whole slots before the budget's end, then row by row in the slot where it lies
-    slots = timed.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
-    budget = goals.agg(F.sum("target")).first()[0] or 0.0
-    first = slots.where(F.col("upto") > budget).orderBy("slot").first()
-    if first is None:
-        chosen = timed
+    timed = stage(timed.select("_s", "_d", "_t", "size", "h", "finish"), "queue")
+    # the global order by ranges of the finish time: whole ranges before the budget's end, then the ranges of the one where it lies, then its rows
+    budget, ahead_, chosen, left, wide = goals.agg(F.sum("target")).first()[0] or 0.0, 0, None, timed, 4.0
+    low = 0.0
+    for _ in range(2):
+        step = wide / (1 << (BUCKET_BITS + 2))
+        slot = F.greatest(F.lit(0), F.least(F.floor((F.col("finish") - low) / step), F.lit((1 << (BUCKET_BITS + 2)) - 1))).cast("int")
+        slots = left.groupBy(slot.alias("slot")).agg(F.sum("size").alias("n")).withColumn("upto", F.lit(ahead_) + F.sum("n").over(W.orderBy("slot")))
+        first = slots.where(F.col("upto") > budget).orderBy("slot").first()
+        before = left if first is None else left.where(slot < first.slot)
+        chosen = before if chosen is None else chosen.unionByName(before)
+        if first is None:
+            break
+        left, ahead_, low, wide = left.where(slot == first.slot), first.upto - first.n, low + first.slot * step, step
     else:
-        order = W.partitionBy("slot").orderBy("finish", "_s", "h", "_d", "_t").rowsBetween(W.unboundedPreceding, 0)
-        edge = timed.where(F.col("slot") == first.slot).withColumn("upto", F.lit(first.upto - first.n) + F.sum("size").over(order)).where(F.col("upto") <= budget).drop("upto")
-        chosen = timed.where(F.col("slot") < first.slot).unionByName(edge)
+        order = W.orderBy("finish", "_s", "h", "_d", "_t").rowsBetween(W.unboundedPreceding, 0)
+        chosen = chosen.unionByName(left.withColumn("upto", F.lit(ahead_) + F.sum("size").over(order)).where(F.col("upto") <= budget).drop("upto"))
     copies = chosen.groupBy("_s", "_d", "_t").agg(F.count("*").alias("picked"))
     same = slim.groupBy("_s", "_d", "_t").agg(F.count("*").alias("same"), F.first("size").alias("size"))
     on = lambda a, b: (a["_s"] == b["_s"]) & a["_d"].eqNullSafe(b["_d"]) & (a["_t"] == b["_t"])
     got = same.join(copies, on(same, copies), "left").select(same["_s"], same["_d"], same["_t"], "same", "size", F.coalesce("picked", F.lit(0)).alias("picked"))
     got = stage(got, "picked")
-    rows = docs.select(*others, *key)
-    out = rows.join(got, on(rows, got)).drop(got["_s"]).drop(got["_d"]).drop(got["_t"])
+    rows = docs.select(F.struct(*others).alias("_row"), *key)
+    out = rows.join(got, on(rows, got)).select(rows["_row"], rows["_s"], rows["_d"], rows["_t"], "same", "size", "picked")
     if got.where("same > 1").limit(1).count():  # equal rows are interchangeable: they get their copies in turn
         one = out.where("same = 1").withColumn("place", F.lit(1))
         out = one.unionByName(out.where("same > 1").withColumn("place", F.row_number().over(W.partitionBy("_s", "_d", "_t").orderBy("size"))))
@@ -97,4 +104,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         out = out.withColumn("place", F.lit(1))
     each = F.floor(F.col("picked") / F.col("same")) + F.when(F.col("place") <= F.col("picked") % F.col("same"), 1).otherwise(0)
     out = out.withColumn("copies", each.cast("long")).join(goals, "_s")
-    return out.select(*others, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("_row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

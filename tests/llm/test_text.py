@@ -363,6 +363,34 @@ def test_patterns_find_unseen_identifiers(spark):
         assert ("[EMAIL]" in r.t) == (r.doc_id != 33) and "@" not in r.t
 
 
+def test_added_spans_hold_against_planted_identifiers(spark):
+    """Precision and recall of what the patterns add: identifiers of forms that no base pattern takes, beside labels, among numbers that are none."""
+    rng = random.Random(17)
+    label = {"ip": ("host", "up"), "phone": ("Call", "now")}
+    texts, planted = [], {}
+    for i in range(60):
+        ip, phone = ".".join(str(rng.randrange(256)) for _ in range(4)), f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+        texts.append(f"{words(rng, 8)} host {ip} up {words(rng, 5)} Call {phone} now {words(rng, 6)} in {rng.randrange(1900, 2100)} the {rng.randrange(99)}")
+    for i in range(60, 80):
+        kind = ("ip", "phone")[i % 2]
+        value = f"10.0.{i}.x{i}" if kind == "ip" else f"555-0{i}-99{i}"
+        left, right = label[kind]
+        texts.append(f"{words(rng, 7)} {left} {value} {right} {words(rng, 7)} in {rng.randrange(1900, 2100)} v{i}")
+        planted[i] = (kind, value)
+    extra = {c: F.lit(1) for c in ("_row", "_d", "_t", "_text", "base", "s", "start", "type", "word", "w")}
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, texts, **extra)).collect()}
+    found = {(i, s.kind, texts[i][s.start : s.end]) for i, r in got.items() for s in r.added}
+    want = {(i, *v) for i, v in planted.items()}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+    assert all(got[0][c] == 1 for c in ("_row", "_d", "_t", "s", "w"))
+
+
+def test_shapes(spark):
+    values = ["user7@Mail12.example.com", "4111111111111111", "10.0.255.1234", "a1", "+44", "12345678901234567890123"]
+    got = [r.s for r in spark.createDataFrame([(v,) for v in values], "v string").select(pii.shape(F.col("v")).alias("s")).collect()]
+    assert got == ["a9@Aa9.a.a", "9{16}", "9.9.9.9{4}", "a9", "+9", "12345678901234567890123"]
+
+
 # --- chats
 
 
@@ -399,6 +427,8 @@ def chat_format_text(escaped):
 def test_mixing(spark):
     rng = random.Random(15)
     texts = [words(rng, rng.randrange(1, 60)) for _ in range(300)] + [None, "", " \t"]
+    long = spark.createDataFrame([(1, "w " * 300_000, "s"), (2, "a b", "s")], "doc_id long, text string, source string")
+    assert sorted((r["size"], r.copies <= 2) for r in mixing.mix_sources(long).collect()) == [(2, True), (300_000, True)]
     df = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") < 150, "big").when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("source")))
     got = mixing.mix_sources(df).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(texts)))
@@ -410,8 +440,9 @@ def test_mixing(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert abs(sum(target.values()) - 1.5 * total) < 1e-6 * total and sum(taken.values()) <= 1.5 * total
     assert all(abs(taken[s] - target[s]) <= 120 for s in target)
-    again = {r.doc_id: r.taken for r in mixing.mix_sources(df.repartition(7)).collect()}
-    assert again == {r.doc_id: r.taken for r in got}
+    names = ("_row", "_s", "_d", "_t", "same", "picked", "place", "slot", "upto", "finish", "bucket", "h0", "weight")
+    more = mixing.mix_sources(df.repartition(7).withColumns({c: F.lit(c) for c in names})).collect()
+    assert {r.doc_id: r.taken for r in more} == {r.doc_id: r.taken for r in got} and all(r[c] == c for r in more for c in names)
 
 
 def test_mixing_of_equal_rows_and_of_nothing(spark):

@@ -1,14 +1,19 @@
 """BPE encoding and decoding with a bounded-lookahead streaming transducer.
 
 Whether a token is final depends on what follows only through a chain of merges, each of which could take part of a token away
-from the one before it, and so must come earlier in the merge list. The longest such chain bounds the characters to look ahead
-(`Bpe.lookahead`, computed from the merge list). A long word is read through a buffer of that size: tokens that end before the
-lookahead are stable and leave, the rest stays, so memory is constant at any word length. Texts are cut into words first; each
-task keeps the codes of the words it has met, up to a fixed number.
-
-Decoding puts the bytes of tokens through an incremental UTF-8 state machine; bytes that form no character give U+FFFD.
-
-Null text: empty, no tokens. Repeated rows each get a row; an empty table gives none; other columns are kept.
+from the one before it, and so must come earlier in the merge list: a merge (u, v) is undone only if v, or a part on v's right-hand side, is
+first taken by an earlier merge (s, w), and that in turn only by one still earlier that begins inside w. The longest such chain, added up
+over the merge list, bounds the characters to look ahead (`Bpe.lookahead`): a token that ends so far before the end of what has been
+read can no longer change. Every word goes through the transducer: it takes symbols one after the other into a buffer of four lookaheads;
+when the buffer is full, tokens that are stable leave and the rest stays, and when the word ends, what is left leaves; so memory is constant at any
+word length. Texts are cut into words first; each task keeps the codes of words and runs that it has met, up to a fixed number.
+
+Decoding reads ids alone, one after the other: a decoder holds what has to be known between two ids (whether a token came before, and at
+most three bytes of an unfinished character), and puts out text. For readable text the tokens' bytes go through an incremental UTF-8
+state machine; bytes that form no character give U+FFFD.
+
+Null text: empty, no tokens. Very long texts and words: whole. Ids that the vocabulary lacks decode to nothing. Repeated rows each get a
+row; an empty table gives none; other columns are kept (own ones named n_tokens, ids and decoded are replaced).
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from itertools import islice
 
 import pyarrow as pa
@@ -26,7 +32,8 @@ from pyspark.sql import DataFrame
 
 #: White space as the vocabulary's splitter has it (Unicode White_Space).
 BLANK = "\t-\r \x85\xa0  -     　"
-MOST_KEPT = 300_000
+#: Words, and runs, whose codes a task keeps; ids that are decoded at once.
+MOST_KEPT, PART = 200_000, 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -61,8 +68,8 @@ class Bpe:
         self.bytes = {c: b for b, c in enumerate(self.letters)}
         #: Control characters that str.split() takes for blanks and the vocabulary doesn't.
         self.plain = re.compile("[\x1c-\x1f]")
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.runs: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     @staticmethod
     def _lookahead(pairs: list[tuple[str, str]]) -> int:
@@ -101,74 +108,66 @@ class Bpe:
         return parts
 
     def stream(self, symbols):
-        """Tokens of one word from an iterator of its symbols, each as soon as it is stable; buffers 4 * lookahead symbols."""
-        source, held, size = iter(symbols), [], 4 * self.lookahead
-        while True:
-            new = list(islice(source, size - len(held)))
-            held += new
-            tokens = self.merged(held[:])
-            if len(held) < size:
-                yield from tokens
-                return
-            at = 0
-            for t in tokens:
-                # the end mark is no symbol of its own, so a token's symbols are its letters until the word's end
-                if at + len(t) > len(held) - self.lookahead:
-                    break
-                at += len(t)
-                yield t
-            held = held[at:]
-
-    def encode_word(self, word: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the tokens joined by blanks."""
+        """Tokens of one word from an iterator of its symbols, each as soon as it is stable."""
+        machine = Transducer(self)
+        for part in iter(lambda: list(islice(symbols, machine.size)), []):
+            yield from machine.push(part)
+        yield from machine.finish()
+
+    def symbols(self, word: str):
+        """The letters of the word's bytes, the last with the end mark."""
+        last = None
+        for c in word:
+            for b in c.encode("utf-8", "surrogatepass"):
+                if last is not None:
+                    yield last
+                last = self.letters[b]
+        if last is not None:
+            yield last + self.end
+
+    def encode_word(self, word: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         got = self.known.get(word)
         if got is None:
-            data = word.encode("utf-8", "surrogatepass")
-            symbols = [self.letters[b] for b in data]
-            symbols[-1] += self.end
-            parts = self.merged(symbols) if len(symbols) < 4 * self.lookahead else list(self.stream(symbols))
-            got = (b"".join(struct.pack("<I", self.ids[p]) for p in parts if p in self.ids), " ".join(p for p in parts if p in self.ids))
+            got = b"".join(struct.pack("<I", self.ids[p]) for p in self.stream(self.symbols(word)) if p in self.ids)
             if len(self.known) >= MOST_KEPT:
                 self.known.clear()
             if len(word) <= 64:
                 self.known[word] = got
         return got
 
-    def encode_run(self, run: str) -> tuple[bytes, str]:
+    def encode_run(self, run: str) -> bytes:
         """encode_word() for each word of a run without blanks."""
-        got = [self.encode_word(w) for w in (self.ascii_words if run.isascii() else self.words).findall(run)]
-        out = (b"".join([x for x, _ in got]), " ".join([s for _, s in got if s]))
+        out = b"".join([self.encode_word(w) for w in (self.ascii_words if run.isascii() else self.words).findall(run)])
         if len(self.runs) >= MOST_KEPT:
             self.runs.clear()
         if len(run) <= 64:
             self.runs[run] = out
         return out
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """A text's ids (little-endian 32-bit) and its tokens joined by blanks; special tokens' strings become their ids."""
-        ids, out = [], []
+    def encode(self, text: str | None) -> bytes:
+        """A text's ids (little-endian 32-bit); special tokens' strings become their ids."""
+        ids = []
         known, one = self.runs, self.encode_run
         for i, piece in enumerate(self.split_special.split(text or "") if self.split_special else [text or ""]):
             if i % 2:
                 ids.append(struct.pack("<I", self.special[piece]))
-                out.append(piece)
                 continue
             piece = self.normal(piece)
             # runs between blanks are looked up first; only new ones are cut into words
             runs = piece.split() if self.plain.search(piece) is None else self.blank.split(piece)
-            found = [known.get(r) or one(r) for r in runs if r]
-            ids += [x for x, _ in found]
-            out += [s for _, s in found if s]
-        return b"".join(ids), " ".join(out)
+            ids += [known[r] if r in known else one(r) for r in runs if r]
+        return b"".join(ids)
 
-    def decode(self, ids) -> str:
-        """As the library joins tokens where a vocabulary has no decoder: by blanks, in the alphabet of bytes."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+    def decode(self, ids: bytes) -> str:
+        """As the library joins tokens where a vocabulary has no decoder: by blanks, in the alphabet of bytes. ids as encode() gives them."""
+        machine = Decoder(self)
+        return "".join([machine.push(ids[at : at + 4 * PART]) for at in range(0, len(ids), 4 * PART)])
 
-    def text(self, ids) -> str:
+    def text(self, ids: bytes) -> str:
         """Readable text: tokens' bytes through the UTF-8 machine, word ends as blanks."""
         machine, out = Utf8(), []
-        for i in ids:
+        for i in array("I", ids):
             token = self.tokens.get(i, "")
             if token in self.special:
                 out.append(machine.flush() + token)
@@ -181,6 +180,50 @@ class Bpe:
         return "".join(out) + machine.flush()
 
 
+class Transducer:
+    """Symbols in, stable tokens out. The state is a buffer of at most four lookaheads."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.held, self.size = bpe, [], 4 * bpe.lookahead
+
+    def push(self, symbols: list[str]) -> list[str]:
+        """Take at most `size` symbols; the tokens that can no longer change."""
+        out = []
+        while symbols:
+            take = self.size - len(self.held)
+            self.held, symbols = self.held + symbols[:take], symbols[take:]
+            if len(self.held) < self.size:
+                break
+            at = 0
+            for t in self.bpe.merged(self.held[:]):
+                # the end mark is no symbol of its own, so a token's symbols are its letters until the word's end
+                if at + len(t) > len(self.held) - self.bpe.lookahead:
+                    break
+                at += len(t)
+                out.append(t)
+            self.held = self.held[at:]
+        return out
+
+    def finish(self) -> list[str]:
+        held, self.held = self.held, []
+        return self.bpe.merged(held)
+
+
+class Decoder:
+    """Ids in, text out; the state is whether a token came before."""
+
+    def __init__(self, bpe: Bpe):
+        self.tokens, self.begun = bpe.tokens, False
+
+    def push(self, ids: bytes) -> str:
+        known = self.tokens
+        found = [known[i] for i in array("I", ids) if i in known]
+        if not found:
+            return ""
+        ahead, self.begun = " " if self.begun else "", True
+        return ahead + " ".join(found)
+
+
 class Utf8:
     """Incremental bytes to text: holds at most three bytes of an unfinished character."""
 
@@ -225,24 +268,23 @@ def loaded(path: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs with n_tokens, ids (binary, little-endian 32-bit) and decoded (what decode(ids) gives). path must exist on every worker."""
+    """docs with n_tokens, ids (binary, little-endian 32-bit) and decoded (what decode() makes of the ids). path must exist on every worker."""
     others = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
 
     def run(batches):
         bpe = loaded(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first in range(0, len(texts), 256):
-                got = [bpe.encode(t) for t in texts[first : first + 256]]
-                part = batch.slice(first, len(got))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([len(x) // 4 for x, _ in got], pa.int64()), pa.array([x for x, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())], names=[*others, "n_tokens", "ids", "decoded"])
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                got = [bpe.encode(t.as_py()) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary()), pa.array(list(map(bpe.decode, got)), pa.string())], names=[*others, "n_tokens", "ids", "decoded"])
 
     kept = docs.select(*others)
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "n_tokens long, ids binary, decoded string"]))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the digests of encode_documents' ids and decoded text, made where they arise."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of what the decoder makes of them, taken where they arise."""
 
     def run(batches):
         bpe = loaded(path)
@@ -250,10 +292,10 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             size, a, b = [], [], []
             for t in batch.column("text"):
-                ids, out = bpe.encode(t.as_py())
+                ids = bpe.encode(t.as_py())
                 size.append(len(ids) // 4)
                 a.append(sha(ids))
-                b.append(sha(out.encode("utf-8", "surrogatepass")))
+                b.append(sha(bpe.decode(ids).encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

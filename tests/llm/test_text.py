@@ -302,13 +302,40 @@ def test_bpe_equals_the_library(spark):
     assert rows[-1].n_tokens == 0 and rows[-1].decoded == ""
 
 
-def test_stream_needs_only_its_lookahead():
+def test_transducer_takes_symbols_in_any_parts_and_holds_few():
     b = bpe.Bpe(vocabulary())
     rng = random.Random(3)
     for letters in ("abcdethin", "th", "aeiou'"):
-        symbols = [rng.choice(letters) for _ in range(4 * b.lookahead + rng.randrange(3000))]
-        symbols[-1] += b.end
-        assert list(b.stream(symbols)) == b.merged(symbols[:])
+        for size in (1, 2, 7, 4 * b.lookahead + rng.randrange(3000)):
+            symbols = [rng.choice(letters) for _ in range(size)]
+            symbols[-1] += b.end
+            assert list(b.stream(iter(symbols))) == b.merged(symbols[:])
+            machine, got, at = bpe.Transducer(b), [], 0
+            while at < size:
+                n = rng.randrange(1, machine.size)
+                got += machine.push(symbols[at : at + n])
+                assert len(machine.held) < machine.size
+                at += n
+            assert got + machine.finish() == b.merged(symbols[:])
+    assert "".join(b.symbols("\u00e9a")) == "".join(b.letters[x] for x in "\u00e9a".encode()) + b.end and list(b.symbols("")) == []
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    b, met = bpe.Bpe(vocabulary()), []
+    monkeypatch.setattr(b, "stream", lambda s, real=b.stream: met.append(1) or real(s))
+    b.encode("one two one three")
+    assert len(met) == 3
+
+
+def test_decoder_reads_ids_in_any_parts():
+    b, rng = bpe.Bpe(vocabulary()), random.Random(4)
+    ids = b.encode(words(rng, 200)) + struct.pack("<I", 2**31)
+    machine, out, at = bpe.Decoder(b), "", 0
+    while at < len(ids):
+        n = 4 * rng.randrange(1, 9)
+        out += machine.push(ids[at : at + n])
+        at += n
+    assert out == b.decode(ids) == " ".join(b.tokens[i] for i in struct.unpack(f"<{len(ids) // 4 - 1}I", ids[:-4]))
 
 
 def test_text_machine_and_round_trip():
@@ -320,8 +347,7 @@ def test_text_machine_and_round_trip():
         got = machine.push(data[:cut]) + machine.push(data[cut:]) + machine.flush()
         assert got == codecs.decode(data, "utf-8", "replace")
     b = bpe.Bpe(vocabulary())
-    ids, _ = b.encode("Voilà 漢字 the end 42")
-    assert b.text(struct.unpack(f"<{len(ids) // 4}I", ids)) == "voilà 漢字 the end 4 2 "
+    assert b.text(b.encode("Voilà 漢字 the end 42")) == "voilà 漢字 the end 4 2 "
 
 
 # --- personal data

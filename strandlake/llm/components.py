@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import stage
 
 
+def join_heavy(rows: DataFrame, right: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """rows joined with right (one row a key; its column `times` says how many rows have the key, or more; total: their sum, or more).
+
+    A key with more than a 4,096th of all rows (and over 1,000) is heavy: there are at most 4,096 of these, so they are broadcast and their rows
+    stay where they are; all other keys are shuffled. `times` is dropped."""
+    cut = max(1000, -(-total // 4096))
+    heavy = right.where(F.col(times) > cut)
+    if not heavy.limit(1).count():
+        return rows.join(right.drop(times), on)
+    hot = rows.join(F.broadcast(heavy.drop(times)), on)
+    cold = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col(times) <= cut).drop(times), on)
+    return hot.unionByName(cold)
+
+
 def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     """Links (a, b) that connect all that the links among members of common groups would connect.
 
     entries (s, key, o): key is in group s, repeats allowed; viable(o1, o2) gives a condition on the names of two o columns; verified(pairs) keeps
     the pairs that are links. First each group's members are compared with its member of smallest o; then only members that are still in
     different components, so a large group of alike members gives as many pairs as it has members, not its square."""
-    pivots = entries.groupBy("s").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min_by("key", "o").alias("pivot"), F.min("o").alias("po")).where("k1 <> k2").drop("k1", "k2")
-    shared = stage(entries.join(pivots, "s"), "shared")
+    pivots = entries.groupBy("s").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min_by("key", "o").alias("pivot"), F.min("o").alias("po"), F.count("*").alias("rows")).where("k1 <> k2").drop("k1", "k2")
+    pivots = stage(pivots, "pivots")
+    shared = stage(join_heavy(entries, pivots, ["s"], "rows", pivots.agg(F.sum("rows")).first()[0] or 0), "shared")
     star = shared.where("key <> pivot").where(viable("o", "po")).selectExpr("least(key, pivot) a", "greatest(key, pivot) b").distinct()
     star = stage(star, "star")
     links = stage(verified(star), "links")
@@ -40,17 +55,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """(node, component): for each node of an edge, the smallest node that it reaches.
 
     Alternates the large-star and small-star steps until nothing changes; either step is one grouping whose aggregate (a
-    minimum) combines before the shuffle, and one join back, so that a node of any degree is never gathered in one row.
+    minimum) combines before the shuffle, and one join back, in which nodes of high degree are broadcast (see join_heavy), so that
+    a node's edges are never gathered in one row or one task.
     Each round is written to the shared folder. Nulls and loops make no edge; no edges give no rows."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct()
     e = stage(e, "edges")
-    last = None
+    last, n = None, e.count()
     for _ in range(most_rounds):
         both = e.unionByName(e.selectExpr("v u", "u v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")), "low")
         # large star: every larger neighbour of u is tied to the smallest of u's neighbourhood
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours are tied to the smallest of them
+        e = join_heavy(both.where("v > u"), low, ["u"], "degree", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u and its smaller neighbours are tied to the smallest of them; a node has few of these now
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         tied = e.join(low, "u")
         e = tied.where("v <> m").selectExpr("v u", "m v").unionByName(low.selectExpr("u", "m v")).where("u <> v").distinct()
@@ -58,7 +74,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
+        last, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.selectExpr("v node", "v component").distinct())

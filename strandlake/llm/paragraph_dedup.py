@@ -1,19 +1,22 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, verified by exact Jaccard, removed by components.
 
-Units of a text are its lines of at least `least_words` words; its paragraphs of as many, which are the runs of shorter lines between blank
-or long lines; the whole text where it has neither; and passages, which run over line ends. A passage begins at an anchor, a word whose shingle
-has the smallest hash in some window, and has `least_words` words (short) or PASSAGE words (long, at the anchors of windows of PASSAGE shingles).
-The windows of short ones are so wide that texts with PASSAGE words in common have a whole short passage in common, wherever it stands.
-
-Units meet by bands of their MinHash signature. Bands and rows are tuned: the fewest bands whose chance of a collision at
-the wanted similarity is at least `recall`. In short passages that are similar few shingles differ, and where these are fewer than SHINGLE an edit
-stands at an end: then they meet
-by their inner shingles as the one band, and are similar where they have all but so many shingles in a row in common. Units with equal shingles form one class, counted before the shuffle. Colliding classes
-are compared by exact Jaccard of their five-word shingle sets (words as in ngram_join); connected components are the clusters. Of each cluster
-the first unit by doc_id, then place, stays; all others go but those that overlap it (units of one text that differ by a few words are no repeat).
-
-Null text or text without words: no units. Fewer than SHINGLE words: one shingle of them all. Null doc_id comes last. Equal texts are repeats of each other; rows that are equal in doc_id and
-text share a result row. Ties go to the smaller place. Extra columns are ignored; empty tables give no rows.
+Units of a text are its paragraphs: lines of at least `least_words` words, and the runs of shorter lines (between blank or long lines) that
+have as many; the whole text where it has neither; and passages, which run over line ends. A passage begins at an anchor, a word whose shingle
+has the smallest hash in some window, and has `least_words` words. The windows are so wide that texts with PASSAGE words in common have
+a whole passage in common, wherever it stands and whatever is around it.
+
+Paragraphs meet by bands of their MinHash signature. Bands and rows are tuned: the fewest bands whose chance of a collision at
+the wanted similarity is at least `recall`. Of two similar passages few shingles differ, and where these are fewer than SHINGLE an edit
+stands at an end: so they have all but so many shingles in a row in common, and such runs are their bands; passages with an equal run are similar,
+and need no other check (a passage that repeats a shingle meets like a paragraph). Units with equal shingles form one class, counted before
+the shuffle. Colliding paragraphs are compared by exact Jaccard of their five-word shingle sets (words as in ngram_join); connected components are
+the clusters. Of each cluster the first unit by doc_id, then place, stays; all others go but those that overlap it (units of one text that differ by
+a few words are no repeat).
+
+Null text or text without words: no units. Fewer than SHINGLE words: one shingle of them all. Very long texts: whole. Null doc_id comes last. Equal
+texts are repeats of each other; rows that are equal in doc_id and text share a result row. Ties go to the smaller place. Extra columns are ignored
+whatever their names; empty tables give no rows. Classes and shingles are known by 64-bit hashes: of n units, n * n / 2**65 pairs are
+taken for equal by chance.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Words, chunks, mix, stage
-from strandlake.llm.components import connected_components, group_links, kept_by_bits
+from strandlake.llm.components import connected_components, group_links, join_heavy, kept_by_bits
 from strandlake.llm.ngram_join import viable_for
 
 SHINGLE, PASSAGE = 5, 50
@@ -63,7 +66,7 @@ def anchors(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
 
 
 def units(w: Words, least_words: int):
-    """(first word, end word, is a short passage) of the units, and by word the hash of its shingle (0: none)."""
+    """(first word, end word, is a passage) of the units, and by word the hash of its shingle (0: none)."""
     n = len(w.start)
     text = np.searchsorted(w.base, w.start, side="right") - 1
     after = w.first[text + 1]  # by word, the end of its text
@@ -89,10 +92,8 @@ def units(w: Words, least_words: int):
     width = max(1, PASSAGE - least_words - SHINGLE + 2)
     short = np.flatnonzero(anchors(order, of, width))
     short = short[short + least_words <= after[short]]
-    wide = np.flatnonzero(anchors(order, of, PASSAGE)) if least_words < PASSAGE else short[:0]
-    wide = wide[wide + PASSAGE <= after[wide]]
-    a = np.concatenate([begin, w.first[bare], wide, short])
-    e = np.concatenate([stop, w.first[bare + 1], wide + PASSAGE, short + least_words])
+    a = np.concatenate([begin, w.first[bare], short])
+    e = np.concatenate([stop, w.first[bare + 1], short + least_words])
     is_short = np.arange(len(a)) >= len(a) - len(short)
     _, at = np.unique(a.astype(np.int64) * (n + 1) + e, return_index=True)
     return a[at], e[at], is_short[at], shingle
@@ -137,9 +138,8 @@ def apart_for(least_words: int, similarity: float) -> int:
     return k if k < SHINGLE and (m - 2 * k) * (1 - similarity) >= 2 * k * similarity - 1e-9 else -1
 
 
-def _keys(least_words: int, similarity: float, bands: int, rows: int, ends: bool = False):
-    """(s, pid, e): the bands that the units fall in, e null; for short passages the hash of their inner shingles, and with `ends` a row for each
-    run e of all shingles but so many as a similar one may lack."""
+def _keys(least_words: int, similarity: float, bands: int, rows: int):
+    """(s, pid, run): the bands that the units fall in; for passages (run) the runs of all shingles but so many as a similar one may lack."""
     by = np.random.default_rng(7).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     apart = apart_for(least_words, similarity)
 
@@ -158,11 +158,7 @@ def _keys(least_words: int, similarity: float, bands: int, rows: int, ends: bool
                     before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
                     at = np.flatnonzero(inner)
                     inner[at] = np.maximum.reduceat(before, np.stack([a[at], e[at] - SHINGLE + 1], 1).ravel())[0::2] < a[at]
-                    x, y, of = a[inner], e[inner], pid[inner]
-                    s = mix(_classes(w, x + apart, y - apart, shingle) + np.uint64(bands))
-                    for j in range(apart + 1) if ends else [None]:
-                        run_ = None if j is None else mix(_classes(w, x + j, y - apart + j, shingle) + np.uint64(j))
-                        out.append((s, of, run_))
+                    out += [(mix(_classes(w, a[inner] + j, e[inner] - apart + j, shingle) + np.uint64(bands)), pid[inner], True) for j in range(apart + 1)]
                 banded = ~inner & (e - a >= SHINGLE)
                 if banded.any():
                     edges = np.stack([a[banded], e[banded] - SHINGLE + 1], 1).ravel()
@@ -171,10 +167,9 @@ def _keys(least_words: int, similarity: float, bands: int, rows: int, ends: bool
                         h = np.full(len(edges) // 2, b, np.uint64)
                         for r in range(rows):
                             h = mix(h + np.minimum.reduceat(padded * by[b * rows + r], edges)[0::2])
-                        out.append((h, pid[banded], None))
-                for s, of, run_ in out:
-                    last = pa.nulls(len(s), pa.int64()) if run_ is None else pa.array(run_.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(of.view(np.int64)), last], names=["s", "pid", "e"])
+                        out.append((h, pid[banded], False))
+                for s, of, is_run in out:
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(of.view(np.int64)), pa.array(np.full(len(s), is_run))], names=["s", "pid", "run"])
 
     return run
 
@@ -244,15 +239,15 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     as_bytes = named.select("doc_id", "t", F.col("text").cast("binary").alias("text"))
     found = stage(as_bytes.mapInArrow(_units(least_words), UNIT), "units")
     classes = found.groupBy("pid").agg(F.count("*").alias("times"))
-    keyed = lambda ends: as_bytes.mapInArrow(_keys(least_words, similarity, bands, rows, ends), "s long, pid long, e long")
-    shared = stage(keyed(False).groupBy("s").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 <> p2").select("s"), "shared")
-    colliding = stage(kept_by_bits(keyed(True), "s", shared).distinct().join(shared, "s"), "colliding")
-    # short passages with a run in common are similar: each is linked with the first that has the run
-    runs = colliding.where("e IS NOT NULL")
-    heads = runs.groupBy("e").agg(F.min("pid").alias("a"), F.max("pid").alias("last")).where("a <> last").drop("last")
-    ends = runs.join(heads, "e").where("a <> pid").select("a", F.col("pid").alias("b")).distinct()
-    wanted = stage(colliding.where("e IS NULL").select("pid").distinct(), "wanted")
-    reps = kept_by_bits(found, "pid", wanted).join(wanted, "pid").groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y")))
+    keys = as_bytes.mapInArrow(_keys(least_words, similarity, bands, rows), "s long, pid long, run boolean")
+    shared = keys.groupBy("s").agg(F.min("pid").alias("low"), F.max("pid").alias("high"), F.count("*").alias("rows")).where("low <> high").drop("high")
+    shared = stage(shared, "shared")
+    colliding = kept_by_bits(keys, "s", shared).distinct()
+    colliding = stage(join_heavy(colliding, shared, ["s"], "rows", shared.agg(F.sum("rows")).first()[0] or 0), "colliding")
+    # passages with a run in common are similar: each is linked with the first that has the run
+    ends = colliding.where("run AND low <> pid").select(F.col("low").alias("a"), F.col("pid").alias("b")).distinct()
+    wanted = stage(colliding.where("NOT run").select("pid").distinct(), "wanted")
+    reps = kept_by_bits(found, "pid", wanted).groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y"))).join(wanted, "pid", "left_semi")
     lists = reps.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("pid", "x", "y")).alias("wanted"))
     lists = stage(lists.withColumnRenamed("t_", "t"), "lists").withColumnRenamed("t", "t_")
     near = kept_by_bits(as_bytes, "t", lists.select(F.col("t_").alias("t")))
@@ -276,16 +271,18 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     entries = first.where("f IS NOT NULL").join(sets.select("key", *CELL_COLUMNS), "key").select("s", "key", F.struct(packed, *CELL_COLUMNS).alias("o"))
     links = group_links(stage(entries, "entries"), alike(percent), verified)
     comp = connected_components(links.unionByName(ends)).select(F.col("node").alias("pid"), "component")
-    cluster = classes.join(comp, "pid", "left").where("times > 1 OR component IS NOT NULL").select("pid", F.coalesce("component", "pid").alias("cluster"))
+    cluster = classes.join(comp, "pid", "left").where("times > 1 OR component IS NOT NULL").select("pid", F.coalesce("component", "pid").alias("cluster"), "times")
     cluster = stage(cluster, "cluster")
-    members = stage(kept_by_bits(found, "pid", cluster).join(cluster, "pid"), "members")
+    total = cluster.agg(F.sum("times")).first()[0] or 0
+    members = stage(join_heavy(kept_by_bits(found, "pid", cluster), cluster, ["pid"], "times", total), "members")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "t", "x", F.col("y"))
-    # a cluster whose units all overlap the first one, in one row, is no repeat
-    at = members.groupBy("cluster", place.alias("place")).agg(F.count("*").alias("rows"))
-    first = at.groupBy("cluster").agg(F.min("place").alias("kept"), F.max("place").alias("last"), F.max("rows").alias("rows"))
+    first = members.groupBy("cluster").agg(F.min(place).alias("kept"), F.max(place).alias("last"), F.count("*").alias("rows"))
+    # a cluster whose units all overlap the first one, in one row, is no repeat; rows that are equal in doc_id and text are more than one
+    again = stage(named.groupBy("doc_id", "t").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("d"), F.col("t").alias("t_")), "again")
+    twice = kept_by_bits(members, "t", again.select(F.col("t_").alias("t"))).join(again, members["doc_id"].eqNullSafe(again["d"]) & (members["t"] == again["t_"]), "left_semi").select("cluster").distinct()
     beside = lambda p: (p["d"] == F.col("kept.d")) & (p["t"] == F.col("kept.t")) & (p["x"] < F.col("kept.y"))
-    first = first.where((F.col("rows") > 1) | ~beside(F.col("last"))).drop("last", "rows")
-    out = members.join(first, "cluster").withColumn("removed", ~beside(place))
+    first = first.join(twice.withColumn("twice", F.lit(True)), "cluster", "left").where(F.col("twice").isNotNull() | ~beside(F.col("last"))).select("cluster", "kept", "rows")
+    out = join_heavy(members, stage(first, "first"), ["cluster"], "rows", total).withColumn("removed", ~beside(place))
     return out.select("doc_id", "t", "x", "y", "n", "cluster", F.when(F.col("kept.d") < 2**63 - 1, F.col("kept.d")).alias("first_doc_id"), "removed")
 
 

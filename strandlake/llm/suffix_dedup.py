@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Rolling, chunks, mix, stage
-from strandlake.llm.components import kept_by_bits
+from strandlake.llm.components import join_heavy, kept_by_bits
 
 GRAM = 128
 PACK = 2 << 20
@@ -284,8 +284,10 @@ def repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> tuple[DataF
     base = named.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     occ = named.where(F.octet_length("text") >= length).select("t1", "t2", F.col("text").cast("binary").alias("text")).mapInArrow(_runs(length), RUN)
     occ = stage(occ, "runs")
-    known = occ.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("times > 1").select("h", (F.col("c1") == F.col("c2")).alias("lone"))
-    dup = stage(occ.join(known, "h"), "repeated")
+    known = occ.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("times > 1").select("h", (F.col("c1") == F.col("c2")).alias("lone"), "times")
+    known = stage(known, "anchors")
+    total = known.agg(F.sum("times")).first()[0] or 0
+    dup = stage(join_heavy(kept_by_bits(occ, "h", known), known, ["h"], "times", total), "repeated")
     # one text stands for a context
     reps = dup.where("NOT lone").groupBy("h", "c").agg(F.count("*").alias("m"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("s").alias("s"), F.first("n").alias("n"))
     reps = stage(reps, "contexts")

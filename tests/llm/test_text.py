@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, chat_format, language_id, mixing, ngram_join, paragraph_dedup, pii, suffix_dedup
-from strandlake.llm.components import connected_components, kept_by_bits
+from strandlake.llm.components import connected_components, join_heavy, kept_by_bits
 from strandlake.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -51,6 +51,9 @@ def test_components_and_bitmap(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rows = spark.range(5000).selectExpr("id", "if(id < 3000, 1, id) k")
+    right = rows.groupBy("k").agg(F.count("*").alias("times"), F.max("id").alias("top"))
+    assert sorted(map(tuple, join_heavy(rows, right, ["k"], "times", 5000).collect())) == sorted(map(tuple, rows.join(right.drop("times"), "k").collect()))
     table = spark.range(1000).select(F.xxhash64("id").alias("t"), "id")
     assert {r.id for r in kept_by_bits(table, "t", table.where("id < 50")).collect()} >= set(range(50))
 

@@ -8,15 +8,21 @@ runs of an anchor have one context, all their strings are repeats, and equal con
 Sorting. The different contexts of repeated anchors, dealt by anchor into packs of about PACK bytes, are sorted by two-stage suffix
 sorting: suffixes that are smaller than their successors are sorted directly (to the depth of `length`), all others are induced by
 one scan over the buckets of their first symbols; strings are repeats where adjacent common prefixes reach `length`. An anchor
-with more than MOST different contexts would overfill a task: its strings are counted one by one instead, by hash and without a cap.
+with more than MOST different contexts would overfill a task: its contexts are split by where the anchor lies in their strings, in ranges of WIDTHS places.
+Strings of one range have all bytes but so many in common ground, so the bytes around the anchor are a longer anchor of their own; the parts are
+merged where equal and sorted in the same way, and split again if they are still too many (in a range of one place equal strings are one context).
 
-Null text: empty. Texts shorter than `length` keep everything. Copies and repeated rows are repeats of each other (whole texts go
-where they reach `length`). Matches never cross documents. Extra columns are ignored; empty tables give no rows.
+Equal contexts are known by 64 bits (a polynomial of the bytes mixed with their CRC-32); strings found by sorting are compared symbol by symbol.
+
+Null text: empty. Very long texts: in overlapping segments, whole. Texts shorter than `length` keep everything. Copies and repeated rows are
+repeats of each other (whole texts go where they reach `length`). Matches never cross documents. Extra columns are ignored whatever their
+names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +35,7 @@ from strandlake.llm.components import join_heavy, kept_by_bits
 
 GRAM = 128
 PACK = 2 << 20
-MOST = 20_000
+MOST, WIDTHS = 20_000, (32, 4, 1)
 #: Bytes of one text that are looked at together; the low bits of a sliding minimum hold the place.
 SEGMENT, PLACE_BITS = 1 << 22, 24
 
@@ -67,7 +73,9 @@ def runs(buf: np.ndarray, bounds: np.ndarray, length: int):
     new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
     s, n = start[new], np.diff(new, append=len(start))
     a, t = anchor[new], text[new]
-    context = mix(rolling.spans(s, s + n - 1 + length) + (a - s).astype(np.uint64))
+    view = memoryview(np.ascontiguousarray(buf))
+    crc = np.fromiter((zlib.crc32(view[x:y]) for x, y in zip(s.tolist(), (s + n - 1 + length).tolist())), np.uint64, len(s))
+    context = mix(mix(rolling.spans(s, s + n - 1 + length) + (a - s).astype(np.uint64)) ^ crc)
     return t, s - bounds[t], n, h[a], context
 
 
@@ -232,28 +240,81 @@ def _contexts(length: int):
         for batch in batches:
             out = []
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                out += [(w["h"], w["c"], w["n"], w["m"], text[w["s"] : w["s"] + w["n"] - 1 + length]) for w in wanted]
+                out += [(w["h"], w["c"], w["n"], w["m"], w["crowd"], text[w["s"] : w["s"] + w["n"] - 1 + length]) for w in wanted]
             for i in range(0, len(out), 4096):
-                h, c, n, m, data = zip(*out[i : i + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int64()), pa.array(data, pa.binary())], names=["h", "c", "n", "m", "bytes"])
+                h, c, n, m, crowd, data = zip(*out[i : i + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int32()), pa.array(m, pa.int64()), pa.array(crowd, pa.bool_()), pa.array(data, pa.binary())], names=["h", "c", "n", "m", "crowd", "bytes"])
 
     return run
 
 
-def _windows(length: int):
-    """Two hashes of every string of a context."""
+PART = "h0 long, c0 long, shift int, h long, c long, n int, m long, bytes binary"
+
+
+def _split(length: int, width: int):
+    """Parts of contexts: the starts whose strings have the anchor in one range of `width` places; h is then the hash of what these have in common ground."""
+    gram = min(GRAM, max(1, length // 2))
+    place = np.uint64((1 << PLACE_BITS) - 1)
 
     def run(batches):
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                buf = np.frombuffer(row["bytes"], np.uint8)
-                one, two = Rolling(buf).windows(length), Rolling(buf ^ 0x5A).windows(length)
-                k = row["n"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, row["h"])), pa.array(np.full(k, row["c"])), pa.array(np.full(k, row["m"])), pa.array(np.arange(k, dtype=np.int32)), pa.array(one.view(np.int64)[:k]), pa.array(two.view(np.int64)[:k])], names=["h", "c", "m", "j", "w1", "w2"])
+                data, n = row["bytes"], row["n"]
+                rolling = Rolling(np.frombuffer(data, np.uint8))
+                anchor = int(np.argmin(rolling.windows(gram)[: length - gram + 1] & ~place))
+                j = 0
+                while j < n:
+                    g = (anchor - j) // width
+                    end = min(n, anchor - g * width + 1)
+                    core = data[anchor - g * width : anchor - (g + 1) * width + 1 + length]
+                    part = data[j : end - 1 + length]
+                    two = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=g.to_bytes(4, "little")).digest(), "little", signed=True)
+                    out.append((row["h"], row["c"], j, two(core), two(part), end - j, row["m"], part))
+                    j = end
+                if len(out) >= 4096:
+                    yield _rows(out, PART)
+                    out = []
+            if out:
+                yield _rows(out, PART)
 
     return run
 
 
+def _rows(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    named = [c.split() for c in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows), named)], names=[c for c, _ in named])
+
+
+def crowds(contexts: DataFrame, most: int, label: str) -> DataFrame:
+    """contexts with crowd: whether their anchor has more than `most`."""
+    counts = stage(contexts.groupBy("h").agg(F.count("*").alias("times")).withColumn("crowd", F.col("times") > most), "counts")
+    return stage(join_heavy(contexts, counts, ["h"], "times", counts.agg(F.sum("times")).first()[0] or 0), label)
+
+
+def sorted_repeats(contexts: DataFrame, length: int, most: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(h, c, spans: array of (lo, hi)) of the starts that are repeats; contexts (staged): h, c, n, m, bytes, crowd."""
+    few = contexts.where("NOT crowd")
+    total = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    packs = max(1, total // PACK)
+    # a pack takes long for its bytes, so packs are dealt over tasks by number and not joined into fewer
+    dealt = few.drop("crowd").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(packs)).cast("int")).repartition(int(packs), "pack")
+    found = dealt.groupBy("pack").applyInArrow(_sort_pack(length), "h long, c long, lo int, hi int")
+    found = stage(found.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "found")
+    if not widths or not contexts.where("crowd").limit(1).count():
+        return found
+    parts = stage(contexts.where("crowd").drop("crowd").mapInArrow(_split(length, widths[0]), PART), "parts")
+    merged = parts.groupBy("h", "c").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.first("bytes").alias("bytes"))
+    merged = crowds(stage(merged, "merged"), most if len(widths) > 1 else 1 << 62, "contexts")
+    # a context that occurs several times is a repeat of itself, so those that stand alone are sorted with the others all the same
+    deeper = sorted_repeats(merged, length, most, widths[1:])
+    deeper = stage(parts.groupBy("h", "c").agg(F.count("*").alias("times")).join(deeper, ["h", "c"]), "found")
+    back = join_heavy(parts.select("h0", "c0", "shift", "h", "c"), deeper, ["h", "c"], "times", deeper.agg(F.sum("times")).first()[0] or 0)
+    moved = back.select(F.col("h0").alias("h"), F.col("c0").alias("c"), F.transform("spans", lambda x: F.struct((x["lo"] + F.col("shift")).alias("lo"), (x["hi"] + F.col("shift")).alias("hi"))).alias("spans"))
+    return found.unionByName(moved.groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
 def _cut(length: int):
     def run(batches):
         for batch in batches:
@@ -290,7 +351,7 @@ def repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> tuple[DataF
     dup = stage(join_heavy(kept_by_bits(occ, "h", known), known, ["h"], "times", total), "repeated")
     # one text stands for a context
     reps = dup.where("NOT lone").groupBy("h", "c").agg(F.count("*").alias("m"), F.first("t1").alias("t1"), F.first("t2").alias("t2"), F.first("s").alias("s"), F.first("n").alias("n"))
-    reps = stage(reps, "contexts")
+    reps = crowds(stage(reps, "contexts"), most, "contexts")
     slim = dup.groupBy("t1", "t2", "s").agg(F.first("h").alias("h"), F.first("c").alias("c"), F.first("n").alias("n"), F.first("lone").alias("lone"))
     slim = stage(slim, "places")
     one = base.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.sum(F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("nulls"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
@@ -301,17 +362,11 @@ def repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> tuple[DataF
     texts = stage(texts.select("t1", "t2", F.col("text").cast("binary").alias("text"), (F.col("ids") + F.col("nulls") < F.col("rows")).alias("again")), "texts")
     if texts.where("again").limit(1).count():  # rows that are equal in doc_id and text
         texts = texts.dropDuplicates(["t1", "t2"])
-    wanted = reps.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "c", "s", "n", "m")).alias("wanted"))
-    contexts = stage(texts.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(_contexts(length), "h long, c long, n int, m long, bytes binary"), "bytes")
-    total = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    crowded = contexts.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > most).select("h")
-    packs = contexts.join(crowded, "h", "left_anti").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(max(1, total // PACK))).cast("int"))
-    found = packs.groupBy("pack").applyInArrow(_sort_pack(length), "h long, c long, lo int, hi int")
-    if crowded.limit(1).count():
-        each = stage(contexts.join(crowded, "h", "left_semi").mapInArrow(_windows(length), "h long, c long, m long, j int, w1 long, w2 long"), "windows")
-        often = each.groupBy("w1", "w2").agg(F.sum("m").alias("times")).where("times > 1").select("w1", "w2")
-        found = found.unionByName(each.join(often, ["w1", "w2"]).select("h", "c", F.col("j").alias("lo"), (F.col("j") + 1).alias("hi")))
-    spans = slim.where("lone").selectExpr("t1", "t2", "s x", "s + n y").unionByName(slim.where("NOT lone").join(stage(found, "found"), ["h", "c"]).selectExpr("t1", "t2", "s + lo x", "s + hi y"))
+    wanted = reps.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "c", "s", "n", "m", "crowd")).alias("wanted"))
+    contexts = stage(texts.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(_contexts(length), "h long, c long, n int, m long, crowd boolean, bytes binary"), "bytes")
+    found = stage(reps.select("h", "c", F.col("m").alias("times")).join(sorted_repeats(contexts, length, most), ["h", "c"]), "found")
+    placed = join_heavy(slim.where("NOT lone"), found, ["h", "c"], "times", total).select("t1", "t2", "s", F.explode("spans").alias("x"))
+    spans = slim.where("lone").selectExpr("t1", "t2", "s x", "s + n y").unionByName(placed.selectExpr("t1", "t2", "s + x.lo x", "s + x.hi y"))
     per_text = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
     cut = texts.join(per_text, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(_cut(length), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return base, cut

@@ -146,6 +146,25 @@ def test_suffix_dedup(spark, most):
     assert suffix_dedup.digest(docs(spark, []).limit(0), 50).count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_suffix_dedup_of_a_passage_that_many_texts_share(spark, most):
+    """One anchor with many contexts: with most = 2 it is split again and again, and gives the same."""
+    rng = random.Random(10)
+    passage = words(rng, 15)[:48]
+    texts = [words(rng, 12) + " " + passage + " " + words(rng, 12) for _ in range(14)]
+    texts += [t[20:] + words(rng, 3) for t in texts[:5]] + ["ab" * 60, passage + "zz", "q" + passage + "zz"]
+    got = [tuple(r) for r in suffix_dedup.digest(docs(spark, texts), 50, most).orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert got == brute_cut(texts, 50)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the given tables are not here")
+def test_suffix_dedup_of_given_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in df.orderBy("doc_id").collect()]
+    got = [tuple(r) for r in suffix_dedup.digest(df, 400).orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert got == brute_cut(texts, 400)
+
+
 def test_deduplicated_texts(spark):
     rng = random.Random(2)
     p = words(rng, 40)
@@ -196,21 +215,25 @@ def test_paragraph_dedup_whatever_the_line_breaks(spark):
             assert x <= a < b <= x + len(" ".join(inner))
 
 
-def test_long_passages_are_banded():
-    rng = random.Random(4)
-    base = words(rng, 50).split()
-    units = []
-    for k in (None, 25):
-        w = base[:]
-        if k:
-            w[k] = "zz"
-        units.append(" ".join(w))
-    batch = paragraph_dedup.pa.RecordBatch.from_pydict({"text": [u.encode() for u in units]})
-    keys = [dict() for _ in units]
-    for i in range(2):
-        for got in paragraph_dedup._keys(25, 0.8, *paragraph_dedup.bands_for(0.8, 0.98))([batch.slice(i, 1)]):
-            keys[i] = set(got.column("s").to_pylist())
-    assert keys[0] & keys[1]
+def test_planted_passages_are_found_wherever_they_stand(spark):
+    """Passages of 50 to 90 words at random places of two or more texts, and clean texts; brute force: 50 words in a row in another text."""
+    rng = random.Random(22)
+    texts = [words(rng, rng.randrange(20, 400)).split() for _ in range(160)]
+    for k in range(50):
+        passage = words(rng, rng.randrange(50, 91)).split()
+        for i in rng.sample(range(120), 2):
+            at = rng.randrange(len(texts[i]) + 1)
+            texts[i][at:at] = passage
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    whole = [wrapped(w, rng.choice([8, 20, 1000])) for w in texts]
+    where = {}
+    for i, t in enumerate(whole):
+        w = t.split()
+        for j in range(len(w) - 49):
+            where.setdefault(tuple(w[j : j + 50]), set()).add(i)
+    want = {i for s in where.values() if len(s) > 1 for i in s}
+    got = {r.doc_id for r in paragraph_dedup.documents_with_repeats(docs(spark, whole)).collect()}
+    assert want and got == want
 
 
 def test_tuned_bands():

@@ -7,9 +7,9 @@ a whole passage in common, wherever it stands and whatever is around it.
 
 Paragraphs meet by bands of their MinHash signature. Bands and rows are tuned: the fewest bands whose chance of a collision at
 the wanted similarity is at least `recall`. Of two similar passages few shingles differ, and where these are fewer than SHINGLE an edit
-stands at an end: so they have all but so many shingles in a row in common, and such runs are their bands; passages with an equal run are similar,
-and need no other check (a passage that repeats a shingle meets like a paragraph). Units with equal shingles form one class, counted before
-the shuffle. Colliding paragraphs are compared by exact Jaccard of their five-word shingle sets (words as in ngram_join); connected components are
+stands at an end. As a passage's first shingle is its anchor, passages that begin alike have all but so many of their first shingles in common: this
+run is their band; passages with an equal run are similar, and need no other check (one that repeats a shingle meets like a paragraph). Units
+with equal shingles form one class, counted before the shuffle. Colliding paragraphs are compared by exact Jaccard of their five-word shingle sets (words as in ngram_join); connected components are
 the clusters. Of each cluster the first unit by doc_id, then place, stays; all others go but those that overlap it (units of one text that differ by
 a few words are no repeat).
 
@@ -139,7 +139,7 @@ def apart_for(least_words: int, similarity: float) -> int:
 
 
 def _keys(least_words: int, similarity: float, bands: int, rows: int):
-    """(s, pid, run): the bands that the units fall in; for passages (run) the runs of all shingles but so many as a similar one may lack."""
+    """(s, pid, run): the bands that the units fall in; for passages (run) the first shingles, all but so many as a similar one may lack."""
     by = np.random.default_rng(7).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     apart = apart_for(least_words, similarity)
 
@@ -158,7 +158,7 @@ def _keys(least_words: int, similarity: float, bands: int, rows: int):
                     before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
                     at = np.flatnonzero(inner)
                     inner[at] = np.maximum.reduceat(before, np.stack([a[at], e[at] - SHINGLE + 1], 1).ravel())[0::2] < a[at]
-                    out += [(mix(_classes(w, a[inner] + j, e[inner] - apart + j, shingle) + np.uint64(bands)), pid[inner], True) for j in range(apart + 1)]
+                    out.append((mix(_classes(w, a[inner], e[inner] - apart, shingle) + np.uint64(bands)), pid[inner], True))
                 banded = ~inner & (e - a >= SHINGLE)
                 if banded.any():
                     edges = np.stack([a[banded], e[banded] - SHINGLE + 1], 1).ravel()
@@ -242,7 +242,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     keys = as_bytes.mapInArrow(_keys(least_words, similarity, bands, rows), "s long, pid long, run boolean")
     shared = keys.groupBy("s").agg(F.min("pid").alias("low"), F.max("pid").alias("high"), F.count("*").alias("rows")).where("low <> high").drop("high")
     shared = stage(shared, "shared")
-    colliding = kept_by_bits(keys, "s", shared).distinct()
+    colliding = stage(kept_by_bits(keys, "s", shared).distinct(), "keys")
     colliding = stage(join_heavy(colliding, shared, ["s"], "rows", shared.agg(F.sum("rows")).first()[0] or 0), "colliding")
     # passages with a run in common are similar: each is linked with the first that has the run
     ends = colliding.where("run AND low <> pid").select(F.col("low").alias("a"), F.col("pid").alias("b")).distinct()

@@ -34,7 +34,7 @@ from strandlake.llm.common import Rolling, chunks, mix, stage
 from strandlake.llm.components import join_heavy, kept_by_bits
 
 GRAM = 128
-PACK = 2 << 20
+PACK = 1 << 20
 MOST, WIDTHS = 20_000, (32, 4, 1)
 #: Bytes of one text that are looked at together; the low bits of a sliding minimum hold the place.
 SEGMENT, PLACE_BITS = 1 << 22, 24
@@ -298,8 +298,9 @@ def sorted_repeats(contexts: DataFrame, length: int, most: int, widths: tuple[in
     few = contexts.where("NOT crowd")
     total = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     packs = max(1, total // PACK)
-    # a pack takes long for its bytes, so packs are dealt over tasks by number and not joined into fewer
-    dealt = few.drop("crowd").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(packs)).cast("int")).repartition(int(packs), "pack")
+    # a pack takes long for its bytes, so packs are dealt over many tasks by number and not joined into fewer
+    tasks = min(packs, 16 * int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = few.drop("crowd").withColumn("pack", F.pmod(F.xxhash64("h"), F.lit(packs)).cast("int")).repartition(int(tasks), "pack")
     found = dealt.groupBy("pack").applyInArrow(_sort_pack(length), "h long, c long, lo int, hi int")
     found = stage(found.groupBy("h", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "found")
     if not widths or not contexts.where("crowd").limit(1).count():

@@ -216,7 +216,8 @@ def test_paragraph_dedup_whatever_the_line_breaks(spark):
 
 
 def test_planted_passages_are_found_wherever_they_stand(spark):
-    """Passages of 50 to 90 words at random places of two or more texts, and clean texts; brute force: 50 words in a row in another text."""
+    """Passages of 50 to 90 words at random places of two or more texts, and clean texts. Brute force: all texts with 50 words in a row that
+    stand in another text are found, and none without 25."""
     rng = random.Random(22)
     texts = [words(rng, rng.randrange(20, 400)).split() for _ in range(160)]
     for k in range(50):
@@ -226,14 +227,16 @@ def test_planted_passages_are_found_wherever_they_stand(spark):
             texts[i][at:at] = passage
     wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
     whole = [wrapped(w, rng.choice([8, 20, 1000])) for w in texts]
-    where = {}
-    for i, t in enumerate(whole):
-        w = t.split()
-        for j in range(len(w) - 49):
-            where.setdefault(tuple(w[j : j + 50]), set()).add(i)
-    want = {i for s in where.values() if len(s) > 1 for i in s}
+    def sharing(n):
+        where = {}
+        for i, t in enumerate(whole):
+            w = t.split()
+            for j in range(len(w) - n + 1):
+                where.setdefault(tuple(w[j : j + n]), set()).add(i)
+        return {i for s in where.values() if len(s) > 1 for i in s}
+
     got = {r.doc_id for r in paragraph_dedup.documents_with_repeats(docs(spark, whole)).collect()}
-    assert want and got == want
+    assert len(sharing(50)) > 50 and sharing(50) <= got <= sharing(25)
 
 
 def test_tuned_bands():

@@ -10,7 +10,8 @@ values differ too much (suffix filter); the rest is verified once by exact inter
 A shingle shared by a large group doesn't give all pairs of the group: first every member is compared with the member
 that has fewest rarer shingles, then only pairs that are still in different components are compared. No link is lost.
 
-Null or empty text: an empty set, linked with nothing. Repeated rows are members of one class. Extra columns are ignored.
+Null or empty text: an empty set, linked with nothing. Very long texts: whole. Repeated rows are members of one class; ties in frequency go by
+hash. Extra columns are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ def _sets(n: int):
             for _, part in chunks(batch.column("text").to_pylist()):
                 w = Words(part)
                 sets = [_distinct(w, n, a, b) for a, b in zip(w.first[:-1], w.first[1:])]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([_key(s)[0] for s in sets], pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+                keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[:, 0]), "key2": pa.array(keys[:, 1]), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
@@ -149,7 +151,7 @@ def viable_for(percent: int):
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links of its class.
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
     docs has doc_id and text; percent: the least 100 * intersection / union."""
     return with_components(docs, n, percent).drop("tid", "component")
@@ -161,9 +163,12 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     freq = shingle_frequencies(texts, n)
     rows = stage(texts.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")).mapInArrow(_prefixes(n, percent, freq), DOC), "prefixes")
-    classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min("key2").alias("k2"), F.max("key2").alias("k3"), F.min_by("tid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tid")), "classes")
-    if classes.where("k2 <> k3").limit(1).count():
-        raise RuntimeError("two different sets have one 64-bit key")
+    # different sets with one 64-bit key (some 70 of 5 * 10**10 sets) get a key of both their hashes
+    same = rows.where("n > 0").groupBy("key").agg(F.min("key2").alias("k2"), F.max("key2").alias("k3")).where("k2 <> k3").select("key", F.lit(True).alias("shared"))
+    same = stage(same, "keys")
+    apart = (lambda df: df.join(same, "key", "left").withColumn("key", F.when(F.col("shared"), F.xxhash64("key", "key2")).otherwise(F.col("key"))).drop("shared")) if same.limit(1).count() else lambda df: df
+    rows = apart(rows)
+    classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("tid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tid")), "classes")
     entries = rows.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "s"))
     entries = entries.select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o"))
     ranges = stage(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ranges")
@@ -181,17 +186,16 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         wanted = stage(wanted, "wanted")
         few = kept_by_bits(texts, "tid", wanted)
         few = few.join(wanted, (few["tid"] == wanted["tid"]) & few["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        sets = few.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(n), "key long, shingles binary")
-        sets = stage(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+        sets = few.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(n), "key long, key2 long, shingles binary")
+        sets = stage(apart(sets).groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
         with_a = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
         with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
         return with_b.mapInArrow(_verify(percent), "a long, b long")
 
     links = group_links(entries, viable_for(percent), verified)
     comp = connected_components(links)
-    degree = links.selectExpr("explode(array(a, b)) key").groupBy("key").agg(F.count("*").alias("n_links"))
     lows = classes.select("key", "low").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ends = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = lows.join(ends, "component").join(degree, "key", "left").select("key", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = lows.join(ends, "component").select("key", "component", "component_id")
     out = rows.select("doc_id", "tid", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "tid", "component")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "tid", "component")

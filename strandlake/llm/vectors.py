@@ -46,13 +46,13 @@ def sample(df: DataFrame, most: int) -> np.ndarray:
 def chunked(assigned: DataFrame, by: str = "part") -> DataFrame:
     """A chunk number: a part with more than NODE vectors is dealt by hash into as many chunks as it needs."""
     sizes = assigned.groupBy(by).agg(F.ceil(F.count("*") / NODE).cast("int").alias("chunks"))
-    return assigned.join(F.broadcast(sizes), by).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).drop("chunks")
+    return assigned.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).drop("chunks")
 
 
 def query_blocks(queries: DataFrame, keys: list[str], extra: str | None = None) -> DataFrame:
     """queries (vec_id, v, keys) packed into rows (keys, block, ids, vectors, extra) of about BLOCK."""
     sizes = queries.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = queries.join(F.broadcast(sizes), keys) if keys else queries.crossJoin(F.broadcast(sizes))
+    dealt = queries.join(sizes, keys) if keys else queries.withColumn("blocks", F.lit(sizes.first()[0]))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,6 +92,16 @@ def test_ngram_join(spark, n, percent):
     assert got == brute_join(list(enumerate(texts)), n, percent)
 
 
+def test_ngram_join_where_sets_share_a_key(spark, monkeypatch):
+    """Different sets whose first hash is equal are told apart by the second; one very long text stands among them."""
+    monkeypatch.setattr(ngram_join, "_key", lambda s, real=ngram_join._key: (real(s)[0] % 5, real(s)[1]))
+    rng = random.Random(2)
+    texts = [words(rng, 40) for _ in range(12)] + [words(rng, 60_000)]
+    texts += [t + " tail" for t in texts[:4]] + [texts[12] + " tail"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(docs(spark, texts)).collect()}
+    assert got == brute_join(list(enumerate(texts)), 3, 90)
+
+
 def test_ngram_join_of_nothing_and_of_repeated_rows(spark):
     assert ngram_join.ngram_jaccard_join(docs(spark, []).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, None)], "doc_id long, text string")

@@ -56,7 +56,8 @@ def test_multi_index_recall(spark):
     x[7] = 0
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(5000, None, 0), (5100, [float("inf")] * 16, 0)]
     got = {}
-    for r in multi_index.nearest(table(spark, rows), k=10).collect():
+    for r in multi_index.nearest(table(spark, rows), k=10, codes=32, share=0.3).collect():
+        assert 0.3 * 2998 <= r.compared + 1 <= 0.5 * 2998  # distances only to entries of the cells taken: the share, and one vector that stands 300 times
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     found = total = 0
     for i in range(0, 3000, 100):

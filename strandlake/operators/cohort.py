@@ -170,16 +170,18 @@ def chao1(n_carriers: DataFrame, column: str) -> DataFrame:
 
 
 def locus_dosage(records: DataFrame) -> DataFrame:
-    """locus, sample, hap, dosage, n_records, n_unphased from records (locus, sample, hap, bp (null: missing), unphased_het, size_sv).
+    """locus, sample, hap, dosage and flags from records (locus, sample, hap, bp (null: missing), phased, size_sv), a row each haplotype of a record (rec).
 
-    A haplotype is missing if any of its records is; duplicate: a small and an sv change of one sign on one haplotype."""
-    kind = F.when(F.col("bp").isNull() | (F.col("bp") == 0), 0).otherwise(F.when(F.col("size_sv"), F.when(F.col("bp") > 0, 1).otherwise(2)).otherwise(F.when(F.col("bp") > 0, 4).otherwise(8)))
-    out = records.withColumn("_k", kind).groupBy("locus", "sample", "hap").agg(
-        F.sum("bp").alias("total"), F.count_if(F.col("bp").isNull()).alias("missing"), F.count_if(F.col("bp") != 0).alias("changes"),
-        F.count_if("unphased_het").alias("n_unphased"), F.count_distinct(F.when(F.col("unphased_het"), F.col("bp"))).alias("kinds"), F.bit_or("_k").alias("bits"),
-    )
-    ambiguous = (F.col("n_unphased") >= 2) & (F.col("kinds") > 1)
-    return out.select("locus", "sample", "hap", F.when((F.col("missing") == 0) & ~ambiguous, F.col("total")).alias("dosage"), "changes", ambiguous.alias("ambiguous"), ((F.col("bits").bitwiseAND(5) == 5) | (F.col("bits").bitwiseAND(10) == 10)).alias("duplicate"))
+    A haplotype is missing if any of its records is. A sample is ambiguous at a locus, on both haplotypes, where two records or more are unphased and
+    heterozygous with alleles of different length. duplicate: a small and an sv change of one sign on one haplotype."""
+    bits = F.when(F.col("bp").isNull() | (F.col("bp") == 0), 0).otherwise(F.when(F.col("size_sv"), F.when(F.col("bp") > 0, 1).otherwise(2)).otherwise(F.when(F.col("bp") > 0, 4).otherwise(8)))
+    hets = records.where("NOT phased").groupBy("locus", "sample", "rec").agg(F.min("bp").alias("low"), F.max("bp").alias("high"), F.count("bp").alias("n")).where("n = 2 AND low <> high")
+    unsure = hets.groupBy("locus", "sample").agg(F.count("*").alias("n_unphased"))
+    out = records.withColumn("_k", bits).groupBy("locus", "sample", "hap").agg(F.sum("bp").alias("total"), F.count_if(F.col("bp").isNull()).alias("missing"), F.count_if(F.col("bp") != 0).alias("changes"), F.bit_or("_k").alias("bits"))
+    out = out.join(unsure, ["locus", "sample"], "left")
+    called = F.col("missing") == 0
+    ambiguous = F.coalesce(F.col("n_unphased") >= 2, F.lit(False))
+    return out.select("locus", "sample", "hap", F.when(called & ~ambiguous, F.col("total")).alias("dosage"), "changes", ambiguous.alias("ambiguous"), (called & ((F.col("bits").bitwiseAND(5) == 5) | (F.col("bits").bitwiseAND(10) == 10))).alias("duplicate"))
 
 
 def allele_table(dosage: DataFrame) -> DataFrame:
@@ -301,8 +303,12 @@ def mendelian_score(haps: DataFrame, trios: DataFrame) -> DataFrame:
     inside = lambda c, p: (F.col(c) == F.col(f"{p}1")) | (F.col(c) == F.col(f"{p}2"))
     one, two = inside("c1", "f") & inside("c2", "m"), inside("c2", "f") & inside("c1", "m")
     state = F.when(one & ~two, 1).when(two & ~one, 2)
+    w = W.partitionBy("child", "chrom").orderBy("pos")
     six = six.withColumns({"bad": ~one & ~two, "forced": state})
-    last = F.last("forced", ignorenulls=True).over(W.partitionBy("child", "chrom").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    # before anything is forced: father first, where that is possible at the first compatible place
+    first = ~F.col("bad") & (F.count_if(~F.col("bad")).over(w.rowsBetween(W.unboundedPreceding, 0)) == 1)
+    six = six.withColumn("state", F.coalesce("forced", F.when(first, 1)))
+    last = F.last("state", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     flips = six.withColumn("flip", F.coalesce((F.col("forced") != last), F.lit(False)))
     return flips.groupBy("child").agg(F.count("*").alias("loci"), F.count_if("bad").alias("violations"), F.count_if("flip").alias("flips"))
 

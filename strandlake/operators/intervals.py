@@ -122,7 +122,7 @@ def resolve_contig(df: DataFrame, spec: str) -> str:
     raise ValueError(f"no chromosome {chrom}")
 
 
-def extract_windows(rows: DataFrame, windows: DataFrame, most: int = 100_000) -> DataFrame:
+def extract_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows (chrom, pos) in each window (window, chrom, start, end; ends included); a row may stand in several."""
     spans = windows.select("window", "chrom", F.col("start").alias("start0"), (F.col("end") + 1).alias("end0"))
     points = rows.withColumns({"start0": F.col("pos"), "end0": F.col("pos") + 1})

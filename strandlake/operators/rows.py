@@ -202,9 +202,9 @@ def indel_flanks(sites: DataFrame, flank: int) -> DataFrame:
     return sites.where(F.length("ref") != F.length("alt")).select("chrom", F.greatest(F.col("pos") - 1 - flank, F.lit(0)).alias("start0"), (F.col("pos") - 1 + span + flank).alias("end0"))
 
 
-def one_hot(df: DataFrame, name: str, most_levels: int = 200) -> DataFrame:
-    """A 0/1 column for each level but the most common (ties: the first by name); null stays null."""
-    levels = [r[0] for r in df.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).limit(most_levels).collect()]
+def one_hot(df: DataFrame, name: str) -> DataFrame:
+    """A 0/1 column for each level but the most common (ties: the first by name); null stays null. A category has as many levels as the result columns."""
+    levels = [r[0] for r in df.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).collect()]
     return df.withColumns({f"{name}_{v}": F.when(F.col(name).isNotNull(), (F.col(name) == v).cast("int")) for v in sorted(levels[1:])})
 
 

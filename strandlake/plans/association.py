@@ -60,7 +60,10 @@ add(
     f"WITH {clusters('phenotype, chrom', 1800)} SELECT phenotype, chrom, greatest(min(pos) - 900, 0) AS start0, max(pos) + 900 AS end0 FROM c GROUP BY phenotype, chrom, cluster",
 )
 add("e12_recurrence", "assoc", lambda a: A.recurrence(hits(a), 1500, 2), f"WITH {clusters('chrom', 1500)} SELECT chrom, cluster, count(DISTINCT phenotype) AS phenotypes, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(DISTINCT phenotype) >= 2")
-add("e13_corroborated", "assoc", lambda a: A.corroborated(hits(a), 2000), f"WITH {clusters('phenotype, chrom', 2000)} SELECT phenotype, chrom, cluster, count(DISTINCT arm) AS arms, count(*) AS n FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT arm) >= 2")
+add(
+    "e13_corroborated", "assoc", lambda a: A.corroborated(a.where(F.col("p") < 0.05), 100_000),
+    f"WITH {clusters('phenotype, chrom', 100_000).replace(f'p < {CUT}', 'p < 0.05')} SELECT phenotype, chrom, cluster, count(DISTINCT arm) AS arms, count(*) AS n FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT arm) >= 2",
+)
 add(
     "g11_phewas_matrix", "assoc", lambda a: A.phewas_matrix(hits(a), 1500).withColumn("strength", F.round("strength", 6)),
     f"WITH {clusters('chrom', 1500)} SELECT phenotype, chrom || ':' || CAST(cluster AS STRING) AS locus, round(max(-log10(p)), 6) AS strength FROM c GROUP BY 1, 2",
@@ -132,9 +135,9 @@ add(
     lambda h, s: A.score_test(C.split_dosage(h, 3).select(F.col("site").alias("variant"), "sample", "anc", F.col("ds").cast("double").alias("ds")), s.select("sample", (F.col("balance") / 10_000).alias("r"), F.lit(1.0).alias("w"), F.array(F.lit(1.0), F.col("sex").cast("double")).alias("x")), np.diag([1e-3, 2e-3]), 3, 0.5).select("variant", "included", *(F.round(c, 6).alias(c) for c in ("chi2", "p", "beta0", "se0", "p0"))),
 )
 add(
-    "h2_ld_pairs", "calls", lambda c: A.ld_pairs(c.withColumn("site", F.col("site") % 40).withColumn("pos", F.col("site") * 10).withColumn("chrom", F.lit("chr1")).groupBy("chrom", "pos", "site", "sample").agg(F.max("a1").alias("a1"), F.max("a2").alias("a2")), 100, 10).withColumn("r2", F.round("r2", 6)),
+    "h2_ld_pairs", "calls", lambda c: A.ld_pairs(c.withColumn("site", F.col("site") % 40).withColumn("pos", F.col("site") * 10).withColumn("chrom", F.lit("chr1")).groupBy("chrom", "pos", "site", "sample").agg(F.max("a1").alias("a1"), F.max("a2").alias("a2")), 100, 4).withColumn("r2", F.round("r2", 6)),
     """WITH d AS (SELECT site % 40 AS site, sample, max(a1) + max(a2) AS g FROM {calls} GROUP BY 1, 2), p AS (SELECT a.site, b.site AS site2, CAST(a.g AS DOUBLE) AS g, CAST(b.g AS DOUBLE) AS h FROM d a JOIN d b USING (sample) WHERE a.site < b.site AND abs(a.site - b.site) * 10 <= 100 AND a.g IS NOT NULL AND b.g IS NOT NULL)
-       SELECT site, site2, count(*) AS n, round(CASE WHEN (count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h)) > 0 THEN pow(count(*) * sum(g * h) - sum(g) * sum(h), 2) / ((count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h))) END, 6) AS r2 FROM p GROUP BY 1, 2 HAVING count(*) >= 10""",
+       SELECT site, site2, count(*) AS n, round(CASE WHEN (count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h)) > 0 THEN pow(count(*) * sum(g * h) - sum(g) * sum(h), 2) / ((count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h))) END, 6) AS r2 FROM p GROUP BY 1, 2 HAVING count(*) >= 4""",
 )
 add("h2_ld_prune", "calls", lambda c: A.ld_prune(c, 0.1, 500_000, 10))
 add(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandlake.plans import association, cohort, review, rows
+from strandlake.plans import association, cohort, dossier, loci, review, rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (rows.plans, cohort.plans, association.plans, review.plans):
+for _part in (rows.plans, cohort.plans, association.plans, review.plans, loci.plans, dossier.plans):
     QUERIES |= _part.queries
     ORACLE |= _part.sql

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import cohort as C
 from strandlake.operators import intervals as I
+from strandlake.operators import loci as L
 from strandlake.operators import rows as R
 from strandlake.plans.views import Plans
 
@@ -121,9 +122,10 @@ add(
     "SELECT sample, track, cov, begin0, chrom FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY track, cov DESC, begin0, chrom) AS r FROM {cpg}) WHERE r = 1",
 )
 add(
-    "c26_concept_join", "ehr nation",
-    lambda e, n: e.groupBy("concept").agg(F.count_distinct("person").alias("persons"), F.count("*").alias("n")),
-    "SELECT concept, count(DISTINCT person) AS persons, count(*) AS n FROM {ehr} GROUP BY 1",
+    "c26_concept_join", "ehr nation region",
+    lambda e, n, r: L.concept_persons(e.select("person", (F.col("event_id") % 25).alias("concept")), n.select(F.col("n_nationkey").alias("concept"), F.col("n_name").alias("name")), n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("concept"), F.col("r_name").alias("ancestor")).unionByName(n.select(F.col("n_nationkey").alias("concept"), F.col("n_name").alias("ancestor")))),
+    """WITH h AS (SELECT n_nationkey AS concept, r_name AS ancestor FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey, n_name FROM {nation})
+       SELECT ancestor, count(DISTINCT person) AS persons, count(*) AS n, count(DISTINCT concept) AS concepts FROM (SELECT person, event_id % 25 AS concept FROM {ehr}) JOIN h USING (concept) GROUP BY 1""",
 )
 add(
     "c28_phase_frame", "calls",
@@ -180,11 +182,12 @@ add(
 # --- repeat loci
 add(
     "d9_locus_dosage", "haps",
-    lambda h: C.locus_dosage(h.select((F.col("site") % 97).alias("locus"), "sample", "hap", ((F.col("allele") * 3) * (F.col("site") % 5 - 2)).alias("bp"), (F.col("site") % 4 == 0).alias("unphased_het"), (F.col("site") % 2 == 0).alias("size_sv"))).transform(lambda d: integers(d, "dosage", "changes")),
-    """WITH r AS (SELECT site % 97 AS locus, sample, hap, allele * 3 * (site % 5 - 2) AS bp, site % 4 = 0 AS u, site % 2 = 0 AS v FROM {haps}),
-       a AS (SELECT locus, sample, hap, sum(bp) AS total, count(*) FILTER (WHERE bp IS NULL) AS missing, count(*) FILTER (WHERE bp <> 0) AS changes, count(*) FILTER (WHERE u) >= 2 AND count(DISTINCT CASE WHEN u THEN bp END) > 1 AS ambiguous,
-         (count(*) FILTER (WHERE v AND bp > 0) > 0 AND count(*) FILTER (WHERE NOT v AND bp > 0) > 0) OR (count(*) FILTER (WHERE v AND bp < 0) > 0 AND count(*) FILTER (WHERE NOT v AND bp < 0) > 0) AS duplicate FROM r GROUP BY 1, 2, 3)
-       SELECT locus, sample, hap, CASE WHEN missing = 0 AND NOT ambiguous THEN CAST(total AS BIGINT) END AS dosage, changes, ambiguous, duplicate FROM a""",
+    lambda h: C.locus_dosage(h.select((F.col("site") % 97).alias("locus"), "sample", "hap", F.col("site").alias("rec"), ((F.col("allele") * 3) * (F.col("site") % 5 - 2)).alias("bp"), (F.col("site") % 4 != 0).alias("phased"), (F.col("site") % 2 == 0).alias("size_sv"))).transform(lambda d: integers(d, "dosage", "changes")),
+    """WITH r AS (SELECT site % 97 AS locus, sample, hap, site AS rec, allele * 3 * (site % 5 - 2) AS bp, site % 4 <> 0 AS phased, site % 2 = 0 AS v FROM {haps}),
+       u AS (SELECT locus, sample FROM (SELECT locus, sample, rec FROM r WHERE NOT phased GROUP BY 1, 2, 3 HAVING count(bp) = 2 AND min(bp) <> max(bp)) GROUP BY 1, 2 HAVING count(*) >= 2),
+       a AS (SELECT locus, sample, hap, sum(bp) AS total, count(*) = count(bp) AS called, count(*) FILTER (WHERE bp <> 0) AS changes,
+         (count(*) FILTER (WHERE v AND bp > 0) > 0 AND count(*) FILTER (WHERE NOT v AND bp > 0) > 0) OR (count(*) FILTER (WHERE v AND bp < 0) > 0 AND count(*) FILTER (WHERE NOT v AND bp < 0) > 0) AS twice FROM r GROUP BY 1, 2, 3)
+       SELECT a.locus, a.sample, hap, CASE WHEN called AND u.locus IS NULL THEN CAST(total AS BIGINT) END AS dosage, changes, u.locus IS NOT NULL AS ambiguous, called AND twice AS duplicate FROM a LEFT JOIN u ON u.locus = a.locus AND u.sample = a.sample""",
 )
 add(
     "d10_allele_table", "haps", lambda h: C.allele_table(h.select((F.col("site") % 97).alias("locus"), F.col("allele").alias("dosage"))),
@@ -313,8 +316,8 @@ add(
 # --- cohort and phenotypes
 add(
     "d52_trait_inventory", "ehr",
-    lambda e: e.groupBy("concept").agg(F.count_distinct("person").alias("persons"), F.count("value").alias("n"), *(F.round(F.percentile("value", q), 6).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95))).where("persons >= 20"),
-    "SELECT concept, count(DISTINCT person) AS persons, count(value) AS n, round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM {ehr} GROUP BY 1 HAVING count(DISTINCT person) >= 20",
+    lambda e: e.groupBy("concept").agg(F.count_distinct("person").alias("persons"), F.count("value").alias("n"), *(F.round(F.percentile("value", q), 6).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95))).where("persons >= 5"),
+    "SELECT concept, count(DISTINCT person) AS persons, count(value) AS n, round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM {ehr} GROUP BY 1 HAVING count(DISTINCT person) >= 5",
 )
 add(
     "d53_inventory_combine", "pheno",
@@ -360,6 +363,6 @@ add(
     "SELECT sample FROM {samples} ORDER BY md5('7:' || CAST(sample AS STRING)) LIMIT 25",
 )
 add(
-    "f7_batches", "samples", lambda s: s.select("sample", F.ntile(7).over(W.orderBy("sample")).cast("bigint").alias("batch")).groupBy("batch").agg(F.count("*").alias("n")),
-    "SELECT batch, count(*) AS n FROM (SELECT ntile(7) OVER (ORDER BY sample) AS batch FROM {samples}) GROUP BY 1",
+    "f7_batches", "samples", lambda s: L.batches(s, "sample", 40),
+    "SELECT sample, ntile(CAST(ceil((SELECT count(*) FROM {samples}) / 40.0e0) AS BIGINT)) OVER (ORDER BY sample) AS batch FROM {samples}",
 )

@@ -113,16 +113,17 @@ add(
     "SELECT chrom, greatest(pos - 51, 0) AS start0, pos - 1 + greatest(length(ref), length(alt)) + 50 AS end0 FROM {sites} WHERE length(ref) <> length(alt)",
 )
 add(
-    "b30_one_hot", "samples", lambda s: (lambda o: o.select(*[F.col(c).cast("bigint").alias(c.lower()) for c in o.columns if c == "sample" or c.startswith("ancestry_")]).groupBy().agg(F.count("sample").alias("n"), F.sum(F.greatest(*[F.lit(0), *(c.lower() for c in o.columns if c.startswith("ancestry_"))])).alias("not_reference")))(R.one_hot(s, "ancestry")),
-    "SELECT count(*) AS n, CAST(count(*) - max(k) AS BIGINT) AS not_reference FROM (SELECT count(*) OVER (PARTITION BY ancestry) AS k FROM {samples})",
+    "b30_one_hot", "samples", lambda s: (lambda o: o.select("sample", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) if c in o.columns else F.lit(0).cast("bigint").alias(c) for c in (f"ancestry_{a}" for a in ("afr", "amr", "eas", "eur", "sas"))]))(R.one_hot(s, "ancestry")),
+    """WITH l AS (SELECT ancestry FROM {samples} GROUP BY 1 ORDER BY count(*) DESC, ancestry LIMIT 1)
+       SELECT sample, """ + ", ".join(f"CAST(ancestry = '{a}' AND '{a}' NOT IN (SELECT ancestry FROM l) AS BIGINT) AS ancestry_{a}" for a in ("afr", "amr", "eas", "eur", "sas")) + " FROM {samples}",
 )
 add(
     "b31_standardize", "samples", lambda s: R.standardize(s, "balance").select("sample", F.round("balance_z", 6).alias("z")),
     "SELECT sample, round((balance - (SELECT avg(balance) FROM {samples})) / (SELECT stddev_pop(balance) FROM {samples}), 6) AS z FROM {samples}",
 )
 add(
-    "b33_cpg_sites", "cpg", lambda c: c.where("chrom = 'chr5' AND begin0 BETWEEN 100 AND 800 AND cov >= 10").groupBy("begin0").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score")),
-    "SELECT begin0, count(*) AS n, round(avg(score), 6) AS score FROM {cpg} WHERE chrom = 'chr5' AND begin0 BETWEEN 100 AND 800 AND cov >= 10 GROUP BY begin0",
+    "b33_cpg_sites", "cpg", lambda c: c.where("chrom = 'chr5' AND begin0 BETWEEN 5 AND 35 AND cov >= 10").groupBy("begin0").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score")),
+    "SELECT begin0, count(*) AS n, round(avg(score), 6) AS score FROM {cpg} WHERE chrom = 'chr5' AND begin0 BETWEEN 5 AND 35 AND cov >= 10 GROUP BY begin0",
 )
 
 add("a5_in_region", "sites", lambda s: intervals.in_region(s, "chr7:1000-20000").select("id", "pos"), "SELECT id, pos FROM {sites} WHERE chrom = 'chr7' AND pos BETWEEN 1000 AND 20000")

@@ -30,6 +30,11 @@ VIEWS = {
           max(CASE WHEN l.l_suppkey % 11 = 0 THEN NULL ELSE l.l_suppkey % 2 END) AS allele, max(CASE WHEN l.l_suppkey % 17 = 0 THEN NULL ELSE l.l_suppkey % 5 END) AS anc
         FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {sites} s ON s.site = l.l_partkey
         GROUP BY s.chrom, s.pos, s.id, s.site, o.o_custkey, l.l_linenumber % 2 + 1""",
+    # haplotypes of every sample at the same few places
+    "lai": """
+        SELECT o.o_custkey AS sample, 'chr' || CAST(l.l_partkey % 3 + 1 AS STRING) AS chrom, (l.l_partkey % 7) * 1000 + 500 AS pos, l.l_linenumber % 2 + 1 AS hap,
+          max(CASE WHEN l.l_suppkey % 17 = 0 THEN NULL ELSE l.l_suppkey % 3 END) AS anc, max(CASE WHEN l.l_suppkey % 11 = 0 THEN NULL ELSE l.l_suppkey % 2 END) AS allele
+        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3, 4""",
     "calls": """
         SELECT chrom, pos, id, site, sample, max(CASE WHEN hap = 1 THEN allele END) AS a1, max(CASE WHEN hap = 2 THEN allele END) AS a2,
           max(CASE WHEN hap = 1 THEN anc END) AS an1, max(CASE WHEN hap = 2 THEN anc END) AS an2,
@@ -44,8 +49,8 @@ VIEWS = {
     "track": """
         SELECT 'chr' || CAST(o_orderkey % 22 + 1 AS STRING) AS chrom, (o_orderkey * 1009) % 80000 AS start0, (o_orderkey * 1009) % 80000 + 50 + o_orderkey % 400 AS end0,
           CASE o_orderkey % 3 WHEN 0 THEN 'rm' WHEN 1 THEN 'sr' ELSE 'sd' END AS name
-        FROM {orders} WHERE o_orderkey % 5 = 0""",
-    "markers": "SELECT 'chr' || CAST(p_partkey % 22 + 1 AS STRING) AS chrom, CAST(p_partkey * 37 + 1 AS BIGINT) AS pos, p_partkey % 5 AS an1, p_size % 5 AS an2 FROM {part} WHERE p_partkey % 7 = 0",
+        FROM {orders}""",
+    "markers": "SELECT 'chr' || CAST(p_partkey % 22 + 1 AS STRING) AS chrom, CAST(p_partkey * 37 + 1 AS BIGINT) AS pos, p_partkey % 5 AS an1, p_size % 5 AS an2 FROM {part}",
     "catalog": """
         SELECT 'chr' || CAST(p_partkey % 22 + 1 AS STRING) AS chrom, CAST(p_partkey * 37 - 20 AS BIGINT) AS start0, CAST(p_partkey * 37 - 20 + p_size * 9 AS BIGINT) AS end0,
           'L' || CAST(p_partkey AS STRING) AS locus, CAST(p_size % 6 + 1 AS BIGINT) AS period
@@ -60,7 +65,7 @@ VIEWS = {
         FROM {lineitem}""",
     "cpg": """
         SELECT user_id AS sample, CASE event_id % 3 WHEN 0 THEN 'hap1' WHEN 1 THEN 'hap2' ELSE 'combined' END AS track, CASE event_id % 24 WHEN 22 THEN 'chrX' WHEN 23 THEN 'chrY' ELSE 'chr' || CAST(event_id % 22 + 1 AS STRING) END AS chrom,
-          event_id % 997 AS begin0, event_id % 31 AS cov, CAST((event_id * 7) % 101 AS DOUBLE) AS score, event_type AS caller
+          event_id % 40 AS begin0, event_id % 31 AS cov, CAST((event_id * 7) % 101 AS DOUBLE) AS score, event_type AS caller
         FROM {events}""",
     "ehr": "SELECT user_id AS person, event_type AS concept, value, event_id FROM {events}",
     "pheno": "SELECT o_custkey AS person, 'CV_' || substr(o_orderpriority, 1, 1) || CASE WHEN o_orderkey % 2 = 0 THEN '01' ELSE '01.' || CAST(o_orderkey % 4 AS STRING) END AS code, max(CASE WHEN o_orderkey % 5 < 2 THEN 1 WHEN o_orderkey % 17 = 0 THEN NULL ELSE 0 END) AS value FROM {orders} GROUP BY 1, 2",

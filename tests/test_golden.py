@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats as S
 from strandlake.operators import association as A
 from strandlake.operators import cohort as C
+from strandlake.operators import dossier as D
+from strandlake.operators import loci as L
 from strandlake.operators import intervals as I
 from strandlake.operators import rows as R
 from strandlake.sources import tables
@@ -130,10 +132,28 @@ def test_score_test_against_dense_algebra(spark):
 
 
 def test_locus_dosage_and_allele_table(spark):
-    records = [("L1", "S1", 1, 3, False, False), ("L1", "S1", 1, 60, False, True), ("L1", "S1", 2, 0, False, False), ("L1", "S2", 1, None, False, False), ("L1", "S2", 1, 3, False, False), ("L1", "S2", 2, 3, False, False), ("L2", "S1", 1, -4, True, False), ("L2", "S1", 1, 2, True, False)]
-    got = C.locus_dosage(spark.createDataFrame(records, "locus string, sample string, hap int, bp long, unphased_het boolean, size_sv boolean"))
-    assert rows(got.select("locus", "sample", "hap", F.coalesce("dosage", F.lit(-99)).alias("d"), "ambiguous", "duplicate"), "*") == [("L1", "S1", 1, 63, False, True), ("L1", "S1", 2, 0, False, False), ("L1", "S2", 1, -99, False, False), ("L1", "S2", 2, 3, False, False), ("L2", "S1", 1, -99, True, False)]
-    assert rows(C.allele_table(got).where("locus = 'L1'"), "dosage", "n_hap_allele", "n_hap", "n_hap_missing") == [(0, 1, 3, 1), (3, 1, 3, 1), (63, 1, 3, 1)]
+    # rec, bp by haplotype, phased, sv
+    records = [("L1", "S1", "r1", (3, 0), True, False), ("L1", "S1", "r2", (60, 0), True, True), ("L1", "S2", "r1", (None, 3), True, False), ("L1", "S2", "r2", (3, 3), False, False)]
+    records += [("L2", "S1", "r3", (3, 0), False, False), ("L2", "S1", "r4", (3, 0), False, False), ("L2", "S2", "r3", (3, 0), False, False), ("L2", "S2", "r4", (3, 3), False, False)]
+    flat = [(locus, s, h + 1, rec, bp[h], phased, sv) for locus, s, rec, bp, phased, sv in records for h in (0, 1)]
+    got = C.locus_dosage(spark.createDataFrame(flat, "locus string, sample string, hap int, rec string, bp long, phased boolean, size_sv boolean"))
+    # two unphased hets make the sample ambiguous on both haplotypes, even where they are alike; one does not
+    assert rows(got.select("locus", "sample", "hap", F.coalesce("dosage", F.lit(-99)).alias("d"), "ambiguous", "duplicate"), "*") == [
+        ("L1", "S1", 1, 63, False, True), ("L1", "S1", 2, 0, False, False), ("L1", "S2", 1, -99, False, False), ("L1", "S2", 2, 6, False, False),
+        ("L2", "S1", 1, -99, True, False), ("L2", "S1", 2, -99, True, False), ("L2", "S2", 1, 6, False, False), ("L2", "S2", 2, 3, False, False),
+    ]
+    assert rows(C.allele_table(got).where("locus = 'L1'"), "dosage", "n_hap_allele", "n_hap", "n_hap_missing") == [(0, 1, 3, 1), (6, 1, 3, 1), (63, 1, 3, 1)]
+
+
+def test_tiling_periods(spark):
+    df = spark.createDataFrame([("CAGCAGCAG",), ("AAAA",), ("CAGT",), ("ACAC",), ("A",), ("",)], "s string")
+    assert [r[0] for r in df.select(L.tiling_period("s")).collect()] == [3, 1, None, 2, None, None]
+
+
+def test_spectrum_merges_sparse_bins(spark):
+    df = spark.createDataFrame([(x,) for x in (1, 2, 3, 11, 25, 25, 25, 41)], "v int")
+    assert L.bin_spectrum(df, "v", [0, 10, 20, 30, 40, 50], 3) == [(0, 10, 3), (10, 50, 5)]
+    assert L.bin_spectrum(df, "v", [0, 10, 20, 30], 9) == [(0, 30, 7)] and L.bin_spectrum(df.limit(0), "v", [0, 10], 1) == []
 
 
 def test_longest_pure_segment(spark):
@@ -234,3 +254,77 @@ def test_ld_prune_is_the_pass_in_order(spark):
     got = A.ld_prune(calls, 0.1, 700, 10).collect()
     assert len(got) == 60 and {r.site for r in got if r.kept} == {i for _, _, i in kept}
     assert len(kept) < 60
+
+
+# --- models and matrices against dense algebra
+
+
+def test_logistic_fits_by_group(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for g, (a, b) in {"u": (0.3, 1.1), "v": (-1.0, -0.4)}.items():
+        x = rng.normal(50, 20, 400)
+        y = rng.random(400) < 1 / (1 + np.exp(-(a + b * (x - 50) / 20)))
+        data += [(g, float(t), float(v)) for t, v in zip(y, x)]
+    data += [("same", 1.0, float(i)) for i in range(9)]
+    got = {r.g: r for r in D.logit_fits(spark.createDataFrame(data, "g string, y double, x double"), ["g"]).collect()}
+    assert set(got) == {"u", "v"}
+    for g in got:
+        y, x = (np.array([r[i] for r in data if r[0] == g]) for i in (1, 2))
+        m, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+        for _ in range(60):
+            mu = 1 / (1 + np.exp(-m @ beta))
+            h = m.T @ (m * (mu * (1 - mu))[:, None])
+            beta = beta + np.linalg.solve(h, m.T @ (y - mu))
+        assert np.allclose([got[g].b0, got[g].b1], beta) and math.isclose(got[g].se1, np.sqrt(np.linalg.inv(h)[1, 1]), rel_tol=1e-6)
+        mu = 1 / (1 + np.exp(-m @ beta))
+        assert math.isclose(got[g].ll, (y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum(), rel_tol=1e-9)
+    one = D.fit_null(spark.createDataFrame([(i, r[1], r[2], 1.0) for i, r in enumerate(data[:400])], "id long, y double, x double, c double"), "id", "y", ["x", "c"])
+    r = {x.id: x.r for x in one[0].collect()}
+    assert one[2] == ["x"] and abs(sum(r.values())) < 1e-6 and abs(sum(r[i] * data[i][2] for i in r)) < 1e-4
+
+
+def test_benjamini_hochberg(spark):
+    p = [0.01, 0.04, 0.03, 0.5]
+    got = {r.p: r.q for r in D.benjamini_hochberg(spark.createDataFrame([("a", str(i), x) for i, x in enumerate(p)], "c string, t string, p double"), "p", ["c"], "t").collect()}
+    assert np.allclose([got[x] for x in p], [0.04, 0.16 / 3, 0.16 / 3, 0.5])
+
+
+def test_pca_and_relatedness(spark):
+    rng = np.random.default_rng(6)
+    group = rng.integers(0, 2, 40)
+    f = rng.uniform(0.1, 0.9, (2, 120))
+    g = rng.binomial(2, f[group])
+    there = rng.random(g.shape) > 0.05
+    calls = [(j, i, int(g[i, j] > 0), int(g[i, j] > 1)) if there[i, j] else (j, i, None, None) for i in range(40) for j in range(120)]
+    df = spark.createDataFrame(calls, "site long, sample long, a1 long, a2 long")
+    mean = np.where(there, g, 0).sum(0) / there.sum(0) / 2
+    use = (mean > 0) & (mean < 1)
+    z = np.where(there, (g - 2 * mean) / np.sqrt(2 * mean * (1 - mean)), 0)[:, use] / np.sqrt(use.sum())
+    u, s, v = np.linalg.svd(z, full_matrices=False)
+    scores, loadings, got = D.pca(df, 2, 30)
+    assert math.isclose(got[0], s[0], rel_tol=1e-6)
+    mine = np.array([r.pcs for r in scores.orderBy("sample").collect()])
+    assert abs(np.corrcoef(mine[:, 0], u[:, 0])[0, 1]) > 0.9999 and math.isclose(np.abs(mine[:, 0]).sum(), np.abs(u[:, 0] * s[0]).sum(), rel_tol=1e-5)
+    assert loadings.count() == use.sum() and max((r.loadings[0] for r in loadings.collect()), key=abs) > 0
+    pairs = {(r["sample"], r["sample2"]): (r.n, r.k) for r in D.relatedness(df, -9.0, block=16, slab=50).collect()}
+    assert len(pairs) == 40 * 39 // 2
+    for i, j in ((0, 1), (3, 30), (17, 39)):
+        both = there[i, use] & there[j, use]
+        assert pairs[i, j][0] == both.sum() and math.isclose(pairs[i, j][1], (z[i] * z[j]).sum() * use.sum() / both.sum(), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_correlated_phenotypes_are_pruned_by_rank(spark):
+    ranked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "code string, rank long")
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.95), ("a", "d", 0.5), ("c", "d", 0.8)], "a string, b string, r2 double")
+    assert rows(D.prune_correlated(ranked, pairs, 0.7).select("code", F.coalesce("dropped_for", F.lit("-")).alias("d")), "*") == [("a", "-"), ("b", "a"), ("c", "-"), ("d", "c")]
+
+
+def test_score_coherence_and_windows_of_alignments(spark):
+    strata = spark.createDataFrame([("m", "anc1", 2.0, 0.0455, False), ("m", "anc2", 3.0, 1e-6, False), ("m", "anc3", 9.0, 0.5, True), ("n", "anc1", 1.0, 0.3, True)], "marker string, stratum string, z double, p double, spa boolean")
+    got = {r.marker: r for r in D.score_p_coherence(strata, ["marker"]).collect()}
+    assert (got["m"].worst_stratum, got["m"].n_spa, got["m"].n_plain) == ("anc2", 1, 2) and math.isclose(got["m"].max_log10_gap, abs(math.log10(1e-6 / 0.0026997960632601866)), rel_tol=1e-6)
+    assert (got["n"].worst_stratum, got["n"].max_log10_gap, got["n"].n_spa) == (None, None, 1)
+    ops = spark.createDataFrame([("c", 100, i, o, n) for i, (o, n) in enumerate([("S", 5), ("M", 10), ("I", 3), ("M", 10), ("D", 4), ("M", 6)])], "contig string, ref_start long, i long, op string, len long")
+    windows = spark.createDataFrame([("c", 105, 115), ("c", 100, 130), ("c", 121, 123), ("c", 90, 110)], "contig string, start long, end long")
+    assert rows(D.query_window(ops, windows), "start", "end", "query_start", "query_end") == [(100, 130, 5, 34), (105, 115, 10, 23)]

@@ -156,7 +156,7 @@ class Bpe:
             piece = self.normal(piece)
             # runs between blanks are looked up first; only new ones are cut into words
             runs = piece.split() if self.plain.search(piece) is None else self.blank.split(piece)
-            ids += [known[r] if r in known else one(r) for r in runs if r]
+            ids += [known.get(r) or one(r) for r in runs if r]
         return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
@@ -216,8 +216,11 @@ class Decoder:
         self.tokens, self.begun = bpe.tokens, False
 
     def push(self, ids: bytes) -> str:
-        known = self.tokens
-        found = [known[i] for i in array("I", ids) if i in known]
+        known, read = self.tokens, array("I", ids)
+        try:
+            found = list(map(known.__getitem__, read))
+        except KeyError:
+            found = [known[i] for i in read if i in known]
         if not found:
             return ""
         ahead, self.begun = " " if self.begun else "", True

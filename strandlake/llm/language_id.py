@@ -180,24 +180,38 @@ def between_words(text: str, size: int):
         at = end
 
 
+def _hashed(batches):
+    """Words (n = 0) and n-grams by their hashes."""
+    for batch in batches:
+        text, n = batch.column("g").to_pylist(), batch.column("n").to_numpy()
+        buf = code_points("".join(text)).astype(np.uint64)
+        size = np.fromiter(map(len, text), np.int64, len(text))
+        start, h = np.cumsum(size) - size, np.zeros(len(text), np.uint64)
+        for level in np.unique(n).tolist():
+            at = np.flatnonzero(n == level)
+            h[at] = gram_hashes(buf, start[at], level) if level else word_hashes(buf, start[at], start[at] + size[at])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("n"), pa.array(h.view(np.int64)), batch.column("k")], names=["lang", "n", "h", "k"])
+
+
 def train(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
-    """Count words and character n-grams in Spark; the driver gets the counts of the learning sample (docs: doc_id, lang, text)."""
+    """Count words and character n-grams in Spark; the driver gets the hashes and counts of the learning sample (docs: doc_id, lang, text)."""
     words = learning_sample(docs, most_docs).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("g"))
     counts = stage(words.groupBy("lang", "g").agg(F.count("*").alias("k")), "words")
     pieces = counts.select("lang", F.lit(0).alias("n"), "g", "k")
     for n in range(1, CHARS + 1):
         padded = F.concat(F.lit(" "), "g", F.lit(" ")) if n > 1 else F.col("g")
         pieces = pieces.unionByName(counts.select("lang", F.lit(n).alias("n"), F.explode(_pieces(padded, n)).alias("g"), "k").where(F.length("g") == n))
-    got = pieces.groupBy("lang", "n", "g").agg(F.sum("k").alias("k")).toArrow()
-    langs = sorted(got.column("lang").unique().to_pylist())
-    if not langs:
+    got = pieces.groupBy("lang", "n", "g").agg(F.sum("k").alias("k")).mapInArrow(_hashed, "lang string, n int, h long, k long").toArrow()
+    coded = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else None
+    if coded is None:
         nothing = Known(np.zeros(0, np.uint64), np.zeros((0, 0)))
         return Model([], nothing, nothing)
-    lang = np.searchsorted(np.array(langs, object), got.column("lang").to_numpy())
-    n, k, text = got.column("n").to_numpy(), got.column("k").to_numpy().astype(float), got.column("g").to_pylist()
-    buf = code_points("".join(text)).astype(np.uint64)
-    size = np.fromiter(map(len, text), np.int64, len(text))
-    start = np.cumsum(size) - size
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    met = coded.dictionary.to_pylist()
+    langs = sorted(met)
+    lang = np.array([langs.index(x) for x in met])[coded.indices.to_numpy()]
+    n, k, h = got.column("n").to_numpy(), got.column("k").to_numpy().astype(float), got.column("h").to_numpy().view(np.uint64)
     # additive smoothing by 0.1, over the kinds that a language has and one more
     norm = np.log(np.array([[k[at].sum() + 0.1 * at.sum() + 1 for at in ((lang == x) & (n == level) for x in range(len(langs)))] for level in range(CHARS + 1)]))
 
@@ -208,11 +222,10 @@ def train(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model:
         return Known(keys, table)
 
     whole, parts = np.flatnonzero(n == 0), np.flatnonzero(n > 0)
-    h = np.zeros(len(text), np.uint64)
-    for level in range(1, CHARS + 1):
-        at = np.flatnonzero(n == level)
-        h[at] = gram_hashes(buf, start[at], level)
-    return Model(langs, known(whole, word_hashes(buf, start[whole], start[whole] + size[whole])), known(parts, h[parts]))
+    model = Model(langs, known(whole, h[whole]), known(parts, h[parts]))
+    del got, coded
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

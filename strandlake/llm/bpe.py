@@ -24,7 +24,6 @@ import re
 import struct
 import unicodedata
 from array import array
-from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -107,29 +106,28 @@ class Bpe:
                 ranks[i] = rank((new, parts[i + 1]), none)
         return parts
 
-    def stream(self, symbols):
-        """Tokens of one word from an iterator of its symbols, each as soon as it is stable."""
+    def stream(self, parts):
+        """Tokens of one word from parts of its symbols, each token as soon as it is stable."""
         machine = Transducer(self)
-        for part in iter(lambda: list(islice(symbols, machine.size)), []):
+        for part in parts:
             yield from machine.push(part)
         yield from machine.finish()
 
     def symbols(self, word: str):
-        """The letters of the word's bytes, the last with the end mark."""
-        last = None
-        for c in word:
-            for b in c.encode("utf-8", "surrogatepass"):
-                if last is not None:
-                    yield last
-                last = self.letters[b]
-        if last is not None:
-            yield last + self.end
+        """The letters of the word's bytes, the last with the end mark, in parts of bounded size."""
+        size = 4 * self.lookahead
+        for at in range(0, len(word), size):
+            part = list(map(self.letters.__getitem__, word[at : at + size].encode("utf-8", "surrogatepass")))
+            if at + size >= len(word):
+                part[-1] += self.end
+            yield part
 
     def encode_word(self, word: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         got = self.known.get(word)
         if got is None:
-            got = b"".join(struct.pack("<I", self.ids[p]) for p in self.stream(self.symbols(word)) if p in self.ids)
+            ids = self.ids
+            got = array("I", [ids[p] for p in self.stream(self.symbols(word)) if p in ids]).tobytes()
             if len(self.known) >= MOST_KEPT:
                 self.known.clear()
             if len(word) <= 64:

@@ -65,7 +65,9 @@ def learning_sample(docs: DataFrame, most_docs: int) -> DataFrame:
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n_lang"))
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("learn")), F.lit(1_000_000)) * F.col("n_lang") < F.lit(1_000_000 * most_docs)
-    return known.join(sizes, "lang").where(draw)
+    sizes = stage(sizes, "languages")
+    # a few languages hold most rows: their sizes are broadcast where they are few enough, so no text is shuffled by its language
+    return known.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang").where(draw)
 
 
 class Known:

@@ -348,7 +348,7 @@ def test_transducer_takes_symbols_in_any_parts_and_holds_few():
         for size in (1, 2, 7, 4 * b.lookahead + rng.randrange(3000)):
             symbols = [rng.choice(letters) for _ in range(size)]
             symbols[-1] += b.end
-            assert list(b.stream(iter(symbols))) == b.merged(symbols[:])
+            assert list(b.stream([symbols[:9], symbols[9:]])) == b.merged(symbols[:])
             machine, got, at = bpe.Transducer(b), [], 0
             while at < size:
                 n = rng.randrange(1, machine.size)
@@ -356,7 +356,9 @@ def test_transducer_takes_symbols_in_any_parts_and_holds_few():
                 assert len(machine.held) < machine.size
                 at += n
             assert got + machine.finish() == b.merged(symbols[:])
-    assert "".join(b.symbols("\u00e9a")) == "".join(b.letters[x] for x in "\u00e9a".encode()) + b.end and list(b.symbols("")) == []
+    assert ["".join(p) for p in b.symbols("\u00e9a")] == ["".join(b.letters[x] for x in "\u00e9a".encode()) + b.end] and list(b.symbols("")) == []
+    long = "ab" * 4 * b.lookahead
+    assert "".join(map("".join, b.symbols(long))) == long + b.end and len(list(b.symbols(long))) == 2
 
 
 def test_every_word_goes_through_the_transducer(monkeypatch):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.functions.stats import chi2_sf, chi2_tail
+from strandlake.functions.stats import chi2_tail
 from strandlake.operators.intervals import cluster_positions
 from strandlake.sources.tables import stage
 
@@ -129,36 +129,106 @@ def regional_support(assoc: DataFrame, leads: DataFrame, reach: int = 100_000, o
     return leads.select("lead").join(got, "lead", "left").na.fill(0, ["neighbours", "support"])
 
 
-def mahalanobis(df: DataFrame, key: str, columns: list[str], group: str) -> DataFrame:
-    """key, group and the distance to the group's mean under its covariance (pseudo-inverse where it is singular).
+def mahalanobis(df: DataFrame, key: str, columns: list[str], group: str | None = None, top: float = 0.05, least: int = 2) -> DataFrame:
+    """key, group, the distance to the group's mean under its covariance (pseudo-inverse where it is singular), rank and whether it is far out.
 
-    Covariances are sums by group; only their small inverses pass the driver, one for each group."""
+    Without a group all rows are one. Ranks fall with the distance, equal ones share the smallest; ceil(top * n) rows of a group, at least one,
+    are far (ties by key). Groups of fewer than `least` rows and rows with a null component take no part. Covariances are sums by group; only
+    their small inverses pass the driver, one for each group. Ranks come from counts by range bucket, so no group is one sort."""
+    by = group or "_all"
+    good = df.dropna(subset=columns).withColumn(by, F.col(group) if group else F.lit(1))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    told = df.groupBy(group).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs)).toPandas()
+    told = good.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs)).where(F.col("n") >= least).toPandas()
     rows = []
     for r in told.to_dict("records"):
         cov = np.array([[r[f"c_{a}_{b}"] if (a, b) in pairs else r[f"c_{b}_{a}"] for b in columns] for a in columns], float)
         inverse = np.linalg.pinv(np.nan_to_num(cov))
-        rows.append((r[group], [float(r[f"m_{c}"]) for c in columns], [float(x) for x in inverse.ravel()]))
-    small = F.broadcast(df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, m array<double>, s array<double>"))
+        rows.append((r[by], [float(r[f"m_{c}"]) for c in columns], [float(x) for x in inverse.ravel()]))
+    small = F.broadcast(df.sparkSession.createDataFrame(rows, f"{by} {good.schema[by].dataType.simpleString()}, m array<double>, s array<double>"))
     k = len(columns)
     d = F.zip_with(F.array(*columns), F.col("m"), lambda a, b: a - b)
     square = F.aggregate(F.sequence(F.lit(0), F.lit(k * k - 1)), F.lit(0.0), lambda acc, i: acc + F.get(F.col("d"), (i / k).cast("int")) * F.get(F.col("s"), i) * F.get(F.col("d"), (i % k).cast("int")))
-    return df.join(small, group).withColumn("d", d).select(key, group, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
-
-
-def nearest_labels(queries: DataFrame, refs: DataFrame, k: int, dims: int) -> DataFrame:
-    """id, label, share: the majority label of each query's k nearest references (Euclidean; ties by id, then label).
-
-    References are bounded (a labelled panel) and are broadcast only where that is so by count."""
-    r = refs.select(F.col("id").alias("ref"), F.col("v").alias("rv"), "label")
-    small = refs.count() <= 20_000
-    square = F.aggregate(F.zip_with("v", "rv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    pairs = queries.select("id", "v").join(F.broadcast(r) if small else r, F.col("id") != F.col("ref")).select("id", "ref", "label", square.alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "ref"))).where(F.col("r") <= k)
-    votes = near.groupBy("id", "label").agg(F.count("*").alias("n"))
-    best = votes.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "label"))).where("r = 1")
-    return best.select("id", "label", (F.col("n") / k).alias("share"))
+    far = good.join(small, by).withColumn("d", d).select(key, by, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+    far = far.withColumn("b", F.when(F.col("distance") > 0, F.greatest(F.floor(F.log2("distance") * 64), F.lit(-4096))).otherwise(-4097))
+    sizes = far.groupBy(by, "b").agg(F.count("*").alias("k"))
+    ahead = sizes.select(by, "b", (F.sum("k").over(W.partitionBy(by).orderBy(F.desc("b"))) - F.col("k")).alias("ahead"), F.sum("k").over(W.partitionBy(by)).alias("n"))
+    inside = W.partitionBy(by, "b").orderBy(F.desc("distance"))
+    ranked = far.join(ahead, [by, "b"]).withColumn("rank", F.col("ahead") + F.rank().over(inside))
+    place = F.col("ahead") + F.row_number().over(W.partitionBy(by, "b").orderBy(F.desc("distance"), key))
+    out = ranked.withColumn("far", place <= F.greatest(F.ceil(F.col("n") * F.lit(top)), F.lit(1)))
+    return out.select(key, *([group] if group else []), "distance", "rank", "far")
+
+
+def nearest(queries: DataFrame, refs: DataFrame, k: int, block: int = 1024, chunk: int = 4096) -> DataFrame:
+    """id, ref, label, d, r: the k nearest references (id, label, v) of each query (id, v), Euclidean, ties by the reference's id.
+
+    Queries are packed into blocks and references into chunks of bounded size by hash; every block meets every chunk in a task of its own,
+    which gives k rows a query, and a window takes the k of all chunks. Nothing is broadcast."""
+    count = lambda df, size: max(1, -(-df.count() // size))
+    blocks, chunks = count(queries, block), count(refs, chunk)
+
+    def pack(df: DataFrame, parts: int, part: str, name: str, *more: str) -> DataFrame:
+        g = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(part)).agg(F.sort_array(F.collect_list(F.struct("id", "v", *more))).alias("x"))
+        return g.select(part, *(F.col(f"x.{c}").alias(f"{name}{c}") for c in ("id", *more)), F.flatten(F.col("x.v")).alias(f"{name}v"))
+
+    q = pack(queries, blocks, "block", "q").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    both = q.join(pack(refs, chunks, "chunk", "r", "label"), "chunk")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"id {kind(queries, 'id')}, ref {kind(refs, 'id')}, label {kind(refs, 'label')}, d double"
+
+    def measure(batches):
+        for df in batches:
+            for qid, qv, rid, label, rv in zip(df["qid"], df["qv"], df["rid"], df["rlabel"], df["rv"]):
+                x, y = np.asarray(qv, float).reshape(len(qid), -1), np.asarray(rv, float).reshape(len(rid), -1)
+                d = np.zeros((len(x), len(y)))
+                for j in range(x.shape[1]):
+                    d += (x[:, j : j + 1] - y[:, j]) ** 2
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]  # references of a chunk are in order of id
+                yield pd.DataFrame({"id": np.repeat(np.asarray(qid), near.shape[1]), "ref": np.asarray(rid)[near.ravel()], "label": np.asarray(label)[near.ravel()], "d": np.sqrt(np.take_along_axis(d, near, 1)).ravel()})
+
+    found = both.mapInPandas(measure, schema)
+    return found.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "ref"))).where(F.col("r") <= k)
+
+
+def infer_labels(queries: DataFrame, refs: DataFrame, dims: int, k: int = 15, least_share: float = 0.8, least_margin: float = 0.5) -> DataFrame:
+    """id, label, centroid, share, margin, confident for each query (id, v): the majority label of the k nearest references and the nearest centroid.
+
+    Components are scaled by mean and deviation (population) of the references (id, v, label); one that doesn't vary isn't divided. margin is how
+    much farther the second centroid is (infinite where there is one label). Confident: both labels agree, and the share of votes or the margin
+    is large enough. Ties go to the smaller label."""
+    told = refs.agg(*(F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(dims)), *(F.stddev_pop(F.get("v", F.lit(i))).alias(f"s{i}") for i in range(dims))).first()
+    scaled = F.array(*((F.get("v", F.lit(i)) - F.lit(told[f"m{i}"] or 0.0)) / F.lit(told[f"s{i}"] or 1.0) for i in range(dims)))
+    q, r = queries.select("id", scaled.alias("v")), stage(refs.select("id", "label", scaled.alias("v")), "scaled")
+    votes = nearest(q, r, k).groupBy("id", "label").agg(F.count("*").alias("n"))
+    vote = votes.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "label"))).where("r = 1").select("id", "label", (F.col("n") / k).alias("share"))
+    centres = r.groupBy("label").agg(F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(dims))).alias("v")).select(F.col("label").alias("id"), "label", "v")
+    two = nearest(q, centres, 2).groupBy("id").agg(F.min_by("label", "r").alias("centroid"), (F.max(F.when(F.col("r") == 2, F.col("d"))) - F.min("d")).alias("margin"))
+    both = vote.join(two.withColumn("margin", F.coalesce("margin", F.lit(float("inf")))), "id")
+    sure = (F.col("label") == F.col("centroid")) & ((F.col("share") >= least_share) | (F.col("margin") >= least_margin))
+    return both.select("id", "label", "centroid", "share", "margin", sure.alias("confident"))
+
+
+def fill_labels(samples: DataFrame, hard: list[str], dims: int, k: int = 15, fill_low: bool = True) -> DataFrame:
+    """Audit rows of labels filled from the nearest labelled samples: id, method, before, suggested, centroid, share, margin, confident, after, soft_after, soft_confident.
+
+    samples: id, v (components, null without any), soft and hard_label (strings, null if missing), control. A sample without both labels gets
+    a hard one from neighbours with a label in `hard` and a soft one from neighbours of any label (`knn`). Then others, but controls, whose
+    hard label is missing or not in `hard` get theirs (`knn_hard`), with the first ones as references too. Unsure ones are filled only with
+    fill_low; else after is null and the method ends in `_skipped`."""
+    have = samples.where("v IS NOT NULL").select("id", "v", "soft", "control", F.col("hard_label").alias("was"), F.when(F.col("hard_label").isin(hard), F.col("hard_label")).otherwise(F.when(F.col("soft").isin(hard), F.col("soft"))).alias("label"))
+    gap = F.col("was").isNull() & F.col("soft").isNull()
+    refs = have.where("label IS NOT NULL").select("id", "v", "label")
+    first = infer_labels(have.where(gap), refs, dims, k).withColumnsRenamed({"label": "suggested"})
+    soft = infer_labels(have.where(gap), have.where("soft IS NOT NULL").select("id", "v", F.col("soft").alias("label")), dims, k).select("id", F.col("label").alias("soft_after"), F.col("confident").alias("soft_confident"))
+    kept = lambda c: F.when(F.col("confident") | F.lit(fill_low), F.col(c))
+    named = lambda name: F.concat(F.lit(name), F.when(kept("suggested").isNull(), F.lit("_skipped")).otherwise(F.lit("")))
+    own = ("id", "method", "before", "suggested", "centroid", "share", "margin", "confident", "after", "soft_after", "soft_confident")
+    one = stage(first.join(soft, "id").withColumns({"before": F.lit(None).cast("string"), "method": named("knn"), "after": kept("suggested"), "soft_after": kept("soft_after"), "soft_confident": kept("soft_confident")}).select(*own), "filled")
+    filled = one.where("after IS NOT NULL").select("id", "after")
+    open_ = have.where(~F.coalesce("control", F.lit(False)) & (F.col("was").isNull() | ~F.col("was").isin(hard))).join(filled, "id", "left_anti")
+    more = refs.unionByName(have.join(filled, "id").select("id", "v", F.col("after").alias("label")))
+    two = infer_labels(open_, more, dims, k).withColumnsRenamed({"label": "suggested"}).join(open_.select("id", F.col("was").alias("before"), F.col("soft").alias("soft_after")), "id")
+    return one.unionByName(two.withColumns({"method": named("knn_hard"), "after": kept("suggested"), "soft_confident": F.lit(None).cast("boolean")}).select(*own))
 
 
 def score_test(dosage: DataFrame, null: DataFrame, cov_inverse: np.ndarray, strata: int, ac_min: float = 0.0, variance_ratio: float = 1.0) -> DataFrame:
@@ -242,16 +312,3 @@ def ld_prune(calls: DataFrame, r2: float = 0.1, window: int = 500_000, least: in
     if gone is None:
         return sites.withColumn("kept", F.lit(True))
     return sites.join(gone.withColumn("gone", F.lit(True)), "site", "left").select("chrom", "pos", "site", F.col("gone").isNull().alias("kept"))
-
-
-def relatedness(calls: DataFrame, least: float) -> DataFrame:
-    """Pairs of samples with standardised genotype relatedness of at least `least`, from the sites where both are called."""
-    d = calls.where("a1 IS NOT NULL AND a2 IS NOT NULL").select("site", "sample", (F.col("a1") + F.col("a2")).cast("double").alias("g"))
-    f = d.groupBy("site").agg((F.avg("g") / 2).alias("p")).where("p > 0 AND p < 1")
-    z = d.join(f, "site").select("site", "sample", ((F.col("g") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z"))
-    pairs = z.join(z.select("site", F.col("sample").alias("sample2"), F.col("z").alias("z2")), "site").where("sample < sample2")
-    return pairs.groupBy("sample", "sample2").agg(F.count("*").alias("n"), F.avg(F.col("z") * F.col("z2")).alias("k")).where(F.col("k") >= least)
-
-
-def tail_p(statistic: str, df: int) -> Column:
-    return chi2_sf(F.col(statistic), F.lit(df))

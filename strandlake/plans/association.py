@@ -68,12 +68,21 @@ add(
     "g11_phewas_matrix", "assoc", lambda a: A.phewas_matrix(hits(a), 1500).withColumn("strength", F.round("strength", 6)),
     f"WITH {clusters('chrom', 1500)} SELECT phenotype, chrom || ':' || CAST(cluster AS STRING) AS locus, round(max(-log10(p)), 6) AS strength FROM c GROUP BY 1, 2",
 )
-add(
-    "e14_mahalanobis", "embeddings",
-    lambda e: A.mahalanobis(e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(2))), "vec_id", ["c0", "c1"], "label").withColumn("distance", F.round("distance", 5)),
-    """WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM {embeddings}), m AS (SELECT label, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM e GROUP BY 1)
-       SELECT vec_id, label, round(sqrt((b * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * b - c * c)), 5) AS distance FROM e JOIN m USING (label)""",
-)
+
+
+def far_sql(by: str) -> str:
+    """Distance, rank and the far tenth of two components, for all rows or by label."""
+    return f"""WITH e AS (SELECT vec_id, {by} AS label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM {{embeddings}}), m AS (SELECT label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM e GROUP BY 1 HAVING count(*) >= 2),
+       d AS (SELECT vec_id, label, n, sqrt((b * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * b - c * c)) AS distance FROM e JOIN m USING (label))
+       SELECT vec_id, {"label, " if by == "label" else ""}round(distance, 5) AS distance, rank() OVER (PARTITION BY label ORDER BY distance DESC) AS rank, row_number() OVER (PARTITION BY label ORDER BY distance DESC, vec_id) <= greatest(ceil(n * 0.1), 1) AS far FROM d"""
+
+
+def two_components(e):
+    return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(2)))
+
+
+add("e14_mahalanobis", "embeddings", lambda e: A.mahalanobis(two_components(e), "vec_id", ["c0", "c1"], "label", 0.1).withColumn("distance", F.round("distance", 5)), far_sql("label"))
+add("e14_mahalanobis_global", "embeddings", lambda e: A.mahalanobis(two_components(e), "vec_id", ["c0", "c1"], None, 0.1).withColumn("distance", F.round("distance", 5)), far_sql("1"))
 add(
     "e15_top_overlap", "assoc", lambda a: A.top_overlap(a.withColumn("gene", F.col("pos") % 211), "phenotype", "gene", "p", 40).withColumn("jaccard", F.round("jaccard", 6)),
     """WITH b AS (SELECT phenotype, pos % 211 AS gene, min(p) AS p FROM {assoc} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY phenotype ORDER BY p, gene) AS r FROM b), t AS (SELECT * FROM r WHERE r <= 40), n AS (SELECT phenotype, count(*) AS n FROM t GROUP BY 1)
@@ -135,16 +144,51 @@ add(
     lambda h, s: A.score_test(C.split_dosage(h, 3).select(F.col("site").alias("variant"), "sample", "anc", F.col("ds").cast("double").alias("ds")), s.select("sample", (F.col("balance") / 10_000).alias("r"), F.lit(1.0).alias("w"), F.array(F.lit(1.0), F.col("sex").cast("double")).alias("x")), np.diag([1e-3, 2e-3]), 3, 0.5).select("variant", "included", *(F.round(c, 6).alias(c) for c in ("chi2", "p", "beta0", "se0", "p0"))),
 )
 add(
-    "h2_ld_pairs", "calls", lambda c: A.ld_pairs(c.withColumn("site", F.col("site") % 40).withColumn("pos", F.col("site") * 10).withColumn("chrom", F.lit("chr1")).groupBy("chrom", "pos", "site", "sample").agg(F.max("a1").alias("a1"), F.max("a2").alias("a2")), 100, 4).withColumn("r2", F.round("r2", 6)),
-    """WITH d AS (SELECT site % 40 AS site, sample, max(a1) + max(a2) AS g FROM {calls} GROUP BY 1, 2), p AS (SELECT a.site, b.site AS site2, CAST(a.g AS DOUBLE) AS g, CAST(b.g AS DOUBLE) AS h FROM d a JOIN d b USING (sample) WHERE a.site < b.site AND abs(a.site - b.site) * 10 <= 100 AND a.g IS NOT NULL AND b.g IS NOT NULL)
+    "h2_ld_pairs", "lai",
+    lambda h: A.ld_pairs(h.groupBy("chrom", "pos", F.concat_ws(":", "chrom", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("site"), "sample").agg(*(F.max(F.when(F.col("hap") == k, F.col("allele"))).alias(f"a{k}") for k in (1, 2))), 2_500, 4).withColumn("r2", F.round("r2", 6)),
+    """WITH d AS (SELECT chrom, pos, chrom || ':' || lpad(CAST(pos AS STRING), 9, '0') AS site, sample, max(CASE WHEN hap = 1 THEN allele END) + max(CASE WHEN hap = 2 THEN allele END) AS g FROM {lai} GROUP BY 1, 2, 3, 4), p AS (SELECT a.site, b.site AS site2, CAST(a.g AS DOUBLE) AS g, CAST(b.g AS DOUBLE) AS h FROM d a JOIN d b USING (sample, chrom) WHERE a.site < b.site AND abs(a.pos - b.pos) <= 2500 AND a.g IS NOT NULL AND b.g IS NOT NULL)
        SELECT site, site2, count(*) AS n, round(CASE WHEN (count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h)) > 0 THEN pow(count(*) * sum(g * h) - sum(g) * sum(h), 2) / ((count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h))) END, 6) AS r2 FROM p GROUP BY 1, 2 HAVING count(*) >= 4""",
 )
 add("h2_ld_prune", "calls", lambda c: A.ld_prune(c, 0.1, 500_000, 10))
+DIMS, HARD = 10, [f"a{i}" for i in range(8)]
+SAMPLES_SQL = """SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS v, CASE WHEN vec_id % 200 = 0 THEN NULL WHEN vec_id % 100 = 0 OR label >= 8 THEN 'oth' ELSE 'a' || CAST(label AS STRING) END AS soft, label >= 8 AND vec_id % 100 <> 0 AS control FROM {embeddings}"""
+
+
+def labelled(e):
+    """Samples of embeddings: every hundredth has no hard label (of these half no soft one either); labels of 8 and more are curated as other."""
+    asked, other = F.col("vec_id") % 100 == 0, F.col("label") >= 8
+    soft = F.when(F.col("vec_id") % 200 == 0, F.lit(None)).when(asked | other, "oth").otherwise(F.concat(F.lit("a"), F.col("label").cast("string")))
+    return e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("v"), soft.alias("soft"), soft.alias("hard_label"), (other & ~asked).alias("control"))
+
+
+def infer_sql(name: str, queries: str, refs: str) -> str:
+    """CTEs that end in {name}: votes of 15 scaled references and the nearest centroid for each query."""
+    n, each = name, range(1, DIMS + 1)
+    z = "[" + ", ".join(f"(v[{i}] - m{i}) / s{i}" for i in each) + "]"
+    told = ", ".join(f"avg(v[{i}]) AS m{i}, CASE WHEN stddev_pop(v[{i}]) = 0 THEN 1 ELSE stddev_pop(v[{i}]) END AS s{i}" for i in each)
+    return f"""{n}s AS (SELECT {told} FROM {refs}), {n}r AS (SELECT id, label, {z} AS z FROM {refs}, {n}s), {n}q AS (SELECT id, {z} AS z FROM {queries}, {n}s),
+       {n}p AS (SELECT q.id, r.label, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.z, r.z), r.id) AS r FROM {n}q q, {n}r r), {n}n AS (SELECT id, label, count(*) AS n FROM {n}p WHERE r <= 15 GROUP BY 1, 2),
+       {n}k AS (SELECT id, label, n / 15.0e0 AS share, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM {n}n), {n}c AS (SELECT label, [{", ".join(f"avg(z[{i}])" for i in each)}] AS z FROM {n}r GROUP BY 1),
+       {n}d AS (SELECT q.id, c.label, list_distance(q.z, c.z) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.z, c.z), c.label) AS r FROM {n}q q, {n}c c),
+       {n}m AS (SELECT id, max(CASE WHEN r = 1 THEN label END) AS centroid, max(CASE WHEN r = 2 THEN d END) - min(d) AS margin FROM {n}d WHERE r <= 2 GROUP BY 1),
+       {n} AS (SELECT id, label, centroid, share, margin, label = centroid AND (share >= 0.8e0 OR margin >= 0.5e0) AS confident FROM {n}k JOIN {n}m USING (id) WHERE r = 1)"""
+
+
+def rounded(df):
+    return df.withColumns({"share": F.round("share", 6), "margin": F.round("margin", 5)})
+
+
+add(
+    "h6_infer_labels", "embeddings",
+    lambda e: rounded((lambda v: A.infer_labels(v.where("id % 100 = 0"), v.where("id % 100 <> 0"), DIMS))(labelled(e).select("id", "v", F.col("soft").alias("label")))),
+    f"WITH e AS ({SAMPLES_SQL}), refs AS (SELECT id, v, soft AS label FROM e WHERE id % 100 <> 0), asked AS (SELECT id, v FROM e WHERE id % 100 = 0), {infer_sql('told', 'asked', 'refs')} SELECT id, label, centroid, round(share, 6) AS share, round(margin, 5) AS margin, confident FROM told",
+)
 add(
-    "h6_nearest_labels", "embeddings",
-    lambda e: (lambda v: A.nearest_labels(v.where("id % 20 = 0"), v, 15, 10).withColumn("share", F.round("share", 6)))(e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("v"), F.col("label").cast("bigint").alias("label"))),
-    """WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS v FROM {embeddings}), p AS (SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS r FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-       n AS (SELECT id, label, count(*) AS n FROM p WHERE r <= 15 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM n) SELECT id, CAST(label AS BIGINT) AS label, round(n / 15.0e0, 6) AS share FROM k WHERE r = 1""",
+    "h6_fill_labels", "embeddings", lambda e: rounded(A.fill_labels(labelled(e), HARD, DIMS)),
+    f"""WITH e AS ({SAMPLES_SQL}), asked AS (SELECT id, v FROM e WHERE soft IS NULL), refs AS (SELECT id, v, soft AS label FROM e WHERE soft <> 'oth'), softs AS (SELECT id, v, soft AS label FROM e WHERE soft IS NOT NULL), {infer_sql("h", "asked", "refs")}, {infer_sql("f", "asked", "softs")},
+       refs2 AS (SELECT * FROM refs UNION ALL SELECT id, v, h.label FROM h JOIN e USING (id)), open2 AS (SELECT id, v, soft FROM e WHERE NOT control AND soft = 'oth'), {infer_sql("g", "open2", "refs2")}
+       SELECT h.id, 'knn' AS method, CAST(NULL AS STRING) AS before, h.label AS suggested, h.centroid, round(h.share, 6) AS share, round(h.margin, 5) AS margin, h.confident, h.label AS after, f.label AS soft_after, f.confident AS soft_confident FROM h JOIN f USING (id)
+       UNION ALL SELECT g.id, 'knn_hard', soft, label, centroid, round(share, 6), round(margin, 5), confident, label, soft, NULL FROM g JOIN open2 USING (id)""",
 )
 add(
     "e17_lambda_context", "assoc", lambda a: S.lambda_gc(a, "p", ["phenotype", "arm"]).select("phenotype", "arm", F.round(F.cume_dist().over(W.partitionBy("arm").orderBy("lambda")), 6).alias("share")),

@@ -328,3 +328,35 @@ def test_score_coherence_and_windows_of_alignments(spark):
     ops = spark.createDataFrame([("c", 100, i, o, n) for i, (o, n) in enumerate([("S", 5), ("M", 10), ("I", 3), ("M", 10), ("D", 4), ("M", 6)])], "contig string, ref_start long, i long, op string, len long")
     windows = spark.createDataFrame([("c", 105, 115), ("c", 100, 130), ("c", 121, 123), ("c", 90, 110)], "contig string, start long, end long")
     assert rows(D.query_window(ops, windows), "start", "end", "query_start", "query_end") == [(100, 130, 5, 34), (105, 115, 10, 23)]
+
+
+def test_labels_from_neighbours_and_centroids(spark):
+    """Two tight clusters, a sample inside each without labels, one curated as other, one between them; blocks of any size give the same rows."""
+    rng = np.random.default_rng(3)
+    samples = [(i, [float(x) for x in rng.normal(0 if i % 2 else 50, 1, 2)], "eur" if i % 2 else "afr", "eur" if i % 2 else "afr", False) for i in range(40)]
+    samples += [(100, [0.0, 0.0], None, None, False), (101, [50.0, 50.0], None, None, False), (102, [0.5, 0.0], "oth", "oth", False), (103, [0.5, 0.0], "oth", "oth", True), (104, None, None, None, False), (105, [25.0, 25.0], "oth", None, False)]
+    df = spark.createDataFrame(samples, "id long, v array<double>, soft string, hard_label string, control boolean")
+    got = {r.id: r for r in A.fill_labels(df, ["eur", "afr"], 2, 15, False).collect()}
+    assert sorted(got) == [100, 101, 102, 105]
+    assert [(got[i].method, got[i].after, got[i].soft_after, got[i].share) for i in (100, 101, 102)] == [("knn", "eur", "eur", 1.0), ("knn", "afr", "afr", 1.0), ("knn_hard", "eur", "oth", 1.0)]
+    assert got[105].margin < 0.5 or got[105].confident
+    v, label = np.array([s[1] for s in samples[:40]]), np.array([s[2] for s in samples[:40]])
+    refs = df.where("id < 40").select("id", "v", F.col("soft").alias("label"))
+    expected = sorted((i, int(j), label[j], r + 1) for i in range(40) for r, j in enumerate(sorted(range(40), key=lambda j: (float(((v[i] - v[j]) ** 2).sum()), j))[:5]))
+    for block, chunk in ((7, 3), (1024, 4096)):
+        assert rows(A.nearest(refs.select("id", "v"), refs, 5, block, chunk), "id", "ref", "label", "r") == expected
+
+
+def test_mahalanobis_ranks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, 0, 0.1]])
+    df = spark.createDataFrame([(i, "ab"[i % 2], *map(float, r)) for i, r in enumerate(x)] + [(90, "c", 1.0, 1.0, 1.0), (91, "a", None, 1.0, 1.0)], "i int, g string, x double, y double, z double")
+    for group, members in ((None, [np.arange(60)]), ("g", [np.arange(0, 60, 2), np.arange(1, 60, 2)])):
+        got = {r.i: r for r in A.mahalanobis(df.where("i <> 90") if group is None else df, "i", ["x", "y", "z"], group, 0.05).collect()}
+        assert len(got) == 60
+        for m in members:
+            d = x[m] - x[m].mean(0)
+            far = np.sqrt(np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(d, rowvar=False)), d))
+            order = m[np.argsort(-far)]
+            assert [got[i].rank for i in order] == list(range(1, len(m) + 1)) and [bool(got[i].far) for i in order] == [r < math.ceil(len(m) * 0.05) for r in range(len(m))]
+            assert np.allclose([got[i].distance for i in m], far)

@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it cuts the lineage, and a lost executor costs no recomputation.
 
-    The files go when the driver's Python ends (drop_stages() does it sooner, once no result needs them)."""
+    The files go when the driver's Python ends; drop_stages() does it sooner, once no result needs them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -36,9 +36,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stages() -> None:
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def staged() -> int:
+    """How many stages are kept, for drop_stages(since=...)."""
+    return len(_WRITTEN)
+
+
+def drop_stages(since: int = 0, but_last: int = 0) -> None:
+    """Delete the files of the stages written after the first `since`, but for the last ones. Nothing that is still read may depend on them."""
+    upto = max(since, len(_WRITTEN) - but_last)
+    gone = _WRITTEN[since:upto]
+    del _WRITTEN[since:upto]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

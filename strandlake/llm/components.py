@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import stage
+from strandlake.llm.common import drop_stages, stage, staged
 
 
 def join_heavy(rows: DataFrame, right: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
@@ -28,6 +28,7 @@ def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     entries (s, key, o): key is in group s, repeats allowed; viable(o1, o2) gives a condition on the names of two o columns; verified(pairs) keeps
     the pairs that are links. First each group's members are compared with its member of smallest o; then only members that are still in
     different components, so a large group of alike members gives as many pairs as it has members, not its square."""
+    before = staged()
     pivots = entries.groupBy("s").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min_by("key", "o").alias("pivot"), F.min("o").alias("po"), F.count("*").alias("rows")).where("k1 <> k2").drop("k1", "k2")
     pivots = stage(pivots, "pivots")
     shared = stage(join_heavy(entries, pivots, ["s"], "rows", pivots.agg(F.sum("rows")).first()[0] or 0), "shared")
@@ -40,8 +41,10 @@ def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     part = part.join(mixed, "s").distinct()
     other = part.select("s", F.col("key").alias("key_2"), F.col("o").alias("o_2"), F.col("c").alias("c_2"))
     cross = part.join(other, "s").where("c < c_2").where(viable("o", "o_2")).selectExpr("least(key, key_2) a", "greatest(key, key_2) b").distinct()
-    more = stage(verified(stage(cross.join(star, ["a", "b"], "left_anti"), "cross")), "links")
-    return links.unionByName(more)
+    cross = stage(cross.join(star, ["a", "b"], "left_anti"), "cross")
+    links = stage(links.unionByName(verified(cross)), "links")
+    drop_stages(before, but_last=1)
+    return links
 
 
 def kept_by_bits(rows: DataFrame, hash_column: str, wanted: DataFrame) -> DataFrame:
@@ -57,7 +60,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     Alternates the large-star and small-star steps until nothing changes; either step is one grouping whose aggregate (a
     minimum) combines before the shuffle, and one join back, in which nodes of high degree are broadcast (see join_heavy), so that
     a node's edges are never gathered in one row or one task.
-    Each round is written to the shared folder. Nulls and loops make no edge; no edges give no rows."""
+    Each round is written to the shared folder, and the one before goes. Nulls and loops make no edge; no edges give no rows."""
+    before = staged()
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct()
     e = stage(e, "edges")
     last, n = None, e.count()
@@ -71,6 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         tied = e.join(low, "u")
         e = tied.where("v <> m").selectExpr("v u", "m v").unionByName(low.selectExpr("u", "m v")).where("u <> v").distinct()
         e = stage(e, "edges")
+        drop_stages(before, but_last=1)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

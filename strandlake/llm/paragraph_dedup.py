@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Words, chunks, mix, stage
+from strandlake.llm.common import Words, chunks, drop_stages, mix, stage, staged
 from strandlake.llm.components import connected_components, group_links, join_heavy, kept_by_bits
 from strandlake.llm.ngram_join import viable_for
 
@@ -65,15 +65,20 @@ def anchors(h: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     return (h == slide(np.maximum, np.concatenate([edge, low, edge]), width)) & (h > 0)
 
 
+def all_shingles(w: Words):
+    """By word the number of its text; by word but the last few the hash of the shingle that it begins, and whether this ends in the same text."""
+    text = np.searchsorted(w.base, w.start, side="right") - 1
+    shingle = np.full(max(len(text) - SHINGLE + 1, 0), SHINGLE, np.uint64)
+    for i in range(SHINGLE):
+        shingle = mix(shingle + w.hash[i : i + len(shingle)])
+    return text, shingle, text[: len(shingle)] == text[len(text) - len(shingle) :]
+
+
 def units(w: Words, least_words: int):
     """(first word, end word, is a passage) of the units, and by word the hash of its shingle (0: none)."""
     n = len(w.start)
-    text = np.searchsorted(w.base, w.start, side="right") - 1
+    text, shingle, inside = all_shingles(w)
     after = w.first[text + 1]  # by word, the end of its text
-    shingle = np.full(max(n - SHINGLE + 1, 0), SHINGLE, np.uint64)
-    for i in range(SHINGLE):
-        shingle = mix(shingle + w.hash[i : i + len(shingle)])
-    inside = text[: len(shingle)] == text[SHINGLE - 1 :] if len(shingle) else np.zeros(0, bool)
     shingle = np.where(inside, shingle, 0)
     line = np.searchsorted(np.flatnonzero(w.buf == 10), w.start)
     first = np.flatnonzero(np.diff(line, prepend=-1))
@@ -109,28 +114,6 @@ def _classes(w: Words, a: np.ndarray, e: np.ndarray, shingle: np.ndarray) -> np.
     return pid
 
 
-UNIT = "doc_id long, t long, x int, y int, n int, pid long"
-
-
-def _units(least_words: int):
-    def run(batches):
-        for batch in batches:
-            for f, part in chunks(batch.column("text").to_pylist()):
-                w = Words(part)
-                if not len(w.start):
-                    continue
-                a, e, _, shingle = units(w, least_words)
-                pid = _classes(w, a, e, shingle)
-                text = np.searchsorted(w.base, w.start[a], side="right") - 1
-                take = pa.array(text + f)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(take), batch.column("t").take(take), pa.array((w.start[a] - w.base[text]).astype(np.int32)), pa.array((w.end[e - 1] - w.base[text]).astype(np.int32)),
-                    pa.array((e - a).astype(np.int32)), pa.array(pid.view(np.int64)),
-                ], names=["doc_id", "t", "x", "y", "n", "pid"])
-
-    return run
-
-
 def apart_for(least_words: int, similarity: float) -> int:
     """How many shingles a similar short passage may lack, where an edit that costs so few must stand at an end; -1 where it need not."""
     m = least_words - SHINGLE + 1
@@ -138,47 +121,76 @@ def apart_for(least_words: int, similarity: float) -> int:
     return k if k < SHINGLE and (m - 2 * k) * (1 - similarity) >= 2 * k * similarity - 1e-9 else -1
 
 
-def _keys(least_words: int, similarity: float, bands: int, rows: int):
-    """(s, pid, run): the bands that the units fall in; for passages (run) the first shingles, all but so many as a similar one may lack."""
+UNIT = "doc_id long, t long, x int, y int, n int, pid long, run boolean, keys array<long>"
+
+
+def _units(least_words: int, similarity: float, bands: int, rows: int):
+    """Units with their class pid and their keys: the bands that the class falls in, or for passages (run) the first shingles, all but so many as
+    a similar one may lack. Keys depend on the class and run alone, so of equal classes near each other only the first has keys."""
     by = np.random.default_rng(7).integers(1 << 62, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     apart = apart_for(least_words, similarity)
 
+    def keys_of(w, a, e, is_short, shingle, pid):
+        inner = is_short & (apart >= 0)
+        if inner.any():  # a passage that repeats a shingle is banded like the other units
+            order = np.argsort(shingle, kind="stable")
+            before = np.full(len(shingle) + 1, -1)
+            before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
+            at = np.flatnonzero(inner)
+            inner[at] = np.maximum.reduceat(before, np.stack([a[at], e[at] - SHINGLE + 1], 1).ravel())[0::2] < a[at]
+        new = np.zeros(len(a), bool)
+        for group in (np.flatnonzero(inner), np.flatnonzero(~inner & (e - a >= SHINGLE))):
+            new[group[np.unique(pid[group], return_index=True)[1]]] = True
+        runs, banded = np.flatnonzero(new & inner), np.flatnonzero(new & ~inner)
+        many = np.zeros(len(a), np.int64)
+        many[runs], many[banded] = 1, bands
+        offsets = np.concatenate([[0], np.cumsum(many)])
+        keys = np.zeros(offsets[-1], np.uint64)
+        if len(runs):
+            keys[offsets[runs]] = mix(_classes(w, a[runs], e[runs] - apart, shingle) + np.uint64(bands))
+        if len(banded):
+            edges = np.stack([a[banded], e[banded] - SHINGLE + 1], 1).ravel()
+            padded = np.append(shingle, np.uint64(0))
+            for b in range(bands):
+                h = np.full(len(banded), b, np.uint64)
+                for r in range(rows):
+                    h = mix(h + np.minimum.reduceat(padded * by[b * rows + r], edges)[0::2])
+                keys[offsets[banded] + b] = h
+        return inner, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
+
     def run(batches):
         for batch in batches:
-            for _, part in chunks(batch.column("text").to_pylist()):
+            for f, part in chunks(batch.column("text").to_pylist()):
                 w = Words(part)
-                if len(w.start) < SHINGLE:
+                if not len(w.start):
                     continue
                 a, e, is_short, shingle = units(w, least_words)
                 pid = _classes(w, a, e, shingle)
-                inner, out = is_short & (apart >= 0), []
-                if inner.any():  # a passage that repeats a shingle is banded like the other units
-                    order = np.argsort(shingle, kind="stable")
-                    before = np.full(len(shingle) + 1, -1)
-                    before[order[1:]] = np.where(shingle[order[1:]] == shingle[order[:-1]], order[:-1], -1)
-                    at = np.flatnonzero(inner)
-                    inner[at] = np.maximum.reduceat(before, np.stack([a[at], e[at] - SHINGLE + 1], 1).ravel())[0::2] < a[at]
-                    out.append((mix(_classes(w, a[inner], e[inner] - apart, shingle) + np.uint64(bands)), pid[inner], True))
-                banded = ~inner & (e - a >= SHINGLE)
-                if banded.any():
-                    edges = np.stack([a[banded], e[banded] - SHINGLE + 1], 1).ravel()
-                    padded = np.append(shingle, np.uint64(0))
-                    for b in range(bands):
-                        h = np.full(len(edges) // 2, b, np.uint64)
-                        for r in range(rows):
-                            h = mix(h + np.minimum.reduceat(padded * by[b * rows + r], edges)[0::2])
-                        out.append((h, pid[banded], False))
-                for s, of, is_run in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(of.view(np.int64)), pa.array(np.full(len(s), is_run))], names=["s", "pid", "run"])
+                is_run, keys = keys_of(w, a, e, is_short, shingle, pid)
+                text = np.searchsorted(w.base, w.start[a], side="right") - 1
+                take = pa.array(text + f)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(take), batch.column("t").take(take), pa.array((w.start[a] - w.base[text]).astype(np.int32)), pa.array((w.end[e - 1] - w.base[text]).astype(np.int32)),
+                    pa.array((e - a).astype(np.int32)), pa.array(pid.view(np.int64)), pa.array(is_run), keys,
+                ], names=["doc_id", "t", "x", "y", "n", "pid", "run", "keys"])
 
     return run
 
 
-def cells_of(s: np.ndarray) -> np.ndarray:
-    """Which of CELLS cells the shingles fall in, as bits of CELLS / 64 longs."""
-    bits = np.zeros(CELLS, np.uint8)
-    bits[s >> np.uint64(64 - CELLS.bit_length() + 1)] = 1
-    return np.packbits(bits).view(np.int64)
+def sets_of(texts: list[bytes]):
+    """Of texts of SHINGLE words or more: by text its number of different shingles, these in order, one text after the other, and by text
+    which of CELLS cells they fall in, as bits of CELLS / 64 longs."""
+    w = Words(texts)
+    text, shingle, inside = all_shingles(w)
+    text, shingle = text[: len(shingle)][inside], shingle[inside]
+    order = np.lexsort((shingle, text))
+    text, shingle = text[order], shingle[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
+    text, shingle = text[new], shingle[new]
+    bits = np.zeros((len(texts), CELLS), np.uint8)
+    bits[text, shingle >> np.uint64(64 - CELLS.bit_length() + 1)] = 1
+    return np.bincount(text, minlength=len(texts)), shingle, np.packbits(bits, axis=1).view(np.int64)
 
 
 def _sets(batches):
@@ -191,10 +203,10 @@ def _sets(batches):
                 pids += [u["pid"] for u in wanted]
                 pieces += [text[u["x"] : u["y"]] for u in wanted]
         for first, part in chunks(pieces):
-            w = Words(part)
-            sets = [np.unique(w.shingles(SHINGLE, a, b)) for a, b in zip(w.first[:-1], w.first[1:])]
-            by_long = np.array([cells_of(s) for s in sets], np.int64).reshape(-1, CELLS // 64).T
-            yield pa.RecordBatch.from_arrays([pa.array(pids[first : first + len(part)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *map(pa.array, by_long)], names=["key", "shingles", *CELL_COLUMNS])
+            size, shingle, cells = sets_of(part)
+            offsets = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(shingle.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(pids[first : first + len(part)], pa.int64()), packed, *(pa.array(c) for c in cells.T.copy())], names=["key", "shingles", *CELL_COLUMNS])
 
 
 def _shingles(batches):
@@ -206,15 +218,22 @@ def _shingles(batches):
 
 
 def _verify(similarity: float):
+    def flat(column: pa.Array):
+        size = np.array([len(s) for s in column.to_pylist()], np.int64) // 8
+        return size, np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (sa, sb) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
-                a, b = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if common and common >= similarity * (len(a) + len(b) - common) - 1e-9:
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                (na, a), (nb, b) = flat(part.column("sa")), flat(part.column("sb"))
+                pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+                # a set holds a shingle once, so what stands twice in a pair is common
+                each, rank = np.unique(np.concatenate([a, b]), return_inverse=True)
+                key = np.sort(pair * len(each) + rank)
+                common = np.bincount(key[1:][key[1:] == key[:-1]] // max(1, len(each)), minlength=len(na))
+                keep = np.flatnonzero((common > 0) & (common >= similarity * (na + nb - common) - 1e-9))
+                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -237,15 +256,19 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     bands, rows = bands_for(similarity, recall)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("t", F.xxhash64("text"))
     as_bytes = named.select("doc_id", "t", F.col("text").cast("binary").alias("text"))
-    found = stage(as_bytes.mapInArrow(_units(least_words), UNIT), "units")
+    begun = staged()
+    found = stage(as_bytes.mapInArrow(_units(least_words, similarity, bands, rows), UNIT), "units")
+    units_kept = staged()
     classes = found.groupBy("pid").agg(F.count("*").alias("times"))
-    keys = as_bytes.mapInArrow(_keys(least_words, similarity, bands, rows), "s long, pid long, run boolean")
+    keys = found.select(F.explode("keys").alias("s"), "pid", "run")
     shared = keys.groupBy("s").agg(F.min("pid").alias("low"), F.max("pid").alias("high"), F.count("*").alias("rows")).where("low <> high").drop("high")
     shared = stage(shared, "shared")
     colliding = stage(kept_by_bits(keys, "s", shared).distinct(), "keys")
     colliding = stage(join_heavy(colliding, shared, ["s"], "rows", shared.agg(F.sum("rows")).first()[0] or 0), "colliding")
+    drop_stages(units_kept, but_last=1)
     # passages with a run in common are similar: each is linked with the first that has the run
     ends = colliding.where("run AND low <> pid").select(F.col("low").alias("a"), F.col("pid").alias("b")).distinct()
+    links_kept = staged()
     wanted = stage(colliding.where("NOT run").select("pid").distinct(), "wanted")
     reps = kept_by_bits(found, "pid", wanted).groupBy("pid").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "x", "y"))).join(wanted, "pid", "left_semi")
     lists = reps.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("t_")).agg(F.collect_list(F.struct("pid", "x", "y")).alias("wanted"))
@@ -253,6 +276,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     near = kept_by_bits(as_bytes, "t", lists.select(F.col("t_").alias("t")))
     texts = near.join(lists, (near["t"] == lists["t_"]) & near["doc_id"].eqNullSafe(lists["d"])).select("text", "wanted")
     sets = stage(texts.mapInArrow(_sets, "key long, shingles binary, " + ", ".join(f"{c} long" for c in CELL_COLUMNS)).groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *CELL_COLUMNS))), "sets")
+    drop_stages(links_kept, but_last=1)
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -260,6 +284,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
 
     # Colliding classes meet by the rarest shingles of their sets (as many as a similar pair must share one of), so a band with many
     # unlike classes doesn't give all their pairs; pairs whose cells differ too much are left out before they are made.
+    sets_kept = staged()
     each = stage(sets.mapInArrow(_shingles, "key long, s long"), "shingles")
     often = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     size = F.count("*").over(W.partitionBy("key"))
@@ -269,12 +294,16 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     first = placed.where(F.col("pos") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100"))
     packed = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o")
     entries = first.where("f IS NOT NULL").join(sets.select("key", *CELL_COLUMNS), "key").select("s", "key", F.struct(packed, *CELL_COLUMNS).alias("o"))
-    links = group_links(stage(entries, "entries"), alike(percent), verified)
+    entries = stage(entries, "entries")
+    drop_stages(sets_kept, but_last=1)
+    links = group_links(entries, alike(percent), verified)
     comp = connected_components(links.unionByName(ends)).select(F.col("node").alias("pid"), "component")
     cluster = classes.join(comp, "pid", "left").where("times > 1 OR component IS NOT NULL").select("pid", F.coalesce("component", "pid").alias("cluster"), "times")
     cluster = stage(cluster, "cluster")
+    drop_stages(units_kept, but_last=1)
     total = cluster.agg(F.sum("times")).first()[0] or 0
-    members = stage(join_heavy(kept_by_bits(found, "pid", cluster), cluster, ["pid"], "times", total), "members")
+    members = stage(join_heavy(kept_by_bits(found.drop("run", "keys"), "pid", cluster), cluster, ["pid"], "times", total), "members")
+    drop_stages(begun, but_last=1)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "t", "x", F.col("y"))
     first = members.groupBy("cluster").agg(F.min(place).alias("kept"), F.max(place).alias("last"), F.count("*").alias("rows"))
     # a cluster whose units all overlap the first one, in one row, is no repeat; rows that are equal in doc_id and text are more than one

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat_format, language_id, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
+from strandlake.llm import bpe, chat_format, language_id, line_dedup, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
 from strandlake.llm.common import table
 
 
@@ -66,7 +66,12 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), least_docs=5, least_chars=40)
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index, op11_line_dedup)}
 
 #: M-trees, sampled codebooks, learned models, merge lists, suffix arrays and bootstrapped patterns are beyond SQL; tests/llm compares
 #: those with brute force. Digests of the chats need the planted conversation beside the table.
@@ -104,4 +109,11 @@ ORACLE: dict[str, str] = {
           both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
           reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a)
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id""",
+    "op11_line_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+          l AS (SELECT r, doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS line FROM d),
+          k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+          c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 5),
+          m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
 }

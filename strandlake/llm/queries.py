@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, chat_format, language_id, line_dedup, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
+from strandlake.llm import bpe, centroids, chat_format, language_id, line_dedup, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
 from strandlake.llm.common import table
 
 
@@ -71,7 +73,36 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index, op11_line_dedup)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2:")
+    spread = {r["cluster"]: int(r["t"]) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("t")).collect()}  # a row a centroid
+    told = [(i, spread.get(i, 0), sum(spread.values()), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(found)]
+    told = spark.createDataFrame(told, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return rows.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index, op11_line_dedup, op12_centroids)}
+
+def _centroid_sql(k: int, rounds: int, dims: int, scale: int, salt: str) -> str:
+    """The rounds written out one after the other; sums of squares are taken apart, in whole numbers below 2**53."""
+    square = lambda t: f"list_inner_product({t}, {t})"
+    nearest = lambda i: f"""a{i} AS MATERIALIZED (SELECT r, min((d, c)) AS best FROM (SELECT r, c, CAST({square("v.x")} + {square("c.x")} - 2 * list_inner_product(v.x, c.x) AS BIGINT) AS d FROM v, c{i} AS c) GROUP BY r)"""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor({scale} * CAST(e AS DOUBLE)) for e in embedding] AS x FROM embeddings WHERE len(embedding) = {dims} AND len([e for e in embedding if e IS NOT NULL AND isfinite(e)]) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x FROM (SELECT sha256('{salt}' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k}))",
+    ]
+    for i in range(rounds):
+        steps += [
+            nearest(i),
+            f"s{i} AS (SELECT a.best[2] AS c, t.i, CAST(sum(v.x[t.i]) AS BIGINT) AS s, count(*) AS n FROM a{i} AS a JOIN v ON a.r = v.r, range(1, {dims + 1}) AS t(i) GROUP BY 1, 2)",
+            f"n{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS x FROM s{i} GROUP BY c)",
+            f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.x, o.x) AS x FROM c{i} AS o LEFT JOIN n{i} AS n ON o.c = n.c)",
+        ]
+    return f"""WITH {", ".join([*steps, nearest(rounds)])}
+        SELECT v.vec_id, CAST(a.best[2] AS INTEGER) AS cluster, a.best[1] AS distance, CAST(sum(a.best[1]) OVER (PARTITION BY a.best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(a.best[1]) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string([CAST(e AS BIGINT) for e in c.x], ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} AS a ON v.r = a.r JOIN c{rounds} AS c ON a.best[2] = c.c"""
+
 
 #: M-trees, sampled codebooks, learned models, merge lists, suffix arrays and bootstrapped patterns are beyond SQL; tests/llm compares
 #: those with brute force. Digests of the chats need the planted conversation beside the table.
@@ -116,4 +147,5 @@ ORACLE: dict[str, str] = {
           c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 5),
           m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
+    "op12_centroids": _centroid_sql(k=40, rounds=5, dims=64, scale=256, salt="2:"),
 }

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import drop_stages, stage, staged
-from strandlake.llm.components import join_heavy
+from strandlake.llm.components import join_heavy, join_left_heavy
 
 WHITE, UPPER, LOWER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY, ROW = ["h1", "h2"], ["doc_id", "t1", "t2"]
@@ -68,14 +68,3 @@ def drop_repeated_lines(docs: DataFrame, least_docs: int = 5, least_chars: int =
     text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
     drop_stages(before, but_last=1)
     return cut.select("doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))
-
-
-def join_left_heavy(rows: DataFrame, right: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
-    """join_heavy as a left join: heavy keys are broadcast, the rows of others are shuffled."""
-    cut = max(1000, -(-total // 4096))
-    heavy = right.where(F.col(times) > cut)
-    if not heavy.limit(1).count():
-        return rows.join(right.drop(times), on, "left")
-    hot = rows.join(F.broadcast(heavy.drop(times)), on)
-    cold = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col(times) <= cut).drop(times), on, "left")
-    return hot.unionByName(cold)

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, centroids, chat_format, language_id, line_dedup, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
+from strandlake.llm import bpe, centroids, chat_format, conversation_repair, language_id, line_dedup, mixing, mtree, multi_index, ngram_join, paragraph_dedup, pii, suffix_dedup
 from strandlake.llm.common import table
 
 
@@ -81,7 +81,19 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index, op11_line_dedup, op12_centroids)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = conversation_repair.repair(conversation_repair.damaged(rows))
+    counts = conversation_repair.COUNTS
+    # both parts know their own digests, so only the few conversations in pieces are joined
+    names = ["conv_id", *counts, "audit", "repaired_sha256"]
+    found = conversation_repair.with_sha256(done).select(*names)
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    out = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    return out.select(F.col("id").alias("conv_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mtree_top_k, op2_paragraph_dedup, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_mixing, op7_ngram_jaccard_join, op8_bpe, op9_pii, op10_multi_index, op11_line_dedup, op12_centroids, op13_conversation_repair)}
 
 def _centroid_sql(k: int, rounds: int, dims: int, scale: int, salt: str) -> str:
     """The rounds written out one after the other; sums of squares are taken apart, in whole numbers below 2**53."""
@@ -148,4 +160,25 @@ ORACLE: dict[str, str] = {
           m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
         SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r""",
     "op12_centroids": _centroid_sql(k=40, rounds=5, dims=64, scale=256, salt="2:"),
+    # the checksum is worked out byte by byte from its polynomial; edits row by row, each from at most two inserts and an edit of the row
+    "op13_conversation_repair": """
+        WITH RECURSIVE step AS (SELECT [list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for i in range(256)] AS t),
+          base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+          judged AS (SELECT *, xor(list_reduce(list_concat([4294967295], [CAST(ascii(c) AS BIGINT) for c in string_split(k, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM base, step),
+          after AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM judged, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+          placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, coalesce(conv_id, -9223372036854775808) AS c FROM after),
+          r AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault, role[1] AS at, lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] AS pair FROM placed),
+          moves AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (0, 2, 3, 'I', 'user:'), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 3, 'I', 'user:'), (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''), (2, 3, 3, 'I', 'assistant:'), (3, 3, 0, '', ''), (3, 2, 3, 'I', 'user:'), (3, 3, 6, 'II', 'user:' || chr(10) || 'assistant:')) AS m(a, z, cost, audit, told)),
+          edits AS (SELECT * FROM (VALUES (0, 'D', NULL, 0), (1, 'D', NULL, 1), (2, 'D', NULL, 2), (3, 'D', NULL, 3), (0, 'K', 's', 1), (0, 'K', 'u', 2), (1, 'K', 'u', 2), (2, 'K', 'a', 3), (3, 'K', 'u', 2), (0, 'R', NULL, 2), (1, 'R', NULL, 2), (2, 'R', NULL, 3), (3, 'R', NULL, 2)) AS e(a, edit, role, z)),
+          best AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS told FROM r
+            UNION ALL SELECT c, i, state, cost, audit, told FROM (
+              SELECT b.c, b.i + 1 AS i, e.z AS state, b.cost + m.cost + CASE e.edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e.edit <> 'D' AND r.fault = 'truncated' THEN 3 ELSE 0 END AS cost, b.audit || m.audit || e.edit AS audit,
+                list_concat(b.told, CASE WHEN m.told = '' THEN [] ELSE [m.told] END, CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE e.z WHEN 2 THEN 'user:' ELSE 'assistant:' END || r.text] END) AS told
+              FROM best AS b JOIN r ON r.c = b.c AND r.i = b.i + 1 JOIN moves AS m ON m.a = b.state JOIN edits AS e ON e.a = m.z WHERE (e.role IS NULL OR e.role = r.at) AND (e.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate'))
+            ) QUALIFY row_number() OVER (PARTITION BY c, state ORDER BY cost, audit) = 1),
+          done AS (SELECT b.c, b.cost + m.cost AS cost, b.audit || m.audit AS audit, array_to_string(list_concat(b.told, CASE WHEN m.told = '' THEN [] ELSE [m.told] END), chr(10)) AS told
+            FROM best AS b JOIN (SELECT c, max(i) AS n FROM r GROUP BY c) AS l ON b.c = l.c AND b.i = l.n JOIN moves AS m ON m.a = b.state WHERE m.z IN (0, 3) QUALIFY row_number() OVER (PARTITION BY b.c ORDER BY b.cost + m.cost, b.audit || m.audit) = 1),
+          n AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN n ON n.c = coalesce(o.conv_id, -9223372036854775808) LEFT JOIN done ON done.c = n.c""",
 }

@@ -33,6 +33,20 @@ def join_left_heavy(rows: DataFrame, right: DataFrame, on: list[str], times: str
     return hot.unionByName(cold)
 
 
+def join_salted(left: DataFrame, right: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """left joined with right, for rows too large to broadcast or several a key. A key with many rows on the left (over a 4,096th of such keys'
+    rows, and over 1,000: at most 4,096 keys) is dealt over as many tasks as it needs by a hash of the columns `by`, its right rows copied to each."""
+    crowded = stage(left.groupBy(*on).agg(F.count("*").alias("_times")).where("_times > 1000"), "crowded")
+    total = crowded.agg(F.sum("_times")).first()[0] or 0
+    if not total:
+        return left.join(right, on)
+    cut = max(1000, -(-total // 4096))
+    heavy = F.broadcast(crowded.where(F.col("_times") > cut).select(*on, F.ceil(F.col("_times") / cut).cast("int").alias("_lanes")))
+    dealt = left.join(heavy, on, "left").withColumn("_lane", F.pmod(F.xxhash64(*by), F.coalesce("_lanes", F.lit(1))).cast("int")).drop("_lanes")
+    copied = right.join(heavy, on, "left").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.coalesce("_lanes", F.lit(1)) - 1))).drop("_lanes")
+    return dealt.join(copied, [*on, "_lane"]).drop("_lane")
+
+
 def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     """Links (a, b) that connect all that the links among members of common groups would connect.
 
@@ -48,10 +62,12 @@ def group_links(entries: DataFrame, viable, verified) -> DataFrame:
     links = stage(verified(star), "links")
     comp = stage(connected_components(links), "comp")
     part = shared.join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("s", "key", "o", F.coalesce("component", "key").alias("c"))
-    mixed = part.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("s")
-    part = part.join(mixed, "s").distinct()
+    part = stage(part, "part")
+    mixed = part.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2").select("s", "rows")
+    mixed = stage(mixed, "mixed")
+    part = stage(join_heavy(part, mixed, ["s"], "rows", mixed.agg(F.sum("rows")).first()[0] or 0).distinct(), "part")
     other = part.select("s", F.col("key").alias("key_2"), F.col("o").alias("o_2"), F.col("c").alias("c_2"))
-    cross = part.join(other, "s").where("c < c_2").where(viable("o", "o_2")).selectExpr("least(key, key_2) a", "greatest(key, key_2) b").distinct()
+    cross = join_salted(part, other, ["s"], ["key"]).where("c < c_2").where(viable("o", "o_2")).selectExpr("least(key, key_2) a", "greatest(key, key_2) b").distinct()
     cross = stage(cross.join(star, ["a", "b"], "left_anti"), "cross")
     links = stage(links.unionByName(verified(cross)), "links")
     drop_stages(before, but_last=1)
@@ -65,7 +81,7 @@ def kept_by_bits(rows: DataFrame, hash_column: str, wanted: DataFrame) -> DataFr
     return rows.withColumn("_w", word(F.col(hash_column))).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(bit(F.col(hash_column))) != 0).drop("_w", "_bits")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of an edge, the smallest node that it reaches.
 
     Alternates the large-star and small-star steps until nothing changes; either step is one grouping whose aggregate (a
@@ -76,7 +92,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v").distinct()
     e = stage(e, "edges")
     last, n = None, e.count()
-    for _ in range(most_rounds):
+    while True:  # each round ties nodes to smaller ones only, so it ends
         both = e.unionByName(e.selectExpr("v u", "u v"))
         low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")), "low")
         # large star: every larger neighbour of u is tied to the smallest of u's neighbourhood
@@ -91,6 +107,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == last:
             break
         last, n = now, now[0]
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.selectExpr("v node", "v component").distinct())

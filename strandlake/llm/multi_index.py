@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import stage
 from strandlake.llm.vectors import BLOCK, NODE, STEP, best, chunked, matrix, padded, sample, usable
 
-SAMPLE, CODES, SHARE = 16_384, 256, 0.25
+SAMPLE, CODES, SHARE = 16_384, 256, 0.3
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

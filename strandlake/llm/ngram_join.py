@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Words, chunks, mix, stage
-from strandlake.llm.components import connected_components, group_links, kept_by_bits
+from strandlake.llm.components import connected_components, group_links, join_heavy, join_left_heavy, join_salted, kept_by_bits
 
 #: log2 of the counting table's cells, and cells in a slab of it that is summed as one row.
 CELLS, SLAB = 22, 1 << 16
@@ -164,11 +164,12 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     freq = shingle_frequencies(texts, n)
     rows = stage(texts.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")).mapInArrow(_prefixes(n, percent, freq), DOC), "prefixes")
     # different sets with one 64-bit key (some 70 of 5 * 10**10 sets) get a key of both their hashes
-    same = rows.where("n > 0").groupBy("key").agg(F.min("key2").alias("k2"), F.max("key2").alias("k3")).where("k2 <> k3").select("key", F.lit(True).alias("shared"))
+    same = rows.where("n > 0").groupBy("key").agg(F.min("key2").alias("k2"), F.max("key2").alias("k3"), F.count("*").alias("times")).where("k2 <> k3").select("key", F.lit(True).alias("shared"), "times")
     same = stage(same, "keys")
-    apart = (lambda df: df.join(same, "key", "left").withColumn("key", F.when(F.col("shared"), F.xxhash64("key", "key2")).otherwise(F.col("key"))).drop("shared")) if same.limit(1).count() else lambda df: df
+    alike = same.agg(F.sum("times")).first()[0] or 0
+    apart = (lambda df: join_left_heavy(df, same, ["key"], "times", alike).withColumn("key", F.when(F.col("shared"), F.xxhash64("key", "key2")).otherwise(F.col("key"))).drop("shared")) if alike else lambda df: df
     rows = apart(rows)
-    classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("tid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tid")), "classes")
+    classes = stage(rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("tid", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("tid"), F.count("*").alias("times")), "classes")
     entries = rows.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "s"))
     entries = entries.select("s", "key", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n")).alias("o"))
     ranges = stage(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ranges")
@@ -180,7 +181,8 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         common = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda t, x: t + x)
         # suffix filter: what the ranges can have in common at most (a range that is full counts in full)
         full = F.array_max("ra") == 32767
-        close = pairs.join(of("a"), "a").join(of("b"), "b").where(full | ((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))))
+        both = join_salted(join_salted(pairs, of("a"), ["a"], ["b"]), of("b"), ["b"], ["a"])
+        close = both.where(full | ((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))))
         close = stage(close.select("a", "b"), "close")
         wanted = close.selectExpr("explode(array(a, b)) key").distinct().join(classes, "key").select("tid", F.col("low").alias("doc_id"))
         wanted = stage(wanted, "wanted")
@@ -188,14 +190,17 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         few = few.join(wanted, (few["tid"] == wanted["tid"]) & few["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
         sets = few.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(n), "key long, key2 long, shingles binary")
         sets = stage(apart(sets).groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
-        with_a = close.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-        with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        with_a = join_salted(close, sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), ["a"], ["b"])
+        with_b = join_salted(with_a, sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), ["b"], ["a"])
         return with_b.mapInArrow(_verify(percent), "a long, b long")
 
     links = group_links(entries, viable_for(percent), verified)
     comp = connected_components(links)
-    lows = classes.select("key", "low").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    lows = classes.select("key", "low", "times").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ends = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = lows.join(ends, "component").select("key", "component", "component_id")
-    out = rows.select("doc_id", "tid", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "tid", "component")
+    of = stage(lows.join(ends, "component").select("key", "component", "component_id", "times"), "members")
+    # large classes are broadcast; empty sets meet nothing
+    out = join_heavy(rows.where("n > 0").select("doc_id", "tid", "n", "key"), of, ["key"], "times", of.agg(F.sum("times")).first()[0] or 0)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "tid", "component")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "tid", F.lit(None).cast("long").alias("component"))
+    return out.unionByName(empty)

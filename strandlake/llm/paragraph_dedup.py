@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Words, chunks, drop_stages, mix, stage, staged
-from strandlake.llm.components import connected_components, group_links, join_heavy, kept_by_bits
+from strandlake.llm.components import connected_components, group_links, join_heavy, join_salted, kept_by_bits
 from strandlake.llm.ngram_join import viable_for
 
 SHINGLE, PASSAGE = 5, 50
@@ -279,7 +279,8 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     drop_stages(links_kept, but_last=1)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+        of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
+        both = join_salted(join_salted(pairs, of("a"), ["a"], ["b"]), of("b"), ["b"], ["a"])
         return both.mapInArrow(_verify(similarity), "a long, b long")
 
     # Colliding classes meet by the rarest shingles of their sets (as many as a similar pair must share one of), so a band with many

@@ -140,7 +140,8 @@ def find_pii(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, least_confi
     based = keyed.select("_row", "_d", "_t", base_spans(F.col("_text")).alias("base"))
     seeds = stage(based.where(F.size("base") > 0).select("_d", "_t", F.explode("base").alias("s")).select("_d", "_t", "s.kind", "s.start", "s.end", "s.value", patterns_of(F.col("s")).alias("patterns")), "seeds")
     worded = seeds.select("kind", "value", F.inline("patterns"))
-    scored = worded.groupBy(*EDGE).agg(F.count("*").alias("n_seeds"), F.approx_count_distinct("value").alias("values")).where(F.col("values") >= least_seeds)
+    each = worded.groupBy(*EDGE, "value").agg(F.count("*").alias("n"))
+    scored = each.groupBy(*EDGE).agg(F.sum("n").alias("n_seeds"), F.count("*").alias("values")).where(F.col("values") >= least_seeds)
     scored = stage(scored, "patterns")
     tokens = keyed.select("_d", "_t", F.explode(found(F.col("_text"), TOKEN, "")).alias("s")).select("_d", "_t", "s.start", "s.end", "s.value", patterns_of(F.col("s")).alias("patterns"))
     taken = seeds.select("_d", "_t", F.col("start").alias("s0"), F.col("end").alias("e0")).distinct()
@@ -153,7 +154,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, least_seeds: int = 3, least_confi
     among = worded.select("type", "word").where("type IN ('both', 'shape')").unionByName(tokens.select("type", "word").where("type IN ('both', 'shape')"))
     among = scored.select(*EDGE).join(among.groupBy("type", "word").agg(F.count("*").alias("uses")), ["type", "word"]).select(*EDGE, "uses")
     scored = scored.join(sides.unionByName(among), list(EDGE)).withColumn("confidence", F.col("n_seeds") / F.greatest("uses", "n_seeds"))
-    scored = stage(scored.where(F.col("confidence") >= least_confidence / 4), "patterns")
+    scored = stage(scored, "patterns")
     edges = stage(tokens.join(scored.select(*EDGE), ["type", "word"]), "edges")
     extra = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     if not edges.limit(1).count():  # no pattern extracts a token beside the seeds

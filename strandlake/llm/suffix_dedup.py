@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import Rolling, chunks, mix, stage
-from strandlake.llm.components import join_heavy, kept_by_bits
+from strandlake.llm.components import join_heavy, join_left_heavy, kept_by_bits
 
 GRAM = 128
 PACK = 1 << 20
@@ -357,9 +357,11 @@ def repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> tuple[DataF
     slim = stage(slim, "places")
     one = base.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.sum(F.when(F.col("doc_id").isNull(), 1).otherwise(0)).alias("nulls"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"))
     one = one.join(slim.select("t1", "t2").distinct(), ["t1", "t2"])
-    is_it = F.expr("coalesce(doc_id, -1) - coalesce(low, -1) = 0")
-    one = stage(one, "kept")
-    texts = kept_by_bits(named.where(F.octet_length("text") >= length), "t1", one.select("t1")).join(one, ["t1", "t2"]).where(is_it)
+    # of all copies of a text only the one with the smallest id moves
+    place = lambda d: F.xxhash64("t1", "t2", d).alias("place")
+    one = stage(one.withColumn("place", place("low")), "kept")
+    whole = kept_by_bits(named.where(F.octet_length("text") >= length).withColumn("place", place("doc_id")), "place", one.select("place"))
+    texts = whole.join(one.withColumnsRenamed({"t1": "u1", "t2": "u2"}).drop("place"), (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("low")))
     texts = stage(texts.select("t1", "t2", F.col("text").cast("binary").alias("text"), (F.col("ids") + F.col("nulls") < F.col("rows")).alias("again")), "texts")
     if texts.where("again").limit(1).count():  # rows that are equal in doc_id and text
         texts = texts.dropDuplicates(["t1", "t2"])
@@ -376,8 +378,13 @@ def repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> tuple[DataF
 def digest(docs: DataFrame, length: int = 400, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     base, cut = repeats(docs, length, most)
-    cut = cut.drop("kept")
-    out = base.join(cut, ["t1", "t2"], "left")
+    on = ["t1", "t2"]
+    cut = stage(cut.drop("kept"), "cut")
+    times = base.where(F.col("n_bytes") >= length).groupBy(*on).agg(F.count("*").alias("times"))
+    cut = stage(cut.join(times, on), "cut")
+    out = join_left_heavy(base.where(F.col("n_bytes") >= length), cut, on, "times", cut.agg(F.sum("times")).first()[0] or 0)
+    short = base.where(F.col("n_bytes") < length)  # meets nothing
+    out = out.unionByName(short.select("*", *(F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in ("n_removed", "n_spans", "kept_sha256"))))
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,9 +17,11 @@ TRUE = ("1", "true", "t", "yes")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-strandlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

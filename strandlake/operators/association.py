@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions.stats import chi2_tail
+from strandlake.operators import genotypes
 from strandlake.operators.intervals import cluster_positions
 from strandlake.sources.tables import stage
 
@@ -274,41 +275,12 @@ def score_test(dosage: DataFrame, null: DataFrame, cov_inverse: np.ndarray, stra
     return rows.join(parts, "variant").mapInPandas(finish, schema)
 
 
-def ld_pairs(calls: DataFrame, window: int, least: int = 10) -> DataFrame:
-    """Pairs of sites of one chromosome within the window with n common samples and r2 of their dosages, from sums over called pairs.
-
-    A pair meets in the position bin of its first site, where the second one is copied to its own bin and its neighbours."""
-    d = calls.where("a1 IS NOT NULL AND a2 IS NOT NULL").select("chrom", "pos", "site", "sample", (F.col("a1") + F.col("a2")).cast("double").alias("g"))
-    at = F.floor(F.col("pos") / max(window, 1))
-    b = d.select("sample", "chrom", F.col("pos").alias("pos2"), F.col("site").alias("site2"), F.col("g").alias("h"), F.explode(F.array(at - 1, at, at + 1)).alias("bin"))
-    pairs = d.withColumn("bin", at).join(b, ["sample", "chrom", "bin"]).where((F.col("site") < F.col("site2")) & (F.abs(F.col("pos") - F.col("pos2")) <= window))
-    s = pairs.groupBy("site", "site2").agg(F.count("*").alias("n"), F.sum("g").alias("x"), F.sum("h").alias("y"), F.sum(F.col("g") * F.col("h")).alias("xy"), F.sum(F.col("g") * F.col("g")).alias("xx"), F.sum(F.col("h") * F.col("h")).alias("yy"))
-    top = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
-    low = (F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y"))
-    return s.where(F.col("n") >= least).select("site", "site2", "n", F.when(low > 0, top * top / low).alias("r2"))
-
-
-def ld_prune(calls: DataFrame, r2: float = 0.1, window: int = 500_000, least: int = 10) -> DataFrame:
-    """chrom, pos, site and kept for every site of calls: kept ones of a chromosome within the window are pairwise at r2 or less.
-
-    Sites are taken by chrom, pos, site: one stays unless an earlier one that stays is in LD with it, as one pass in that order would have it.
-    A round settles all sites whose earlier neighbours are settled, and is written. Pairs with fewer than `least` common samples count as
-    apart, as do pairs without r2 (a site that doesn't vary)."""
-    sites = calls.select("chrom", "pos", "site").distinct()
-    linked = ld_pairs(calls, window, least).where(F.col("r2") > r2).select("site", "site2")
-    place = F.struct("pos", "site")
-    of = lambda c: sites.select(F.col("site").alias(c), place.alias(f"{c}_at"))
-    both = linked.join(of("site"), "site").join(of("site2"), "site2")
-    first = F.col("site_at") < F.col("site2_at")
-    edges = stage(both.select(F.when(first, F.col("site")).otherwise(F.col("site2")).alias("early"), F.when(first, F.col("site2")).otherwise(F.col("site")).alias("late")), "ld_edges")
-    gone = None
-    while edges.limit(1).count():
-        late = edges.select(F.col("late").alias("early")).distinct()
-        heads = edges.select("early").distinct().join(late, "early", "left_anti")
-        dropped = stage(edges.join(heads, "early", "left_semi").select(F.col("late").alias("site")).distinct(), "ld_dropped")
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        edges = edges.join(dropped, edges["early"] == dropped["site"], "left_anti").join(heads, "early", "left_anti")
-        edges = stage(edges.join(dropped, edges["late"] == dropped["site"], "left_anti"), "ld_edges")
-    if gone is None:
-        return sites.withColumn("kept", F.lit(True))
-    return sites.join(gone.withColumn("gone", F.lit(True)), "site", "left").select("chrom", "pos", "site", F.col("gone").isNull().alias("kept"))
+def ld_pairs(calls: DataFrame, window: int, least: int = 10, absent: str = "missing") -> DataFrame:
+    """site, site2 (the larger), n, r2 of pairs of sites of one chromosome within the window, from dosages known in both (see genotypes)."""
+    pairs = genotypes.site_pairs(genotypes.pack(calls, absent), window, least)
+    return pairs.select(F.least("early", "late").alias("site"), F.greatest("early", "late").alias("site2"), "n", "r2")
+
+
+def ld_prune(calls: DataFrame, r2: float = 0.1, window: int = 500_000, least: int = 10, absent: str = "missing") -> DataFrame:
+    """chrom, pos, site, kept (see genotypes)."""
+    return genotypes.ld_prune(genotypes.pack(calls, absent), r2, window, least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import stats as S
 from strandlake.operators import association as A
+from strandlake.operators import genotypes
 from strandlake.operators import intervals as I
 from strandlake.sources.tables import stage
 
@@ -223,114 +226,54 @@ def fit_null(df: DataFrame, key: str, y: str, xs: list[str], rounds: int = 25) -
 # --- genotype matrices
 
 
-def pca_filters(calls: DataFrame, sites: DataFrame, low: float = 0.01, call_rate: float = 0.98) -> DataFrame:
-    """calls at autosomal single-letter sites that pass (or have no filter), with a frequency in [low, 1 - low] and call rates of sites and samples; samples are judged before sites."""
+def pca_filters(calls: DataFrame, sites: DataFrame, low: float = 0.01, call_rate: float = 0.98, absent: str = "missing") -> DataFrame:
+    """calls at autosomal single-letter sites that pass (or have no filter), with a frequency in [low, 1 - low] and call rates of sites and samples; samples are judged before sites.
+
+    Rates are over the rows that there are, or with absent="reference" over all sites and samples, a missing row being a call of 0."""
     called = F.col("a1").isNotNull() & F.col("a2").isNotNull()
-    good = calls.groupBy("sample").agg(F.avg(called.cast("double")).alias("rate")).where(F.col("rate") >= call_rate).select("sample")
+    sparse = absent == "reference"
+    n_sites = calls.select("site").distinct().count() if sparse else 0
+    rate = lambda whole: 1 - F.count_if(~called) / F.lit(whole) if sparse else F.avg(called.cast("double"))
+    good = stage(calls.groupBy("sample").agg(rate(n_sites).alias("rate")).where(F.col("rate") >= call_rate).select("sample"), "samples")
     snv = sites.where((F.length("ref") == 1) & (F.length("alt") == 1) & (F.col("ref") != F.col("alt")) & (F.col("filter").isNull() | (F.col("filter") == "PASS")) & F.regexp_replace("chrom", "^chr", "").try_cast("int").isNotNull()).select("site")
     kept = calls.join(good, "sample", "left_semi").join(snv, "site", "left_semi")
-    told = kept.groupBy("site").agg(F.avg(called.cast("double")).alias("rate"), (F.sum(F.when(called, F.col("a1") + F.col("a2"))) / (2 * F.count_if(called))).alias("af"))
+    n = good.count() if sparse else 0
+    known = F.lit(n) - F.count_if(~called) if sparse else F.count_if(called)
+    told = kept.groupBy("site").agg(rate(n).alias("rate"), (F.sum(F.when(called, F.col("a1") + F.col("a2"))) / (2 * known)).alias("af"))
     return kept.join(told.where((F.col("rate") >= call_rate) & F.col("af").between(low, 1 - low)).select("site"), "site", "left_semi")
 
 
-def standardised(calls: DataFrame) -> DataFrame:
-    """site, sample, z: (g - 2p) / sqrt(2p (1 - p)) of called genotypes; a missing one is the mean, 0, and has no row."""
-    d = calls.where("a1 IS NOT NULL AND a2 IS NOT NULL").select("site", "sample", (F.col("a1") + F.col("a2")).cast("double").alias("g"))
-    f = d.groupBy("site").agg((F.avg("g") / 2).alias("p")).where("p > 0 AND p < 1")
-    return d.join(f, "site").select("site", "sample", ((F.col("g") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("z"))
-
-
-def relatedness(calls: DataFrame, least: float, block: int = 512, slab: int = 4096) -> DataFrame:
-    """Pairs of samples with standardised relatedness of at least `least` over the sites where both are called: sample, sample2, n, k.
+def relatedness(calls: DataFrame, least: float, block: int = 2048, slab: int = 256, absent: str = "missing") -> DataFrame:
+    """sample, sample2, n, k of pairs that reach `least`, and of each sample with itself (see genotypes)."""
+    return genotypes.relatedness(genotypes.pack(calls, absent), least, block, slab)
 
-    Samples are dealt into blocks; each pair of blocks multiplies its two matrices over a slab of sites, so a task holds `slab` sites of 2 * `block`
-    samples and gives block * block sums, never the pairs of each site."""
-    z = standardised(calls)
-    n = calls.select("sample").distinct().count()
-    blocks = max(1, -(-n // block))
-    dealt = z.withColumn("b", F.pmod(F.xxhash64("sample"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b", F.pmod(F.xxhash64("site"), F.lit(max(1, calls.select("site").distinct().count() // slab))).cast("int").alias("part"), "site", "sample", "z")
 
-    def multiply(df: pd.DataFrame) -> pd.DataFrame:
-        first, second = df["b1"].iloc[0], df["b2"].iloc[0]
-        site, rows = np.unique(df["site"].to_numpy(), return_inverse=True)
+def relatedness_bands(pairs: DataFrame, close: float = 0.2, width: float = 0.025) -> DataFrame:
+    """Pairs of two samples by band of relatedness, with how many are close."""
+    return pairs.where("sample <> sample2").groupBy((F.floor(F.col("k") / width) * width).alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("k") >= close).alias("close"))
 
-        def matrix(b):
-            mine = (df["b"] == b).to_numpy()
-            names, cols = np.unique(df["sample"].to_numpy()[mine], return_inverse=True)
-            m, there = np.zeros((len(site), len(names))), np.zeros((len(site), len(names)))
-            m[rows[mine], cols], there[rows[mine], cols] = df["z"].to_numpy()[mine], 1
-            return names, m, there
 
-        (n1, z1, t1), (n2, z2, t2) = matrix(first), matrix(second)
-        sums, counts = z1.T @ z2, t1.T @ t2
-        i, j = np.nonzero(counts)
-        keep = n1[i] < n2[j] if first == second else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"x": n1[i], "y": n2[j], "n": counts[i, j].astype(np.int64), "s": sums[i, j]})
+def pca(calls: DataFrame, k: int = 32, rounds: int = 3, seed: int = 1, absent: str = "missing") -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(scores: sample, pcs; loadings: site, loadings; singular values) of the standardised matrix (see genotypes)."""
+    return genotypes.pca(genotypes.pack(calls, absent), k, rounds, seed)
 
-    kind = calls.schema["sample"].dataType.simpleString()
-    part = dealt.groupBy("b1", "b2", "part").applyInPandas(multiply, f"x {kind}, y {kind}, n long, s double")
-    pairs = part.groupBy(F.least("x", "y").alias("sample"), F.greatest("x", "y").alias("sample2")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return pairs.select("sample", "sample2", "n", (F.col("s") / F.col("n")).alias("k")).where(F.col("k") >= least)
 
+def pca_by_label(calls: DataFrame, sites: DataFrame, labels: DataFrame, least: int, k: int = 32, r2: float = 0.1, window: int = 500_000, common: int = 10, absent: str = "missing", **filters) -> DataFrame:
+    """label, sample, pcs, n_sites: filters, LD pruning and analysis anew for each label (few) with at least so many samples; chrom and pos come from sites.
 
-def relatedness_bands(pairs: DataFrame, close: float = 0.2, width: float = 0.025) -> DataFrame:
-    """Pairs by band of relatedness, with whether they are close."""
-    return pairs.groupBy((F.floor(F.col("k") / width) * width).alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("k") >= close).alias("close"))
-
-
-def pca(calls: DataFrame, k: int = 8, rounds: int = 12, seed: int = 1) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(scores: sample, pcs; loadings: site, loadings; singular values) of the standardised matrix, by subspace iteration.
-
-    The matrix stays a table of (site, sample, z); a round is two joins with the k columns and sums by site and by sample. Only k x k
-    numbers reach the driver. The largest loading of a component is positive. Fewer samples or sites than k give fewer components."""
-    z = stage(standardised(calls), "pca")
-    m = z.select("site").distinct().count()
-    names = z.select("sample").distinct()
-    k = max(1, min(k, names.count(), m)) if m else 0
-    if not k:
-        return names.withColumn("pcs", F.array().cast("array<double>")), z.select("site").withColumn("loadings", F.array().cast("array<double>")), np.zeros(0)
-    z = z.withColumn("z", F.col("z") / float(np.sqrt(m)))
-    total = lambda df, key, v: df.groupBy(key).agg(*(F.sum(F.col("z") * F.col(v)[i]).alias(f"v{i}") for i in range(k))).select(key, F.array(*(f"v{i}" for i in range(k))).alias(v))
-
-    def orthonormal(df: DataFrame, key: str, v: str) -> DataFrame:
-        gram = square(df, v)
-        values, vectors = np.linalg.eigh(gram)
-        t = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-30)))
-        return turned(df, key, v, t)
-
-    def square(df: DataFrame, v: str) -> np.ndarray:
-        got = df.agg(*(F.sum(F.col(v)[i] * F.col(v)[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        return np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-
-    def turned(df: DataFrame, key: str, v: str, t: np.ndarray) -> DataFrame:
-        return df.select(key, F.array(*(sum((float(t[i, j]) * F.col(v)[i] for i in range(k)), F.lit(0.0)) for j in range(k))).alias(v))
-
-    start = names.select("sample", F.array(*(F.pmod(F.xxhash64("sample", F.lit(i), F.lit(seed)), F.lit(2001)) / 1000.0 - 1 for i in range(k))).alias("v"))
-    v = stage(orthonormal(stage(start, "pca"), "sample", "v"), "pca")
-    for _ in range(rounds):
-        u = total(z.join(v, "sample"), "site", "v").withColumnRenamed("v", "u")
-        v = stage(orthonormal(stage(total(z.join(u, "site"), "sample", "u").withColumnRenamed("u", "v"), "pca"), "sample", "v"), "pca")
-    u = stage(total(z.join(v, "sample"), "site", "v"), "pca")
-    values, t = np.linalg.eigh(square(u, "v"))
-    order = np.argsort(-values)
-    singular, t = np.sqrt(np.maximum(values[order], 0)), t[:, order]
-    loadings = turned(u, "site", "v", t @ np.diag(1 / np.maximum(singular, 1e-30)))
-    top = loadings.agg(*(F.max_by(F.col("v")[i], F.struct(F.round(F.abs(F.col("v")[i]), 9).alias("a"), F.col("site").alias("s"))).alias(f"s{i}") for i in range(k))).first()
-    sign = np.diag([1.0 if (top[f"s{i}"] or 0) >= 0 else -1.0 for i in range(k)])
-    return turned(v, "sample", "v", t @ np.diag(singular) @ sign).withColumnRenamed("v", "pcs"), turned(loadings, "site", "v", sign).withColumnRenamed("v", "loadings"), singular
-
-
-def pca_by_label(calls: DataFrame, sites: DataFrame, labels: DataFrame, least: int, k: int = 4, **filters) -> DataFrame:
-    """label, sample, pcs: the filters and the analysis anew for each label (few) with at least so many samples."""
+    Where the filters leave a label nothing, it has no rows."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy("label").collect()
+    place = sites.select("site", "chrom", "pos")
     out = None
     for row in sizes:
-        mine = calls.join(labels.where(F.col("label") == row.label).select("sample"), "sample", "left_semi")
-        got = pca(pca_filters(mine, sites, **filters), k)[0].withColumn("label", F.lit(row.label))
+        mine = calls.drop("chrom", "pos").join(labels.where(F.col("label") == row.label).select("sample"), "sample", "left_semi")
+        good = stage(pca_filters(mine, sites, absent=absent, **filters).join(place, "site"), "filtered")
+        packed = genotypes.pack(good, absent)
+        kept = stage(genotypes.ld_prune(packed, r2, window, common).where("kept").select("site"), "pruned")
+        whole = replace(packed, sites=packed.sites.join(kept, "site", "left_semi"))
+        got = genotypes.pca(whole, k)[0].withColumns({"label": F.lit(row.label), "n_sites": F.lit(kept.count())})
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else labels.select("label", "sample", F.array().cast("array<double>").alias("pcs")).limit(0)
+    return out.select("label", "sample", "pcs", "n_sites") if out is not None else labels.select("label", "sample", F.array().cast("array<double>").alias("pcs"), F.lit(0).cast("long").alias("n_sites")).limit(0)
 
 
 # --- phenotypes and alignments

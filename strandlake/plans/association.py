@@ -143,13 +143,26 @@ add(
     "g1_score_test", "haps samples",
     lambda h, s: A.score_test(C.split_dosage(h, 3).select(F.col("site").alias("variant"), "sample", "anc", F.col("ds").cast("double").alias("ds")), s.select("sample", (F.col("balance") / 10_000).alias("r"), F.lit(1.0).alias("w"), F.array(F.lit(1.0), F.col("sex").cast("double")).alias("x")), np.diag([1e-3, 2e-3]), 3, 0.5).select("variant", "included", *(F.round(c, 6).alias(c) for c in ("chi2", "p", "beta0", "se0", "p0"))),
 )
-add(
-    "h2_ld_pairs", "lai",
-    lambda h: A.ld_pairs(h.groupBy("chrom", "pos", F.concat_ws(":", "chrom", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("site"), "sample").agg(*(F.max(F.when(F.col("hap") == k, F.col("allele"))).alias(f"a{k}") for k in (1, 2))), 2_500, 4).withColumn("r2", F.round("r2", 6)),
-    """WITH d AS (SELECT chrom, pos, chrom || ':' || lpad(CAST(pos AS STRING), 9, '0') AS site, sample, max(CASE WHEN hap = 1 THEN allele END) + max(CASE WHEN hap = 2 THEN allele END) AS g FROM {lai} GROUP BY 1, 2, 3, 4), p AS (SELECT a.site, b.site AS site2, CAST(a.g AS DOUBLE) AS g, CAST(b.g AS DOUBLE) AS h FROM d a JOIN d b USING (sample, chrom) WHERE a.site < b.site AND abs(a.pos - b.pos) <= 2500 AND a.g IS NOT NULL AND b.g IS NOT NULL)
-       SELECT site, site2, count(*) AS n, round(CASE WHEN (count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h)) > 0 THEN pow(count(*) * sum(g * h) - sum(g) * sum(h), 2) / ((count(*) * sum(g * g) - sum(g) * sum(g)) * (count(*) * sum(h * h) - sum(h) * sum(h))) END, 6) AS r2 FROM p GROUP BY 1, 2 HAVING count(*) >= 4""",
+#: The panel as a whole grid: a genotype without a row is 0.
+GRID = """WITH RECURSIVE who AS (SELECT DISTINCT sample FROM {panel}), spots AS (SELECT DISTINCT chrom, pos, site FROM {panel}),
+       d AS MATERIALIZED (SELECT chrom, pos, site, sample, CAST(CASE WHEN p.site IS NULL THEN 0 ELSE p.a1 + p.a2 END AS DOUBLE) AS g FROM (SELECT * FROM spots CROSS JOIN who) LEFT JOIN {panel} p USING (chrom, pos, site, sample)),
+       known AS MATERIALIZED (SELECT * FROM d WHERE g IS NOT NULL)"""
+PAIRS = """t AS MATERIALIZED (SELECT a.chrom, a.pos, a.site, b.pos AS pos2, b.site AS site2, count(*) AS n, sum(a.g) AS x, sum(b.g) AS y, sum(a.g * a.g) AS xx, sum(b.g * b.g) AS yy, sum(a.g * b.g) AS xy
+         FROM known a JOIN known b ON a.chrom = b.chrom AND a.sample = b.sample WHERE a.pos < b.pos AND b.pos - a.pos <= 20000 GROUP BY ALL HAVING count(*) >= 10),
+       r AS MATERIALIZED (SELECT chrom, pos, site, pos2, site2, n, CASE WHEN (n * xx - x * x) * (n * yy - y * y) > 0 THEN pow(n * xy - x * y, 2) / ((n * xx - x * x) * (n * yy - y * y)) END AS r2 FROM t)"""
+add(
+    "h2_ld_pairs", "panel", lambda c: A.ld_pairs(c, 20_000, 10, "reference").withColumn("r2", F.round("r2", 6)),
+    f"{GRID}, {PAIRS} SELECT site, site2, n, round(r2, 6) AS r2 FROM r",
+)
+add(
+    "h2_ld_prune", "panel", lambda c: A.ld_prune(c, 0.1, 20_000, 10, "reference"),
+    # one site a step in each chromosome: it stays unless one that stays is in LD with it
+    f"""{GRID}, {PAIRS}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos, site) AS i FROM spots), e AS MATERIALIZED (SELECT site2 AS late, list(site) AS early FROM r WHERE r2 > 0.1 GROUP BY 1),
+       w AS (SELECT DISTINCT chrom, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS stay FROM o
+         UNION ALL SELECT w.chrom, o.i, CASE WHEN e.early IS NULL OR NOT list_has_any(w.stay, e.early) THEN list_append(w.stay, o.site) ELSE w.stay END FROM w JOIN o ON o.chrom = w.chrom AND o.i = w.i + 1 LEFT JOIN e ON e.late = o.site),
+       f AS (SELECT chrom, stay FROM w QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY i DESC) = 1)
+       SELECT o.chrom, o.pos, o.site, list_contains(f.stay, o.site) AS kept FROM o JOIN f ON o.chrom = f.chrom""",
 )
-add("h2_ld_prune", "calls", lambda c: A.ld_prune(c, 0.1, 500_000, 10))
 DIMS, HARD = 10, [f"a{i}" for i in range(8)]
 SAMPLES_SQL = """SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS v, CASE WHEN vec_id % 200 = 0 THEN NULL WHEN vec_id % 100 = 0 OR label >= 8 THEN 'oth' ELSE 'a' || CAST(label AS STRING) END AS soft, label >= 8 AND vec_id % 100 <> 0 AS control FROM {embeddings}"""
 

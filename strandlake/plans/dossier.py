@@ -98,21 +98,21 @@ def candidates(s):
 
 
 # --- genotype matrices
-FILTERED = """s AS (SELECT sample FROM {calls} GROUP BY 1 HAVING avg(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END) >= 0.1), v AS (SELECT site FROM {sites} WHERE length(ref) = 1 AND length(alt) = 1 AND ref <> alt AND filter = 'PASS'),
-       k AS (SELECT c.* FROM {calls} c WHERE sample IN (SELECT sample FROM s) AND site IN (SELECT site FROM v)), t AS (SELECT site FROM k GROUP BY 1 HAVING avg(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END) >= 0.1 AND sum(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 + a2 END) / (2.0e0 * count(*) FILTER (WHERE a1 IS NOT NULL AND a2 IS NOT NULL)) BETWEEN 0.01 AND 0.99)"""
 # in these sites a one-letter REF is A and a one-letter ALT too, so for the matrices the letters are taken from the places
 snps = lambda s: s.withColumns({"ref": F.substring("ref", 1, 1), "alt": F.when(F.col("site") % 5 == 0, "A").otherwise("G")})
-SNPS = FILTERED.replace("length(ref) = 1 AND length(alt) = 1 AND ref <> alt", "site % 5 <> 0")
-add("h1_pca_filters", "calls sites", lambda c, s: D.pca_filters(c, snps(s), 0.01, 0.1).select("site", "sample"), f"WITH {SNPS} SELECT site, sample FROM k WHERE site IN (SELECT site FROM t)")
-dense = lambda h: h.groupBy((F.col("pos") * 10 + F.substring("chrom", 4, 2).cast("int")).alias("site"), "sample").agg(F.max(F.when(F.col("hap") == 1, F.col("allele"))).alias("a1"), F.max(F.when(F.col("hap") == 2, F.col("allele"))).alias("a2"))
-add("h3_pca", "lai", lambda h: D.pca(dense(h), 3, 8)[0].select("sample", *(F.round(F.col("pcs")[i], 4).alias(f"pc{i + 1}") for i in range(3))))
-add("h4_pca_by_label", "lai samples", lambda h, s: D.pca_by_label(dense(h), dense(h).select("site").distinct().selectExpr("site", "'chr1' chrom", "'A' ref", "'G' alt", "'PASS' filter"), s.where("ancestry IN ('afr', 'eur')").select("sample", F.col("ancestry").alias("label")), 5, 2, call_rate=0.0).select("label", "sample", F.size("pcs").alias("n")))
-add(
-    "h5_relatedness", "lai", lambda h: r6(D.relatedness(dense(h), 0.05), "k"),
-    """WITH d AS (SELECT pos * 10 + CAST(substr(chrom, 4, 2) AS INT) AS site, sample, max(allele) FILTER (WHERE hap = 1) + max(allele) FILTER (WHERE hap = 2) AS g FROM {lai} GROUP BY 1, 2 HAVING g IS NOT NULL), f AS (SELECT site, avg(g) / 2 AS p FROM d GROUP BY 1 HAVING avg(g) / 2 > 0 AND avg(g) / 2 < 1),
-       z AS (SELECT site, sample, (g - 2 * p) / sqrt(2 * p * (1 - p)) AS z FROM d JOIN f USING (site)) SELECT a.sample, b.sample AS sample2, count(*) AS n, round(avg(a.z * b.z), 6) AS k FROM z a JOIN z b ON a.site = b.site AND a.sample < b.sample GROUP BY 1, 2 HAVING avg(a.z * b.z) >= 0.05""",
-)
-add("h5_relatedness_bands", "lai", lambda h: r6(D.relatedness_bands(D.relatedness(dense(h), 0.05)), "band"))
+#: A genotype without a row is 0, so rates are over all sites and samples that the panel has.
+SNPS = """s AS (SELECT sample FROM {panel} GROUP BY 1 HAVING 1 - count(*) FILTER (WHERE a1 IS NULL OR a2 IS NULL) / CAST((SELECT count(DISTINCT site) FROM {panel}) AS DOUBLE) >= 0.98), v AS (SELECT site FROM {sites} WHERE site % 5 <> 0 AND filter = 'PASS'),
+       k AS (SELECT * FROM {panel} WHERE sample IN (SELECT sample FROM s) AND site IN (SELECT site FROM v)), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM s),
+       t AS (SELECT site FROM k, n GROUP BY site, n HAVING 1 - count(*) FILTER (WHERE a1 IS NULL OR a2 IS NULL) / n >= 0.98 AND sum(a1 + a2) / (2 * (n - count(*) FILTER (WHERE a1 IS NULL OR a2 IS NULL))) BETWEEN 0.01 AND 0.99)"""
+add("h1_pca_filters", "panel sites", lambda c, s: D.pca_filters(c, snps(s), absent="reference").select("site", "sample"), f"WITH {SNPS} SELECT site, sample FROM k WHERE site IN (SELECT site FROM t)")
+add("h3_pca", "panel", lambda c: D.pca(c, 32, absent="reference")[0].select("sample", F.transform("pcs", lambda x: F.round(x, 4)).alias("pcs")))
+population = lambda c: c.select("sample", (F.col("sample") % 4).cast("string").alias("label")).distinct()
+add("h4_pca_by_label", "panel sites", lambda c, s: D.pca_by_label(c, snps(s), population(c), 2, 32, window=20_000, absent="reference", call_rate=0.9).select("label", "sample", "n_sites", F.transform("pcs", lambda x: F.round(x, 4)).alias("pcs")))
+GRM = """WITH who AS (SELECT DISTINCT sample FROM {panel}), spots AS (SELECT DISTINCT site FROM {panel}), d AS (SELECT site, sample, CASE WHEN p.site IS NULL THEN 0 ELSE p.a1 + p.a2 END AS g FROM (SELECT * FROM spots CROSS JOIN who) LEFT JOIN {panel} p USING (site, sample)),
+       f AS (SELECT site, avg(g) / 2 AS p FROM d GROUP BY 1 HAVING avg(g) / 2 > 0 AND avg(g) / 2 < 1), z AS MATERIALIZED (SELECT site, sample, (g - 2 * p) / sqrt(2 * p * (1 - p)) AS z FROM d JOIN f USING (site) WHERE g IS NOT NULL),
+       k AS MATERIALIZED (SELECT a.sample, b.sample AS sample2, count(*) AS n, CASE WHEN a.sample = b.sample THEN 1.0e0 ELSE avg(a.z * b.z) END AS k FROM z a JOIN z b ON a.site = b.site AND a.sample <= b.sample GROUP BY 1, 2 HAVING a.sample = b.sample OR avg(a.z * b.z) >= 0.05)"""
+add("h5_relatedness", "panel", lambda c: r6(D.relatedness(c, 0.05, absent="reference"), "k"), f"{GRM} SELECT sample, sample2, n, round(k, 6) AS k FROM k")
+add("h5_relatedness_bands", "panel", lambda c: r6(D.relatedness_bands(D.relatedness(c, 0.05, absent="reference")), "band"), f"{GRM} SELECT round(floor(k / 0.025e0) * 0.025e0, 6) AS band, count(*) AS n, count(*) FILTER (WHERE k >= 0.2) AS close FROM k WHERE sample <> sample2 GROUP BY 1")
 
 # --- phenotypes and alignments
 PHENO = "n AS (SELECT code, count(*) FILTER (WHERE value = 1) AS cases, count(*) FILTER (WHERE value = 0) AS controls FROM {pheno} JOIN {samples} ON sample = person WHERE code NOT LIKE '%01.1' OR sex = 1 GROUP BY 1 HAVING least(count(*) FILTER (WHERE value = 1), count(*) FILTER (WHERE value = 0)) >= 5), l AS (SELECT *, least(cases, controls) AS smaller FROM n WHERE code NOT IN (SELECT regexp_replace(code, '\\.[0-9]$', '') FROM n WHERE code LIKE '%.%'))"

@@ -41,6 +41,11 @@ VIEWS = {
           CASE WHEN (site + sample) % 9 = 0 THEN NULL ELSE (site * 7 + sample * 3) % 60 END AS gq, CASE WHEN (site + sample) % 7 = 0 THEN NULL ELSE (site * 5 + sample) % 40 END AS dp,
           CASE WHEN (site + sample) % 23 = 0 THEN 'I.' ELSE '..' END AS rnc
         FROM {haps} GROUP BY chrom, pos, id, site, sample""",
+    # carriers of a small panel (suppliers are its samples) at all sites; a genotype without a row is 0. Alleles follow the sample's group of four
+    "panel": """
+        SELECT s.chrom, s.pos, s.site, l.l_suppkey AS sample, max(CASE WHEN l.l_orderkey % 61 = 0 THEN NULL WHEN (s.site * 31 + (l.l_suppkey % 4) * 17 + s.site % 3 * l.l_linenumber) % 5 < 3 THEN 1 ELSE 0 END) AS a1,
+          max(CASE WHEN l.l_orderkey % 61 = 0 THEN NULL WHEN (s.site + (l.l_suppkey % 4) * 3 + l.l_linenumber) % 3 < 2 THEN 1 ELSE 0 END) AS a2
+        FROM {lineitem} l JOIN {sites} s ON s.site = l.l_partkey GROUP BY s.chrom, s.pos, s.site, l.l_suppkey""",
     "carriers": "SELECT DISTINCT id, site, sample FROM {haps} WHERE allele > 0",
     "samples": """
         SELECT c.c_custkey AS sample, CASE n.n_regionkey WHEN 0 THEN 'afr' WHEN 1 THEN 'amr' WHEN 2 THEN 'eas' WHEN 3 THEN 'eur' ELSE 'sas' END AS ancestry,

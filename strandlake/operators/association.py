@@ -160,35 +160,91 @@ def mahalanobis(df: DataFrame, key: str, columns: list[str], group: str | None =
     return out.select(key, *([group] if group else []), "distance", "rank", "far")
 
 
-def nearest(queries: DataFrame, refs: DataFrame, k: int, block: int = 1024, chunk: int = 4096) -> DataFrame:
-    """id, ref, label, d, r: the k nearest references (id, label, v) of each query (id, v), Euclidean, ties by the reference's id.
-
-    Queries are packed into blocks and references into chunks of bounded size by hash; every block meets every chunk in a task of its own,
-    which gives k rows a query, and a window takes the k of all chunks. Nothing is broadcast."""
-    count = lambda df, size: max(1, -(-df.count() // size))
-    blocks, chunks = count(queries, block), count(refs, chunk)
-
-    def pack(df: DataFrame, parts: int, part: str, name: str, *more: str) -> DataFrame:
-        g = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(part)).agg(F.sort_array(F.collect_list(F.struct("id", "v", *more))).alias("x"))
-        return g.select(part, *(F.col(f"x.{c}").alias(f"{name}{c}") for c in ("id", *more)), F.flatten(F.col("x.v")).alias(f"{name}v"))
-
-    q = pack(queries, blocks, "block", "q").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    both = q.join(pack(refs, chunks, "chunk", "r", "label"), "chunk")
+def nearest(queries: DataFrame, refs: DataFrame, k: int, pivots: int = 128, block: int = 1024, chunk: int = 4096) -> DataFrame:
+    """id, ref, label, d, r, compared: the k nearest references (id, label, v) of each query (id, v), Euclidean, ties by the reference's id.
+
+    References lie in cells round pivots, the references of smallest hash (at most `pivots`, about the root of their number). Of each cell its
+    radius and the k distances nearest its pivot are known everywhere: with a query's distances to the pivots they bound its k-th distance from above, and cells that
+    lie beyond the bound never meet it. Inside a cell a reference is measured only where |d(query, pivot) - d(reference, pivot)| leaves a
+    chance; `compared` counts those of a query. Large cells are dealt over chunks and a cell's queries over blocks, by hash; what is broadcast are pivots."""
+    n = refs.count()
     kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"id {kind(queries, 'id')}, ref {kind(refs, 'id')}, label {kind(refs, 'label')}, d double"
+    schema = f"id {kind(queries, 'id')}, ref {kind(refs, 'id')}, label {kind(refs, 'label')}, d double, n long"
+    if not n:
+        return queries.sparkSession.createDataFrame([], f"id {kind(queries, 'id')}, ref {kind(refs, 'id')}, label {kind(refs, 'label')}, d double, r int, compared long")
+    count = min(pivots, max(1, int(n**0.5)))
+    centre = np.array([r.v for r in refs.orderBy(F.xxhash64("id"), "id").limit(count).select("v").collect()], float)
+
+    def apart(v) -> np.ndarray:
+        x = np.asarray([*v], float).reshape(len(v), -1)
+        d = np.zeros((len(x), len(centre)))
+        for j in range(x.shape[1]):
+            d += (x[:, j : j + 1] - centre[:, j]) ** 2
+        return np.sqrt(d)
+
+    def settle(batches):
+        for df in batches:
+            if len(df):
+                d = apart(df["v"])
+                own = d.argmin(1)
+                yield df.assign(cell=own.astype(np.int32), away=d[np.arange(len(d)), own])
+
+    settled = stage(refs.select("id", "label", "v").mapInPandas(settle, f"id {kind(refs, 'id')}, label {kind(refs, 'label')}, v array<double>, cell int, away double"), "cells")
+    near = W.partitionBy("cell").orderBy("away")
+    told = settled.groupBy("cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    inner = settled.select("cell", "away", F.row_number().over(near).alias("i")).where(F.col("i") <= k).groupBy("cell").agg(F.collect_list("away").alias("inner"))
+    cells = told.join(inner, "cell").collect()  # a row a pivot
+    radius, chunks = np.full(len(centre), -1.0), np.zeros(len(centre), int)
+    which, reach = [], []
+    for r in cells:
+        radius[r.cell], chunks[r.cell] = r.radius, r.chunks
+        which += [r.cell] * len(r.inner)
+        reach += r.inner
+    which, reach = np.array(which), np.array(reach)
+
+    def send(batches):
+        for df in batches:
+            if not len(df):
+                continue
+            d = apart(df["v"])
+            upper = d[:, which] + reach
+            bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(d), np.inf)
+            bound = bound * (1 + 1e-9) + 1e-9
+            i, j = np.nonzero((radius >= 0) & (d - radius <= bound[:, None]))
+            yield pd.DataFrame({"id": df["id"].to_numpy()[i], "v": df["v"].to_numpy()[i], "cell": j.astype(np.int32), "away": d[i, j], "bound": bound[i], "chunks": chunks[j].astype(np.int32)})
+
+    sent = queries.select("id", "v").mapInPandas(send, f"id {kind(queries, 'id')}, v array<double>, cell int, away double, bound double, chunks int")
+    sent = stage(sent, "sent")
+    blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+
+    def pack(df: DataFrame, keys: list, name: str, *columns: str) -> DataFrame:
+        g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "v", *columns))).alias("x"))
+        return g.select(*keys, *(F.col(f"x.{c}").alias(f"{name}{c}") for c in ("id", *columns)), F.flatten(F.col("x.v")).alias(f"{name}v"))
+
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    q = pack(sent.join(F.broadcast(blocks), "cell").withColumn("block", part(F.col("blocks"))), ["cell", "block", "chunks"], "q", "away", "bound")
+    q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    r = pack(settled.join(F.broadcast(told.select("cell", "chunks")), "cell").withColumn("chunk", part(F.col("chunks"))), ["cell", "chunk"], "r", "label", "away")
 
     def measure(batches):
         for df in batches:
-            for qid, qv, rid, label, rv in zip(df["qid"], df["qv"], df["rid"], df["rlabel"], df["rv"]):
+            for qid, qv, qa, qb, rid, label, rv, ra in zip(*(df[c] for c in ("qid", "qv", "qaway", "qbound", "rid", "rlabel", "rv", "raway"))):
                 x, y = np.asarray(qv, float).reshape(len(qid), -1), np.asarray(rv, float).reshape(len(rid), -1)
-                d = np.zeros((len(x), len(y)))
-                for j in range(x.shape[1]):
-                    d += (x[:, j : j + 1] - y[:, j]) ** 2
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]  # references of a chunk are in order of id
-                yield pd.DataFrame({"id": np.repeat(np.asarray(qid), near.shape[1]), "ref": np.asarray(rid)[near.ravel()], "label": np.asarray(label)[near.ravel()], "d": np.sqrt(np.take_along_axis(d, near, 1)).ravel()})
-
-    found = both.mapInPandas(measure, schema)
-    return found.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "ref"))).where(F.col("r") <= k)
+                i, j = np.nonzero(np.abs(np.asarray(qa)[:, None] - np.asarray(ra)) <= np.asarray(qb)[:, None])
+                d = np.zeros(len(i))
+                for c in range(x.shape[1]):
+                    d += (x[i, c] - y[j, c]) ** 2
+                order = np.lexsort((j, d, i))  # references of a chunk are in order of id
+                i, j, d = i[order], j[order], d[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                times = np.bincount(i, minlength=len(qid))
+                keep = place < k
+                i, j, d, first = i[keep], j[keep], d[keep], place[keep] == 0
+                yield pd.DataFrame({"id": np.asarray(qid)[i], "ref": np.asarray(rid)[j], "label": np.asarray(label)[j], "d": np.sqrt(d), "n": np.where(first, times[i], 0)})
+
+    found = q.join(r, ["cell", "chunk"]).mapInPandas(measure, schema)
+    ranked = found.withColumns({"r": F.row_number().over(W.partitionBy("id").orderBy("d", "ref")), "compared": F.sum("n").over(W.partitionBy("id"))})
+    return ranked.where(F.col("r") <= k).drop("n")
 
 
 def infer_labels(queries: DataFrame, refs: DataFrame, dims: int, k: int = 15, least_share: float = 0.8, least_margin: float = 0.5) -> DataFrame:

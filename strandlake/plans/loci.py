@@ -52,10 +52,12 @@ def vcf(s, c):
     cells = [F.concat(gt(F.max(F.when(F.col("sample") % 3 == i, F.col("a1"))), F.max(F.when(F.col("sample") % 3 == i, F.col("a2")))), F.lit(":"), F.coalesce(F.max(F.when(F.col("sample") % 3 == i, F.col("dp"))).cast("string"), F.lit("."))) for i in range(3)]
     wide = c.groupBy("site").agg(*(x.alias(n) for x, n in zip(cells, names)))
     info = F.concat_ws(";", F.concat(F.lit("SVTYPE="), "svtype"), F.when(F.col("size") % 2 == 0, "FLAG"), F.concat(F.lit("SIZE="), F.col("size").cast("string")))
-    body = s.join(wide, "site").select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), "filter", info, F.lit("GT:DP"), *names).alias("value"))
-    head = s.sparkSession.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names]),)], "value string")
-    head.unionByName(body).write.text(at)
-    return T.read_vcf(s.sparkSession, at)
+    body = s.join(wide, "site")
+    # two sets of files, each with its own order of samples in its header
+    for i, order in enumerate((names, names[::-1])):
+        lines = body.where(F.col("site") % 2 == i).select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), "filter", info, F.lit("GT:DP"), *order).alias("value"))
+        T.write_lines(lines, f"{at}/{i}", ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *order])])
+    return T.read_vcf(s.sparkSession, [f"{at}/0", f"{at}/1"])
 
 
 GENOTYPES = "g AS (SELECT site, max(CASE WHEN sample % 3 = {i} THEN a1 END) AS a1, max(CASE WHEN sample % 3 = {i} THEN a2 END) AS a2, max(CASE WHEN sample % 3 = {i} THEN dp END) AS dp FROM {calls} GROUP BY site)".replace("{i}", "1")
@@ -78,6 +80,54 @@ def shards(s):
 add("a8_concat_shards", "sites", shards, "SELECT id, chrom, pos FROM {sites}")
 
 
+def checked_shards(s):
+    """Two text shards with one header, read with their headers checked."""
+    at = place(s, "text-shards")
+    for name, part in (("main", F.col("source") == "main"), ("rest", F.col("source") != "main")):
+        T.write_table(s.where(part), f"{at}/{name}", ["chrom", "pos", "id"])
+    return longs(T.read_shards(s.sparkSession, [f"{at}/main", f"{at}/rest"], ["chrom", "pos", "id"]), "pos")
+
+
+add("a8_read_shards", "sites", checked_shards, "SELECT chrom, pos, id FROM {sites}")
+WINDOW = "'chr' || CAST(s_suppkey % 22 + 1 AS VARCHAR)"
+asked = lambda s: s.select(F.col("s_suppkey").alias("window"), F.concat(F.lit("chr"), F.col("s_suppkey") % 22 + 1).alias("chrom"), (F.col("s_suppkey") * 31).alias("start"), (F.col("s_suppkey") * 31 + 4000).alias("end"))
+
+
+def positioned(a, s):
+    at = place(a, "positions")
+    T.write_positioned(a.select("phenotype", "arm", "chrom", "pos", "marker", "p"), at, ("phenotype",), 40_000)
+    return T.read_windows(a.sparkSession, at, asked(s), 40_000).groupBy("phenotype", "arm", "window").agg(F.count("*").alias("n"), F.round(F.min("p"), 6).alias("p"))
+
+
+add(
+    "a10_position_layout", "assoc supplier", positioned,
+    f"SELECT phenotype, arm, s_suppkey AS \"window\", count(*) AS n, round(min(p), 6) AS p FROM {{assoc}} JOIN {{supplier}} ON chrom = {WINDOW} AND pos BETWEEN s_suppkey * 31 AND s_suppkey * 31 + 4000 GROUP BY 1, 2, 3",
+)
+
+
+def tables_written(a, s):
+    """The site, the allele and the association table, each in its columns' order with its own text for null, read back as text."""
+    out = None
+    for name, df, columns, null in (
+        ("sites", s.select("chrom", "pos", "id", "svtype", F.col("svlen").cast("string").alias("svlen")), ["chrom", "pos", "id", "svtype", "svlen"], "NA"),
+        ("alleles", s.select("id", "ref", "alt"), ["id", "ref", "alt"], "."),
+        ("assoc", a.select("phenotype", "marker", F.round("p", 6).alias("p"), F.round("p3", 6).alias("p3")), ["phenotype", "marker", "p", "p3"], ""),
+    ):
+        at = place(a, name)
+        T.write_table(df, at, columns, null)
+        read = T.read_shards(a.sparkSession, at, columns)
+        last = F.col(columns[-1])
+        told = read.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_if(last == null if null else last.isNull()).alias("gone"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+add(
+    "a10_write_tables", "assoc sites", tables_written,
+    "SELECT 'sites' AS name, count(*) AS n, count(*) FILTER (WHERE svlen IS NULL) AS gone FROM {sites} UNION ALL SELECT 'alleles', count(*), 0 FROM {sites} UNION ALL SELECT 'assoc', count(*), count(*) FILTER (WHERE p3 IS NULL) FROM {assoc}",
+)
+
+
 def by_sample(c):
     at = place(c, "by-sample")
     T.write_by_sample(c.where("sample < 40").select("sample", "chrom", "pos", "a1", "a2"), at)
@@ -250,8 +300,10 @@ add(
     "d44_complete_families", "ped samples", lambda p, s: L.complete_families(members(p).select("family", "member"), s.where("NOT control").select(F.col("sample").alias("member"))),
     f"WITH {MEMBERS}, o AS (SELECT sample FROM {{samples}} WHERE NOT control), t AS (SELECT family, count(*) AS size, count(o.sample) AS n FROM m LEFT JOIN o ON o.sample = m.member GROUP BY 1) SELECT family, member, size FROM m JOIN t USING (family) WHERE size = n",
 )
-SIX = """w AS (SELECT chrom, pos, sample, max(anc) FILTER (WHERE hap = 1) AS x, max(anc) FILTER (WHERE hap = 2) AS y FROM {lai} WHERE anc IS NOT NULL GROUP BY 1, 2, 3 HAVING x IS NOT NULL AND y IS NOT NULL),
-       s AS (SELECT p.child, c.chrom, c.pos, c.x IN (f.x, f.y) AND c.y IN (m.x, m.y) AS one, c.y IN (f.x, f.y) AND c.x IN (m.x, m.y) AS two FROM {ped} p JOIN w c ON c.sample = p.child JOIN w f ON f.sample = p.father AND f.chrom = c.chrom AND f.pos = c.pos JOIN w m ON m.sample = p.mother AND m.chrom = c.chrom AND m.pos = c.pos WHERE father <> 0 AND mother <> 0),
+SIX = """w AS MATERIALIZED (SELECT chrom, pos, sample, max(anc) FILTER (WHERE hap = 1) AS x, max(anc) FILTER (WHERE hap = 2) AS y FROM {lai} WHERE anc IS NOT NULL GROUP BY 1, 2, 3 HAVING x IS NOT NULL AND y IS NOT NULL),
+       c AS MATERIALIZED (SELECT p.child, p.father, p.mother, c.chrom, c.pos, c.x AS c1, c.y AS c2 FROM {ped} p JOIN w c ON c.sample = p.child WHERE p.father <> 0 AND p.mother <> 0),
+       cf AS MATERIALIZED (SELECT c.*, f.x AS f1, f.y AS f2 FROM c JOIN w f ON f.sample = c.father AND f.chrom = c.chrom AND f.pos = c.pos),
+       s AS MATERIALIZED (SELECT cf.child, cf.chrom, cf.pos, c1 IN (f1, f2) AND c2 IN (m.x, m.y) AS one, c2 IN (f1, f2) AND c1 IN (m.x, m.y) AS two FROM cf JOIN w m ON m.sample = cf.mother AND m.chrom = cf.chrom AND m.pos = cf.pos),
        q AS (SELECT *, CASE WHEN one AND NOT two THEN 1 WHEN two AND NOT one THEN 2 END AS forced, (one OR two) AND count(*) FILTER (WHERE one OR two) OVER (PARTITION BY child, chrom ORDER BY pos) = 1 AS lead FROM s),
        z AS (SELECT *, coalesce(forced <> last_value(coalesce(forced, CASE WHEN lead THEN 1 END) IGNORE NULLS) OVER (PARTITION BY child, chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS flip FROM q),
        scored AS (SELECT child, count(*) AS loci, count(*) FILTER (WHERE NOT one AND NOT two) AS violations, count(*) FILTER (WHERE flip) AS flips FROM z GROUP BY 1)"""

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,23 +70,82 @@ def read_typed(spark: SparkSession, path: str, schema: dict[str, str], sep: str
 
 
 def read_vcf(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(sites, calls) from variant call text. Files of one call have one sample list, the last header line's.
-
-    sites: chrom, pos, id, ref, alts, filter, info (map); calls: chrom, pos, id, ref, alt, sample, a1, a2, phased, format (map)."""
-    lines = spark.read.text(paths)
-    header = lines.where(F.col("value").startswith("#CHROM")).limit(1).first()
-    samples = header[0].split("\t")[9:] if header else []
+    """(sites, calls) from variant call text. Every file has its own sample list, its #CHROM line's, so files may order samples differently.
+
+    sites: chrom, pos, id, ref, alts, filter, info (map); calls: chrom, pos, id, ref, alt, sample, a1, a2, phased, format (map). A file with
+    records and without such a line, one with two different ones, and a record with more or fewer cells than its file has samples are errors."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.where(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.min("value").alias("head"), F.max("value").alias("other"))
+    heads = stage(heads.where(F.when(F.col("head") == F.col("other"), True).otherwise(F.raise_error(F.concat(F.lit("two sample lists in "), "file")))).select("file", F.slice(F.split("head", "\t"), 10, 1 << 30).alias("samples"), F.xxhash64("head").alias("list")), "headers")
+    # most files of a call have one and the same list: files know its hash, and each list is kept once
+    lists = heads.groupBy("list").agg(F.first("samples").alias("samples"))
+    told = heads.agg(F.sum(F.length("file") + 8), F.lit(0)).first()[0] or 0
+    size = lists.agg(F.sum(F.aggregate("samples", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 16))).first()[0] or 0
+    small = lambda df, n: F.broadcast(df) if n <= 64 << 20 else df
     f = F.split(F.col("value"), "\t")
-    body = lines.where((F.col("value") != "") & ~F.col("value").startswith("#")).select(f.alias("f"))
+    body = lines.where((F.col("value") != "") & ~F.col("value").startswith("#")).select(f.alias("f"), "file")
+    body = body.join(small(heads.select("file", "list"), told), "file", "left")
+    body = body.withColumn("list", F.coalesce("list", F.raise_error(F.concat(F.lit("no #CHROM line in "), "file")).cast("long")))
     key = [F.col("f")[0].alias("chrom"), F.col("f")[1].cast("int").alias("pos"), F.nullif(F.col("f")[2], F.lit(".")).alias("id"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt")]
     sites = body.select(*key[:4], F.split(F.col("f")[4], ",").alias("alts"), F.nullif(F.col("f")[6], F.lit(".")).alias("filter"), R.parse_info(F.col("f")[7]).alias("info"))
-    names = F.array(*map(F.lit, samples)) if samples else F.array().cast("array<string>")
-    cells = body.where(F.size("f") > 9).select(*key, F.col("f")[8].alias("fmt"), F.posexplode(F.slice("f", 10, max(1, len(samples)))).alias("i", "cell"))
-    cells = cells.withColumns({"sample": F.get(names, F.col("i")), "format": R.parse_format("fmt", "cell")}).withColumn("gt", F.try_element_at("format", F.lit("GT")))
+    named = body.join(small(lists, size), "list").where(F.size("samples") > 0)
+    named = named.where(F.when(F.size("f") == F.size("samples") + 9, True).otherwise(F.raise_error(F.concat(F.lit("a record's cells differ from the sample list of "), "file"))))
+    cells = named.select(*key, F.col("f")[8].alias("fmt"), F.explode(F.arrays_zip("samples", F.slice("f", 10, 1 << 30).alias("cell"))).alias("c")).select(*("chrom", "pos", "id", "ref", "alt", "fmt"), F.col("c.samples").alias("sample"), F.col("c.cell").alias("cell"))
+    cells = cells.withColumn("format", R.parse_format("fmt", "cell")).withColumn("gt", F.try_element_at("format", F.lit("GT")))
     allele = lambda n: F.get(F.split("gt", r"[/|]"), n).try_cast("int")
     return sites, cells.select("chrom", "pos", "id", "ref", "alt", "sample", allele(0).alias("a1"), allele(1).alias("a2"), F.col("gt").contains("|").alias("phased"), "format")
 
 
+def read_shards(spark: SparkSession, paths: str | list[str], columns: list[str], sep: str = "\t") -> DataFrame:
+    """Delimited shards as text columns; each file's header must be these columns in this order, else reading fails."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(schema).csv(paths, sep=sep, header=True, enforceSchema=False, nullValue="", emptyValue="")
+
+
+# --- tables laid out by position
+
+
+BIN = 1_000_000
+
+
+def write_positioned(df: DataFrame, path: str, by: tuple[str, ...] = (), width: int = BIN, spread: int = 1) -> None:
+    """df (chrom, pos, ...) in folders by `by`, chrom and position bin, sorted by pos in each file, so that a window opens its bins' folders and in
+    them the row groups that reach into it. width: so wide that a bin fills some row groups; spread: how many tasks write a bin."""
+    keys = [*by, "chrom", "bin"]
+    placed = df.withColumn("bin", F.floor(F.col("pos") / width).cast("long"))
+    dealt = placed.repartition(*keys, F.pmod(F.xxhash64("pos"), F.lit(spread)))
+    dealt.sortWithinPartitions(*keys, "pos").write.mode("overwrite").partitionBy(*keys).option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str, windows: DataFrame, width: int = BIN, most: int = 2000, **only) -> DataFrame:
+    """Rows in each window (window, chrom, start, end; ends included), a row in several where windows overlap; only: values of partition columns.
+
+    Windows are merged first. What reaches the driver are the bins that they touch (no more than the table has folders) and, of at most `most` merged windows, the
+    bounds, which prune row groups; with more windows only folders are pruned."""
+    from strandlake.operators import intervals as I
+
+    merged = stage(I.merge_intervals(windows.select("chrom", F.col("start").alias("start0"), (F.col("end") + 1).alias("end0")), ("chrom",)), "windows")
+    bins = merged.select("chrom", F.explode(F.sequence(F.floor(F.col("start0") / width).cast("long"), F.floor((F.col("end0") - 1) / width).cast("long"))).alias("bin")).groupBy("chrom").agg(F.sort_array(F.collect_set("bin")).alias("bins")).collect()
+    df = spark.read.parquet(path)
+    for column, value in only.items():
+        df = df.where(F.col(column) == value)
+    few = merged.limit(most + 1).collect()
+    wanted = F.lit(False)
+    for r in bins:
+        part = (F.col("chrom") == r.chrom) & F.col("bin").isin(r.bins)
+        if len(few) <= most:
+            mine = [x for x in few if x.chrom == r.chrom]
+            inside = F.lit(False)
+            for x in mine:
+                inside = inside | F.col("pos").between(x.start0, x.end0 - 1)
+            part = part & inside & F.col("pos").between(min(x.start0 for x in mine), max(x.end0 for x in mine) - 1)
+        wanted = wanted | part
+    if len(few) <= most and few:  # said of all chromosomes at once, so that it reaches the files
+        wanted = wanted & F.col("pos").between(min(x.start0 for x in few), max(x.end0 for x in few) - 1)
+    wanted = wanted & F.col("chrom").isin([r.chrom for r in bins]) & F.col("bin").isin(sorted({b for r in bins for b in r.bins}))
+    return I.extract_windows(df.where(wanted).drop("bin"), windows)
+
+
 def chrom_order(chrom="chrom"):
     """1 to 22, X, Y, M, then others."""
     bare = F.regexp_replace(F.col(chrom), "^chr", "")
@@ -113,6 +173,17 @@ def write_table(df: DataFrame, path: str, columns: list[str], null: str = "", se
     df.select(*columns).write.mode("overwrite").csv(path, sep=sep, header=True, nullValue=null, emptyValue="")
 
 
+def write_lines(lines: DataFrame, path: str, head: list[str]) -> None:
+    """lines (value) as text; each file begins with the lines of head."""
+
+    def headed(batches):
+        yield pa.RecordBatch.from_pydict({"value": pa.array(head, pa.string())})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.select("value").mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+
+
 def read_hits(spark: SparkSession, path: str, phenotype: str | None = None) -> DataFrame:
     """A table partitioned by phenotype, pruned to one of them."""
     df = spark.read.parquet(path)

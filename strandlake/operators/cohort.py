@@ -313,22 +313,6 @@ def mendelian_score(haps: DataFrame, trios: DataFrame) -> DataFrame:
     return flips.groupBy("child").agg(F.count("*").alias("loci"), F.count_if("bad").alias("violations"), F.count_if("flip").alias("flips"))
 
 
-def bootstrap_mean_ci(df: DataFrame, key: str, value: str, draws: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """mean and percentile interval over Poisson-weighted resamples; weights come from a hash of (key, draw, seed), so reruns agree."""
-    u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    bounds, total, term = [], 0.0, 0.36787944117144233
-    for i in range(8):
-        total += term
-        bounds.append(total)
-        term /= i + 1
-    weight = sum(((u > b).cast("int") for b in bounds), F.lit(0))
-    each = df.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    means = each.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
-    tail = (1 - level) / 2
-    ci = means.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
-    return df.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(ci))
-
-
 def derange(samples: DataFrame, key: str, group: str, seed: int = 1) -> DataFrame:
     """key and donor: within each group everyone gets another's label (a cyclic shift in seeded order); groups of one stay out."""
     w = W.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
@@ -340,22 +324,6 @@ def derange(samples: DataFrame, key: str, group: str, seed: int = 1) -> DataFram
 # --- discovery
 
 
-def discovery_curve(carriers: DataFrame, order: DataFrame) -> DataFrame:
-    """rank and cumulative number of distinct sites when samples join in order (sample, rank), zero-filled over all ranks."""
-    first = carriers.join(order, "sample").groupBy("site").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("new"))
-    return order.select("rank").join(first, "rank", "left").select("rank", F.sum(F.coalesce("new", F.lit(0))).over(W.orderBy("rank")).alias("cumulative"))
-
-
-def novelty_curve(carriers: DataFrame, order: DataFrame) -> DataFrame:
-    """rank, cumulative new sites and of them those still seen in one sample only."""
-    by = W.partitionBy("site").orderBy("rank")
-    seen = carriers.join(order, "sample").select("site", "rank", F.row_number().over(by).alias("i")).where("i <= 2")
-    steps = seen.groupBy("rank").agg(F.count_if(F.col("i") == 1).alias("new"), F.count_if(F.col("i") == 2).alias("again"))
-    both = order.select("rank").join(steps, "rank", "left").na.fill(0, ["new", "again"])
-    w = W.orderBy("rank")
-    return both.select("rank", F.sum("new").over(w).alias("new"), F.sum(F.col("new") - F.col("again")).over(w).alias("singletons"))
-
-
 def generation_depth(ped: DataFrame, most: int = 64) -> DataFrame:
     """child, depth: founders 0, else one more than the deepest known parent; iterated until nothing changes, a stage each round."""
     from strandlake.sources.tables import stage

@@ -161,14 +161,6 @@ def logit_fits(rows: DataFrame, by: list[str], rounds: int = 25) -> DataFrame:
     return out.select(*by, "n", (F.col("a") - F.col("b") * F.col("m") / F.col("s")).alias("b0"), (F.col("b") / F.col("s")).alias("b1"), (F.sqrt(F.col("h00") / det) / F.col("s")).alias("se1"), "ll", empty.alias("ll0"))
 
 
-def covariate_screen(rows: DataFrame) -> DataFrame:
-    """rows (trait, candidate, y, x): logistic models with and without the candidate on the same rows: LRT, its p, delta AIC, and the q (Benjamini and Hochberg) by candidate."""
-    fits = logit_fits(rows, ["trait", "candidate"])
-    lrt = F.greatest(2 * (F.col("ll") - F.col("ll0")), F.lit(0.0))
-    out = fits.select("trait", "candidate", "n", "b1", lrt.alias("lrt"), (2 - lrt).alias("delta_aic")).withColumn("p", S.chi2_sf(F.col("lrt"), F.lit(1)))
-    return benjamini_hochberg(out, "p", ["candidate"], "trait")
-
-
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str], tie: str) -> DataFrame:
     up = W.partitionBy(*by).orderBy(p, tie)
     m = F.count(p).over(W.partitionBy(*by))

@@ -322,22 +322,6 @@ def split_ru_dosage(haps: DataFrame, units: DataFrame, k: int, encoding: str) ->
 # --- resampling and choice
 
 
-def bootstrap_ratio_ci(df: DataFrame, key: str, top: str, bottom: str, draws: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """Ratio of sums with a percentile interval over Poisson-weighted resamples of the rows; weights come from a hash of (key, draw, seed)."""
-    u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    bounds, total, term = [], 0.0, 0.36787944117144233  # Poisson(1): exp(-1) / i!
-    for i in range(8):
-        total += term
-        bounds.append(total)
-        term /= i + 1
-    weight = sum(((u > b).cast("int") for b in bounds), F.lit(0))
-    each = df.select(key, top, bottom, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    ratios = each.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col(top)), F.sum(F.col("w") * F.col(bottom))).alias("r"))
-    tail = (1 - level) / 2
-    ci = ratios.agg(F.percentile("r", tail).alias("low"), F.percentile("r", 1 - tail).alias("high"))
-    return df.agg(F.try_divide(F.sum(top), F.sum(bottom)).alias("ratio")).crossJoin(F.broadcast(ci))
-
-
 def pick_winner(models: DataFrame) -> DataFrame:
     """models (group, model, lam, low, high, loglik): by group the smallest |lam - 1|; among those whose interval overlaps its own, the highest loglik, then the first name."""
     w = W.partitionBy("group").orderBy(F.abs(F.col("lam") - 1), "model").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

@@ -9,6 +9,8 @@ from strandlake.operators import cohort as C
 from strandlake.operators import intervals as I
 from strandlake.operators import loci as L
 from strandlake.operators import rows as R
+from strandlake.operators import summaries as M
+from strandlake.operators.ranks import row_numbers
 from strandlake.plans.views import Plans
 
 plans = Plans()
@@ -283,6 +285,21 @@ add(
     "d33_tract_stats", "haps", lambda h: C.tract_stats(C.build_tracts(C.switches(h), h, 0, 100_000)).withColumn("median", F.round("median", 6)),
     f"{TRACTS} SELECT anc, count(*) AS n, count(*) FILTER (WHERE start <> 0 AND nxt IS NOT NULL) AS n_complete, round(quantile_cont(coalesce(nxt, 100000) - start, 0.5), 6) AS median, CAST(sum(coalesce(nxt, 100000) - start) AS BIGINT) AS bp FROM t GROUP BY 1",
 )
+def tract_rows(h):
+    sw = C.mark_flickers(C.switches(h), 50_000)
+    n = h.select("sample").distinct().count()
+    out = M.tract_summary(C.build_tracts(C.switches(h), h, 0, 100_000), sw, 2 * n, 100_000, 1.2)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("bigint") for c, t in out.dtypes))
+
+
+add(
+    "d33_tract_summary", "haps", tract_rows,
+    f"""{TRACTS}, n AS (SELECT 2 * count(DISTINCT sample) AS haps, 2 * count(DISTINCT sample) * 0.1e0 AS mb FROM {{haps}}),
+       fl AS (SELECT *, coalesce(CASE WHEN lead(from_anc) OVER w = to_anc AND lead(to_anc) OVER w = from_anc AND lead(pos) OVER w - pos BETWEEN 1 AND 50000 THEN lead(pos) OVER w - pos END, CASE WHEN lag(from_anc) OVER w = to_anc AND lag(to_anc) OVER w = from_anc AND pos - lag(pos) OVER w BETWEEN 1 AND 50000 THEN pos - lag(pos) OVER w END) AS span FROM sw WINDOW w AS (PARTITION BY sample, hap, chrom ORDER BY pos)),
+       s AS (SELECT count(DISTINCT (sample, hap)) AS n_haps_with_switch, count(*) AS n_switches, count(span) AS n_flicker, quantile_cont(span, 0.5) AS median_flicker FROM fl),
+       q AS (SELECT count(*) AS n_tracts, count(*) FILTER (WHERE start <> 0 AND nxt IS NOT NULL) AS n_complete, quantile_cont(coalesce(nxt, 100000) - start, 0.1) AS p10, quantile_cont(coalesce(nxt, 100000) - start, 0.5) AS median, quantile_cont(coalesce(nxt, 100000) - start, 0.9) AS p90, quantile_cont(CASE WHEN start <> 0 AND nxt IS NOT NULL THEN nxt - start END, 0.5) AS median_complete FROM t WHERE coalesce(nxt, 100000) > start)
+       SELECT n_tracts, n_complete, n_haps_with_switch, round(n_haps_with_switch / haps, 6) AS frac_haps, n_switches, round(n_switches / mb, 6) AS rate, round(n_flicker / n_switches, 6) AS flicker_frac, round(n_flicker / mb, 6) AS flicker_rate, round(n_switches / mb * 100 / 1.2e0, 6) AS implied_t, round(p10, 6) AS p10, round(median, 6) AS median, round(p90, 6) AS p90, round(median_complete, 6) AS median_complete, round(median_flicker, 6) AS median_flicker FROM q, s, n""",
+)
 add(
     "d39_split_dosage", "haps", lambda h: C.split_dosage(h, 4),
     "SELECT site, sample, anc, count(*) FILTER (WHERE allele = 1) AS ds, count(*) AS n_hap FROM {haps} WHERE anc BETWEEN 0 AND 3 GROUP BY 1, 2, 3",
@@ -301,22 +318,42 @@ add("d51_derange", "samples", lambda s: C.derange(s, "sample", "ancestry").agg(F
 
 # --- discovery
 ORDER = "SELECT sample, row_number() OVER (ORDER BY CASE ancestry WHEN 'eur' THEN 0 WHEN 'eas' THEN 1 WHEN 'sas' THEN 2 WHEN 'amr' THEN 3 ELSE 5 END, sample) AS rank FROM {samples} WHERE NOT control"
-order = lambda s: s.where("NOT control").select("sample", F.row_number().over(W.orderBy(R.ancestry_rank("ancestry"), "sample")).cast("bigint").alias("rank"))
-add("e7_discovery_order", "samples", lambda s: order(s), ORDER)
+def order(s):
+    """sample, rank (from 1) and block, without a single task for all samples."""
+    people = s.where("NOT control").select("sample", R.ancestry_rank("ancestry").alias("block"))
+    return row_numbers(people, "block", "sample", name="rank").select("sample", (F.col("rank") + 1).alias("rank"), F.col("block").cast("bigint").alias("block"))
+
+
+add("e7_discovery_order", "samples", lambda s: order(s).drop("block"), ORDER)
 add(
-    "e5_discovery_curve", "carriers samples", lambda c, s: C.discovery_curve(c, order(s)),
+    "e5_discovery_curve", "carriers samples", lambda c, s: M.discovery_curve(c, order(s)),
     f"WITH o AS ({ORDER}), f AS (SELECT site, min(rank) AS rank FROM {{carriers}} JOIN o USING (sample) GROUP BY 1) SELECT rank, CAST(sum(CASE WHEN n IS NULL THEN 0 ELSE n END) OVER (ORDER BY rank) AS BIGINT) AS cumulative FROM o LEFT JOIN (SELECT rank, count(*) AS n FROM f GROUP BY 1) USING (rank)",
 )
+frequency = lambda c: c.groupBy("site").agg(F.count_distinct("sample").alias("k")).select("site", F.when(F.col("k") == 1, "singleton").when(F.col("k") <= 5, "rare").otherwise("common").alias("freq"))
+add(
+    "e5_discovery_strata", "carriers samples sites", lambda c, s, t: M.discovery_curve(c, order(s), frequency(c).join(t.select("site", "svtype"), "site")),
+    f"""WITH o AS ({ORDER}), k AS (SELECT site, svtype, CASE WHEN n = 1 THEN 'singleton' WHEN n <= 5 THEN 'rare' ELSE 'common' END AS freq FROM (SELECT site, count(DISTINCT sample) AS n FROM {{carriers}} GROUP BY 1) JOIN {{sites}} USING (site)),
+       f AS (SELECT site, min(rank) AS rank FROM {{carriers}} JOIN o USING (sample) GROUP BY 1), n AS (SELECT rank, svtype, freq, count(*) AS n FROM f JOIN k USING (site) GROUP BY ALL), g AS (SELECT o.rank, d.* FROM o CROSS JOIN (SELECT DISTINCT svtype, freq FROM k) d)
+       SELECT g.rank, g.svtype, g.freq, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY g.svtype, g.freq ORDER BY g.rank) AS BIGINT) AS cumulative FROM g LEFT JOIN n USING (rank, svtype, freq)""",
+)
+# deletions and insertions of 50 to 10,000; places with a multiple of 7 are matched to phase 1; some ids stand twice
+novel = lambda t: t.where("source = 'main' AND svtype IN ('DEL', 'INS') AND abs(svlen) BETWEEN 50 AND 10000").select("chrom", "pos", F.when(F.col("site") % 91 == 0, "twice").otherwise(F.col("id")).alias("id"), "svtype")
 add(
-    "e6_novelty_curve", "carriers samples", lambda c, s: C.novelty_curve(c, order(s)),
-    f"""WITH o AS ({ORDER}), f AS (SELECT site, rank, row_number() OVER (PARTITION BY site ORDER BY rank) AS i FROM {{carriers}} JOIN o USING (sample)), n AS (SELECT rank, count(*) FILTER (WHERE i = 1) AS a, count(*) FILTER (WHERE i = 2) AS b FROM f GROUP BY 1)
-       SELECT rank, CAST(sum(coalesce(a, 0)) OVER (ORDER BY rank) AS BIGINT) AS new, CAST(sum(coalesce(a, 0) - coalesce(b, 0)) OVER (ORDER BY rank) AS BIGINT) AS singletons FROM o LEFT JOIN n USING (rank)""",
+    "e6_novelty_curve", "carriers samples sites",
+    lambda c, s, t: M.novelty_curve(M.novelty_classes(novel(t), c, order(s), s.where("control").select("sample"), novel(t).where("pos % 7 = 0")), order(s), 25),
+    f"""WITH o AS (SELECT s.sample, s.rank, CASE ancestry WHEN 'eur' THEN 0 WHEN 'eas' THEN 1 WHEN 'sas' THEN 2 WHEN 'amr' THEN 3 ELSE 5 END AS block FROM ({ORDER}) s JOIN {{samples}} USING (sample)),
+       t AS (SELECT chrom, pos, CASE WHEN site % 91 = 0 THEN 'twice' ELSE id END AS id, svtype FROM {{sites}} WHERE source = 'main' AND svtype IN ('DEL', 'INS') AND abs(svlen) BETWEEN 50 AND 10000), u AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY id) = 1),
+       r AS (SELECT id, rank, row_number() OVER (PARTITION BY id ORDER BY rank) AS i, count(*) OVER (PARTITION BY id) AS n FROM {{carriers}} JOIN o USING (sample)), h AS (SELECT DISTINCT id FROM {{carriers}} JOIN {{samples}} USING (sample) WHERE control),
+       k AS (SELECT u.id, svtype, min(rank) AS first, min(CASE WHEN i = 2 THEN rank END) AS second, CASE WHEN u.id IN (SELECT id FROM h) THEN 'in_controls' WHEN u.pos % 7 = 0 THEN 'in_phase1' ELSE 'new' END AS kind FROM u JOIN r USING (id) GROUP BY u.id, svtype, u.pos),
+       e AS (SELECT svtype, kind AS class, first AS rank, 1 AS k FROM k WHERE kind <> 'new' UNION ALL SELECT svtype, 'new_singleton', first, 1 FROM k WHERE kind = 'new' UNION ALL SELECT svtype, 'new_singleton', second, -1 FROM k WHERE kind = 'new' AND second IS NOT NULL UNION ALL SELECT svtype, 'new_recurrent', second, 1 FROM k WHERE kind = 'new' AND second IS NOT NULL)
+       SELECT o.rank AS n_participants, CAST(o.block AS BIGINT) AS block, s.svtype, c.class, CAST((SELECT coalesce(sum(k), 0) FROM e WHERE e.svtype = s.svtype AND e.class = c.class AND e.rank <= o.rank) AS BIGINT) AS cumulative
+       FROM o, (SELECT DISTINCT svtype FROM k) s, (SELECT unnest(['in_controls', 'in_phase1', 'new_recurrent', 'new_singleton']) AS class) c WHERE o.rank % 25 = 0 OR o.rank = (SELECT max(rank) FROM o)""",
 )
 
 # --- cohort and phenotypes
 add(
     "d52_trait_inventory", "ehr",
-    lambda e: e.groupBy("concept").agg(F.count_distinct("person").alias("persons"), F.count("value").alias("n"), *(F.round(F.percentile("value", q), 6).alias(f"q{int(100 * q)}") for q in (0.05, 0.5, 0.95))).where("persons >= 5"),
+    lambda e: e.groupBy("concept").agg(F.count_distinct("person").alias("persons")).where("persons >= 5").join(M.grouped_quantiles(e, ["concept"], "value", {"q5": 0.05, "q50": 0.5, "q95": 0.95}), "concept").select("concept", "persons", "n", *(F.round(q, 6).alias(q) for q in ("q5", "q50", "q95"))),
     "SELECT concept, count(DISTINCT person) AS persons, count(value) AS n, round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM {ehr} GROUP BY 1 HAVING count(DISTINCT person) >= 5",
 )
 add(

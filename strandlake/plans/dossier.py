@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import cohort as C
 from strandlake.operators import dossier as D
+from strandlake.operators import summaries as M
 from strandlake.plans.loci import r6
 from strandlake.plans.views import Plans
 from strandlake.sources.tables import shared_dir
@@ -81,7 +82,7 @@ add(
     "WITH c AS (SELECT corr(balance, sex) AS a, corr(balance, sample) AS b, corr(sex, sample) AS c FROM {samples}) SELECT round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS r2 FROM c",
 )
 add("g33_null_model", "samples", lambda s: r6(D.fit_null(s.withColumn("one", F.lit(1.0)), "sample", "sex", ["balance", "one"])[0].select("sample", "r", "w"), "r", "w"))
-add("g34_covariate_screen", "samples", lambda s: r6(D.covariate_screen(candidates(s)), "lrt", "delta_aic", "p", "q").drop("b1"))
+add("g34_covariate_screen", "samples", lambda s: r6(M.covariate_screen(candidates(s), 5), "lrt", "delta_aic", "p", "q"))
 add(
     "g35_r2_decomposition", "samples", lambda s: r6(D.r2_decomposition(s.withColumns({f"is_{a}": (F.col("ancestry") == a).cast("double") for a in ("afr", "amr")}), "balance", {"sex": ["sex"], "population": ["is_afr"]}), "r2", "gain"),
     """WITH c AS (SELECT corr(balance, sex) AS a, corr(balance, f) AS b, corr(sex, f) AS c FROM (SELECT balance, sex, CASE WHEN ancestry = 'afr' THEN 1 ELSE 0 END AS f FROM {samples})), r AS (SELECT a * a AS r1, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2 FROM c)
@@ -90,11 +91,12 @@ add(
 
 
 def candidates(s):
-    """Long rows (trait, candidate, y, x) of two traits and two candidates."""
+    """Long rows (trait, candidate, y, x, base) of two traits and two candidates; the base are groups and a scaled balance."""
     pair = lambda name, c, as_: F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias(as_))
-    traits = s.select("balance", "sample", F.explode(F.array(pair("sex", "sex", "y"), pair("control", "control", "y"))).alias("t"))
-    both = traits.select("t", F.explode(F.array(pair("balance", "balance", "x"), pair("sample", "sample", "x"))).alias("c"))
-    return both.select(F.col("t.name").alias("trait"), F.col("c.name").alias("candidate"), "t.y", "c.x")
+    base = F.array(*((F.col("ancestry") == a).cast("double") for a in ("afr", "amr", "eas", "eur")), F.col("balance") / 10_000)
+    traits = s.withColumns({"odd": F.col("sample") % 7, "base": base}).select("odd", "sample", "base", F.explode(F.array(pair("sex", "sex", "y"), pair("control", "control", "y"))).alias("t"))
+    both = traits.select("t", "base", F.explode(F.array(pair("odd", "odd", "x"), pair("sample", "sample", "x"))).alias("c"))
+    return both.select(F.col("t.name").alias("trait"), F.col("c.name").alias("candidate"), "t.y", "c.x", "base")
 
 
 # --- genotype matrices

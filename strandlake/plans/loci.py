@@ -11,6 +11,7 @@ from strandlake.operators import cohort as C
 from strandlake.operators import intervals as I
 from strandlake.operators import loci as L
 from strandlake.operators import rows as R
+from strandlake.operators import summaries as M
 from strandlake.plans.cohort import SW
 from strandlake.plans.views import Plans
 from strandlake.sources import tables as T
@@ -308,11 +309,14 @@ SIX = """w AS MATERIALIZED (SELECT chrom, pos, sample, max(anc) FILTER (WHERE ha
        z AS (SELECT *, coalesce(forced <> last_value(coalesce(forced, CASE WHEN lead THEN 1 END) IGNORE NULLS) OVER (PARTITION BY child, chrom ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS flip FROM q),
        scored AS (SELECT child, count(*) AS loci, count(*) FILTER (WHERE NOT one AND NOT two) AS violations, count(*) FILTER (WHERE flip) AS flips FROM z GROUP BY 1)"""
 add("d43_mendelian_score", "lai ped", C.mendelian_score, f"WITH {SIX} SELECT * FROM scored")
-add(
-    "d46_trio_ratio", "lai ped", lambda h, p: r6(L.bootstrap_ratio_ci(C.mendelian_score(h, p), "child", "violations", "loci").where("low <= ratio AND ratio <= high"), "ratio").select("ratio"),
-    f"WITH {SIX} SELECT round(CAST(sum(violations) AS DOUBLE) / sum(loci), 6) AS ratio FROM scored",
-)
-add("d47_mean_interval", "samples", lambda s: r6(C.bootstrap_mean_ci(s, "sample", "balance").where("low <= mean AND mean <= high"), "mean").select("mean"), "SELECT round(avg(balance), 6) AS mean FROM {samples}")
+def interval_sql(rows: str, key: str, top: str, bottom: str) -> str:
+    """SELECT of ratio, draws, low and high over 200 resamples with the operator's own weights."""
+    return f"""d AS (SELECT draw, sum(w * t) / sum(w * b) AS r FROM (SELECT draw, {top} AS t, {bottom} AS b, {M.weights_sql(key, "draw")} AS w FROM {rows}, range(1, 201) AS x(draw)) GROUP BY draw HAVING sum(w * b) > 0)
+       SELECT round((SELECT sum({top}) / sum({bottom}) FROM {rows}), 6) AS ratio, count(*) AS draws, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM d"""
+
+
+add("d46_trio_ratio", "lai ped", lambda h, p: r6(M.ratio_interval(C.mendelian_score(h, p), "child", "violations", "loci"), "ratio", "low", "high"), f"WITH {SIX}, f AS MATERIALIZED (SELECT child, CAST(violations AS DOUBLE) AS v, CAST(loci AS DOUBLE) AS n FROM scored), {interval_sql('f', 'child', 'v', 'n')}")
+add("d47_mean_interval", "samples", lambda s: r6(M.ratio_interval(s, "sample", "balance", None), "ratio", "low", "high"), f"WITH f AS MATERIALIZED (SELECT sample, balance, 1.0e0 AS one FROM {{samples}} WHERE balance IS NOT NULL), {interval_sql('f', 'sample', 'balance', 'one')}")
 GENETIC = "SELECT DISTINCT chrom, pos, CAST(pos AS DOUBLE) * pos / 1.0e8 AS cm FROM {markers}"
 add(
     "d45_expected_crossovers", "catalog markers", lambda c, m: r6(L.expected_crossovers(c.select(F.col("locus").alias("id"), "chrom", "start0", "end0"), m.select("chrom", "pos", (F.col("pos").cast("double") * F.col("pos") / 1e8).alias("cm")).distinct(), 2), "crossovers"),

@@ -63,9 +63,55 @@ def dossier_loci(hits: DataFrame, gap: int = 500_000, flank: int = 250_000) -> D
 
 
 def recurrence(hits: DataFrame, window: int, least: int) -> DataFrame:
-    """Loci (chromosome, first position) that hits of at least `least` phenotypes share."""
+    """Loci (chromosome, first position) that hits of at least `least` phenotypes share: phenotypes and their names, hits, arms, hits by verdict
+    (kept, excluded), best p. A locus of many unrelated phenotypes is more often a fault of the place than a finding."""
     c = cluster_positions(hits, window)
-    return c.groupBy("chrom", "cluster").agg(F.count_distinct("phenotype").alias("phenotypes"), F.count("*").alias("n")).where(F.col("phenotypes") >= least)
+    names = lambda x: F.array_join(F.sort_array(F.collect_set(x)), ",")  # noqa: E731  of few values
+    out = c.groupBy("chrom", "cluster").agg(F.count_distinct("phenotype").alias("phenotypes"), F.count("*").alias("n"), names("arm").alias("arms"), names("phenotype").alias("names"), F.count_if(F.col("verdict") == "kept").alias("kept"), F.count_if(F.col("verdict") == "excluded").alias("excluded"), F.min("p").alias("best"))
+    return out.where(F.col("phenotypes") >= least)
+
+
+def calibration_models(lambdas: DataFrame, base: str, most_apart: float) -> DataFrame:
+    """phenotype, arm, lambda, gain over the base arm's, not_comparable: why the two cannot be compared (the base is missing, or the numbers of tests
+    differ by more than a share of the base's), else null."""
+    ref = lambdas.where(F.col("arm") == base).select("phenotype", F.col("n").alias("base_n"), F.col("lambda").alias("base"))
+    out = lambdas.join(ref, "phenotype", "left")
+    why = F.when(F.col("base_n").isNull(), "no_base").when(F.abs(F.col("n") - F.col("base_n")) > most_apart * F.col("base_n"), "tests_differ")
+    return out.select("phenotype", "arm", F.round("lambda", 6).alias("lambda"), F.round(F.col("lambda") - F.col("base"), 6).alias("gain"), why.alias("not_comparable"))
+
+
+def call_rate_by_group(calls: DataFrame, groups: DataFrame) -> DataFrame:
+    """By site, for samples that groups (sample, group: case or control) names: numbers, no-calls, call rates and their difference, Fisher's p, and
+    exact medians of dp and gq."""
+    from strandlake.functions.stats import fisher_two_sided
+    from strandlake.operators.summaries import grouped_quantiles
+
+    mine = stage(calls.join(groups.where("group IN ('case', 'control')"), "sample").select("site", "group", (F.col("a1").isNull() | F.col("a2").isNull()).alias("gone"), "dp", "gq"), "groups")
+    is_ = lambda k: F.col("group") == k
+    n = mine.groupBy("site").agg(*(x for k in ("case", "control") for x in (F.count_if(is_(k)).alias(f"n_{k}"), F.count_if(is_(k) & F.col("gone")).alias(f"n_{k}_nocall"))))
+    rate = lambda k: F.try_divide(F.col(f"n_{k}") - F.col(f"n_{k}_nocall"), F.col(f"n_{k}"))
+    out = n.withColumns({"call_rate_case": rate("case"), "call_rate_control": rate("control")}).withColumn("call_rate_diff", F.col("call_rate_case") - F.col("call_rate_control"))
+    out = out.withColumn("fisher_p", fisher_two_sided(F.col("n_case") - F.col("n_case_nocall"), F.col("n_case_nocall"), F.col("n_control") - F.col("n_control_nocall"), F.col("n_control_nocall")))
+    for tag in ("dp", "gq"):
+        q = grouped_quantiles(mine, ["site", "group"], tag, {"median": 0.5})
+        wide = q.groupBy("site").agg(*(F.max(F.when(is_(k), F.col("median"))).alias(f"median_{tag}_{k}") for k in ("case", "control")))
+        out = out.join(wide, "site", "left")
+    return out
+
+
+def run_summary(assoc: DataFrame, by: list[str], p: str, extra: list[str], threshold: float, top: int) -> DataFrame:
+    """By run: tests, those that pass, those with p, hits that pass, best p, lambda of all, of those that pass, and of passing ones' extra columns, and the
+    markers of the best `top` passing tests."""
+    from strandlake.functions.stats import lambda_gc
+
+    ok = F.coalesce(ac_pass(assoc), F.lit(False))
+    out = assoc.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_pass"), F.count(p).alias("n_tested"), F.count_if(ok & (F.col(p) < threshold)).alias("n_hits"), F.min(p).alias("best"))
+    passing = assoc.where(ok)
+    first = passing.where(F.col(p).isNotNull()).withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(p, "marker"))).where(F.col("_r") <= top)
+    out = out.join(first.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "marker"))), lambda x: x["marker"]), ",").alias("top")), by, "left")
+    for name, rows, column in (("all", assoc, p), ("pass", passing, p), *((c, passing, c) for c in extra)):
+        out = out.join(lambda_gc(rows, column, by).select(*by, F.col("lambda").alias(f"lambda_{name}")), by, "left")
+    return out
 
 
 def corroborated(hits: DataFrame, window: int) -> DataFrame:
@@ -90,11 +136,12 @@ def best_p(assoc: DataFrame, by: list[str], p: str, passes: Column) -> DataFrame
     return out.select(*by, F.coalesce("b.p", "top").alias("p"), F.col("b.marker").alias("marker"), F.col("b").isNull().alias("censored"))
 
 
-def arm_contrasts(assoc: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
-    """Loci (chrom, pos) gained, lost, in both or in neither when arm b stands for arm a, by each side's smallest p."""
-    wide = assoc.where(F.col("arm").isin(a, b)).groupBy("chrom", "pos").agg(F.min(F.when(F.col("arm") == a, F.col("p"))).alias("pa"), F.min(F.when(F.col("arm") == b, F.col("p"))).alias("pb")).where("pa IS NOT NULL AND pb IS NOT NULL")
-    x, y = F.col("pa") < threshold, F.col("pb") < threshold
-    return wide.groupBy(F.when(x & y, "both").when(x, "lost").when(y, "gained").otherwise("neither").alias("class")).agg(F.count("*").alias("n"))
+def arm_contrasts(loci: DataFrame, pairs: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """contrast, gained, lost, both, neither for pairs of p columns of loci, all in one aggregate; a missing p is not significant."""
+    good = lambda c: F.coalesce(F.col(c) < threshold, F.lit(False))
+    kinds = lambda a, b: (F.count_if(~good(a) & good(b)).alias("gained"), F.count_if(good(a) & ~good(b)).alias("lost"), F.count_if(good(a) & good(b)).alias("both"), F.count_if(~good(a) & ~good(b)).alias("neither"))
+    one = loci.agg(F.array(*(F.struct(F.lit(f"{a}->{b}").alias("contrast"), *kinds(a, b)) for a, b in pairs)).alias("c"))
+    return one.select(F.inline("c"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], numbers: list[str], digits: int) -> DataFrame:
@@ -119,15 +166,17 @@ def effect_consistency(strata: DataFrame, by: list[str]) -> DataFrame:
 
 
 def regional_support(assoc: DataFrame, leads: DataFrame, reach: int = 100_000, orders: float = 3.0) -> DataFrame:
-    """By lead (lead, chrom, pos, p): neighbours within reach, those with p <= max(lead's p * 10^orders, 5e-8), and the nearest such distance."""
+    """By lead (lead, chrom, pos, p): neighbours within reach, those with p <= max(lead's p * 10^orders, 5e-8), those below 5e-8, the nearest supporting one's distance, and the best one's p and distance."""
     from strandlake.operators.intervals import range_join
 
     spans = leads.select("chrom", "lead", F.col("pos").alias("at"), "p", (F.col("pos") - reach).alias("start0"), (F.col("pos") + reach + 1).alias("end0"))
     points = assoc.select("chrom", "pos", "p").withColumns({"start0": F.col("pos"), "end0": F.col("pos") + 1})
     near = range_join(spans, points).where(F.col("pos_r") != F.col("at"))
     good = F.col("p_r") <= F.greatest(F.col("p") * 10**orders, F.lit(GENOME_WIDE))
-    got = near.groupBy("lead").agg(F.count("*").alias("neighbours"), F.count_if(good).alias("support"), F.min(F.when(good, F.abs(F.col("pos_r") - F.col("at")))).alias("nearest"))
-    return leads.select("lead").join(got, "lead", "left").na.fill(0, ["neighbours", "support"])
+    bp = F.abs(F.col("pos_r") - F.col("at"))
+    best = F.min(F.when(good, F.struct(F.col("p_r").alias("p"), bp.alias("bp"))))
+    got = near.groupBy("lead").agg(F.count("*").alias("neighbours"), F.count_if(good).alias("support"), F.count_if(F.col("p_r") < GENOME_WIDE).alias("significant"), F.min(F.when(good, bp)).alias("nearest"), best.alias("best"))
+    return leads.select("lead").join(got, "lead", "left").na.fill(0, ["neighbours", "support", "significant"]).select("lead", "neighbours", "support", "significant", "nearest", F.col("best.p").alias("best_p"), F.col("best.bp").alias("best_bp"))
 
 
 def mahalanobis(df: DataFrame, key: str, columns: list[str], group: str | None = None, top: float = 0.05, least: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from strandlake.functions import stats as S
 from strandlake.operators import association as A
 from strandlake.operators import cohort as C
 from strandlake.operators import intervals as I
+from strandlake.plans import sqlmath as Q
 from strandlake.plans.views import Plans
 
 plans = Plans()
@@ -17,6 +18,11 @@ add = plans.add
 CUT = 2e-3
 
 
+def r6(df, *names):
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+
 def hits(a):
     return a.where(F.col("p") < CUT)
 
@@ -26,17 +32,24 @@ add(
     """SELECT marker, round(0.5e0 - atan((tan((0.5e0 - p) * pi()) + tan((0.5e0 - p2) * pi()) + CASE WHEN p3 IS NULL THEN 0 WHEN p3 < 1e-16 THEN 0 ELSE tan((0.5e0 - p3) * pi()) END) / CASE WHEN p3 IS NULL THEN 2 ELSE 3 END) / pi(), 6) * CASE WHEN p3 <= 0 THEN 0 ELSE 1 END AS p FROM {assoc}""",
 )
 add("g4_chi2", "assoc", lambda a: a.select("marker", F.round(S.chi2_sf(S.chi2_isf(F.col("p"), F.lit(3)), F.lit(3)), 9).alias("back"), (F.abs(S.chi2_sf(S.chi2_isf(F.col("p"), F.lit(1)), F.lit(1)) - F.col("p")) < 1e-9).alias("same")), "SELECT marker, round(p, 9) AS back, true AS same FROM {assoc}")
-add("g5_lambda_gc", "assoc", lambda a: S.lambda_gc(a, "p", ["phenotype", "arm"]).select("phenotype", "arm", "n", F.round("lambda", 6).alias("lambda")))
+add("g5_lambda_gc", "assoc", lambda a: S.lambda_gc(a, "p", ["phenotype", "arm"]).select("phenotype", "arm", "n", F.round("lambda", 6).alias("lambda")), f"SELECT phenotype, arm, n, round(lam, 6) AS \"lambda\" FROM ({Q.lambdas('{assoc}', 'phenotype, arm', 'p')})")
 add(
     "g6_qq_points", "assoc", lambda a: S.qq_points(a, "p", ["phenotype"], 1e-2, 500).select("phenotype", "rank", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected")),
     """WITH r AS (SELECT phenotype, p, row_number() OVER (PARTITION BY phenotype ORDER BY p) AS rank, count(*) OVER (PARTITION BY phenotype) AS n FROM {assoc})
        SELECT phenotype, rank, round(-log10(p), 6) AS observed, round(-log10((rank - 0.5e0) / n), 6) AS expected FROM r WHERE p < 0.01 OR rank % greatest(CAST(floor(n / 500.0e0) AS BIGINT), 1) = 0""",
 )
 add(
-    "g7_run_summary", "assoc", lambda a: a.groupBy("phenotype").agg(F.count("*").alias("n"), F.count_if(A.ac_pass(a)).alias("n_pass"), F.count_if(A.ac_pass(a) & (F.col("p") < CUT)).alias("n_hits"), F.round(F.min("p"), 9).alias("best")),
-    f"SELECT phenotype, count(*) AS n, count(*) FILTER (WHERE include) AS n_pass, count(*) FILTER (WHERE include AND p < {CUT}) AS n_hits, round(min(p), 9) AS best FROM {{assoc}} GROUP BY 1",
+    "g7_run_summary", "assoc pheno", lambda a, p: r6(A.run_summary(a, ["phenotype"], "p", ["p2", "p3"], CUT, 3), "best", "lambda_all", "lambda_pass", "lambda_p2", "lambda_p3"),
+    f"""WITH k AS (SELECT * FROM {{assoc}} WHERE include), n AS (SELECT phenotype, count(*) AS n, count(*) FILTER (WHERE include) AS n_pass, count(p) AS n_tested, count(*) FILTER (WHERE include AND p < {CUT}) AS n_hits, round(min(p), 6) AS best FROM {{assoc}} GROUP BY 1),
+       t AS (SELECT phenotype, string_agg(marker, ',' ORDER BY p, marker) AS top FROM (SELECT phenotype, marker, p FROM k QUALIFY row_number() OVER (PARTITION BY phenotype ORDER BY p, marker) <= 3) GROUP BY 1)
+       SELECT n.*, t.top, round(a.lam, 6) AS lambda_all, round(b.lam, 6) AS lambda_pass, round(c.lam, 6) AS lambda_p2, round(d.lam, 6) AS lambda_p3 FROM n LEFT JOIN t USING (phenotype) LEFT JOIN ({Q.lambdas('{assoc}', 'phenotype', 'p')}) a USING (phenotype)
+         LEFT JOIN ({Q.lambdas('k', 'phenotype', 'p')}) b USING (phenotype) LEFT JOIN ({Q.lambdas('k', 'phenotype', 'p2')}) c USING (phenotype) LEFT JOIN ({Q.lambdas('k', 'phenotype', 'p3')}) d USING (phenotype)""",
+)
+add(
+    "g9_calibration", "assoc", lambda a: A.calibration_models(S.lambda_gc(a, "p", ["phenotype", "arm"]), "main", 0.3),
+    f"""WITH l AS ({Q.lambdas('{assoc}', 'phenotype, arm', 'p')}), m AS (SELECT phenotype, n AS base_n, lam AS base FROM l WHERE arm = 'main')
+       SELECT l.phenotype, l.arm, round(l.lam, 6) AS "lambda", round(l.lam - base, 6) AS gain, CASE WHEN abs(l.n - base_n) > 0.3e0 * base_n THEN 'tests_differ' END AS not_comparable FROM l LEFT JOIN m USING (phenotype)""",
 )
-add("g9_calibration", "assoc", lambda a: S.lambda_gc(a, "p", ["phenotype", "arm"]).groupBy("phenotype").pivot("arm", ["main", "ru", "carrier"]).agg(F.round(F.first("lambda"), 6)))
 add(
     "g10_compare_runs", "assoc", lambda a: A.compare_runs(a.where("n_ctrl % 7 <> 0"), a.where("n_ctrl % 5 <> 0").withColumn("p", F.when(F.col("n_ctrl") == 511, F.col("p") + 0.1).otherwise(F.col("p"))), ["marker"], ["p", "p2"], 5),
     """SELECT count(*) FILTER (WHERE n_ctrl % 5 = 0 AND n_ctrl % 7 <> 0) AS only_a, count(*) FILTER (WHERE n_ctrl % 7 = 0 AND n_ctrl % 5 <> 0) AS only_b, count(*) FILTER (WHERE n_ctrl = 511 AND n_ctrl % 7 <> 0) AS p_differs, CAST(0 AS BIGINT) AS p2_differs FROM {assoc}""",
@@ -59,7 +72,10 @@ add(
     "e11_region_plan", "assoc", lambda a: I.merge_intervals(hits(a).select("phenotype", "chrom", F.greatest(F.col("pos") - 900, F.lit(0)).alias("start0"), (F.col("pos") + 900).alias("end0")), ("phenotype", "chrom")),
     f"WITH {clusters('phenotype, chrom', 1800)} SELECT phenotype, chrom, greatest(min(pos) - 900, 0) AS start0, max(pos) + 900 AS end0 FROM c GROUP BY phenotype, chrom, cluster",
 )
-add("e12_recurrence", "assoc", lambda a: A.recurrence(hits(a), 1500, 2), f"WITH {clusters('chrom', 1500)} SELECT chrom, cluster, count(DISTINCT phenotype) AS phenotypes, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(DISTINCT phenotype) >= 2")
+add(
+    "e12_recurrence", "assoc", lambda a: A.recurrence(hits(a).withColumn("verdict", F.when(F.col("n_hom") < 3, "excluded").otherwise("kept")), 1500, 2).withColumn("best", F.round("best", 9)),
+    f"WITH {clusters('chrom', 1500)} SELECT chrom, cluster, count(DISTINCT phenotype) AS phenotypes, count(*) AS n, string_agg(DISTINCT arm, ',' ORDER BY arm) AS arms, string_agg(DISTINCT phenotype, ',' ORDER BY phenotype) AS names, count(*) FILTER (WHERE n_hom >= 3) AS kept, count(*) FILTER (WHERE n_hom < 3) AS excluded, round(min(p), 9) AS best FROM c GROUP BY 1, 2 HAVING count(DISTINCT phenotype) >= 2",
+)
 add(
     "e13_corroborated", "assoc", lambda a: A.corroborated(a.where(F.col("p") < 0.05), 100_000),
     f"WITH {clusters('phenotype, chrom', 100_000).replace(f'p < {CUT}', 'p < 0.05')} SELECT phenotype, chrom, cluster, count(DISTINCT arm) AS arms, count(*) AS n FROM c GROUP BY 1, 2, 3 HAVING count(DISTINCT arm) >= 2",
@@ -95,14 +111,18 @@ add(
 )
 add(
     "e18_regional_support", "assoc",
-    lambda a: A.regional_support(a, a.where("p < 1e-4").select(F.col("marker").alias("lead"), "chrom", "pos", "p"), 3000, 1.0),
-    """WITH l AS (SELECT marker AS m, chrom, pos, p FROM {assoc} WHERE p < 1e-4), n AS (SELECT l.m, l.pos AS lead_pos, a.pos, a.p <= greatest(l.p * 10, 5e-8) AS good FROM l JOIN {assoc} a ON a.chrom = l.chrom AND a.pos BETWEEN l.pos - 3000 AND l.pos + 3000 AND a.pos <> l.pos)
-       SELECT m AS "lead", count(n.pos) AS neighbours, count(*) FILTER (WHERE good) AS support, min(abs(n.pos - lead_pos)) FILTER (WHERE good) AS nearest FROM l LEFT JOIN n USING (m) GROUP BY 1""",
+    lambda a: A.regional_support(a, a.where("p < 1e-4").select(F.col("marker").alias("lead"), "chrom", "pos", "p"), 3000, 1.0).withColumn("best_p", F.round("best_p", 9)),
+    """WITH l AS (SELECT marker AS m, chrom, pos, p FROM {assoc} WHERE p < 1e-4), n AS (SELECT l.m, l.pos AS lead_pos, a.pos, a.p, a.p <= greatest(l.p * 10, 5e-8) AS good FROM l JOIN {assoc} a ON a.chrom = l.chrom AND a.pos BETWEEN l.pos - 3000 AND l.pos + 3000 AND a.pos <> l.pos)
+       SELECT m AS "lead", count(n.pos) AS neighbours, count(*) FILTER (WHERE good) AS support, count(*) FILTER (WHERE n.p < 5e-8) AS significant, min(abs(n.pos - lead_pos)) FILTER (WHERE good) AS nearest, round(min(n.p) FILTER (WHERE good), 9) AS best_p, arg_min(abs(n.pos - lead_pos), struct_pack(p := n.p, d := abs(n.pos - lead_pos))) FILTER (WHERE good) AS best_bp FROM l LEFT JOIN n USING (m) GROUP BY 1""",
 )
 add("f2_top_hits", "assoc", lambda a: a.where("include").orderBy("p", "marker").limit(50).select("marker", F.round("p", 9).alias("p")), "SELECT marker, round(p, 9) AS p FROM {assoc} WHERE include ORDER BY {assoc}.p, marker LIMIT 50")
+FIVE = [("pooled_carrier", "la_carrier"), ("pooled_ru", "la_ru"), ("pooled_carrier", "pooled_ru"), ("la_carrier", "la_ru"), ("pooled_carrier", "la_ru")]
+# the pooled test is p, the local-ancestry one the smaller of the ancestries' p2 and p3
+contrasted = lambda a: a.where("arm <> 'main'").groupBy("chrom", "pos").agg(*(F.min(F.when(F.col("arm") == k, F.col("p"))).alias(f"pooled_{k}") for k in ("ru", "carrier")), *(F.min(F.when(F.col("arm") == k, F.least("p2", "p3"))).alias(f"la_{k}") for k in ("ru", "carrier")), *(F.max(F.when(F.col("arm") == k, 1)).alias(f"in_{k}") for k in ("ru", "carrier"))).where("in_ru = 1 AND in_carrier = 1")
 add(
-    "g13_arm_contrasts", "assoc", lambda a: A.arm_contrasts(a, "main", "ru", 0.3),
-    "WITH w AS (SELECT chrom, pos, min(p) FILTER (WHERE arm = 'main') AS a, min(p) FILTER (WHERE arm = 'ru') AS b FROM {assoc} GROUP BY 1, 2) SELECT CASE WHEN a < 0.3 AND b < 0.3 THEN 'both' WHEN a < 0.3 THEN 'lost' WHEN b < 0.3 THEN 'gained' ELSE 'neither' END AS class, count(*) AS n FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1",
+    "g13_arm_contrasts", "assoc", lambda a: A.arm_contrasts(contrasted(a), FIVE, 0.3),
+    """WITH w AS (SELECT min(p) FILTER (WHERE arm = 'ru') AS pooled_ru, min(p) FILTER (WHERE arm = 'carrier') AS pooled_carrier, min(least(p2, p3)) FILTER (WHERE arm = 'ru') AS la_ru, min(least(p2, p3)) FILTER (WHERE arm = 'carrier') AS la_carrier FROM {assoc} GROUP BY chrom, pos HAVING count(*) FILTER (WHERE arm = 'ru') > 0 AND count(*) FILTER (WHERE arm = 'carrier') > 0)
+       """ + " UNION ALL ".join(f"SELECT '{a}->{b}' AS contrast, count(*) FILTER (WHERE NOT coalesce({a} < 0.3, FALSE) AND coalesce({b} < 0.3, FALSE)) AS gained, count(*) FILTER (WHERE coalesce({a} < 0.3, FALSE) AND NOT coalesce({b} < 0.3, FALSE)) AS lost, count(*) FILTER (WHERE {a} < 0.3 AND {b} < 0.3) AS both, count(*) FILTER (WHERE NOT coalesce({a} < 0.3, FALSE) AND NOT coalesce({b} < 0.3, FALSE)) AS neither FROM w" for a, b in FIVE),
 )
 STRATA = [{"spa": "spa", "t": "beta1", "var": "se1"}, {"tc": "beta2", "var_c": "se2", "t": "beta1", "p": "p", "pc": "p2"}]
 add(
@@ -114,9 +134,8 @@ add(
     "SELECT marker, n_het + n_hom AS carriers, round(CASE WHEN 2 * n_hom + n_het > 0 THEN 1 - (n_het / CAST(n_ctrl AS DOUBLE)) / (2 * ((2 * n_hom + n_het) / (2.0e0 * n_ctrl)) * (1 - (2 * n_hom + n_het) / (2.0e0 * n_ctrl))) END, 6) AS f FROM {assoc}",
 )
 add(
-    "g17_hwe", "assoc", lambda a: a.select("marker", F.round(S.hwe_chi2(F.col("n_ctrl") - F.col("n_het") - F.col("n_hom"), F.col("n_het"), F.col("n_hom")), 5).alias("chi2")),
-    """WITH q AS (SELECT marker, n_ctrl - n_het - n_hom AS a, n_het AS b, n_hom AS c, CAST(n_ctrl AS DOUBLE) AS n, (2 * n_hom + n_het) / (2.0e0 * n_ctrl) AS q FROM {assoc})
-       SELECT marker, round(CASE WHEN q > 0 AND q < 1 THEN pow(a - n * (1 - q) * (1 - q), 2) / (n * (1 - q) * (1 - q)) + pow(b - 2 * n * q * (1 - q), 2) / (2 * n * q * (1 - q)) + pow(c - n * q * q, 2) / (n * q * q) END, 5) AS chi2 FROM q""",
+    "g17_hwe", "assoc", lambda a: a.select("marker", S.hwe_chi2(F.col("n_ctrl") - F.col("n_het") - F.col("n_hom"), F.col("n_het"), F.col("n_hom")).alias("x")).select("marker", F.round("x", 5).alias("chi2"), F.round(S.chi2_sf("x", F.lit(1)), 6).alias("p")),
+    "WITH q AS (SELECT marker, n_ctrl - n_het - n_hom AS a, n_het AS b, n_hom AS c, CAST(n_ctrl AS DOUBLE) AS n, (2 * n_hom + n_het) / (2.0e0 * n_ctrl) AS q FROM {assoc}), x AS (SELECT marker, CASE WHEN q > 0 AND q < 1 THEN pow(a - n * (1 - q) * (1 - q), 2) / (n * (1 - q) * (1 - q)) + pow(b - 2 * n * q * (1 - q), 2) / (2 * n * q * (1 - q)) + pow(c - n * q * q, 2) / (n * q * q) END AS x FROM q) SELECT marker, round(x, 5) AS chi2, round(" + Q.tail("sqrt(x)") + ", 6) AS p FROM x",
 )
 add(
     "g18_hit_report", "assoc",
@@ -137,7 +156,12 @@ add(
 )
 add(
     "g26_call_rate", "calls samples",
-    lambda c, s: c.join(s, "sample").groupBy("site").agg(*(F.count_if(F.col("control") == k).alias(f"n_{n}") for n, k in (("case", False), ("control", True))), *(F.count_if((F.col("control") == k) & F.col("a1").isNotNull()).alias(f"called_{n}") for n, k in (("case", False), ("control", True)))).withColumn("fisher", F.round(S.fisher_two_sided("called_case", F.col("n_case") - F.col("called_case"), "called_control", F.col("n_control") - F.col("called_control")), 6)),
+    lambda c, s: (lambda g: g.select("site", *(c for c in g.columns if c.startswith("n_")), *(F.round(c, 6).alias(c) for c in g.columns if c != "site" and not c.startswith("n_"))))(A.call_rate_by_group(c, s.select("sample", F.when(F.col("control"), "control").otherwise("case").alias("group")))),
+    f"""WITH g AS (SELECT c.*, CASE WHEN control THEN 'control' ELSE 'case' END AS grp, a1 IS NOT NULL AND a2 IS NOT NULL AS called FROM {{calls}} c JOIN {{samples}} USING (sample)),
+       n AS (SELECT site, {", ".join(f"count(*) FILTER (WHERE grp = '{k}') AS n_{k}, count(*) FILTER (WHERE grp = '{k}' AND NOT called) AS n_{k}_nocall, quantile_cont(dp, 0.5) FILTER (WHERE grp = '{k}') AS median_dp_{k}, quantile_cont(gq, 0.5) FILTER (WHERE grp = '{k}') AS median_gq_{k}" for k in ("case", "control"))} FROM g GROUP BY 1),
+       r AS (SELECT *, CASE WHEN n_case > 0 THEN (n_case - n_case_nocall) / CAST(n_case AS DOUBLE) END AS call_rate_case, CASE WHEN n_control > 0 THEN (n_control - n_control_nocall) / CAST(n_control AS DOUBLE) END AS call_rate_control FROM n)
+       SELECT site, n_case, n_case_nocall, n_control, n_control_nocall, round(call_rate_case, 6) AS call_rate_case, round(call_rate_control, 6) AS call_rate_control, round(call_rate_case - call_rate_control, 6) AS call_rate_diff, round({Q.fisher("(n_case - n_case_nocall)", "n_case_nocall", "(n_control - n_control_nocall)", "n_control_nocall")}, 6) AS fisher_p,
+         round(median_dp_case, 6) AS median_dp_case, round(median_gq_case, 6) AS median_gq_case, round(median_dp_control, 6) AS median_dp_control, round(median_gq_control, 6) AS median_gq_control FROM r""",
 )
 add(
     "g1_score_test", "haps samples",
@@ -204,5 +228,7 @@ add(
        UNION ALL SELECT g.id, 'knn_hard', soft, label, centroid, round(share, 6), round(margin, 5), confident, label, soft, NULL FROM g JOIN open2 USING (id)""",
 )
 add(
-    "e17_lambda_context", "assoc", lambda a: S.lambda_gc(a, "p", ["phenotype", "arm"]).select("phenotype", "arm", F.round(F.cume_dist().over(W.partitionBy("arm").orderBy("lambda")), 6).alias("share")),
+    "e17_lambda_context", "assoc",
+    lambda a: (lambda l: l.join(F.broadcast(l.groupBy("arm").agg(F.percentile("lambda", 0.5).alias("median"), F.count("*").alias("runs"))), "arm"))(S.lambda_gc(a, "p", ["phenotype", "arm"])).select("phenotype", "arm", "runs", F.round("median", 6).alias("median"), F.round(F.cume_dist().over(W.partitionBy("arm").orderBy("lambda")), 6).alias("share")),
+    f"WITH l AS ({Q.lambdas('{assoc}', 'phenotype, arm', 'p')}) SELECT phenotype, arm, count(*) OVER (PARTITION BY arm) AS runs, round(quantile_cont(lam, 0.5) OVER (PARTITION BY arm), 6) AS median, round(cume_dist() OVER (PARTITION BY arm ORDER BY lam), 6) AS share FROM l",
 )

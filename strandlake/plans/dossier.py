@@ -11,6 +11,7 @@ from strandlake.operators import cohort as C
 from strandlake.operators import dossier as D
 from strandlake.operators import summaries as M
 from strandlake.plans.loci import r6
+from strandlake.plans import sqlmath as Q
 from strandlake.plans.views import Plans
 from strandlake.sources.tables import shared_dir
 
@@ -41,7 +42,12 @@ add(
     """WITH z AS (SELECT marker, p, CASE WHEN n_hom > 0 THEN 2 ELSE 1 END AS k, pow(beta1 / se1, 2) + CASE WHEN n_hom > 0 THEN pow(beta2 / se2, 2) ELSE 0 END AS z2 FROM {assoc})
        SELECT marker, CAST(k AS BIGINT) AS n_strata, round(z2, 6) AS z2_sum, round(-2 * ln(p), 6) AS implied_chi2, CASE WHEN z2 > 0 THEN -2 * ln(p) / z2 <= 5 END AS coherent FROM z""",
 )
-add("g24_score_coherence", "assoc", lambda a: r6(D.score_p_coherence(a.where("p < 0.02").select("marker", F.explode(F.array(F.struct(F.lit("anc1").alias("stratum"), (F.col("beta1") / F.col("se1")).alias("z"), F.col("p").alias("p"), F.col("spa").alias("spa")), F.struct(F.lit("anc2").alias("stratum"), (F.col("beta2") / F.col("se2")).alias("z"), F.col("p2").alias("p"), F.lit(False).alias("spa")))).alias("s")).select("marker", "s.*"), ["marker"]), "max_log10_gap"))
+strata = lambda a: a.select("marker", F.explode(F.array(F.struct(F.lit("anc1").alias("stratum"), (F.col("beta1") / F.col("se1")).alias("z"), F.col("p").alias("p"), F.col("spa").alias("spa")), F.struct(F.lit("anc2").alias("stratum"), (F.col("beta2") / F.col("se2")).alias("z"), F.col("p2").alias("p"), F.lit(False).alias("spa")))).alias("s")).select("marker", "s.*")
+add(
+    "g24_score_coherence", "assoc", lambda a: r6(D.score_p_coherence(strata(a), ["marker"]), "max_log10_gap"),
+    f"""WITH s AS (SELECT marker, 'anc1' AS stratum, beta1 / se1 AS z, p, spa FROM {{assoc}} UNION ALL SELECT marker, 'anc2', beta2 / se2, p2, FALSE FROM {{assoc}}), g AS (SELECT *, CASE WHEN NOT spa THEN abs(log10(p / greatest({Q.tail("z")}, 1e-300))) END AS gap FROM s)
+       SELECT marker, CASE WHEN count(gap) > 0 THEN arg_max(stratum, struct_pack(g := gap, s := stratum)) FILTER (WHERE gap IS NOT NULL) END AS worst_stratum, round(max(gap), 6) AS max_log10_gap, count(*) FILTER (WHERE spa) AS n_spa, count(*) FILTER (WHERE NOT spa) AS n_plain FROM g GROUP BY 1""",
+)
 add(
     "e19_allelic_series", "assoc",
     lambda a: (lambda r: D.allelic_series(r, r.where("p < 0.002").select(F.col("marker").alias("locus"), "chrom", "pos", "marker", F.when(F.col("n_hom") > 4, 500).otherwise(0).alias("window"))).withColumn("second_p", F.round("second_p", 9)))(a.select("chrom", "pos", "marker", "p", "n_hom", (F.col("n_het") % 3).alias("delta"))),

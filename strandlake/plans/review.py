@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import stats as S
 from strandlake.operators import review as V
 from strandlake.operators import rows as R
+from strandlake.plans import sqlmath as Q
 from strandlake.plans.views import Plans
 
 plans = Plans()
@@ -108,7 +109,8 @@ add("f4_hit_stack", "assoc", lambda a: a.where(F.col("p") < CUT).select("phenoty
 add("f8_reorder_samples", "samples orders", lambda s, o: V.reorder_samples(s, o.groupBy(F.col("o_custkey").alias("sample")).agg(F.min("o_orderkey").alias("place"))).select("sample", "place", "ancestry"),
     "SELECT s.sample, min(o.o_orderkey) AS place, any_value(s.ancestry) AS ancestry FROM {orders} o JOIN {samples} s ON o.o_custkey = s.sample GROUP BY s.sample")
 add("g8_ac_pass", "assoc", lambda a: a.select("marker", V.ac_pass(a, "p3", ["include", "include_2"]).alias("by_mask"), V.ac_pass(a, "p3", ["include_2"]).alias("by_p")), "SELECT marker, include AS by_mask, p3 IS NOT NULL AS by_p FROM {assoc}")
-add("g12_compare_encodings", "assoc", lambda a: r6(S.lambda_gc(a, "p", ["arm"]), "lambda").join(a.groupBy("arm").agg(F.count_if(F.col("p") < CUT).alias("n_hits")), "arm"))
+add("g12_compare_encodings", "assoc", lambda a: r6(S.lambda_gc(a, "p", ["arm"]), "lambda").join(a.groupBy("arm").agg(F.count_if(F.col("p") < CUT).alias("n_hits")), "arm"),
+    f"SELECT arm, n, round(lam, 6) AS \"lambda\", n_hits FROM ({Q.lambdas('{assoc}', 'arm', 'p')}) JOIN (SELECT arm, count(*) FILTER (WHERE p < {CUT}) AS n_hits FROM {{assoc}} GROUP BY 1) USING (arm)")
 add("g15_case_carriers", "assoc", lambda a: longs(a.select("marker", V.case_carriers(F.when(F.col("pos") % 3 > 0, F.col("n_het")), "n_hom").alias("n")), "n"), "SELECT marker, CAST(CASE WHEN pos % 3 > 0 THEN n_het ELSE 0 END + n_hom AS BIGINT) AS n FROM {assoc}")
 add("g20_coverage_note", "assoc", lambda a: V.coverage_note(a, a.where("p < 1e-3"), CUT),
     f"SELECT phenotype, count(*) FILTER (WHERE p < {CUT}) AS n_significant, count(*) FILTER (WHERE p < 1e-3) AS n_kept, count(*) FILTER (WHERE p < 1e-3) >= count(*) FILTER (WHERE p < {CUT}) AS covered FROM {{assoc}} GROUP BY phenotype")
@@ -116,7 +118,8 @@ add("g27_imputed_fraction", "calls samples", lambda c, s: r6(V.imputed_fraction(
     "SELECT ancestry, count(*) AS n, round(avg(CASE WHEN a1 IS NULL AND a2 IS NOT NULL AND site % 2 = 0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS imputed FROM {calls} c JOIN {samples} s ON c.sample = s.sample GROUP BY ancestry")
 add("g28_case_control_map", "pheno samples", lambda p, s: V.case_control_map(p, s.where("NOT control").selectExpr("sample AS person")).select("person", "code", "status"),
     "SELECT person, code, CASE value WHEN 1 THEN 'case' ELSE 'control' END AS status FROM {pheno} WHERE value IS NOT NULL AND person IN (SELECT sample FROM {samples} WHERE NOT control)")
-add("g36_lambda_pair", "assoc", lambda a: r6(S.lambda_gc(a, "p", ["phenotype"]).select("phenotype", F.col("lambda").alias("lambda_1")).join(S.lambda_gc(a, "p2", ["phenotype"]).select("phenotype", F.col("lambda").alias("lambda_2")), "phenotype"), "lambda_1", "lambda_2"))
+add("g36_lambda_pair", "assoc", lambda a: r6(S.lambda_gc(a, "p", ["phenotype"]).select("phenotype", F.col("lambda").alias("lambda_1")).join(S.lambda_gc(a, "p2", ["phenotype"]).select("phenotype", F.col("lambda").alias("lambda_2")), "phenotype"), "lambda_1", "lambda_2"),
+    f"SELECT phenotype, round(a.lam, 6) AS lambda_1, round(b.lam, 6) AS lambda_2 FROM ({Q.lambdas('{assoc}', 'phenotype', 'p')}) a JOIN ({Q.lambdas('{assoc}', 'phenotype', 'p2')}) b USING (phenotype)")
 add("h7_fill_labels", "samples", lambda s: V.fill_labels(s.selectExpr("sample", "CASE WHEN sample % 2 = 0 THEN ancestry END AS own", "CASE WHEN sample % 3 = 0 THEN segment END AS near"), ["own", "near"]).select("sample", "label", "label_from"),
     "SELECT sample, CASE WHEN sample % 2 = 0 THEN ancestry WHEN sample % 3 = 0 THEN segment END AS label, CASE WHEN sample % 2 = 0 THEN 'own' WHEN sample % 3 = 0 THEN 'near' END AS label_from FROM {samples}")
 add("h10_restrict_to_sex", "pheno samples", lambda p, s: V.restrict_to_sex(p, s, F.col("code").startswith("CV_1"), 0).groupBy("code").agg(F.count("value").alias("n")),

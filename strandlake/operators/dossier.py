@@ -112,6 +112,35 @@ def locus_checks(loci: DataFrame) -> DataFrame:
     return loci.withColumn("checks", listed).withColumn("verdict", F.when(some("fail"), "fail").when(some("warn"), "warn").when(some("n/a"), "incomplete").otherwise("pass"))
 
 
+def review_loci(leads: DataFrame, assoc: DataFrame, strata: DataFrame, groups: DataFrame, calls: DataFrame, duplications: DataFrame, repeats: DataFrame, genes: DataFrame, k: int, reach: int = 100_000, flank: int = 500, orders: float = 3.0) -> DataFrame:
+    """leads with every column that locus_checks needs, worked out from the tables, and its checks and verdict.
+
+    leads: marker, phenotype, arm, chrom, pos, site, p, p_het (joint p of k strata), af, n_het, n_hom, n_ctrl (controls), tract (half width of the lead's
+    repeat tract, 0 without); assoc: the runs' tests (phenotype, arm, chrom, pos, marker, p, delta: change of length); strata: marker, stratum, beta, se, z, p, spa of the
+    leads; groups: sample, group (case or control); calls: the leads' sites before phasing; the rest: intervals."""
+    from strandlake.operators.association import call_rate_by_group, effect_consistency, inbreeding, regional_support
+
+    leads = stage(leads, "leads")
+    own = strata.join(F.broadcast(leads.select("marker")), "marker")
+    own = stage(own, "strata")
+    lam = S.lambda_gc(assoc, "p", ["phenotype", "arm"]).select("phenotype", "arm", F.col("lambda").alias("lam"))
+    z = own.where("z IS NOT NULL").groupBy("marker").agg(F.collect_list("z").alias("zs"))  # of k strata at most
+    even = effect_consistency(own, ["marker"]).select("marker", (F.col("df") + 1).alias("n_strata"), S.chi2_sf("q", "df").alias("q_p"))
+    score = score_p_coherence(own, ["marker"]).select("marker", "n_plain", "n_spa", F.col("max_log10_gap").alias("gap"))
+    sites = leads.select("site").distinct()
+    rates = call_rate_by_group(calls.join(F.broadcast(sites), "site"), groups).select("site", F.abs("call_rate_diff").alias("call_gap"))
+    near = regional_support(assoc, leads.select(F.col("marker").alias("lead"), "chrom", "pos", "p"), reach, orders).select(F.col("lead").alias("marker"), F.col("support").alias("n_support"))
+    series = allelic_series(assoc, leads.select(F.col("marker").alias("locus"), "chrom", "pos", "marker", F.col("tract").alias("window")), orders).select(F.col("locus").alias("marker"), "n_tests", "n_within")
+    around = leads.select(F.col("marker").alias("locus"), "chrom", F.greatest(F.col("pos") - flank, F.lit(0)).alias("start0"), (F.col("pos") + flank).alias("end0"))
+    context = locus_context(around, duplications, repeats, genes).select(F.col("locus").alias("marker"), "segdup", "in_repeat")
+    wide = leads.join(lam, ["phenotype", "arm"], "left").join(rates, "site", "left")
+    for part in (z, even, score, near, series, context):
+        wide = wide.join(part, "marker", "left")
+    wide = joint_coherence(wide.drop("n_strata"), "p_het", F.coalesce("zs", F.array().cast("array<double>")), k).drop("n_strata", "coherent").join(even.select("marker", "n_strata"), "marker", "left")
+    wide = wide.withColumns({"het_frac": F.try_divide("n_het", "n_ctrl"), "ctrl_f": inbreeding("n_het", "n_hom", "n_ctrl")})
+    return locus_checks(wide)
+
+
 def reduce_when(start: Column, cases) -> Column:
     for name, condition in cases:
         start = start.when(F.coalesce(condition, F.lit(False)), name)
@@ -289,24 +318,33 @@ def phenotype_r2(pheno: DataFrame, least: int = 50) -> DataFrame:
 
 
 def prune_correlated(ranked: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
-    """ranked (code, rank) with dropped_for, r2: the kept code of highest r2, where that reaches `most`; codes are taken by rank.
-
-    Only pairs that reach it come to the driver: at most the square of the codes to test."""
-    order = [r.code for r in ranked.orderBy("rank").select("code").collect()]
-    high = {}
-    for r in pairs.where(F.col("r2") >= most).collect():
-        high.setdefault(r.a, {})[r.b] = r.r2
-        high.setdefault(r.b, {})[r.a] = r.r2
-    kept, rows = set(), []
-    for code in order:
-        near = [(r2, k) for k, r2 in high.get(code, {}).items() if k in kept]
-        if near:
-            r2, k = max(near, key=lambda x: (x[0], -order.index(x[1])))
-            rows.append((code, k, r2))
-        else:
-            kept.add(code)
-            rows.append((code, None, None))
-    return ranked.join(ranked.sparkSession.createDataFrame(rows, "code string, dropped_for string, r2 double"), "code")
+    """ranked (code, rank) with dropped_for, r2: the kept code of highest r2 (of these the first by rank), where that reaches `most`; codes are taken by rank.
+
+    Pairs that reach it stream by in order of their later code; what the task remembers are the codes that are gone. Nothing reaches the driver."""
+    at = lambda c: ranked.select(F.col("code").alias(c), F.col("rank").cast("long").alias(f"{c}_rank"))
+    both = pairs.where(F.col("r2") >= most).select("a", "b", "r2").join(at("a"), "a").join(at("b"), "b")
+    first = F.col("a_rank") < F.col("b_rank")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    links = both.select(pick("a", "b", "early"), pick("a_rank", "b_rank", "early_rank"), pick("b", "a", "code"), pick("b_rank", "a_rank", "late_rank"), "r2")
+
+    def walk(batches):
+        gone, code, best = set(), None, None
+        for df in batches:
+            out = []
+            for early, early_rank, late, r2 in zip(df["early"], df["early_rank"], df["code"], df["r2"]):
+                if late != code:
+                    if best is not None:
+                        gone.add(code)
+                        out.append((code, best[2], best[0]))
+                    code, best = late, None
+                if early not in gone and (best is None or (r2, -early_rank) > best[:2]):
+                    best = (r2, -early_rank, early)
+            yield pd.DataFrame(out, columns=["code", "dropped_for", "r2"])
+        if best is not None:
+            yield pd.DataFrame([(code, best[2], best[0])], columns=["code", "dropped_for", "r2"])
+
+    dropped = links.coalesce(1).sortWithinPartitions("late_rank", "code", "early_rank").mapInPandas(walk, "code string, dropped_for string, r2 double")
+    return ranked.join(dropped, "code", "left")
 
 
 def query_window(ops: DataFrame, windows: DataFrame) -> DataFrame:

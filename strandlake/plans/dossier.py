@@ -63,6 +63,31 @@ add(
        CASE WHEN n_tests < 2 THEN 'n/a' WHEN n_within = 0 THEN 'warn' ELSE 'pass' END, CASE WHEN segdup IS NULL THEN 'n/a' WHEN segdup > 0 OR in_repeat THEN 'warn' ELSE 'pass' END] AS s FROM l)
        SELECT marker, array_to_string(s, ',') AS statuses, CASE WHEN list_contains(s, 'fail') THEN 'fail' WHEN list_contains(s, 'warn') THEN 'warn' WHEN list_contains(s, 'n/a') THEN 'incomplete' ELSE 'pass' END AS verdict FROM c""",
 )
+def reviewed(a, c, s, t):
+    a = a.withColumns({"delta": F.col("n_het") % 3, "site": ((F.col("pos") - 1) / 37).cast("bigint")})
+    leads = a.where("p < 3e-4").select("marker", "phenotype", "arm", "chrom", "pos", "site", "p", F.col("p").alias("p_het"), F.col("p2").alias("af"), "n_het", "n_hom", "n_ctrl", F.when(F.col("n_hom") > 4, 500).otherwise(0).alias("tract"))
+    each = lambda i, p, spa: F.struct(F.lit(f"anc{i}").alias("stratum"), F.col(f"beta{i}").alias("beta"), F.col(f"se{i}").alias("se"), (F.col(f"beta{i}") / F.col(f"se{i}")).alias("z"), F.col(p).alias("p"), spa.alias("spa"))
+    own = a.select("marker", F.inline(F.array(each(1, "p", F.col("spa")), each(2, "p2", F.lit(False)))))
+    track = lambda n: t.where(F.col("name") == n)
+    got = D.review_loci(leads, a, own, s.select("sample", F.when(F.col("control"), "control").otherwise("case").alias("group")), c, track("sd"), track("sr"), track("rm"), 2, 3000)
+    return got.select("marker", F.array_join(F.transform("checks", lambda x: x["status"]), ",").alias("statuses"), "verdict")
+
+
+add(
+    "g29_review", "assoc calls samples track", reviewed,
+    f"""WITH l AS (SELECT *, (pos - 1) // 37 AS site, CASE WHEN n_hom > 4 THEN 500 ELSE 0 END AS tract FROM {{assoc}} WHERE p < 3e-4), lam AS ({Q.lambdas("{assoc}", "phenotype, arm", "p")}),
+       x AS (SELECT *, beta1 / se1 AS z1, beta2 / se2 AS z2, 1 / (se1 * se1) AS w1, 1 / (se2 * se2) AS w2, (2 * n_hom + n_het) / (2.0e0 * n_ctrl) AS q FROM l), y AS (SELECT *, (w1 * beta1 + w2 * beta2) / (w1 + w2) AS mean FROM x),
+       z AS (SELECT *, w1 * pow(beta1 - mean, 2) + w2 * pow(beta2 - mean, 2) AS cochran, CASE WHEN 2 * n_hom + n_het > 0 THEN 1 - (n_het / CAST(n_ctrl AS DOUBLE)) / (2 * q * (1 - q)) END AS f, greatest(CASE WHEN NOT spa THEN abs(log10(p / greatest({Q.tail("z1")}, 1e-300))) END, abs(log10(p2 / greatest({Q.tail("z2")}, 1e-300)))) AS gap FROM y),
+       g AS (SELECT site, control, avg(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END) AS rate FROM {{calls}} JOIN {{samples}} USING (sample) GROUP BY 1, 2), r AS (SELECT site, abs(max(rate) FILTER (WHERE NOT control) - max(rate) FILTER (WHERE control)) AS call_gap FROM g GROUP BY 1),
+       n AS (SELECT l.marker, count(*) AS n_support FROM l JOIN {{assoc}} a ON a.chrom = l.chrom AND abs(a.pos - l.pos) <= 3000 AND a.pos <> l.pos AND a.p <= greatest(l.p * 1000, 5e-8) GROUP BY 1),
+       e AS (SELECT l.marker, count(*) AS n_tests, count(*) FILTER (WHERE a.marker <> l.marker AND log10(a.p) - log10(CASE WHEN l.tract = 0 OR l.n_het % 3 <> 0 THEN l.p END) <= 3) AS n_within FROM l JOIN {{assoc}} a ON a.chrom = l.chrom AND abs(a.pos - l.pos) <= l.tract AND (l.tract = 0 OR a.n_het % 3 <> 0) GROUP BY 1),
+       c AS (SELECT l.marker, max(t.name = 'sd') AS dup, max(t.name = 'sr') AS rep FROM l LEFT JOIN {{track}} t ON t.chrom = l.chrom AND t.start0 < l.pos + 500 AND greatest(l.pos - 500, 0) < t.end0 GROUP BY 1),
+       s AS (SELECT z.marker, [CASE WHEN lam IS NULL THEN 'n/a' WHEN lam < 0.9 OR lam > 1.1 THEN 'warn' ELSE 'pass' END, CASE WHEN f IS NULL THEN 'n/a' WHEN n_het / CAST(n_ctrl AS DOUBLE) >= 0.9 OR f < -0.3 THEN 'fail' WHEN f > 0.3 THEN 'warn' ELSE 'pass' END,
+         CASE WHEN z1 * z1 + z2 * z2 > 0 THEN CASE WHEN -2 * ln(p) / (z1 * z1 + z2 * z2) > 5 THEN 'fail' ELSE 'pass' END ELSE 'n/a' END, CASE WHEN cochran > 6.6348966010212145 THEN 'warn' ELSE 'pass' END, CASE WHEN gap > 1 THEN 'warn' ELSE 'pass' END, CASE WHEN call_gap IS NULL THEN 'n/a' WHEN call_gap > 0.02 THEN 'warn' ELSE 'pass' END,
+         CASE WHEN n_support IS NULL AND least(p2, 1 - p2) >= 0.05 THEN 'warn' ELSE 'pass' END, CASE WHEN coalesce(n_tests, 0) < 2 THEN 'n/a' WHEN n_within = 0 THEN 'warn' ELSE 'pass' END, CASE WHEN coalesce(dup, FALSE) OR coalesce(rep, FALSE) THEN 'warn' ELSE 'pass' END] AS s
+         FROM z LEFT JOIN lam USING (phenotype, arm) LEFT JOIN r USING (site) LEFT JOIN n ON n.marker = z.marker LEFT JOIN e ON e.marker = z.marker LEFT JOIN c ON c.marker = z.marker)
+       SELECT marker, array_to_string(s, ',') AS statuses, CASE WHEN list_contains(s, 'fail') THEN 'fail' WHEN list_contains(s, 'warn') THEN 'warn' WHEN list_contains(s, 'n/a') THEN 'incomplete' ELSE 'pass' END AS verdict FROM s""",
+)
 add(
     "g30_structural", "assoc", lambda a: a.select("marker", "arm", (F.col("n_het") * F.when(F.col("n_hom") % 2 == 0, -1).otherwise(1)).alias("change"), F.when(F.col("n_hom") > 0, F.col("n_hom") == 7).alias("in_repeat")).select("marker", D.is_structural("arm", "change", "in_repeat", 40).alias("structural")),
     "SELECT marker, n_het >= 40 OR arm IN ('ru', 'carrier') OR n_hom = 7 AS structural FROM {assoc}",
@@ -126,7 +151,16 @@ add("h5_relatedness_bands", "panel", lambda c: r6(D.relatedness_bands(D.relatedn
 PHENO = "n AS (SELECT code, count(*) FILTER (WHERE value = 1) AS cases, count(*) FILTER (WHERE value = 0) AS controls FROM {pheno} JOIN {samples} ON sample = person WHERE code NOT LIKE '%01.1' OR sex = 1 GROUP BY 1 HAVING least(count(*) FILTER (WHERE value = 1), count(*) FILTER (WHERE value = 0)) >= 5), l AS (SELECT *, least(cases, controls) AS smaller FROM n WHERE code NOT IN (SELECT regexp_replace(code, '\\.[0-9]$', '') FROM n WHERE code LIKE '%.%'))"
 chosen = lambda p, s: D.select_phenotypes(p, s.select(F.col("sample").alias("person"), "sex"), F.when(F.col("code").endswith("01.1"), 1), 5)
 add("h8_select_phenotypes", "pheno samples", chosen, f"WITH {PHENO} SELECT *, row_number() OVER (ORDER BY smaller DESC, cases DESC, controls DESC, code DESC) AS rank FROM l")
-add("h9_prune_correlated", "pheno samples", lambda p, s: r6(D.prune_correlated(chosen(p, s).select("code", "rank"), D.phenotype_r2(p, 5), 0.01), "r2"))
+add(
+    "h9_prune_correlated", "pheno samples", lambda p, s: r6(D.prune_correlated(chosen(p, s).select("code", "rank"), D.phenotype_r2(p, 5), 0.0003), "r2"),
+    # one code a step: it goes for the kept one of highest r2
+    f"""WITH RECURSIVE {PHENO}, o AS MATERIALIZED (SELECT code, row_number() OVER (ORDER BY smaller DESC, cases DESC, controls DESC, code DESC) AS rank FROM l),
+       v AS MATERIALIZED (SELECT a.code AS a, b.code AS b, pow(corr(CAST(a.value AS DOUBLE), CAST(b.value AS DOUBLE)), 2) AS r2 FROM {{pheno}} a JOIN {{pheno}} b ON a.person = b.person AND a.code <> b.code WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5),
+       e AS MATERIALIZED (SELECT x.code AS early, x.rank AS er, y.rank AS lr, r2 FROM v JOIN o x ON x.code = v.a JOIN o y ON y.code = v.b WHERE x.rank < y.rank AND r2 >= 0.0003 AND NOT isnan(r2)),
+       w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS STRUCT(r2 DOUBLE, er BIGINT, early VARCHAR)) AS best
+         UNION ALL SELECT i, CASE WHEN best IS NULL THEN gone ELSE list_append(gone, i) END, best FROM (SELECT w.i + 1 AS i, w.gone, (SELECT max(struct_pack(r2 := e.r2, er := -e.er, early := e.early)) FROM e WHERE e.lr = w.i + 1 AND NOT list_contains(w.gone, e.er)) AS best FROM w WHERE w.i < (SELECT max(rank) FROM o)))
+       SELECT o.code, o.rank, w.best.early AS dropped_for, round(w.best.r2, 6) AS r2 FROM o JOIN w ON w.i = o.rank""",
+)
 OPS = "o AS (SELECT l_orderkey AS contig, l_orderkey * 10 AS ref_start, l_linenumber * 100000000000000 + l_partkey * 10000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS i, CASE l_suppkey % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'D' ELSE 'M' END AS op, CAST(l_quantity AS BIGINT) AS len FROM {lineitem}), w AS (SELECT DISTINCT contig, ref_start + 10 AS s, ref_start + 50 AS e FROM o)"
 ops = lambda l: l.select(F.col("l_orderkey").alias("contig"), (F.col("l_orderkey") * 10).alias("ref_start"), F.expr("l_linenumber * 100000000000000L + l_partkey * 10000000L + l_suppkey * 100L + CAST(l_quantity AS BIGINT)").alias("i"), F.when(F.col("l_suppkey") % 4 == 0, "I").when(F.col("l_suppkey") % 4 == 1, "D").otherwise("M").alias("op"), F.col("l_quantity").cast("bigint").alias("len"))
 add(

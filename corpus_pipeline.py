@@ -17,7 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows whose language is known and not held out; a document without a letter (`und`) goes. lang becomes the prediction."""
+    """Learns from the rows whose language is known and not held out; a document without a letter (`und`: null and empty texts too) goes. lang becomes
+    the prediction. Rows are judged one by one, whole texts of any length, repeated rows each; null ids, sources and n_chars stay as they are; an empty table gives none."""
     model = language_id.train(docs.where(~language_id.held_out()))
     got = language_id.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
     return got.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -25,7 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents whose five-word shingle sets reach a similarity of 0.8, one row stays: the one with the smallest
-    doc_id (null last), then hash of the text, then lang, source and n_chars. Documents without words stay."""
+    doc_id (null last), then hash of the text, then lang, source and n_chars. Documents without words (null and empty texts too) stay, of rows
+    equal in doc_id and text one. Texts of any length are compared whole; other columns go; an empty table gives none."""
     joined = stage(ngram_join.with_components(docs, n=5, percent=80).select("doc_id", "tid", "n_shingles", "component"), "joined")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     at = joined.where("n_shingles > 0").groupBy("component", place.alias("place")).agg(F.count("*").alias("times"))
@@ -43,7 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span becomes its kind in brackets; n_chars follows."""
+    """Every span becomes its kind in brackets; n_chars follows. A null text stays null with its n_chars, an empty one empty; texts of any length are searched
+    whole; rows with one doc_id and text are redacted alike; an empty table gives none."""
     found = pii.find_pii(docs.select(*COLUMNS))
     spans = pii.all_spans(F.col("base"), F.col("added"))
     out = found.withColumn("text", pii.redacted(F.col("text"), spans))
@@ -51,13 +54,15 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands in the result as often as the mix takes it."""
+    """A document stands in the result as often as the mix takes it, not at all where it has no words (null and empty texts too). Null is a source of its own, the
+    last; equal rows are taken alike, ties go by the hash of the id; an empty table gives none."""
     mixed = mixing.mix_sources(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (binary, little-endian 32-bit) of each document of the mix."""
+    """doc_id, lang, source, n_tokens, ids (binary, little-endian 32-bit) of each document of the mix. A null text counts as empty and has no ids; texts of any length are
+    encoded whole, repeated rows each; an empty table gives none."""
     return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary()).select("doc_id", "lang", "source", "n_tokens", "ids")
 
 

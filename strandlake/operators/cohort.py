@@ -346,11 +346,36 @@ def cutoff_curve(values: DataFrame, column: str, most: int = 1000) -> DataFrame:
     return grid.join(counts, "threshold", "left").select("threshold", F.sum(F.coalesce("k", F.lit(0))).over(W.orderBy(F.desc("threshold"))).alias("n"))
 
 
-def completeness(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """stratum, column and the share of rows that are present (not null and not blank)."""
+def completeness(df: DataFrame, by: str, columns: list[str], flags: list[str] = ()) -> DataFrame:
+    """stratum, column, the share of rows that are present (not null and not blank), of flags the share of known ones that are true, and the range of
+    shares over the strata."""
     present = lambda c: F.avg((F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")).cast("double"))
-    wide = df.groupBy(by).agg(*(present(c).alias(c) for c in columns))
-    return wide.unpivot([by], columns, "column", "share")
+    rate = lambda c: F.avg(F.col(c).cast("double")) if c in flags else F.lit(None).cast("double")
+    wide = df.groupBy(by).agg(F.array(*(F.struct(F.lit(c).alias("column"), present(c).alias("share"), rate(c).alias("true_rate")) for c in columns)).alias("c"))
+    over = W.partitionBy("column")
+    return wide.select(by, F.inline("c")).withColumn("range", F.max("share").over(over) - F.min("share").over(over))
+
+
+def combine_haplotypes(cpg: DataFrame, least_cov: int) -> DataFrame:
+    """By sample: haplotype sites over twice the combined ones, of all and of covered ones, and whether haplotypes were told apart at all."""
+    hap, covered = F.col("track") != "combined", F.col("cov") >= least_cov
+    n = cpg.groupBy("sample").agg(F.count_if(hap).alias("h"), F.count_if(~hap).alias("c"), F.count_if(hap & covered).alias("h5"), F.count_if(~hap & covered).alias("c5"))
+    return n.select("sample", F.round(F.try_divide("h", 2 * F.col("c")), 6).alias("fraction"), F.round(F.try_divide("h5", 2 * F.col("c5")), 6).alias("fraction_covered"), (F.col("h") > 0).alias("resolved"))
+
+
+def site_classes(sites: DataFrame) -> DataFrame:
+    """class (multiallelic, snv, indel, other), sites and their share of all; a site of several alleles is multiallelic whatever they are."""
+    several = F.contains("alt", F.lit(","))
+    kind = F.when(several, "multiallelic").when((F.length("ref") == 1) & (F.length("alt") == 1), "snv").when(F.length("ref") != F.length("alt"), "indel").otherwise("other")
+    n = sites.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))  # four rows
+    return n.withColumn("fraction", F.col("n") / F.sum("n").over(W.partitionBy()))
+
+
+def combine_inventory(pheno: DataFrame, people: int, least: int) -> DataFrame:
+    """By code: cases, controls, the smaller arm, prevalence, coverage (of all people), effective size and whether both arms are large enough."""
+    n = pheno.groupBy("code").agg(F.count_if(F.col("value") == 1).alias("cases"), F.count_if(F.col("value") == 0).alias("controls"))
+    known, phi = F.col("cases") + F.col("controls"), F.try_divide("cases", F.col("cases") + F.col("controls"))
+    return n.withColumns({"smaller": F.least("cases", "controls"), "prevalence": phi, "coverage": F.try_divide(known, F.lit(people)), "n_eff": 4 * F.col("cases") * (1 - phi), "testable": F.least("cases", "controls") >= least})
 
 
 def crosstab_redacted(df: DataFrame, a: str, b: str, least: int) -> DataFrame:

@@ -92,11 +92,12 @@ def encoding_stats(alleles: DataFrame, mac: int) -> DataFrame:
 
 
 def catalog_totals(sites: DataFrame, by: str) -> DataFrame:
-    """By set: records, SNVs, MNPs, short (1-2 bp) and longer indels, transitions and transversions."""
+    """By set: records, multiallelic ones (several ALTs), and of the others SNVs, MNPs, short (1-2 bp) and longer indels, transitions and transversions."""
     kind, size = small_allele("ref", "alt")
     ring = lambda c: F.translate(c, "AGCT", "RRYY")
-    at = sites.select(by, kind.alias("k"), F.abs(size).alias("d"), (ring("ref") == ring("alt")).alias("same"))
-    told = {"n_snv": "k = 'snv'", "n_mnp": "k = 'mnp'", "n_indel_short": "k = 'indel' AND d <= 2", "n_indel_long": "k = 'indel' AND d > 2", "n_ti": "k = 'snv' AND same", "n_tv": "k = 'snv' AND NOT same"}
+    multi = F.contains("alt", F.lit(","))
+    at = sites.select(by, multi.alias("multi"), F.when(~multi, kind).alias("k"), F.abs(size).alias("d"), (ring("ref") == ring("alt")).alias("same"))
+    told = {"n_multiallelic": "multi", "n_snv": "k = 'snv'", "n_mnp": "k = 'mnp'", "n_indel_short": "k = 'indel' AND d <= 2", "n_indel_long": "k = 'indel' AND d > 2", "n_ti": "k = 'snv' AND same", "n_tv": "k = 'snv' AND NOT same"}
     return at.groupBy(by).agg(F.count("*").alias("n_records"), *(F.count_if(F.expr(e)).alias(n) for n, e in told.items()))
 
 

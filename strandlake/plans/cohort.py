@@ -234,9 +234,9 @@ add(
        count(*) FILTER (WHERE cov >= 5) AS n_5, count(*) FILTER (WHERE cov >= 10) AS n_10, count(*) FILTER (WHERE cov >= 15) AS n_15, count(*) FILTER (WHERE cov >= 20) AS n_20 FROM {cpg} GROUP BY 1, 2""",
 )
 add(
-    "d25_cpg_combine", "cpg",
-    lambda c: c.groupBy("sample").agg(F.count_if(F.col("track") != "combined").alias("h"), F.count_if(F.col("track") == "combined").alias("c")).select("sample", F.round(F.try_divide("h", 2 * F.col("c")), 6).alias("fraction"), (F.col("h") > 0).alias("resolved")),
-    "SELECT sample, round(CASE WHEN c > 0 THEN h / (2.0e0 * c) END, 6) AS fraction, h > 0 AS resolved FROM (SELECT sample, count(*) FILTER (WHERE track <> 'combined') AS h, count(*) FILTER (WHERE track = 'combined') AS c FROM {cpg} GROUP BY 1)",
+    "d25_cpg_combine", "cpg", lambda c: C.combine_haplotypes(c, 5),
+    """SELECT sample, round(CASE WHEN c > 0 THEN h / (2.0e0 * c) END, 6) AS fraction, round(CASE WHEN c5 > 0 THEN h5 / (2.0e0 * c5) END, 6) AS fraction_covered, h > 0 AS resolved FROM (SELECT sample, count(*) FILTER (WHERE track <> 'combined') AS h, count(*) FILTER (WHERE track = 'combined') AS c,
+       count(*) FILTER (WHERE track <> 'combined' AND cov >= 5) AS h5, count(*) FILTER (WHERE track = 'combined' AND cov >= 5) AS c5 FROM {cpg} GROUP BY 1)""",
 )
 add(
     "d26_cohort_numbers", "cpg", lambda c: c.groupBy("sample", "caller").agg(F.avg("cov").alias("m")).groupBy("caller").agg(F.count("*").alias("n"), *(F.round(F.percentile("m", q), 6).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75))),
@@ -252,9 +252,10 @@ add(
     """WITH f AS (SELECT site, CASE WHEN rnc LIKE '%I%' THEN true WHEN gq IS NULL AND dp IS NULL THEN NULL ELSE coalesce(gq < 20, false) OR coalesce(dp < 10, false) END AS f FROM {calls}), n AS (SELECT site, count(f) AS n_qcable, count(*) FILTER (WHERE f) AS n_fail FROM f GROUP BY 1)
        SELECT *, round(CASE WHEN n_qcable = 0 THEN 1.0e0 ELSE CAST(n_fail AS DOUBLE) / n_qcable END, 6) AS fraction, n_qcable > 0 AND n_fail <= 0.5 * n_qcable AS keep FROM n""",
 )
+# every ninth site gets a second allele
 add(
-    "d30_site_class", "sites", lambda s: s.agg(F.count("*").alias("n"), F.count_if((F.length("ref") == 1) & (F.length("alt") == 1)).alias("n_snv"), F.count_if(F.length("ref") != F.length("alt")).alias("n_indel")),
-    "SELECT count(*) AS n, count(*) FILTER (WHERE length(ref) = 1 AND length(alt) = 1) AS n_snv, count(*) FILTER (WHERE length(ref) <> length(alt)) AS n_indel FROM {sites}",
+    "d30_site_class", "sites", lambda s: C.site_classes(s.withColumn("alt", F.when(F.col("site") % 9 == 0, F.concat("alt", F.lit(",T"))).otherwise(F.col("alt")))).withColumn("fraction", F.round("fraction", 6)),
+    "WITH c AS (SELECT CASE WHEN site % 9 = 0 THEN 'multiallelic' WHEN length(ref) = 1 AND length(alt) = 1 THEN 'snv' WHEN length(ref) <> length(alt) THEN 'indel' ELSE 'other' END AS class FROM {sites}) SELECT class, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM c) AS DOUBLE), 6) AS fraction FROM c GROUP BY 1",
 )
 
 # --- local ancestry
@@ -357,9 +358,9 @@ add(
     "SELECT concept, count(DISTINCT person) AS persons, count(value) AS n, round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM {ehr} GROUP BY 1 HAVING count(DISTINCT person) >= 5",
 )
 add(
-    "d53_inventory_combine", "pheno",
-    lambda p: p.groupBy("code").agg(F.count_if(F.col("value") == 1).alias("cases"), F.count_if(F.col("value") == 0).alias("controls")).withColumns({"smaller": F.least("cases", "controls"), "prevalence": F.round(F.try_divide("cases", F.col("cases") + F.col("controls")), 6), "n_eff": F.round(4 * F.col("cases") * (1 - F.try_divide("cases", F.col("cases") + F.col("controls"))), 6), "testable": F.least("cases", "controls") >= 20}),
-    "SELECT code, cases, controls, least(cases, controls) AS smaller, round(CAST(cases AS DOUBLE) / (cases + controls), 6) AS prevalence, round(4 * cases * (1 - CAST(cases AS DOUBLE) / (cases + controls)), 6) AS n_eff, least(cases, controls) >= 20 AS testable FROM (SELECT code, count(*) FILTER (WHERE value = 1) AS cases, count(*) FILTER (WHERE value = 0) AS controls FROM {pheno} GROUP BY 1)",
+    "d53_inventory_combine", "pheno samples",
+    lambda p, s: C.combine_inventory(p, s.count(), 20).select("code", "cases", "controls", "smaller", *(F.round(c, 6).alias(c) for c in ("prevalence", "coverage", "n_eff")), "testable"),
+    "SELECT code, cases, controls, least(cases, controls) AS smaller, round(CAST(cases AS DOUBLE) / (cases + controls), 6) AS prevalence, round((cases + controls) / CAST((SELECT count(*) FROM {samples}) AS DOUBLE), 6) AS coverage, round(4 * cases * (1 - CAST(cases AS DOUBLE) / (cases + controls)), 6) AS n_eff, least(cases, controls) >= 20 AS testable FROM (SELECT code, count(*) FILTER (WHERE value = 1) AS cases, count(*) FILTER (WHERE value = 0) AS controls FROM {pheno} GROUP BY 1)",
 )
 add(
     "d54_cutoff_curve", "pheno", lambda p: C.cutoff_curve(p.groupBy("person").agg(F.count("*").alias("k")), "k", 50),
@@ -388,8 +389,9 @@ add(
     "SELECT sample, CASE WHEN count(DISTINCT caller) = 1 THEN max(caller) END AS caller FROM {cpg} GROUP BY 1",
 )
 add(
-    "d69_completeness", "calls", lambda c: C.completeness(c.withColumn("stratum", F.col("sample") % 4), "stratum", ["a1", "gq", "dp"]).withColumn("share", F.round("share", 6)),
-    " UNION ALL ".join(f"SELECT sample % 4 AS stratum, '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 0.0e0 ELSE 1.0e0 END), 6) AS share FROM {{calls}} GROUP BY 1" for c in ("a1", "gq", "dp")),
+    "d69_completeness", "calls", lambda c: C.completeness(c.withColumns({"stratum": F.col("sample") % 4, "low": F.col("gq") < 20}), "stratum", ["a1", "gq", "dp", "low"], ["low"]).select("stratum", "column", *(F.round(x, 6).alias(x) for x in ("share", "true_rate", "range"))),
+    "WITH c AS (SELECT *, gq < 20 AS low, sample % 4 AS stratum FROM {calls}), s AS (" + " UNION ALL ".join(f"SELECT stratum, '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 0.0e0 ELSE 1.0e0 END) AS share, {'avg(CASE WHEN low THEN 1.0e0 WHEN NOT low THEN 0.0e0 END)' if c == 'low' else 'CAST(NULL AS DOUBLE)'} AS true_rate FROM c GROUP BY 1" for c in ("a1", "gq", "dp", "low"))
+    + ') SELECT stratum, "column", round(share, 6) AS share, round(true_rate, 6) AS true_rate, round(max(share) OVER (PARTITION BY "column") - min(share) OVER (PARTITION BY "column"), 6) AS range FROM s',
 )
 add(
     "d70_crosstab_redacted", "samples", lambda s: C.crosstab_redacted(s, "ancestry", "segment", 20),

@@ -61,11 +61,11 @@ add("d18_novel_alleles", "alleles", lambda a: V.novel_alleles(a.where("(dosage +
 add("d19_encoding_stats", "alleles", lambda a: V.encoding_stats(a, 4),
     """WITH g AS (SELECT locus, count(*) AS k, sum(n) AS c, max(n) AS m, count(*) FILTER (WHERE n < 4) AS kl, sum(CASE WHEN n < 4 THEN n ELSE 0 END) AS cl FROM {alleles} WHERE dosage <> 0 GROUP BY locus)
        SELECT CAST(sum(k) AS BIGINT) AS n_alleles, CAST(sum(kl) AS BIGINT) AS n_alleles_low, CAST(sum(c) AS BIGINT) AS n_carriers, CAST(sum(cl) AS BIGINT) AS n_carriers_low, count(*) FILTER (WHERE m < 4 AND c >= 4) AS n_dosage_only FROM g""")
-add("d22_catalog_totals", "sites", lambda s: V.catalog_totals(s, "source"),
-    """WITH k AS (SELECT source, length(ref) = length(alt) AS even, abs(length(ref) - length(alt)) AS d, translate(ref, 'AGCT', 'RRYY') = translate(alt, 'AGCT', 'RRYY') AS same,
+add("d22_catalog_totals", "sites", lambda s: V.catalog_totals(s.withColumn("alt", F.when(F.col("site") % 9 == 0, F.concat("alt", F.lit(",T"))).otherwise(F.col("alt"))), "source"),
+    """WITH k AS (SELECT source, site % 9 = 0 AS multi, length(ref) = length(alt) AS even, abs(length(ref) - length(alt)) AS d, translate(ref, 'AGCT', 'RRYY') = translate(alt, 'AGCT', 'RRYY') AS same,
          CASE WHEN substr(ref, 1, 1) <> substr(alt, 1, 1) THEN 1 ELSE 0 END + CASE WHEN substr(ref, 2, 1) <> substr(alt, 2, 1) THEN 1 ELSE 0 END + CASE WHEN substr(ref, 3, 1) <> substr(alt, 3, 1) THEN 1 ELSE 0 END AS wrong FROM {sites})
-       SELECT source, count(*) AS n_records, count(*) FILTER (WHERE even AND wrong = 1) AS n_snv, count(*) FILTER (WHERE even AND wrong > 1) AS n_mnp, count(*) FILTER (WHERE NOT even AND d <= 2) AS n_indel_short,
-         count(*) FILTER (WHERE d > 2) AS n_indel_long, count(*) FILTER (WHERE even AND wrong = 1 AND same) AS n_ti, count(*) FILTER (WHERE even AND wrong = 1 AND NOT same) AS n_tv FROM k GROUP BY source""")
+       SELECT source, count(*) AS n_records, count(*) FILTER (WHERE multi) AS n_multiallelic, count(*) FILTER (WHERE NOT multi AND even AND wrong = 1) AS n_snv, count(*) FILTER (WHERE NOT multi AND even AND wrong > 1) AS n_mnp, count(*) FILTER (WHERE NOT multi AND NOT even AND d <= 2) AS n_indel_short,
+         count(*) FILTER (WHERE NOT multi AND d > 2) AS n_indel_long, count(*) FILTER (WHERE NOT multi AND even AND wrong = 1 AND same) AS n_ti, count(*) FILTER (WHERE NOT multi AND even AND wrong = 1 AND NOT same) AS n_tv FROM k GROUP BY source""")
 PANEL_SQL = """SELECT c.id, c.pos, s.ancestry AS panel, sum(CASE WHEN a1 > 0 THEN 1 ELSE 0 END + CASE WHEN a2 > 0 THEN 1 ELSE 0 END) AS ac, sum(CASE WHEN a1 IS NULL THEN 0 ELSE 1 END + CASE WHEN a2 IS NULL THEN 0 ELSE 1 END) AS an
          FROM {calls} c JOIN {samples} s ON c.sample = s.sample GROUP BY 1, 2, 3"""
 add("d29_af_panel", "calls samples", lambda c, s: longs(V.af_panel(c, s.selectExpr("sample", "ancestry AS panel"), 3, 100), "ac", "an"),

@@ -36,7 +36,7 @@ def _counts(n: int):
     def run(batches):
         total, held = np.zeros(1 << CELLS, np.uint32), []
         for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
+            for _, part in chunks(t.as_py() for t in batch.column(0)):
                 w = Words(part)
                 held += [w.shingles(n, a, b) & np.uint64((1 << CELLS) - 1) for a, b in zip(w.first[:-1], w.first[1:])]
                 if sum(map(len, held)) > 1 << 21:
@@ -86,7 +86,7 @@ def _prefixes(n: int, percent: int, table):
         freq, cuts = table.value, np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
         for batch in batches:
             ids, tids = batch.column("doc_id"), batch.column("tid")
-            for first, part in chunks(batch.column("text").to_pylist()):
+            for first, part in chunks(t.as_py() for t in batch.column("text")):
                 w, size, keys, ranges, prefix = Words(part), [], [], [], []
                 for a, b in zip(w.first[:-1], w.first[1:]):
                     s = _distinct(w, n, a, b)
@@ -112,7 +112,7 @@ def _prefixes(n: int, percent: int, table):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            for _, part in chunks(batch.column("text").to_pylist()):
+            for _, part in chunks(t.as_py() for t in batch.column("text")):
                 w = Words(part)
                 sets = [_distinct(w, n, a, b) for a, b in zip(w.first[:-1], w.first[1:])]
                 keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)

@@ -105,6 +105,7 @@ def _prefixes(n: int, percent: int, table):
                     "doc_id": ids.slice(first, len(part)), "tid": tids.slice(first, len(part)), "n": pa.array(size, pa.int64()), "key": pa.array(k[:, 0]), "key2": pa.array(k[:, 1]), "ranges": pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges))),
                     "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix))),
                 })
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -117,6 +118,7 @@ def _sets(n: int):
                 sets = [_distinct(w, n, a, b) for a, b in zip(w.first[:-1], w.first[1:])]
                 keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[:, 0]), "key2": pa.array(keys[:, 1]), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no old batches
 
     return run
 
@@ -135,6 +137,7 @@ def _verify(percent: int):
                 if int((x[at] == y).sum()) >= need:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -96,6 +96,42 @@ def test_relatedness_blocks(spark):
     assert set(got) == set(want) and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-9 for x in want)
 
 
+def rare(seed, n, m, absent):
+    """Few carriers a site, some related, some missing; dosages of all samples, where absent ones are 0 or missing."""
+    rng = np.random.default_rng(seed)
+    g = np.zeros((n, m)) if absent == "reference" else np.full((n, m), np.nan)
+    for j in range(m):
+        who = rng.choice(n // 8, 5, replace=False) + n // 8 * (j % 8)
+        g[who, j] = rng.choice([1, 2] if absent == "reference" else [0, 1, 2], 5)
+    if absent == "reference":
+        g[(rng.random((n, m)) < 0.03) & (g > 0)] = np.nan
+        g[rng.random((n, m)) < 0.002] = np.nan
+    return g, np.sort(rng.integers(0, 40 * m, m))
+
+
+@pytest.mark.parametrize("absent", ["reference", "missing"])
+def test_few_carriers(spark, absent, monkeypatch):
+    """Rows hold entries, not all samples; pairs of samples come from shared entries alone."""
+    g, pos = rare(5, 400, 160, absent)
+    rows = [("chr1", int(pos[j]), j, 100 + i, None if np.isnan(g[i, j]) else int(g[i, j] > 0), None if np.isnan(g[i, j]) else int(g[i, j] > 1)) for i in range(400) for j in range(160) if (g[i, j] != 0 if absent == "reference" else not np.isnan(g[i, j])) or j == 0]
+    packed = G.pack(spark.createDataFrame(rows, "chrom string, pos long, site int, sample long, a1 int, a2 int"), absent)
+    assert packed.sites.selectExpr("max(CASE WHEN site > 0 THEN octet_length(planes) END)").first()[0] <= 4 * 20  # planes of 400 samples take 112
+    p = np.nanmean(g, 0) / 2
+    use = (p > 0) & (p < 1)
+    z, known = np.nan_to_num((g - 2 * p) / np.sqrt(2 * p * (1 - p)))[:, use], ~np.isnan(g[:, use])
+    n = known.astype(float) @ known.T.astype(float)
+    with np.errstate(invalid="ignore"):
+        k = z @ z.T / n
+    monkeypatch.setattr(G, "_by_blocks", None)
+    got = {(r["sample"] - 100, r["sample2"] - 100): (r.n, r.k) for r in G.relatedness(packed, 0.05).collect()}
+    want = {(i, j): (n[i, j], 1.0 if i == j else k[i, j]) for i in range(400) for j in range(i, 400) if i == j or n[i, j] > 0 and k[i, j] >= 0.05}
+    assert len(want) > 500 and set(got) == set(want) and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-9 for x in want)
+    monkeypatch.setattr(G, "PIECE", 96)
+    _, loadings, singular = G.pca(packed, 20, rounds=12, slab=50)
+    s = np.linalg.svd(z / np.sqrt(use.sum()), compute_uv=False)
+    assert loadings.count() == use.sum() and np.allclose(singular[:5], s[:5], rtol=1e-2)
+
+
 def test_pack_edges(spark):
     schema = "chrom string, pos long, site int, sample long, a1 int, a2 int"
     none = G.pack(spark.createDataFrame([], schema))

@@ -58,6 +58,17 @@ def test_windows_prune_folders_and_row_groups(spark, tmp_path):
     assert T.read_windows(spark, at, windows.limit(0), 1000).count() == 0
 
 
+def test_positions_in_few_folders(spark, tmp_path):
+    """A table that reaches over many bins has no folder for each of them."""
+    rows = spark.range(6000).selectExpr("concat('chr', id % 2 + 1) chrom", "id * 1000 pos", "id marker")
+    at = f"file://{tmp_path}/t"
+    T.write_positioned(rows, at, (), 1000, folders=50)
+    assert len(list((tmp_path / "t").glob("chrom=*/bin=*"))) <= 52
+    windows = spark.createDataFrame([("w", "chr1", 2_500_000, 2_600_000), ("v", "chr2", 5_990_000, 9_000_000)], "window string, chrom string, start long, end long")
+    got = {(r.window, r.marker) for r in T.read_windows(spark, at, windows, 1000).collect()}
+    assert got == {("w", i) for i in range(2500, 2601) if i % 2 == 0} | {("v", i) for i in range(5990, 6000) if i % 2}
+
+
 def test_nearest_measures_few(spark):
     import numpy as np
 

@@ -81,3 +81,22 @@ def test_novelty_and_strata(spark):
     assert got[2, "DEL", "in_controls"] == (0, 1) and got[3, "INS", "new_singleton"] == (1, 1) and got[2, "INS", "in_phase1"] == (0, 1) and len(got) == 16
     curve = M.discovery_curve(carriers.withColumnRenamed("id", "site"), order, sites.where("id <> 'x'").selectExpr("id site", "svtype"))
     assert sorted((r.rank, r.svtype, r.cumulative) for r in curve.collect()) == [(1, "DEL", 1), (1, "INS", 1), (2, "DEL", 2), (2, "INS", 1), (3, "DEL", 2), (3, "INS", 2)]
+
+
+def test_strata_read_carriers_once(spark):
+    """The curve by strata works out its carriers once, however often they are needed."""
+    from strandlake.plans.cohort import curve_by_strata
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    carriers = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3)], "site long, sample long").mapInArrow(count, "site long, sample long")
+    samples = spark.createDataFrame([(i, "eur", False) for i in (1, 2, 3)], "sample long, ancestry string, control boolean")
+    sites = spark.createDataFrame([(i, "DEL") for i in (1, 2, 3)], "site long, svtype string")
+    got = {(r["rank"], r.freq): r.cumulative for r in curve_by_strata(carriers, samples, sites).collect()}
+    assert got == {(1, "rare"): 1, (2, "rare"): 1, (3, "rare"): 1, (1, "singleton"): 0, (2, "singleton"): 1, (3, "singleton"): 2}
+    assert seen.value == 4

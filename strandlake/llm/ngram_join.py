@@ -30,22 +30,22 @@ from strandlake.llm.components import connected_components, group_links, join_he
 #: log2 of the counting table's cells, and cells in a slab of it that is summed as one row.
 CELLS, SLAB = 22, 1 << 16
 RANGES = 64
+#: Bytes of texts that a task hashes at once; hashing takes some 50 times as much.
+PART = 1 << 18
 
 
 def _counts(n: int):
     def run(batches):
-        total, held = np.zeros(1 << CELLS, np.uint32), []
+        total = np.zeros(1 << CELLS, np.uint32)
         for batch in batches:
-            for _, part in chunks(t.as_py() for t in batch.column(0)):
+            for _, part in chunks((t.as_py() for t in batch.column(0)), PART):
                 w = Words(part)
-                held += [w.shingles(n, a, b) & np.uint64((1 << CELLS) - 1) for a, b in zip(w.first[:-1], w.first[1:])]
-                if sum(map(len, held)) > 1 << 21:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << CELLS).astype(np.uint32)
-                    held = []
-        if held:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << CELLS).astype(np.uint32)
+                for a, b in zip(w.first[:-1], w.first[1:]):
+                    np.add.at(total, (w.shingles(n, a, b) & np.uint64((1 << CELLS) - 1)).astype(np.int64), np.uint32(1))
         if total.any():
             yield pa.RecordBatch.from_pydict({"slab": pa.array(range(len(total) // SLAB), pa.int32()), "cells": pa.array([zlib.compress(total[i : i + SLAB].tobytes(), 1) for i in range(0, len(total), SLAB)], pa.binary())})
+        del total
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -86,7 +86,7 @@ def _prefixes(n: int, percent: int, table):
         freq, cuts = table.value, np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
         for batch in batches:
             ids, tids = batch.column("doc_id"), batch.column("tid")
-            for first, part in chunks(t.as_py() for t in batch.column("text")):
+            for first, part in chunks((t.as_py() for t in batch.column("text")), PART):
                 w, size, keys, ranges, prefix = Words(part), [], [], [], []
                 for a, b in zip(w.first[:-1], w.first[1:]):
                     s = _distinct(w, n, a, b)
@@ -113,7 +113,7 @@ def _prefixes(n: int, percent: int, table):
 def _sets(n: int):
     def run(batches):
         for batch in batches:
-            for _, part in chunks(t.as_py() for t in batch.column("text")):
+            for _, part in chunks((t.as_py() for t in batch.column("text")), PART):
                 w = Words(part)
                 sets = [_distinct(w, n, a, b) for a, b in zip(w.first[:-1], w.first[1:])]
                 keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)

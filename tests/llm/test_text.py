@@ -517,3 +517,25 @@ def test_mixing_of_equal_rows_and_of_nothing(spark):
     got = mixing.mix_sources(rows).collect()
     assert len(got) == 7 and all(r.copies in (0, 1, 2) for r in got) and 15 <= sum(r.taken for r in got) <= 28.5
     assert mixing.mix_sources(rows.limit(0)).count() == 0
+
+
+def test_ngram_join_tasks_hold_little():
+    """What a task takes beside its batch and the counting table doesn't follow the batch: 4 MB of texts, far below that times the hashing's share."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"w{i * 7919 % 10_007}" for i in range(700)]
+    texts = pa.array([" ".join(words[i % 97 :] + [str(i)]).encode() for i in range(1100)], pa.binary())
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    named = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1100)), "tid": pa.array(range(1100)), "text": texts})
+
+    class Table:
+        value = np.zeros(1 << ngram_join.CELLS, np.uint16)
+
+    for run, given, most in ((ngram_join._counts(3), batch, 45), (ngram_join._sets(3), batch, 25), (ngram_join._prefixes(3, 90, Table), named, 25)):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in run(iter([given])))
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        assert rows and peak < most, (run, peak)

@@ -100,3 +100,12 @@ def test_strata_read_carriers_once(spark):
     got = {(r["rank"], r.freq): r.cumulative for r in curve_by_strata(carriers, samples, sites).collect()}
     assert got == {(1, "rare"): 1, (2, "rare"): 1, (3, "rare"): 1, (1, "singleton"): 0, (2, "singleton"): 1, (3, "singleton"): 2}
     assert seen.value == 4
+
+
+def test_models_start_without_sorting_their_rows(spark):
+    from strandlake.operators.summaries import _start
+
+    rows = spark.createDataFrame([("a", 1.0, [1.0, 2.0]), ("a", 0.0, [1.0, 3.0]), ("b", 1.0, [1.0])], "g string, y double, x array<double>")
+    got = _start(rows, ["g"])
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.g, r.n, r.b) for r in got.collect()) == [("a", 2, [0.0, 0.0]), ("b", 1, [0.0])]

@@ -21,3 +21,9 @@ def plans_of(spark, run) -> list[str]:
 def test_tracts_work_out_haplotypes_once(spark):
     plans = plans_of(spark, lambda: catalog.QUERIES["d33_tract_summary"](spark, SF).collect())
     assert len([p for p in plans if "l_linenumber" in p]) == 1
+
+
+def test_call_rates_move_rows_once(spark):
+    plans = plans_of(spark, lambda: catalog.QUERIES["g26_call_rate"](spark, SF).collect())
+    assert len([p for p in plans if "l_linenumber" in p]) == 1
+    assert not any("InsertInto" in p for p in plans)

@@ -1,5 +1,6 @@
 """What larger tables would multiply: how often views are worked out and written, and what a task of a search holds at once."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -60,3 +61,9 @@ def test_nearest_holds_few_pairs_at_once(spark, monkeypatch):
     mb, got = largest(kept["send"], pd.DataFrame({"id": np.arange(10_000), "v": [*np.tile(asked, (10, 1))]}))
     assert mb < 60  # 20; with the bounds of all queries at once 121
     assert got["id"].nunique() == 10_000
+
+
+def test_labels_broadcast_no_vectors(spark):
+    plans = plans_of(spark, lambda: catalog.QUERIES["h6_infer_labels"](spark, SF).collect())
+    kinds = [kind for p in plans for kind in re.findall(r"\) (\w+Join)[^\n]*\nLeft keys \[2\]: \[cell#\d+, chunk#\d+\]", p)]
+    assert set(kinds) == {"SortMergeJoin"}

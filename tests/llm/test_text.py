@@ -9,10 +9,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import bpe, chat_format, language_id, mixing, ngram_join, paragraph_dedup, pii, suffix_dedup
+from strandlake.llm.common import BATCH, map_texts
 from strandlake.llm.components import connected_components, join_heavy, kept_by_bits
 from strandlake.llm.queries import vocabulary
 
@@ -539,3 +541,35 @@ def test_ngram_join_tasks_hold_little():
         peak = tracemalloc.get_traced_memory()[1] / 2**20
         tracemalloc.stop()
         assert rows and peak < most, (run, peak)
+
+
+def test_suffix_dedup_tasks_hold_little():
+    """Runs of 4 MB of texts, and a pack of 1 MB: what a task takes beside its batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = pa.array([rng.integers(97, 123, 4000, dtype=np.uint8).tobytes() for _ in range(1000)], pa.binary())
+    ids = pa.array(range(1000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts], names=["t1", "t2", "text"])
+    contexts = [texts[i].as_py()[at : at + 600] for i in range(36) for at in range(0, 3400, 70)]
+    n = len(contexts)
+    pack = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(contexts, pa.binary()), pa.array([201] * n, pa.int32()), pa.array([1] * n)], names=["h", "c", "bytes", "n", "m"])
+    for f, given, most in ((suffix_dedup._runs(400), batch, 60), (suffix_dedup._sort_pack(400), pack, 95)):
+        for _ in f(iter([given.slice(0, 50)])):  # tables of powers and the like
+            pass
+        tracemalloc.start()
+        for _ in f(iter([given])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes])})
+
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('words ', 1000) text")
+    got = map_texts(rows, sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 1.1 * BATCH < sum(r.bytes for r in got) / 4

@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strandlake.llm.common import map_texts
+
 #: White space as the vocabulary's splitter has it (Unicode White_Space).
 BLANK = "\t-\r \x85\xa0  -     　"
 #: Words, and runs, whose codes a task keeps; ids that are decoded at once.
@@ -281,7 +283,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(got, pa.binary()), pa.array(list(map(bpe.decode, got)), pa.string())], names=[*others, "n_tokens", "ids", "decoded"])
 
     kept = docs.select(*others)
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "n_tokens long, ids binary, decoded string"]))
+    return map_texts(kept, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "n_tokens long, ids binary, decoded string"]))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -299,4 +301,4 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
                 b.append(sha(bpe.decode(ids).encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Rolling, mix, stage
+from strandlake.llm.common import Rolling, map_texts, mix, stage
 
 #: Longest character n-gram of the backoff.
 CHARS = 4
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*others, "lang_pred", "score"])
 
     kept = docs.select(*others)
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double"]))
+    return map_texts(kept, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double"]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Words, chunks, mix, stage
+from strandlake.llm.common import Words, chunks, map_texts, mix, stage
 from strandlake.llm.components import connected_components, group_links, join_heavy, join_left_heavy, join_salted, kept_by_bits
 
 #: log2 of the counting table's cells, and cells in a slab of it that is summed as one row.
@@ -44,8 +44,6 @@ def _counts(n: int):
                     np.add.at(total, (w.shingles(n, a, b) & np.uint64((1 << CELLS) - 1)).astype(np.int64), np.uint32(1))
         if total.any():
             yield pa.RecordBatch.from_pydict({"slab": pa.array(range(len(total) // SLAB), pa.int32()), "cells": pa.array([zlib.compress(total[i : i + SLAB].tobytes(), 1) for i in range(0, len(total), SLAB)], pa.binary())})
-        del total
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -62,7 +60,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingle_frequencies(texts: DataFrame, n: int):
     """A broadcast table of frequency by hash cell, counted over all texts: 2**CELLS two-byte cells (8 MB) at any input size."""
-    cells = texts.select(F.col("text").cast("binary")).mapInArrow(_counts(n), "slab int, cells binary")
+    cells = map_texts(texts.select(F.col("text").cast("binary")), _counts(n), "slab int, cells binary")
     summed = cells.groupBy("slab").applyInArrow(_add, "slab int, cells binary")
     table = np.zeros(1 << CELLS, np.uint16)
     for row in summed.toLocalIterator():
@@ -105,7 +103,6 @@ def _prefixes(n: int, percent: int, table):
                     "doc_id": ids.slice(first, len(part)), "tid": tids.slice(first, len(part)), "n": pa.array(size, pa.int64()), "key": pa.array(k[:, 0]), "key2": pa.array(k[:, 1]), "ranges": pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges))),
                     "prefix": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix))),
                 })
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -118,7 +115,6 @@ def _sets(n: int):
                 sets = [_distinct(w, n, a, b) for a, b in zip(w.first[:-1], w.first[1:])]
                 keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[:, 0]), "key2": pa.array(keys[:, 1]), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
-        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no old batches
 
     return run
 
@@ -137,7 +133,6 @@ def _verify(percent: int):
                 if int((x[at] == y).sum()) >= need:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -165,7 +160,7 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     (the same for all rows of a component and for no others; null for an empty set)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     freq = shingle_frequencies(texts, n)
-    rows = stage(texts.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")).mapInArrow(_prefixes(n, percent, freq), DOC), "prefixes")
+    rows = stage(map_texts(texts.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")), _prefixes(n, percent, freq), DOC), "prefixes")
     # different sets with one 64-bit key (some 70 of 5 * 10**10 sets) get a key of both their hashes
     same = rows.where("n > 0").groupBy("key").agg(F.min("key2").alias("k2"), F.max("key2").alias("k3"), F.count("*").alias("times")).where("k2 <> k3").select("key", F.lit(True).alias("shared"), "times")
     same = stage(same, "keys")
@@ -191,11 +186,11 @@ def with_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
         wanted = stage(wanted, "wanted")
         few = kept_by_bits(texts, "tid", wanted)
         few = few.join(wanted, (few["tid"] == wanted["tid"]) & few["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        sets = few.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets(n), "key long, key2 long, shingles binary")
+        sets = map_texts(few.select(F.col("text").cast("binary").alias("text")), _sets(n), "key long, key2 long, shingles binary")
         sets = stage(apart(sets).groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
         with_a = join_salted(close, sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), ["a"], ["b"])
         with_b = join_salted(with_a, sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), ["b"], ["a"])
-        return with_b.mapInArrow(_verify(percent), "a long, b long")
+        return map_texts(with_b, _verify(percent), "a long, b long")
 
     links = group_links(entries, viable_for(percent), verified)
     comp = connected_components(links)

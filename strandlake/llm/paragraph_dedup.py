@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Words, chunks, drop_stages, mix, stage, staged
+from strandlake.llm.common import Words, chunks, drop_stages, map_texts, mix, stage, staged
 from strandlake.llm.components import connected_components, group_links, join_heavy, join_salted, kept_by_bits
 from strandlake.llm.ngram_join import viable_for
 
@@ -257,7 +257,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("t", F.xxhash64("text"))
     as_bytes = named.select("doc_id", "t", F.col("text").cast("binary").alias("text"))
     begun = staged()
-    found = stage(as_bytes.mapInArrow(_units(least_words, similarity, bands, rows), UNIT), "units")
+    found = stage(map_texts(as_bytes, _units(least_words, similarity, bands, rows), UNIT), "units")
     units_kept = staged()
     classes = found.groupBy("pid").agg(F.count("*").alias("times"))
     keys = found.select(F.explode("keys").alias("s"), "pid", "run")
@@ -275,18 +275,18 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, least_words: i
     lists = stage(lists.withColumnRenamed("t_", "t"), "lists").withColumnRenamed("t", "t_")
     near = kept_by_bits(as_bytes, "t", lists.select(F.col("t_").alias("t")))
     texts = near.join(lists, (near["t"] == lists["t_"]) & near["doc_id"].eqNullSafe(lists["d"])).select("text", "wanted")
-    sets = stage(texts.mapInArrow(_sets, "key long, shingles binary, " + ", ".join(f"{c} long" for c in CELL_COLUMNS)).groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *CELL_COLUMNS))), "sets")
+    sets = stage(map_texts(texts, _sets, "key long, shingles binary, " + ", ".join(f"{c} long" for c in CELL_COLUMNS)).groupBy("key").agg(*(F.first(c).alias(c) for c in ("shingles", *CELL_COLUMNS))), "sets")
     drop_stages(links_kept, but_last=1)
 
     def verified(pairs: DataFrame) -> DataFrame:
         of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
         both = join_salted(join_salted(pairs, of("a"), ["a"], ["b"]), of("b"), ["b"], ["a"])
-        return both.mapInArrow(_verify(similarity), "a long, b long")
+        return map_texts(both, _verify(similarity), "a long, b long")
 
     # Colliding classes meet by the rarest shingles of their sets (as many as a similar pair must share one of), so a band with many
     # unlike classes doesn't give all their pairs; pairs whose cells differ too much are left out before they are made.
     sets_kept = staged()
-    each = stage(sets.mapInArrow(_shingles, "key long, s long"), "shingles")
+    each = stage(map_texts(sets, _shingles, "key long, s long"), "shingles")
     often = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     size = F.count("*").over(W.partitionBy("key"))
     place = F.row_number().over(W.partitionBy("key").orderBy(F.coalesce("f", F.lit(1)), "s")) - 1

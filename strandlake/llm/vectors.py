@@ -49,29 +49,45 @@ def chunked(assigned: DataFrame, by: str = "part") -> DataFrame:
     return assigned.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int")).drop("chunks")
 
 
-def query_blocks(queries: DataFrame, keys: list[str], extra: str | None = None) -> DataFrame:
-    """queries (vec_id, v, keys) packed into rows (keys, block, ids, vectors, extra) of about BLOCK."""
-    sizes = queries.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = queries.join(sizes, keys) if keys else queries.withColumn("blocks", F.lit(sizes.first()[0]))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers, each in the fewest bytes (2, 4 or 8) that hold them all."""
+    low, high = int(a.min(initial=0)), int(a.max(initial=0))
+    kind = next(x for x in (np.int16, np.int32, np.int64) if np.iinfo(x).min <= low and high <= np.iinfo(x).max)
+    return np.ascontiguousarray(a, kind).tobytes()
+
+
+def unpacked(b: bytes, rows: int, dims: int) -> np.ndarray:
+    """What packed() made of a matrix."""
+    return np.frombuffer(b, f"i{len(b) // (rows * dims)}").astype(np.int64).reshape(rows, dims)
+
+
+BLOCKS = "lane int, lot int, qids binary, queries binary, least binary"
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """queries (lane, lot, block, vec_id, v, least) packed into a row for each lane, lot and block."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        ids = t.column("vec_id").to_numpy()
-        v = matrix(t.column("v"), np.float64)
-        more = t.column(extra).to_numpy() if extra else np.zeros(0)
-        yield pa.RecordBatch.from_pydict({**{k: t.column(k).slice(0, 1).combine_chunks() for k in keys}, "block": t.column("block").slice(0, 1).combine_chunks(), "qids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "queries": pa.array([v.tobytes()], pa.binary()), "extra": pa.array([more.astype(np.float64).tobytes()], pa.binary())})
+        one = lambda c: t.column(c).slice(0, 1).combine_chunks()
+        raw = lambda c: pa.array([t.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary())
+        yield pa.RecordBatch.from_pydict({"lane": one("lane"), "lot": one("lot"), "qids": raw("vec_id"), "queries": pa.array([packed(matrix(t.column("v"), np.int64))], pa.binary()), "least": raw("least")})
+
+    return queries.groupBy("lane", "lot", "block").applyInArrow(pack, BLOCKS)
+
 
-    types = "".join(f"{k} {queries.schema[k].dataType.simpleString()}, " for k in keys)
-    return dealt.groupBy(*keys, "block").applyInArrow(pack, f"{types}block int, qids binary, queries binary, extra binary")
+def meet(nodes: DataFrame, blocks: DataFrame, search, schema: str) -> DataFrame:
+    """search(rows of nodes, rows of blocks) for each lane and lot that any block is in: a node comes once for a lot of queries, not once for
+    a block, and blocks are dealt by a shuffle: their copies are never gathered for a broadcast."""
+    keys = ["lane", "lot"]
+    wanted = nodes.join(blocks.select(*(F.col(c).alias(c) for c in keys)).distinct(), "lane")
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = search(left.to_batches(), right.to_batches())
+        pa.default_memory_pool().release_unused()
+        return out
 
-def meet(nodes: DataFrame, blocks: DataFrame, n_nodes: int, most_lanes: int = 256) -> DataFrame:
-    """Every node beside every block of the stated queries: blocks are copied to lanes, over which nodes are dealt."""
-    lanes = max(1, min(n_nodes, most_lanes))
-    left = nodes.withColumn("lane", F.pmod(F.xxhash64("part", "chunk"), F.lit(lanes)).cast("int"))
-    right = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return left.join(right, "lane")
+    return wanted.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def best(found: DataFrame, k: int, descending: bool) -> DataFrame:

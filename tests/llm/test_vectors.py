@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from strandlake.llm import mtree, multi_index
+from strandlake.llm import mtree, multi_index, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +36,40 @@ def test_mtree_is_exact(spark, monkeypatch):
         assert sorted(got[i]) == [(k + 1, j, s[j]) for k, j in enumerate(order)]
 
 
+def best_by_force(q, k=10):
+    s = q @ q.T
+    return sorted((i, place + 1, int(j), int(s[i, j])) for i in range(len(q)) for place, j in enumerate([j for j in np.lexsort((np.arange(len(q)), -s[i])) if j != i][:k]))
+
+
+@pytest.mark.parametrize("scale", [1024, 1 << 27])  # products within 2**53 and beyond
+def test_mtree_in_lanes_and_lots(spark, monkeypatch, scale):
+    for name, value in {"NODE": 128, "LOT": 1, "LANES": 2}.items():  # lanes of 8 nodes, lots of 256 queries
+        monkeypatch.setattr(mtree, name, value)
+    monkeypatch.setattr(vectors, "NODE", 128)
+    x = sample(2500, 8, 9)
+    got = mtree.mtree_top_k(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), k=10, scale=scale, step=1).collect()
+    assert sorted(map(tuple, got)) == best_by_force(np.floor(scale * x).astype(int))
+
+
+def test_mtree_of_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "HELD", 1000)
+    x = np.tile(sample(3, 8, 4)[:1], (600, 1))
+    got = mtree.mtree_top_k(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), k=10, step=1).collect()
+    assert sorted(map(tuple, got)) == best_by_force(np.floor(1024 * x).astype(int))
+
+
+def test_mtree_broadcasts_no_copies_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "NODE", 128)
+    monkeypatch.setattr(vectors, "NODE", 128)
+    x = sample(4000, 64, 11)
+    rows = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]).repartition(4)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "12MB")  # the copies of all queries for each node took 32 MB as one
+    try:
+        assert mtree.mtree_top_k(rows, k=10, step=4).count() == 10_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_mtree_of_few_and_none(spark):
     got = mtree.mtree_top_k(table(spark, [(100, [1.0, 0.0], 0), (1, [2.0, 1.0], 0), (2, [-0.5, 0.0], 0)]), k=10).collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(100, 1, 1, 2 * 1024 * 1024), (100, 2, 2, -512 * 1024)]

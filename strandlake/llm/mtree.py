@@ -103,7 +103,7 @@ class Queries:
         """scores[i, j]: of the query rows[i] and the vector ids[j]; what is of use takes its place among the best."""
         r, e = np.nonzero(scores >= self.least[rows, None])
         last = np.where(self.scores[rows, -1] == self.least[rows], self.found[rows, -1], np.iinfo(np.int64).max)
-        use = (ids[e] != self.ids[rows[r]]) & ((ids[e] < last[r]) | (scores[r, e] > self.least[rows[r]]))
+        use = (ids[e] != self.ids[rows[r]]) & ((ids[e] <= last[r]) | (scores[r, e] > self.least[rows[r]]))
         r, e = r[use], e[use]
         if not len(r):
             return
